@@ -96,7 +96,7 @@ RULES = [
     ("l_extendedprice", "float64", 0.0, 200000.0, None, True, None),
     ("l_discount", "float64", 0.0, 0.1, None, True, None),
     ("l_tax", "float64", 0.0, 0.1, None, False, None),
-    ("l_returnflag", "str", None, None, ["A", "N", "R"], False, None),
+    ("l_returnflag", "str", None, None, ["A", "N"], False, None),
     ("l_quantity>=l_discount", "rule", None, None, None, True, "l_quantity >= l_discount"),
 ]
 RULES_SCHEMA = ("col_name string, expected_dtype string, lo double, hi double, categories array<string>, "
