@@ -1 +1,111 @@
-"""Catalog module (filled in below)."""
+"""Family E (fixed-model evaluation) queries.  Fits have no SQL twin (rows-only);
+preparation, the stratified split, the report and the agreement labels do."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...operators import evaluate as EV
+from ...operators import repair as RP
+from ...sources import tables as TB
+from . import register
+from .common import r6
+from .sqlgen import r6 as s6, to_number
+
+FEATS = ["n_chars", "n_words", "n_lines"]
+_NC = to_number("n_chars", True)
+
+
+def _fit(spark, sf):
+    return EV.run(RP.dedupe(TB.dq_dirty(spark, sf)), TB.dq_train(spark, sf), "target", ["doc_id"])
+
+
+@register("e1_evaluate")
+def e1_evaluate(spark, sf):
+    pred, _, _ = _fit(spark, sf)
+    return r6(pred.agg(F.count(F.lit(1)).alias("n_test"),
+                       F.avg((F.col("label") == F.col("rf_pred")).cast("double")).alias("rf_accuracy"),
+                       F.avg((F.col("label") == F.col("lr_pred")).cast("double")).alias("lr_accuracy")))
+
+
+@register("e2_prepare", f"""WITH {TB.sql_ctes('dq_dirty')}
+SELECT CAST(target AS DOUBLE) AS label, {s6(_NC)} AS n_chars, {s6('n_words')} AS n_words, {s6('n_lines')} AS n_lines,
+  doc_id FROM dq_dirty WHERE target IS NOT NULL AND ({_NC}) IS NOT NULL AND n_words IS NOT NULL AND n_lines IS NOT NULL""")
+def e2_prepare(spark, sf):
+    return r6(EV.prepare(TB.dq_dirty(spark, sf), "target", FEATS))
+
+
+@register("e3_stratified_split", f"""WITH {TB.sql_ctes('dq_train')},
+r AS (SELECT doc_id, target, row_number() OVER (PARTITION BY target ORDER BY md5(concat_ws('|', '42', 'holdout', doc_id)),
+  doc_id) AS rk, count(*) OVER (PARTITION BY target) AS cn FROM dq_train)
+SELECT doc_id, target, rk <= round(cn * 0.25) AS is_test FROM r""")
+def e3_stratified_split(spark, sf):
+    return EV.stratified_split(TB.dq_train(spark, sf), "target", ["doc_id"]).select("doc_id", "target", "is_test")
+
+
+@register("e4_random_forest")
+def e4_random_forest(spark, sf):
+    pred, _, _ = _fit(spark, sf)
+    return r6(EV.accuracy(pred, "rf_pred"))
+
+
+@register("e5_logistic_regression")
+def e5_logistic_regression(spark, sf):
+    pred, _, _ = _fit(spark, sf)
+    return r6(EV.accuracy(pred, "lr_pred"))
+
+
+_RULE = "CASE WHEN n_words > 400 THEN 1.0 ELSE 0.0 END"
+
+
+@register("e6_report", f"""WITH {TB.sql_ctes('dq_train')},
+p AS (SELECT CAST(target AS DOUBLE) AS y, {_RULE} AS p FROM dq_train),
+cls AS (SELECT y AS c FROM p UNION SELECT p FROM p),
+per AS (SELECT c, (SELECT count(*) FROM p WHERE y = c AND p = c) AS tp, (SELECT count(*) FROM p WHERE y = c) AS support,
+  (SELECT count(*) FROM p WHERE p = c) AS npred FROM cls),
+m AS (SELECT CAST(c AS VARCHAR) AS cls, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS pr,
+  CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rc, support, tp FROM per),
+f AS (SELECT *, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END AS f1 FROM m),
+t AS (SELECT sum(support) AS n, sum(tp) AS tp, count(*) AS k, sum(pr) AS sp, sum(rc) AS sr, sum(f1) AS sf,
+  sum(pr * support) AS wp, sum(rc * support) AS wr, sum(f1 * support) AS wf FROM f)
+SELECT cls, {s6('pr')} AS precision, {s6('rc')} AS recall, {s6('f1')} AS f1, support::BIGINT AS support FROM f
+UNION ALL SELECT 'accuracy', {s6('tp / n')}, {s6('tp / n')}, {s6('tp / n')}, n::BIGINT FROM t
+UNION ALL SELECT 'macro avg', {s6('sp / k')}, {s6('sr / k')}, {s6('sf / k')}, n::BIGINT FROM t
+UNION ALL SELECT 'weighted avg', {s6('wp / n')}, {s6('wr / n')}, {s6('wf / n')}, n::BIGINT FROM t""")
+def e6_report(spark, sf):
+    d = TB.dq_train(spark, sf).select(F.col("target").cast("double").alias("label"),
+                                      F.when(F.col("n_words") > 400, 1.0).otherwise(0.0).alias("prediction"))
+    return r6(EV.report(d))
+
+
+@register("e7_importance")
+def e7_importance(spark, sf):
+    _, rfm, feats = _fit(spark, sf)
+    return EV.importance(rfm, feats, spark)
+
+
+_E8 = ("round(0.4 + value / 500.0, 4)", "round(0.4 + ((event_id * 7) % 100) / 500.0, 4)")
+
+
+@register("e8_agreement", f"""WITH ev AS (SELECT user_id, event_id, {_E8[0]} AS rf_acc, {_E8[1]} AS lr_acc FROM events),
+l AS (SELECT *, coalesce(lag(rf_acc) OVER w, 0.0) AS prf, coalesce(lag(lr_acc) OVER w, 0.0) AS plr FROM ev
+  WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, CASE WHEN rf_acc > prf + 0.005 AND lr_acc > plr + 0.005 THEN 'BOTH_AGREE_IMPROVE'
+  WHEN rf_acc > prf + 0.005 AND lr_acc < plr - 0.005 THEN 'DISAGREE'
+  WHEN rf_acc < prf - 0.005 AND lr_acc < plr - 0.005 THEN 'BOTH_DECLINED'
+  WHEN NOT (rf_acc > prf + 0.005) AND NOT (rf_acc < prf - 0.005) THEN 'NO_CHANGE' ELSE 'MIXED' END AS agreement
+FROM l""")
+def e8_agreement(spark, sf):
+    ev = TB.table(spark, sf, "events").select("user_id", "event_id", F.expr(_E8[0]).alias("rf_acc"),
+                                              F.expr(_E8[1]).alias("lr_acc"))
+    return EV.agreement(ev, ["user_id"], "event_id").select("user_id", "event_id", "agreement")
+
+
+@register("e9_eval_cache")
+def e9_eval_cache(spark, sf):
+    """Requests for the dirty and the deduped table; only the dirty one is cached."""
+    d = TB.dq_dirty(spark, sf)
+    req = EV.cache_key(d, "rf20").withColumn("name", F.lit("dirty")).unionByName(
+        EV.cache_key(RP.dedupe(d), "rf20").withColumn("name", F.lit("deduped")))
+    done = EV.cache_key(d, "rf20")
+    return EV.pending(req, done).select("name")
