@@ -115,6 +115,16 @@ def parse_command(c):
     return cmd, arg
 
 
+def round_to(c, digits: int) -> Column:
+    """Round like the reference (and DuckDB): scale, round to integer, unscale.
+
+    Spark's ``round(x, d)`` rounds the shortest decimal string of x half-up, so
+    a double printed as ...5 goes up even when its exact binary value is below
+    the tie; scaling first rounds the binary value, as Python's round does."""
+    m = float(10 ** digits)
+    return F.round(_c(c) * F.lit(m)) / F.lit(m)
+
+
 def clip(c, lo: float, hi: float) -> Column:
     """X9."""
     return F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import round_to
+
 from ..functions.expr import drift_label
 from .profile import column_stats, feature_columns
 
@@ -25,7 +27,7 @@ def compute(working: DataFrame, truth: DataFrame, label: str = "target", keys=()
     score = (F.abs(F.col("mean_w") - F.col("mean_t")) / (F.col("std_t") + DRIFT_EPS)
              + F.abs(1.0 - F.col("std_w") / (F.col("std_t") + DRIFT_EPS)))
     ok = (F.col("n_w") > 0) & F.coalesce(F.col("n_t") > 0, F.lit(False))
-    return j.select("col_name", "pos", F.when(ok, F.round(score, 3)).otherwise(F.lit(0.0)).alias("drift"))
+    return j.select("col_name", "pos", F.when(ok, round_to(score, 3)).otherwise(F.lit(0.0)).alias("drift"))
 
 
 def top(drift: DataFrame, n: int = TOP_N) -> DataFrame:

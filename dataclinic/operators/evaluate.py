@@ -15,6 +15,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import round_to
+
 from ..functions.expr import to_number
 from ..functions.ranking import bucketed_rank, hash_hex
 from .integrity import fingerprint
@@ -52,7 +54,7 @@ def stratified_split(truth: DataFrame, label: str, keys, test_size: float = TEST
     r = bucketed_rank(d, "__h", partition_cols=[label], tie_cols=list(keys), rank_col="__rk")
     cnt = truth.groupBy(label).agg(F.count(F.lit(1)).alias("__cn"))
     r = r.join(cnt, label)
-    return r.withColumn("is_test", F.col("__rk") <= F.round(F.col("__cn") * test_size)).drop("__h", "__rk", "__cn")
+    return r.withColumn("is_test", F.col("__rk") <= round_to(F.col("__cn") * test_size, 0)).drop("__h", "__rk", "__cn")
 
 
 def _models(features, n_trees, seed, reg):
@@ -131,7 +133,7 @@ def importance(rf_model, features: list[str], spark, top_n: int = TOP_FEATURES)
     imp = rf_model.featureImportances.toArray().tolist()
     rows = [(f, i, float(v)) for i, (f, v) in enumerate(zip(features, imp))]
     df = spark.createDataFrame(rows, "col_name string, pos int, importance double")
-    return df.select("col_name", F.round("importance", 4).alias("importance"), "pos").orderBy(
+    return df.select("col_name", round_to("importance", 4).alias("importance"), "pos").orderBy(
         F.col("importance").desc(), "pos").limit(top_n).drop("pos")
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import round_to
+
 from .profile import NUMERIC_DTYPES, column_stats, duplicates, expected_dtype, feature_columns, rules_dict, total_missing
 
 # Fixed weights from the reference score: missing, duplicates, types, rows.
@@ -53,7 +55,7 @@ def components(working: DataFrame, truth: DataFrame, original_rows, label: str =
     return one.select("wc_missing", "wc_dups", "gt_dups", "type_ok", "type_total", "wc_rows", "original_rows",
                       missing_score.alias("missing_score"), dup_score.alias("dup_score"),
                       type_score.cast("double").alias("type_score"), rows_score.alias("rows_score"),
-                      F.round(F.least(total, F.lit(1.0)), 4).alias("quality"))
+                      round_to(F.least(total, F.lit(1.0)), 4).alias("quality"))
 
 
 def _scalar(df: DataFrame, v, name: str) -> DataFrame:
@@ -72,4 +74,4 @@ def delta(before: DataFrame, after: DataFrame, truth: DataFrame, original_rows,
     """Quality before and after a repair and the change."""
     qb = score(before, truth, original_rows, label, keys, rules, initial_missing).select(F.col("quality").alias("q_before"))
     qa = score(after, truth, original_rows, label, keys, rules, initial_missing).select(F.col("quality").alias("q_after"))
-    return qb.crossJoin(qa).select("q_before", "q_after", F.round(F.col("q_after") - F.col("q_before"), 4).alias("delta"))
+    return qb.crossJoin(qa).select("q_before", "q_after", round_to(F.col("q_after") - F.col("q_before"), 4).alias("delta"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import round_to
+
 from ..functions.expr import impute_strategy, missing_risk
 from .integrity import fingerprint
 from .profile import class_entropy, column_stats, duplicates
@@ -61,8 +63,8 @@ def fill_missing(stats: DataFrame) -> DataFrame:
     s = stats.where(F.col("n_missing") > 0)
     frac = F.col("n_missing") / F.col("n_rows")
     strat, val, reason = impute_strategy("skew", "mean", "median")
-    conf = F.round(F.greatest(F.lit(FILL_CONF[2]), FILL_CONF[0] - frac * FILL_CONF[1]), 2)
-    impact = F.round(F.least(FILL_IMPACT[0] + frac * FILL_IMPACT[1], F.lit(FILL_IMPACT[2])), 3)
+    conf = round_to(F.greatest(F.lit(FILL_CONF[2]), FILL_CONF[0] - frac * FILL_CONF[1]), 2)
+    impact = round_to(F.least(FILL_IMPACT[0] + frac * FILL_IMPACT[1], F.lit(FILL_IMPACT[2])), 3)
     risk = missing_risk(frac)
     desc = F.format_string("Fill %d/%d (%.1f%%) missing values in '%s' using %s (%.2f). Reason: %s. Risk: %s.",
                            F.col("n_missing"), F.col("n_rows"), frac * 100, F.col("col_name"), strat, val, reason, risk)
@@ -74,7 +76,7 @@ def dedupe(df: DataFrame) -> DataFrame:
     """B2 from the duplicate count."""
     d = duplicates(df).where(F.col("n_duplicates") > 0)
     frac = F.col("n_duplicates") / F.col("n_rows")
-    impact = F.round(F.least(DEDUPE_IMPACT[0] + frac * DEDUPE_IMPACT[1], F.lit(DEDUPE_IMPACT[2])), 3)
+    impact = round_to(F.least(DEDUPE_IMPACT[0] + frac * DEDUPE_IMPACT[1], F.lit(DEDUPE_IMPACT[2])), 3)
     desc = F.format_string("Remove %d duplicate rows (%.1f%% of dataset). Risk: LOW.", F.col("n_duplicates"), frac * 100)
     return d.select(*_rec("remove_duplicates", impact=impact, conf=F.lit(DEDUPE_CONF), risk=F.lit("LOW"), desc=desc,
                           emit_pos=F.lit(10000)))
@@ -84,7 +86,7 @@ def type_fix(stats: DataFrame) -> DataFrame:
     """B3 over numeric-typed columns with non-numeric values."""
     s = stats.where(F.col("numeric_expected") & (F.col("type_errors") > 0))
     frac = F.col("type_errors") / F.col("n_rows")
-    impact = F.round(F.least(TYPE_IMPACT[0] + frac * TYPE_IMPACT[1], F.lit(TYPE_IMPACT[2])), 3)
+    impact = round_to(F.least(TYPE_IMPACT[0] + frac * TYPE_IMPACT[1], F.lit(TYPE_IMPACT[2])), 3)
     desc = F.format_string("Fix %d type errors (%.1f%%) in '%s' (non-numeric values coerced, then filled with mean). "
                            "Risk: LOW.", F.col("type_errors"), frac * 100, F.col("col_name"))
     return s.select(*_rec("fix_type_errors", F.col("col_name"), impact=impact, conf=F.lit(TYPE_CONF),
@@ -121,7 +123,7 @@ def augment(df: DataFrame, label: str = "target", class_name=None) -> DataFrame:
     c = c.where(gap > 0)
     n_synth = F.least(gap, F.greatest(F.lit(AUGMENT_MIN_SYNTH), F.floor(gap * 0.5))).cast("long")
     ratio = F.col("count") / F.col("max_count")
-    impact = F.round(F.least(AUGMENT_IMPACT[0] + n_synth / F.col("total") * AUGMENT_IMPACT[1],
+    impact = round_to(F.least(AUGMENT_IMPACT[0] + n_synth / F.col("total") * AUGMENT_IMPACT[1],
                              F.lit(AUGMENT_IMPACT[2])), 3)
     risk = F.when(ratio < RISK_RATIO, "MEDIUM").otherwise("LOW")
     desc = F.format_string("Generate %d synthetic samples for class '%s' by a shift of 0.1 std. "
@@ -147,7 +149,7 @@ def balance(df: DataFrame, label: str = "target") -> DataFrame:
     ratio = F.col("min_count") / F.col("max_count")
     over = ext.select(F.lit(1).alias("rec_id"), *_rec(
         "oversample", cls=F.col("min_cls"), target=F.col("max_count"),
-        impact=F.round(F.least(OVERSAMPLE_IMPACT[0] + (1 - ratio) * OVERSAMPLE_IMPACT[1], F.lit(OVERSAMPLE_IMPACT[2])), 3),
+        impact=round_to(F.least(OVERSAMPLE_IMPACT[0] + (1 - ratio) * OVERSAMPLE_IMPACT[1], F.lit(OVERSAMPLE_IMPACT[2])), 3),
         conf=F.lit(OVERSAMPLE_CONF), risk=F.when(ratio < RISK_RATIO, "MEDIUM").otherwise("LOW"),
         desc=F.format_string("Upsample minority class %s from %d to %d rows. Imbalance ratio: %.2f. "
                              "Class entropy: %.1f%% of maximum.", F.col("min_cls").cast("string"), F.col("min_count"),
@@ -155,7 +157,7 @@ def balance(df: DataFrame, label: str = "target") -> DataFrame:
         emit_pos=F.lit(0)))
     under = ext.where(ratio < UNDERSAMPLE_BELOW).select(F.lit(2).alias("rec_id"), *_rec(
         "undersample", cls=F.col("max_cls"), target=F.col("min_count") * 2,
-        impact=F.round(F.least(UNDERSAMPLE_IMPACT[0] + (1 - ratio) * UNDERSAMPLE_IMPACT[1],
+        impact=round_to(F.least(UNDERSAMPLE_IMPACT[0] + (1 - ratio) * UNDERSAMPLE_IMPACT[1],
                                F.lit(UNDERSAMPLE_IMPACT[2])), 3),
         conf=F.lit(UNDERSAMPLE_CONF), risk=F.lit("MEDIUM"),
         desc=F.format_string("Downsample majority class %s from %d to %d rows; loses %d rows.",
