@@ -182,3 +182,15 @@ def b12_exclude_rejected(spark, sf):
     rejected = spark.createDataFrame([("fill_missing", "o_custkey")], "action_type string, col_name string")
     return RC.exclude(recs, rejected).select("rec_id", "action_type", "col_name", "strategy", "estimated_impact",
                                              "confidence")
+
+
+@register("x5_severity_label", f"""WITH {TB.sql_ctes('orders_dirty')}, {_sev_cte()}
+SELECT s.name AS problem, CASE WHEN s.v < 0.05 THEN 'NONE' WHEN s.v < 0.3 THEN 'LOW' WHEN s.v < 0.6 THEN 'MEDIUM'
+  ELSE 'HIGH' END AS level FROM sev, (SELECT 'missing' AS name, missing_severity AS v FROM sev UNION ALL
+  SELECT 'imbalance', imbalance_severity FROM sev UNION ALL SELECT 'type', type_severity FROM sev) s""")
+def x5_severity_label(spark, sf):
+    from ...functions.expr import severity_label
+    s = _severities(spark, sf)
+    arr = F.array(*[F.struct(F.lit(n).alias("problem"), F.col(c).alias("v")) for n, c in
+                    (("missing", "missing_severity"), ("imbalance", "imbalance_severity"), ("type", "type_severity"))])
+    return s.select(F.explode(arr).alias("p")).select("p.problem", severity_label("p.v").alias("level"))

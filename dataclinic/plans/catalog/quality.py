@@ -187,3 +187,13 @@ def v2_fingerprint(spark, sf):
     return IG.fingerprint(d).crossJoin(IG.fingerprint(d.orderBy(F.col("o_orderkey").desc()).repartition(3)).select(
         F.col("hash_sum").alias("__s"))).select("n_rows", "hash_sum", "hash_xor",
                                                 (F.col("hash_sum") == F.col("__s")).alias("order_free"))
+
+
+# --- X4 ----------------------------------------------------------------------------------------
+@register("x4_drift_label", f"""WITH {TB.sql_ctes('lineitem_dirty', 'lineitem_clean')}, {_drift_cte()}
+SELECT col_name, drift, CASE WHEN drift < 0.2 THEN 'NONE' WHEN drift < 0.5 THEN 'LOW' WHEN drift < 1.0 THEN 'MEDIUM'
+  ELSE 'HIGH' END AS level FROM dr""")
+def x4_drift_label(spark, sf):
+    from ...functions.expr import drift_label
+    d = DR.compute(TB.lineitem_dirty(spark, sf), TB.lineitem_clean(spark, sf), "l_returnflag", LK)
+    return d.select("col_name", "drift", drift_label("drift").alias("level"))
