@@ -1 +1,71 @@
-"""Catalog module (filled in below)."""
+"""Family T: Structured Streaming forms (rows-only checks; tests compare them with batch)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ...session import ensure_checkpoint_dir
+from ...sources import tables as TB
+from ...sources import trajectories as TJ
+from ...streaming.audit_stream import audit_stream
+from ...streaming.curriculum_stream import curriculum_stream
+from ...streaming.monitor import quality_monitor
+from . import register
+
+
+def _scratch(spark, tag):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex[:8]}"
+
+
+def table_stream(spark, sf, name, schema):
+    """One driver table as a file stream: the source is the directory, filtered
+    to that table's file (new files matching it would arrive as new batches)."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", 1).parquet(sf.rstrip("/")))
+
+
+def events_stream(spark, sf):
+    """The events table as a file stream (schema from the batch reader)."""
+    path = f"{sf.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    return table_stream(spark, sf, "events", schema)
+
+
+def stream_actions(spark, sf):
+    e = events_stream(spark, sf)
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").select(
+        "event_id", "ts", *[F.expr(TJ._EXPRS[k]).alias(k) for k in ("episode_id", "action")])
+
+
+def _run_to_parquet(sdf, spark, tag):
+    out, ck = _scratch(spark, tag), _scratch(spark, tag + "-ck")
+    q = sdf.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
+        .outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("t1_audit_stream")
+def t1_audit_stream(spark, sf):
+    return _run_to_parquet(audit_stream(stream_actions(spark, sf), TJ.BUDGET), spark, "audit")
+
+
+@register("t2_curriculum_stream")
+def t2_curriculum_stream(spark, sf):
+    e = events_stream(spark, sf).select(F.col("user_id").alias("run_id"), "event_id",
+                                        F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 50).alias("success"))
+    return _run_to_parquet(curriculum_stream(e, window=5, threshold=0.6), spark, "curriculum")
+
+
+@register("t3_quality_monitor")
+def t3_quality_monitor(spark, sf):
+    path = f"{sf.rstrip('/')}/lineitem.parquet"
+    schema = spark.read.parquet(path).schema
+    cols = TB.LINEITEM_COLS
+    stream = table_stream(spark, sf, "lineitem", schema).select(*cols)
+    out, ck = _scratch(spark, "monitor"), _scratch(spark, "monitor-ck")
+    q = quality_monitor(stream, TB.lineitem_clean(spark, sf), out, ck, "l_returnflag", TB.LINEITEM["keys"])
+    q.awaitTermination()
+    return spark.read.parquet(out)
