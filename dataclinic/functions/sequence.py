@@ -95,6 +95,43 @@ def running_sum(df: DataFrame, part_cols, pos_col: str, values: dict, chunk: int
     return out.drop(*drop)
 
 
+def sequence_features(df: DataFrame, part_cols, pos_col: str, lags: dict, sums: dict, lookback: int,
+                      chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Lags and running sums in ONE chunked window pass plus one offsets join.
+
+    ``lags``: name -> (column, k) with k <= lookback; ``sums``: name ->
+    (Column, inclusive).  Halo rows come first inside a (key, chunk) window, so
+    masking them out of the sums gives exact chunk-local running sums; the sum
+    of earlier chunk totals is added from a per-chunk aggregate."""
+    p = list(part_cols)
+    tmp = {f"__v_{k}": c.cast("long") if not isinstance(c, str) else F.col(c) for k, (c, _) in sums.items()}
+
+    def build(d, w):
+        d = d.withColumns(tmp)
+        cols = {k: F.lag(c, n).over(w) for k, (c, n) in lags.items()}
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        for k in sums:
+            cols[f"__l_{k}"] = F.sum(F.when(~F.col("__halo"), F.col(f"__v_{k}")).otherwise(F.lit(0))).over(run)
+        d = d.withColumns(cols)
+        return d.withColumn("__keep_chunk", F.col("__chunk"))
+
+    out = halo_window(df, p, pos_col, lookback, build, chunk)
+    if not sums:
+        return out.drop("__keep_chunk")
+    tot = out.groupBy(*p, "__keep_chunk").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums])
+    cw = Window.partitionBy(*p).orderBy("__keep_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*p, "__keep_chunk", *[F.coalesce(F.sum(f"__t_{k}").over(cw), F.lit(0)).alias(f"__o_{k}")
+                                            for k in sums])
+    out = _null_safe_join(out, offs, p + ["__keep_chunk"])
+    res = {}
+    for k, (_, inclusive) in sums.items():
+        s_ = F.col(f"__o_{k}") + F.col(f"__l_{k}")
+        res[k] = s_ if inclusive else s_ - F.col(f"__v_{k}")
+    out = out.withColumns(res)
+    drop = [c for c in out.columns if c.startswith(("__v_", "__l_", "__o_"))] + ["__keep_chunk"]
+    return out.drop(*drop)
+
+
 def _compose_sql(table: list[list[int]]) -> str:
     lit = "array(" + ", ".join("array(" + ", ".join(str(x) for x in row) + ")" for row in table) + ")"
     n = len(table[0])

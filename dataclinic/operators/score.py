@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import round_to
 
 from ..functions.expr import clip
-from ..functions.sequence import DEFAULT_CHUNK, halo_window, running_sum
+from ..functions.sequence import DEFAULT_CHUNK, sequence_features
 from . import traj
 
 LOOKBACK = 5
@@ -32,22 +32,16 @@ REWARD_MIN, REWARD_MAX = -1.0, 1.0
 def enrich(df: DataFrame, episode: str = "episode_id", step: str = "step", chunk: int = DEFAULT_CHUNK) -> DataFrame:
     d = traj.parse(df)
     cost = F.when(F.col("cmd").isin(traj.DOUBLE_COST), 2).otherwise(1)
-
-    def lags(x, w):
-        cols = {f"prev{i}": F.lag("cmd", i).over(w) for i in range(1, LOOKBACK + 1)}
-        cols["prev_accuracy"] = F.lag("accuracy", 1).over(w)
-        return x.withColumns(cols)
-
-    d = halo_window(d, [episode], step, LOOKBACK, lags, chunk)
+    lags = {f"prev{i}": ("cmd", i) for i in range(1, LOOKBACK + 1)}
+    lags["prev_accuracy"] = ("accuracy", 1)
+    sums = {
+        "validates_before": ((F.col("cmd") == "validate"), False),
+        "applies_before": ((F.col("cmd") == "apply"), False),
+        "budget_used": (cost, True),
+        "session_id": (F.col("cmd").isin(traj.SESSION_QUERIES), True),
+    }
+    d = sequence_features(d, [episode], step, lags, sums, LOOKBACK, chunk)
     d = d.withColumn("prev_accuracy", F.coalesce(F.col("prev_accuracy"), F.col("baseline")))
-    d = running_sum(d, [episode], step, {
-        "validates_before": (F.col("cmd") == "validate").cast("long"),
-        "applies_before": (F.col("cmd") == "apply").cast("long"),
-    }, chunk, inclusive=False)
-    d = running_sum(d, [episode], step, {
-        "budget_used": cost.cast("long"),
-        "session_id": F.col("cmd").isin(traj.SESSION_QUERIES).cast("long"),
-    }, chunk, inclusive=True)
     return d.withColumn("budget_remaining", F.col("budget_total") - F.col("budget_used"))
 
 
