@@ -142,35 +142,58 @@ def _compose_sql(table: list[list[int]]) -> str:
 def fsm_scan(df: DataFrame, part_cols, pos_col: str, code: Column, table: list[list[int]], start: int = 0,
              chunk: int = DEFAULT_CHUNK, state_col: str = "state_before") -> DataFrame:
     """Adds ``state_col`` = FSM state before each row, folding ``table[code][state]``
-    in ``pos_col`` order per key."""
+    in ``pos_col`` order per key.
+
+    1. transition functions (arrays of len(states)) are composed in SQL only for
+       chunks that have a successor chunk (keys shorter than one chunk skip it);
+    2. start states of later chunks: a fold over the (n / C) chunk functions of a
+       key, streamed through ``mapInPandas`` over key-sorted partitions;
+    3. rows are replayed from their chunk's start state in one ``mapInPandas``
+       pass over (key, chunk)-partitioned, position-sorted data (no per-group
+       Python calls)."""
     p = list(part_cols)
     d = with_chunk(df, pos_col, chunk).withColumns({"__code": code.cast("int"), "__pos": F.col(pos_col)})
-    funcs = d.groupBy(*p, "__chunk").agg(F.expr(_compose_sql(table)).alias("__f"))
-    fschema = T.StructType([*[d.schema[c] for c in p], T.StructField("__chunk", T.LongType()),
-                            T.StructField("__start", T.IntegerType())])
-
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        s, out = start, []
-        for f in pdf["__f"]:
-            out.append(s)
-            s = int(f[s])
-        return pdf.drop(columns=["__f"]).assign(__start=out)
-
-    st = funcs.groupBy(*p).applyInPandas(starts, fschema)
-    d = _null_safe_join(d, st, p + ["__chunk"])
-    keep = d.columns
-    out_schema = T.StructType([*[f for f in d.schema.fields], T.StructField(state_col, T.IntegerType())])
+    last = d.groupBy(*p).agg(F.max("__chunk").alias("__last"))
+    feed = d.select(*p, "__chunk", "__pos", "__code").join(last, p).where(F.col("__chunk") < F.col("__last"))
+    funcs = feed.groupBy(*p, "__chunk").agg(F.expr(_compose_sql(table)).alias("__f"))
+    kschema = [d.schema[c] for c in p]
+    sschema = T.StructType([*kschema, T.StructField("__chunk", T.LongType()), T.StructField("__start", T.IntegerType())])
+
+    def starts(it):
+        cur, s = None, start
+        for pdf in it:
+            keys = list(zip(*[pdf[c] for c in p])) if p else [()] * len(pdf)
+            out_k, out_c, out_s = [], [], []
+            for k, c, f in zip(keys, pdf["__chunk"], pdf["__f"]):
+                if k != cur:
+                    cur, s = k, start
+                s = int(f[s])
+                out_k.append(k)
+                out_c.append(int(c) + 1)
+                out_s.append(s)
+            res = {c: [k[i] for k in out_k] for i, c in enumerate(p)}
+            res.update({"__chunk": out_c, "__start": out_s})
+            yield pd.DataFrame(res, columns=[f.name for f in sschema.fields])
+
+    st = funcs.repartition(*p).sortWithinPartitions(*p, "__chunk").mapInPandas(starts, sschema)
+    d = _null_safe_join(d, st, p + ["__chunk"], how="left").withColumn(
+        "__start", F.coalesce(F.col("__start"), F.lit(start)))
+    keep = [c for c in d.columns if c not in ("__chunk", "__code", "__pos", "__start")]
+    out_schema = T.StructType([*d.schema.fields, T.StructField(state_col, T.IntegerType())])
     tbl = [list(r) for r in table]
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__pos")
-        s = int(pdf["__start"].iloc[0]) if len(pdf) else start
-        out = []
-        for c in pdf["__code"].tolist():
-            out.append(s)
-            s = tbl[int(c)][s]
-        return pdf.assign(**{state_col: out})
-
-    res = d.groupBy(*p, "__chunk").applyInPandas(replay, out_schema)
-    return res.select(*[c for c in keep if c not in ("__chunk", "__code", "__pos", "__start")], state_col)
+    def replay(it):
+        cur, s = None, start
+        for pdf in it:
+            keys = list(zip(*[pdf[c] for c in p + ["__chunk"]]))
+            out = []
+            for k, c, st0 in zip(keys, pdf["__code"].tolist(), pdf["__start"].tolist()):
+                if k != cur:
+                    cur, s = k, int(st0)
+                out.append(s)
+                s = tbl[int(c)][s]
+            yield pdf.assign(**{state_col: out})
+
+    srt = d.repartition(*p, "__chunk").sortWithinPartitions(*p, "__chunk", "__pos")
+    res = srt.mapInPandas(replay, out_schema)
+    return res.select(*keep, state_col)

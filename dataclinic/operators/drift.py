@@ -19,9 +19,9 @@ def compute(working: DataFrame, truth: DataFrame, label: str = "target", keys=()
     rounded to 3; 0 when either side has no numeric value or the column is absent in truth."""
     feats = feature_columns(working, label, keys)
     shared = [c for c in feats if c in truth.columns]
-    w = column_stats(working, label, keys, feats).select("col_name", "pos", F.col("n").alias("n_w"),
+    w = column_stats(working, label, keys, feats, with_median=False).select("col_name", "pos", F.col("n").alias("n_w"),
                                                         F.col("mean").alias("mean_w"), F.col("std").alias("std_w"))
-    t = column_stats(truth, label, keys, shared).select(F.col("col_name"), F.col("n").alias("n_t"),
+    t = column_stats(truth, label, keys, shared, with_median=False).select(F.col("col_name"), F.col("n").alias("n_t"),
                                                         F.col("mean").alias("mean_t"), F.col("std").alias("std_t"))
     j = w.join(t, "col_name", "left")
     score = (F.abs(F.col("mean_w") - F.col("mean_t")) / (F.col("std_t") + DRIFT_EPS)

@@ -48,7 +48,7 @@ def expected_dtype(rules: dict, col: str) -> str:
 
 
 def column_stats(df: DataFrame, label: str = "target", keys=(), features=None, rules=None,
-                 exact: bool = True, accuracy: int = 100000) -> DataFrame:
+                 exact: bool = True, accuracy: int = 100000, with_median: bool = True) -> DataFrame:
     """A1, A6, A7, A8 in one pass.  One row per feature column:
     column, pos, n_rows, n_missing, missing_frac, numeric_expected, type_errors,
     n, mean, median, std, skew, min, max, max_z."""
@@ -60,7 +60,10 @@ def column_stats(df: DataFrame, label: str = "target", keys=(), features=None, r
         x = to_number(c, dt)
         raw = F.col(c)
         missing = raw.isNull() if not isinstance(dt, (T.DoubleType, T.FloatType)) else (raw.isNull() | F.isnan(raw))
-        med = F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, accuracy)
+        if not with_median:
+            med = F.lit(None).cast("double")
+        else:
+            med = F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, accuracy)
         aggs += [
             F.sum(missing.cast("long")).alias(f"m{i}"),
             F.sum((raw.isNotNull() & ~missing & x.isNull()).cast("long")).alias(f"e{i}"),

@@ -63,6 +63,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
+    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss.
+
+    The frame is persisted first so the checkpoint write reuses the rows
+    computed by the counting job instead of evaluating the plan twice."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
