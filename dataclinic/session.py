@@ -63,13 +63,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss.
+    """Cut the lineage by writing a parquet table into the shared folder named
+    by ``spark.checkpoint.dir`` and reading it back (never ``localCheckpoint``).
 
-    The frame is persisted first so the checkpoint write reuses the rows
-    computed by the counting job instead of evaluating the plan twice."""
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+    The plan runs once, the table is columnar and compressed, and it lives on
+    shared storage, so later stages survive the loss of any executor."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
