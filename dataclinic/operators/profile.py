@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import quantiles as Q
 from ..functions.expr import is_numeric_type, to_number
 
 NUMERIC_DTYPES = ("float64", "int64")
@@ -60,10 +61,10 @@ def column_stats(df: DataFrame, label: str = "target", keys=(), features=None, r
         x = to_number(c, dt)
         raw = F.col(c)
         missing = raw.isNull() if not isinstance(dt, (T.DoubleType, T.FloatType)) else (raw.isNull() | F.isnan(raw))
-        if not with_median:
-            med = F.lit(None).cast("double")
+        if not with_median or exact:
+            med = F.lit(None).cast("double")  # exact medians come from the banded second pass below
         else:
-            med = F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, accuracy)
+            med = F.percentile_approx(x, 0.5, accuracy)
         aggs += [
             F.sum(missing.cast("long")).alias(f"m{i}"),
             F.sum((raw.isNotNull() & ~missing & x.isNull()).cast("long")).alias(f"e{i}"),
@@ -75,7 +76,16 @@ def column_stats(df: DataFrame, label: str = "target", keys=(), features=None, r
             F.min(x).alias(f"lo{i}"),
             F.max(x).alias(f"hi{i}"),
         ]
+    banded = with_median and exact and bool(feats)
+    qexprs = {f"m{i}": to_number(c, df.schema[c].dataType) for i, c in enumerate(feats)}
+    if banded:
+        aggs += Q.bound_aggs(qexprs, 0.5)
     one = df.agg(*aggs)
+    if banded:
+        bounds = one.select(*[c for k in qexprs for c in (f"__qn_{k}", f"__qb_{k}")])
+        band = df.crossJoin(F.broadcast(bounds)).agg(*Q.band_aggs(qexprs))
+        one = one.drop(*[c for k in qexprs for c in (f"__qn_{k}", f"__qb_{k}")]).crossJoin(band)
+        one = one.withColumns({f"p{i}": Q.value(f"m{i}", 0.5) for i in range(len(feats))})
     rows = []
     for i, c in enumerate(feats):
         numeric_expected = expected_dtype(rules, c) in NUMERIC_DTYPES

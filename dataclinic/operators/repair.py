@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import to_number
+from ..functions.quantiles import exact_quantiles
 from ..functions.ranking import bucketed_rank, draw_with_replacement, hash_hex, lazy_range
 from . import inject
 from .profile import duplicates, feature_columns, total_missing
@@ -23,17 +24,20 @@ AUGMENT_SHIFT = 0.1
 DEFAULT_TRIM_PCT = 5
 
 
-def _stat(x, strategy: str, exact: bool = True):
-    if strategy == "median":
-        return F.percentile(x, 0.5) if exact else F.percentile_approx(x, 0.5, 100000)
-    return F.avg(x)
+def _quantile_row(df: DataFrame, x, q: float, exact: bool, name: str) -> DataFrame:
+    if exact:
+        return exact_quantiles(df, {name: x}, q)
+    return df.agg(F.percentile_approx(x, q, 100000).cast("double").alias(name))
 
 
 def fill_missing(df: DataFrame, col: str, strategy: str = "mean", exact: bool = True) -> DataFrame:
     """Coerce ``col`` to DOUBLE (bad values become missing too) and fill every
-    missing value with the column mean or median."""
+    missing value with the column mean or median (exact, banded quantile)."""
     x = to_number(col, df.schema[col].dataType)
-    v = df.agg(_stat(x, strategy, exact).cast("double").alias("__fill"))
+    if strategy == "median":
+        v = _quantile_row(df, x, 0.5, exact, "__fill")
+    else:
+        v = df.agg(F.avg(x).cast("double").alias("__fill"))
     return df.crossJoin(F.broadcast(v)).withColumn(col, F.coalesce(x, F.col("__fill"))).drop("__fill")
 
 
@@ -94,7 +98,7 @@ def trim_low(df: DataFrame, col: str, pct: float = DEFAULT_TRIM_PCT, exact: bool
     interpolation); missing or non-numeric values there are dropped too."""
     x = to_number(col, df.schema[col].dataType)
     q = pct / 100.0
-    thr = df.agg((F.percentile(x, q) if exact else F.percentile_approx(x, q, 100000)).cast("double").alias("__thr"))
+    thr = _quantile_row(df, x, q, exact, "__thr")
     return df.crossJoin(F.broadcast(thr)).where(x >= F.col("__thr")).drop("__thr")
 
 

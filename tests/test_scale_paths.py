@@ -114,3 +114,15 @@ def test_curriculum_passes_equal_deque_fold(spark):
         seq = [s for (r, _, s) in rows if r == run]
         exp = _deque_replay([int(s) for s in seq], 10, 0.7)
         assert [got[(run, e + 1)] for e in range(120)] == exp
+
+
+def test_banded_exact_quantile_equals_percentile(spark):
+    from dataclinic.functions.quantiles import exact_quantiles
+    rnd = random.Random(11)
+    for n in (1, 2, 5, 37, 1000, 20000):
+        vals = [float(rnd.randint(0, 50)) if i % 3 else rnd.gauss(0, 10) for i in range(n)]
+        d = spark.createDataFrame([(v,) for v in vals], "x double")
+        for q in (0.05, 0.5, 0.95):
+            got = exact_quantiles(d, {"v": F.col("x")}, q).first()["v"]
+            exp = d.agg(F.percentile("x", q)).first()[0]
+            assert abs(got - exp) < 1e-9, (n, q, got, exp)
