@@ -37,9 +37,17 @@ def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def ordered_rank(df: DataFrame, part_cols, order_cols, bucket: Column, rank_col: str = "step") -> DataFrame:
+def ordered_rank(df: DataFrame, part_cols, order_cols, bucket: Column | None = None, rank_col: str = "step",
+                 num_partitions: int | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by part order by order_cols)``.
-    ``bucket`` must be non-decreasing in the order (e.g. ``date_trunc('day', ts)``)."""
+
+    With ``bucket`` (non-decreasing in the order and of bounded size, e.g.
+    ``floor(turn / C)``) rows are numbered inside (key, bucket) and the bucket
+    offsets are joined back.  Without it the frame is range-partitioned on
+    (key, order) -- sampled boundaries split a hot key over many partitions --
+    and see ``range_rank``."""
+    if bucket is None:
+        return range_rank(df, part_cols, order_cols, rank_col, num_partitions)
     p = list(part_cols)
     b = "__obucket"
     d = df.withColumn(b, bucket)
@@ -51,6 +59,58 @@ def ordered_rank(df: DataFrame, part_cols, order_cols, bucket: Column, rank_col:
     return out.withColumn(rank_col, (F.col("__ooff") + F.col("__olocal")).cast("bigint")).drop(b, "__olocal", "__ooff")
 
 
+def range_rank(df: DataFrame, part_cols, order_cols, rank_col: str = "step",
+               num_partitions: int | None = None) -> DataFrame:
+    """Exact per-key positions from a range-partitioned, sorted frame.
+
+    Each partition numbers its rows per key in one vectorised pass
+    (``mapInPandas`` over sorted batches).  A key that spans several
+    partitions needs, for every partition after its first, the count of its
+    rows in earlier partitions; there are at most ``num_partitions - 1`` such
+    (key, partition) pairs, so that offset table has a proven size bound and is
+    broadcast."""
+    import numpy as np
+    p = list(part_cols)
+    keys = p + list(order_cols)
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    schema = T.StructType([*d.schema.fields, T.StructField("__pid", T.IntegerType()),
+                           T.StructField("__lpos", T.LongType())])
+
+    def local(it):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        last_key, last_pos = None, 0
+        for pdf in it:
+            m = len(pdf)
+            if m == 0:
+                continue
+            cols = [pdf[c].to_numpy() for c in p]
+            change = np.zeros(m, dtype=bool)
+            for a in cols:
+                change[1:] |= a[1:] != a[:-1]
+            first = tuple(a[0] for a in cols)
+            cont = last_key is not None and first == last_key
+            change[0] = not cont
+            idx = np.arange(m)
+            starts = np.maximum.accumulate(np.where(change, idx, 0))
+            pos = idx - starts + 1
+            if cont:
+                head = ~np.logical_or.accumulate(change)
+                pos[head] += last_pos
+            last_key, last_pos = tuple(a[-1] for a in cols), int(pos[-1])
+            yield pdf.assign(__pid=pid, __lpos=pos.astype("int64"))
+
+    loc = d.mapInPandas(local, schema)
+    counts = loc.groupBy(*p, "__pid").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*p).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*p, "__pid", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off")).where("__off > 0")
+    out = _null_safe_join(loc, F.broadcast(offs), p + ["__pid"], how="left")
+    return out.withColumn(rank_col, (F.coalesce(F.col("__off"), F.lit(0)) + F.col("__lpos")).cast("bigint")).drop(
+        "__pid", "__lpos", "__off")
+
+
 def with_chunk(df: DataFrame, pos_col: str = "step", chunk: int = DEFAULT_CHUNK) -> DataFrame:
     return df.withColumn("__chunk", F.floor((F.col(pos_col) - 1) / chunk).cast("bigint"))
 

@@ -40,10 +40,16 @@ def episodes(enriched: DataFrame, episode: str = "episode_id", step: str = "step
         F.col("n_actions").cast("long").alias("n_actions"))
 
 
+def _exact_avg(c):
+    """Mean computed in DECIMAL (exact sum), returned as DOUBLE: the result does
+    not depend on the order in which partitions are summed."""
+    return F.avg(F.col(c).cast("double").cast("decimal(38,10)")).cast("double")
+
+
 def summary(eps: DataFrame, agent: str = "agent", task: str = "task") -> DataFrame:
     """Mean of the six metrics (rounded to 4) per (agent, task) and per agent
     overall (task NULL), as GROUPING SETS in one aggregation."""
-    aggs = [round_to(F.avg(F.col(m).cast("double")), 4).alias(m) for m in SUMMARY_METRICS]
+    aggs = [round_to(_exact_avg(m), 4).alias(m) for m in SUMMARY_METRICS]
     r = eps.rollup(agent, task).agg(*aggs, F.count(F.lit(1)).alias("n_episodes"))
     return r.where(F.col(agent).isNotNull())
 
@@ -51,14 +57,18 @@ def summary(eps: DataFrame, agent: str = "agent", task: str = "task") -> DataFra
 def compare(eps: DataFrame, base_agent: str, other_agent: str, agent: str = "agent",
             pair_keys=("task", "seed")) -> DataFrame:
     """Both agents on the same (task, seed); mean metrics per agent over the
-    matched episodes; % change (NULL when the base is 0) and percentage points
-    for the hit rate.  One row per metric."""
+    matched keys; % change (NULL when the base is 0) and percentage points for
+    the hit rate.  One row per metric.  Each side is first reduced to one row
+    per (task, seed), so the join is 1:1 and never emits pairs within a group."""
     pk = list(pair_keys)
-    b = eps.where(F.col(agent) == base_agent).select(*pk, *[F.col(m).cast("double").alias(f"b_{m}") for m in SUMMARY_METRICS])
-    o = eps.where(F.col(agent) == other_agent).select(*pk, *[F.col(m).cast("double").alias(f"o_{m}") for m in SUMMARY_METRICS])
-    j = b.join(o, pk)
-    agg = j.agg(*[F.avg(f"b_{m}").alias(f"b_{m}") for m in SUMMARY_METRICS],
-                *[F.avg(f"o_{m}").alias(f"o_{m}") for m in SUMMARY_METRICS], F.count(F.lit(1)).alias("n_pairs"))
+
+    def side(name, prefix):
+        e = eps.where(F.col(agent) == name)
+        return e.groupBy(*pk).agg(*[_exact_avg(m).alias(f"{prefix}_{m}") for m in SUMMARY_METRICS])
+
+    j = side(base_agent, "b").join(side(other_agent, "o"), pk)
+    agg = j.agg(*[_exact_avg(f"b_{m}").alias(f"b_{m}") for m in SUMMARY_METRICS],
+                *[_exact_avg(f"o_{m}").alias(f"o_{m}") for m in SUMMARY_METRICS], F.count(F.lit(1)).alias("n_pairs"))
     rows = []
     for m in SUMMARY_METRICS:
         bv, ov = round_to(F.col(f"b_{m}"), 4), round_to(F.col(f"o_{m}"), 4)

@@ -169,7 +169,7 @@ def r11_episode_metrics(spark, sf):
     return _eps(spark, sf)
 
 
-_MEANS = ", ".join(f"round(avg(CAST({m} AS DOUBLE)), 4) AS {m}" for m in ME.SUMMARY_METRICS)
+_MEANS = ", ".join(f"round(avg(CAST(CAST({m} AS DOUBLE) AS DECIMAL(38,10))), 4) AS {m}" for m in ME.SUMMARY_METRICS)
 
 
 @register("r12_summary", f"""{_EPS_SQL}
@@ -179,13 +179,16 @@ def r12_summary(spark, sf):
 
 
 def _r13_sql():
+    dec = lambda x: f"CAST(CAST({x} AS DOUBLE) AS DECIMAL(38,10))"
+    side = lambda a: (f"SELECT task, seed, {', '.join(f'avg({dec(m)}) AS {m}' for m in ME.SUMMARY_METRICS)} "  # noqa
+                      f"FROM eps WHERE agent = '{a}' GROUP BY task, seed")
     parts = []
     for m in ME.SUMMARY_METRICS:
         pp = "round((o - b) * 100.0, 4)" if m == "target_hit" else "CAST(NULL AS DOUBLE)"
         parts.append(f"SELECT '{m}' AS metric, b AS base, o AS other, CASE WHEN b <> 0 THEN round((o - b) / abs(b) * 100.0, 4)"
-                     f" END AS pct_change, {pp} AS pp_change, n_pairs FROM (SELECT round(avg(CAST(b.{m} AS DOUBLE)), 4) AS b,"
-                     f" round(avg(CAST(o.{m} AS DOUBLE)), 4) AS o, count(*)::BIGINT AS n_pairs FROM eps b JOIN eps o ON"
-                     f" b.task = o.task AND b.seed = o.seed AND b.agent = 'baseline' AND o.agent = 'trained')")
+                     f" END AS pct_change, {pp} AS pp_change, n_pairs FROM (SELECT round(avg({dec('b.' + m)}), 4) AS b,"
+                     f" round(avg({dec('o.' + m)}), 4) AS o, count(*)::BIGINT AS n_pairs FROM ({side('baseline')}) b"
+                     f" JOIN ({side('trained')}) o ON b.task = o.task AND b.seed = o.seed)")
     return f"{_EPS_SQL}\n" + "\nUNION ALL\n".join(parts)
 
 

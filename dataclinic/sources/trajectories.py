@@ -48,7 +48,7 @@ def actions(spark, sf_dir) -> DataFrame:
     e = TB.table(spark, sf_dir, "events")
     d = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
     d = d.select("event_id", "ts", *[F.expr(v).alias(k) for k, v in _EXPRS.items()])
-    d = ordered_rank(d, ["episode_id"], ["ts", "event_id"], F.date_trunc("day", F.col("ts")), "step")
+    d = ordered_rank(d, ["episode_id"], ["ts", "event_id"], rank_col="step")
     return d.select("episode_id", "step", "event_id", "ts", "agent", "task", "seed", "action", "accuracy",
                     F.lit(BASELINE).alias("baseline"), F.lit(TARGET).alias("target"), "quality_before",
                     "quality_after", F.col("rows").cast("long").alias("rows"),
@@ -59,7 +59,7 @@ def actions(spark, sf_dir) -> DataFrame:
 def runs(spark, sf_dir) -> DataFrame:
     e = TB.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
                                                  "value")
-    d = ordered_rank(e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", F.col("ts")), "episode")
+    d = ordered_rank(e, ["user_id"], ["ts", "event_id"], rank_col="episode")
     return d.select(F.col("user_id").alias("run_id"), "episode", "ts",
                     round_to(F.col("value") / 250.0 - 1.0, 4).alias("reward"),
                     (F.col("value") > 50).alias("success"),

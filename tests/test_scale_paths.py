@@ -126,3 +126,15 @@ def test_banded_exact_quantile_equals_percentile(spark):
             got = exact_quantiles(d, {"v": F.col("x")}, q).first()["v"]
             exp = d.agg(F.percentile("x", q)).first()[0]
             assert abs(got - exp) < 1e-9, (n, q, got, exp)
+
+
+def test_range_rank_equals_row_number_with_hot_key(spark):
+    from dataclinic.functions.sequence import range_rank
+    rnd = random.Random(5)
+    rows = [(0, rnd.randint(0, 50), i) for i in range(3000)]            # one hot key, many ties on the order column
+    rows += [(k, rnd.randint(0, 50), 10000 + k * 10 + j) for k in range(1, 40) for j in range(rnd.randint(1, 9))]
+    d = spark.createDataFrame(rows, "k long, ts long, id long")
+    a = range_rank(d, ["k"], ["ts", "id"], "pos", num_partitions=7)
+    b = d.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("ts", "id")))
+    j = a.join(b, ["k", "ts", "id"])
+    assert j.count() == d.count() and j.where("pos != rn").count() == 0
