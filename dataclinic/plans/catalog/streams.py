@@ -36,7 +36,7 @@ def events_stream(spark, sf):
 def stream_actions(spark, sf):
     e = events_stream(spark, sf)
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").select(
-        "event_id", "ts", *[F.expr(TJ._EXPRS[k]).alias(k) for k in ("episode_id", "action")])
+        "event_id", "ts", *[F.expr(TJ._EXPRS[k]).alias(k) for k in ("episode_id", "action", "n_recs")])
 
 
 def _run_to_parquet(sdf, spark, tag):

@@ -1,4 +1,5 @@
-"""Streaming action audit keyed by episode (H1 cooldown + G9 bonus, H6 budget, H5 time-out).
+"""Streaming action audit keyed by episode (H1 cooldown + G9 bonus, H2 apply limits, H6 budget,
+H5 time-out).
 
 ``applyInPandasWithState`` keeps a few integers per episode (step count, the
 cooldown machine state, budget used, session id, start time).  Rows of one
@@ -27,11 +28,13 @@ OUT_SCHEMA = T.StructType([
     T.StructField("validate_allowed", T.BooleanType()), T.StructField("validate_counted", T.BooleanType()),
     T.StructField("validate_bonus", T.DoubleType()), T.StructField("budget_used", T.LongType()),
     T.StructField("exhausted", T.BooleanType()), T.StructField("timed_out", T.BooleanType()),
+    T.StructField("apply_outcome", T.StringType()),
 ])
 STATE_SCHEMA = T.StructType([
     T.StructField("steps", T.LongType()), T.StructField("fsm", T.IntegerType()),
     T.StructField("budget_used", T.LongType()), T.StructField("start_us", T.LongType()),
-    T.StructField("last_us", T.LongType()),
+    T.StructField("last_us", T.LongType()), T.StructField("session", T.LongType()),
+    T.StructField("offered", T.IntegerType()), T.StructField("recorded", T.ArrayType(T.IntegerType())),
 ])
 
 
@@ -54,11 +57,29 @@ def make_audit_fn(budget_total: int, idle_ms: int):
             return
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "event_id"])
         if state.exists:
-            steps, fsm, used, start_us, last_us = state.get
+            steps, fsm, used, start_us, last_us, session, offered, recorded = state.get
+            recorded = list(recorded)
         else:
             steps, fsm, used, start_us, last_us = 0, 0, 0, int(pdf["ts_us"].iloc[0]), 0
+            session, offered, recorded = 0, 0, []
         rows = []
-        for ev, ts_us, cmd in zip(pdf["event_id"], pdf["ts_us"], pdf["cmd"]):
+        for ev, ts_us, cmd, arg, n_recs in zip(pdf["event_id"], pdf["ts_us"], pdf["cmd"], pdf["arg"], pdf["n_recs"]):
+            outcome = None
+            if cmd in TR.SESSION_QUERIES:
+                session, offered, recorded = session + 1, int(n_recs), []
+            elif cmd == "apply":
+                a = int(arg)
+                if a < 1:
+                    outcome = "invalid_id"
+                elif len(recorded) >= AU.MAX_APPLIES_PER_SESSION:
+                    outcome = "session_limit"
+                elif a in recorded:
+                    outcome = "duplicate"
+                elif session == 0 or a > offered:
+                    outcome = "stale"
+                else:
+                    outcome = "ok"
+                    recorded.append(a)
             steps += 1
             cnt, since, cache = fsm // 6, (fsm % 6) // 2, fsm % 2
             is_v = cmd == "validate"
@@ -70,10 +91,10 @@ def make_audit_fn(budget_total: int, idle_ms: int):
             used += 1 + extra
             timed_out = int(ts_us) - start_us > AU.EPISODE_TIMEOUT_SECS * 1_000_000
             rows.append((key[0], steps, int(ev), cmd, allowed if is_v else None, counted if is_v else None,
-                         float(bonus), used, exhausted, timed_out))
+                         float(bonus), used, exhausted, timed_out, outcome))
             fsm = table[_code(cmd)][fsm]
             last_us = max(last_us, int(ts_us))
-        state.update((steps, fsm, used, start_us, last_us))
+        state.update((steps, fsm, used, start_us, last_us, session, offered, recorded))
         state.setTimeoutTimestamp(last_us // 1000 + idle_ms)
         yield pd.DataFrame(rows, columns=[f.name for f in OUT_SCHEMA.fields])
 
@@ -83,9 +104,11 @@ def make_audit_fn(budget_total: int, idle_ms: int):
 def audit_stream(actions: DataFrame, budget_total: int = 25, watermark: str = "10 minutes",
                  idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """Streaming DataFrame of per-action audit rows from a streaming ``actions``
-    frame with columns episode_id, event_id, ts (TIMESTAMP) and action."""
-    cmd, _ = parse_command("action")
+    frame with columns episode_id, event_id, ts (TIMESTAMP), action and n_recs
+    (ids offered by a session-opening query)."""
+    cmd, arg = parse_command("action")
     d = actions.withWatermark("ts", watermark).select(
-        "episode_id", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), cmd.alias("cmd"))
+        "episode_id", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), cmd.alias("cmd"), arg.alias("arg"),
+        F.col("n_recs").cast("int").alias("n_recs"))
     return d.groupBy("episode_id").applyInPandasWithState(
         make_audit_fn(budget_total, idle_ms), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

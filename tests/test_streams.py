@@ -18,6 +18,9 @@ def test_audit_stream_equals_batch(spark, sf):
     b = b.join(AU.budget(e).select("episode_id", "step", "exhausted"), ["episode_id", "step"])
     assert s.count() == b.count()
     assert s.exceptAll(b).count() == 0
+    sa = q["t1_audit_stream"](spark, sf).where("cmd = 'apply'").select("episode_id", "step", "apply_outcome")
+    ba = AU.apply_limits(e, AU.recommendations(e)).select("episode_id", "step", F.col("outcome").alias("apply_outcome"))
+    assert sa.exceptAll(ba).count() == 0 and ba.exceptAll(sa).count() == 0
 
 
 def test_curriculum_stream_equals_batch(spark, sf):
