@@ -60,11 +60,12 @@ def bucketed_rank(df: DataFrame, order_col: str, partition_cols=(), tie_cols=(),
     """
     pcols = list(partition_cols)
     b = "__bucket"
-    d = df.withColumn(b, F.substring(F.col(order_col), 1, digits))
+    d0 = df.withColumn(b, F.substring(F.col(order_col), 1, digits))
     ties = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in tie_cols]
     local_w = Window.partitionBy(*pcols, b).orderBy(F.col(order_col), *ties)
-    d = d.withColumn("__local", F.row_number().over(local_w))
-    counts = d.groupBy(*pcols, b).agg(F.count(F.lit(1)).alias("__n"))
+    d = d0.withColumn("__local", F.row_number().over(local_w))
+    # counts from the un-windowed input: a scan + partial aggregate, not a second sort
+    counts = d0.groupBy(*pcols, b).agg(F.count(F.lit(1)).alias("__n"))
     grp = pcols if pcols else [F.lit(0)]
     ow = Window.partitionBy(*grp).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*pcols, b, F.coalesce(F.sum("__n").over(ow), F.lit(0)).alias("__off"))
@@ -112,3 +113,34 @@ def top_k_per_group(df: DataFrame, order_col: str, k_col: Column | int, partitio
     r = bucketed_rank(df, order_col, partition_cols, tie_cols, rank_col="__rk", digits=digits)
     k = F.lit(k_col) if isinstance(k_col, int) else k_col
     return r.where(F.col("__rk") <= k).drop("__rk")
+
+
+def select_smallest(df: DataFrame, order_col: str, k: Column, partition_cols=(), tie_cols=(),
+                    flag: str = "__sel", digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
+    """Adds ``flag`` = (exact rank by (order_col, tie_cols) within the group <= k),
+    the same rows as ``row_number() <= k``, without sorting the table.
+
+    ``k`` is a Column that is constant within a group.  Per-bucket counts (one
+    aggregate) classify every hash bucket as wholly inside the first k rows,
+    wholly outside, or the single boundary bucket of its group; only rows of
+    boundary buckets (about n / 16**digits per group) are ranked by a window."""
+    pcols = list(partition_cols)
+    b = "__sbucket"
+    d0 = df.withColumn(b, F.substring(F.col(order_col), 1, digits)).withColumn("__sk", k)
+    cnt = d0.groupBy(*pcols, b).agg(F.count(F.lit(1)).alias("__sn"), F.first("__sk").alias("__sk"))
+    grp = pcols if pcols else [F.lit(0)]
+    w = Window.partitionBy(*grp).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    cum = cnt.withColumn("__sbefore", F.coalesce(F.sum("__sn").over(w), F.lit(0)))
+    status = cum.select(*pcols, b, F.when(F.col("__sbefore") + F.col("__sn") <= F.col("__sk"), F.lit(1))
+                        .when(F.col("__sbefore") < F.col("__sk"), F.lit(2)).otherwise(F.lit(0)).alias("__sstat"),
+                        (F.col("__sk") - F.col("__sbefore")).alias("__sneed")).where(F.col("__sstat") > 0)
+    if not pcols:
+        status = F.broadcast(status)  # at most 16**digits rows
+    j = _null_safe_join(d0, status, pcols + [b], how="left")
+    plain = j.where(F.coalesce(F.col("__sstat"), F.lit(0)) != 2).withColumn(flag, F.col("__sstat") == 1)
+    plain = plain.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    ties = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in tie_cols]
+    bw = Window.partitionBy(*pcols, b).orderBy(F.col(order_col), *ties)
+    edge = j.where(F.col("__sstat") == 2).withColumn(flag, F.row_number().over(bw) <= F.col("__sneed"))
+    out = plain.unionByName(edge)
+    return out.drop(b, "__sk", "__sstat", "__sneed")

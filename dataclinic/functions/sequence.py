@@ -50,9 +50,9 @@ def ordered_rank(df: DataFrame, part_cols, order_cols, bucket: Column | None = N
         return range_rank(df, part_cols, order_cols, rank_col, num_partitions)
     p = list(part_cols)
     b = "__obucket"
-    d = df.withColumn(b, bucket)
-    d = d.withColumn("__olocal", F.row_number().over(Window.partitionBy(*p, b).orderBy(*_cols(order_cols))))
-    counts = d.groupBy(*p, b).agg(F.count(F.lit(1)).alias("__on"))
+    d0 = df.withColumn(b, bucket)
+    d = d0.withColumn("__olocal", F.row_number().over(Window.partitionBy(*p, b).orderBy(*_cols(order_cols))))
+    counts = d0.groupBy(*p, b).agg(F.count(F.lit(1)).alias("__on"))
     ow = Window.partitionBy(*p).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*p, b, F.coalesce(F.sum("__on").over(ow), F.lit(0)).alias("__ooff"))
     out = _null_safe_join(d, offs, p + [b])

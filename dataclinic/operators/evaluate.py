@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import round_to
 
 from ..functions.expr import to_number
-from ..functions.ranking import bucketed_rank, hash_hex
+from ..functions.ranking import hash_hex, select_smallest
 from .integrity import fingerprint
 from .profile import feature_columns
 
@@ -51,10 +51,10 @@ def stratified_split(truth: DataFrame, label: str, keys, test_size: float = TEST
     """Exact per-class holdout: rows whose md5 rank within their class is
     <= round(test_size x class count).  Adds ``is_test``."""
     d = truth.withColumn("__h", hash_hex(seed, F.lit("holdout"), *keys))
-    r = bucketed_rank(d, "__h", partition_cols=[label], tie_cols=list(keys), rank_col="__rk")
     cnt = truth.groupBy(label).agg(F.count(F.lit(1)).alias("__cn"))
-    r = r.join(cnt, label)
-    return r.withColumn("is_test", F.col("__rk") <= round_to(F.col("__cn") * test_size, 0)).drop("__h", "__rk", "__cn")
+    d = d.join(cnt, label)
+    r = select_smallest(d, "__h", round_to(F.col("__cn") * test_size, 0), [label], list(keys), "is_test")
+    return r.drop("__h", "__cn")
 
 
 def _models(features, n_trees, seed, reg):

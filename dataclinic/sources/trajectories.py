@@ -45,6 +45,18 @@ _EXPRS = {
 
 
 def actions(spark, sf_dir) -> DataFrame:
+    """Materialised once per session (parquet table in the shared checkpoint folder)."""
+    from ..session import cut_lineage
+    return TB._memo(spark, sf_dir, "actions", lambda: cut_lineage(_actions(spark, sf_dir)))
+
+
+def runs(spark, sf_dir) -> DataFrame:
+    """Materialised once per session (parquet table in the shared checkpoint folder)."""
+    from ..session import cut_lineage
+    return TB._memo(spark, sf_dir, "runs", lambda: cut_lineage(_runs(spark, sf_dir)))
+
+
+def _actions(spark, sf_dir) -> DataFrame:
     e = TB.table(spark, sf_dir, "events")
     d = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
     d = d.select("event_id", "ts", *[F.expr(v).alias(k) for k, v in _EXPRS.items()])
@@ -56,7 +68,7 @@ def actions(spark, sf_dir) -> DataFrame:
                     "n_recs", "response")
 
 
-def runs(spark, sf_dir) -> DataFrame:
+def _runs(spark, sf_dir) -> DataFrame:
     e = TB.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id",
                                                  "value")
     d = ordered_rank(e, ["user_id"], ["ts", "event_id"], rank_col="episode")

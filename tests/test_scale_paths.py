@@ -138,3 +138,17 @@ def test_range_rank_equals_row_number_with_hot_key(spark):
     b = d.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("ts", "id")))
     j = a.join(b, ["k", "ts", "id"])
     assert j.count() == d.count() and j.where("pos != rn").count() == 0
+
+
+def test_select_smallest_equals_row_number(spark):
+    from dataclinic.functions.ranking import select_smallest
+    rnd = random.Random(9)
+    rows = [(i % 3, i // 7, rnd.randint(0, 9)) for i in range(900)]      # duplicate keys -> hash ties
+    d = spark.createDataFrame(rows, "g long, key long, v long").withColumn("h", hash_hex(1, "key"))
+    for k in (0, 1, 37, 150, 400):
+        a = select_smallest(d, "h", F.lit(k), ["g"], ["key", "v"], "sel", digits=1)
+        b = d.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h", "key", "v")))
+        assert sorted(a.where("sel").groupBy("g").count().collect()) == sorted(b.where(F.col("rn") <= k).groupBy("g").count().collect())
+        x = a.where("sel").select("g", "key", "v")
+        y = b.where(F.col("rn") <= k).select("g", "key", "v")
+        assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
