@@ -72,9 +72,10 @@ def range_rank(df: DataFrame, part_cols, order_cols, rank_col: str = "step",
     import numpy as np
     p = list(part_cols)
     keys = p + list(order_cols)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without an explicit count AQE may coalesce small partitions; the offset
+    # bound (one row per partition boundary) holds for whatever count results
+    d = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
+    d = d.sortWithinPartitions(*keys)
     schema = T.StructType([*d.schema.fields, T.StructField("__pid", T.IntegerType()),
                            T.StructField("__lpos", T.LongType())])
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import round_to
 from ..functions.sequence import ordered_rank
+from ..session import cut_lineage
 
 LOG_SCHEMA = T.StructType([
     T.StructField("ts", T.DoubleType()), T.StructField("episode", T.LongType()),
@@ -49,11 +50,16 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
     raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "__mid": F.monotonically_increasing_id()})
+    # parse once into a parquet table (shared folder): later stages never re-parse JSON,
+    # and the ids taken from the scan (file order) are frozen
+    raw = cut_lineage(raw)
     # position inside each file: ids grow with the file offset; the bucket is the partition
     return ordered_rank(raw, ["_file"], ["__mid"], F.shiftright(F.col("__mid"), 33), "_pos").drop("__mid")
 
 
 def corrupt_count(records: DataFrame) -> DataFrame:
+    """Malformed lines (``read_runs`` output is a parquet table, so the corrupt
+    column can be queried on its own)."""
     return records.agg(F.sum(F.col("_corrupt_record").isNotNull().cast("long")).alias("corrupt_lines"))
 
 
