@@ -75,6 +75,12 @@ def run(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), fa
     the reference does not do (its test rows leak into training); ``False``
     reproduces the reference."""
     feats = [c for c in feature_columns(working, label, keys) if c in truth.columns]
+    spark = working.sparkSession
+    empty = spark.createDataFrame([], "label double, rf_pred double, lr_pred double").select(
+        "label", "rf_pred", "lr_pred", *[F.lit(None).alias(k) for k in keys])
+    # reference early exits: no shared feature columns, or fewer than 10 usable truth rows
+    if not feats or truth.where(F.col(label).isNotNull()).limit(MIN_ROWS).count() < MIN_ROWS:
+        return empty, None, feats
     tr = prepare(working, label, feats)
     split = stratified_split(truth, label, keys, seed=seed)
     test = prepare(split.where("is_test").drop("is_test"), label, feats)

@@ -145,3 +145,10 @@ def test_round_to_matches_python_on_ties(spark):
 def test_clip(spark):
     d = spark.createDataFrame([(-2.0,), (0.5,), (3.0,)], "x double")
     assert [r[0] for r in d.select(clip("x", -1.0, 1.0)).collect()] == [-1.0, 0.5, 1.0]
+
+
+def test_evaluate_early_exit_on_tiny_truth(spark):
+    from dataclinic.operators import evaluate as EV
+    d = spark.createDataFrame([(i, float(i), i % 2) for i in range(6)], "k long, x double, target int")
+    pred, model, feats = EV.run(d, d, "target", ["k"])
+    assert pred.count() == 0 and model is None and feats == ["x"]
