@@ -152,3 +152,12 @@ def test_select_smallest_equals_row_number(spark):
         x = a.where("sel").select("g", "key", "v")
         y = b.where(F.col("rn") <= k).select("g", "key", "v")
         assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
+
+
+def test_quantile_and_profile_on_all_null_column(spark):
+    from dataclinic.functions.quantiles import exact_quantiles
+    from dataclinic.operators import profile as P
+    d = spark.createDataFrame([(i, None) for i in range(5)], "k long, x double")
+    assert exact_quantiles(d, {"v": F.col("x")}, 0.5).first()["v"] is None
+    r = P.column_stats(d, label="none", keys=["k"]).first()
+    assert (r["n"], r["median"], r["mean"], r["std"], r["n_missing"]) == (0, 0.0, 0.0, 0.0, 5)
