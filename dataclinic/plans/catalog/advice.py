@@ -11,7 +11,7 @@ from ...operators import repair as RP
 from ...sources import tables as TB
 from . import register
 from .common import r6
-from .profiling import DQ_FEATS, LI_FEATS, ORD_FEATS, _stats_cte
+from .profiling import LI_FEATS, ORD_FEATS, _stats_cte
 from .sqlgen import r6 as s6, to_number, union_all
 
 LK = TB.LINEITEM["keys"]

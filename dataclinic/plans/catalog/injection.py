@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ...operators import inject as I
 from ...sources import tables as TB
 from .. import recipes
 from . import register
-from .common import r6
 
 OK = ["o_orderkey"]
 LK = TB.LINEITEM["keys"]
