@@ -97,6 +97,14 @@ def append(df: DataFrame, path: str) -> None:
         .write.mode("append").json(path)
 
 
+def append_stream(sdf: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """IO3 streaming form: a file sink with a checkpoint (exactly-once appends of
+    JSON records); returns the StreamingQuery."""
+    out = sdf.withColumns({"reward": round_to("reward", 4), "accuracy_gain": round_to("accuracy_gain", 4)})
+    w = out.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)
+    return w.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+
 def write_examples(df: DataFrame, path: str) -> None:
     """IO4: {prompt, response} per line."""
     df.select("prompt", "response").write.mode("overwrite").json(path)
