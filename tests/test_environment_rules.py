@@ -43,12 +43,13 @@ def test_undo_keeps_three_snapshots(spark):
 
 
 def test_streaming_append_sink(spark):
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    src = f"{base}/append-src"
+    import uuid
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/append-{uuid.uuid4().hex[:8]}"
+    src = f"{base}/src"
     spark.createDataFrame([(1, 1, 0.123456, 0.05), (1, 2, -0.5, 0.0)],
                           "run_id long, episode long, reward double, accuracy_gain double").write.mode("overwrite").parquet(src)
     sdf = spark.readStream.schema("run_id long, episode long, reward double, accuracy_gain double").parquet(src)
-    q = LG.append_stream(sdf, f"{base}/append-out", f"{base}/append-ck")
+    q = LG.append_stream(sdf, f"{base}/out", f"{base}/ck")
     q.awaitTermination()
-    back = spark.read.schema("run_id long, episode long, reward double").json(f"{base}/append-out")
+    back = spark.read.schema("run_id long, episode long, reward double").json(f"{base}/out")
     assert sorted(r["reward"] for r in back.collect()) == [-0.5, 0.1235]
