@@ -13,6 +13,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import round_to
 
@@ -38,11 +39,25 @@ AGREEMENT = {
 }
 
 
-def prepare(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """Drop null labels, coerce features to numbers, drop rows with any missing feature."""
+def label_index(working: DataFrame, truth: DataFrame, label: str) -> DataFrame | None:
+    """Non-numeric labels -> 0..k-1 by sorted value (one row per class: a tiny table).
+    None when the label is already numeric."""
+    if isinstance(working.schema[label].dataType, T.NumericType):
+        return None
+    labs = working.select(label).unionByName(truth.select(label)).where(F.col(label).isNotNull()).distinct()
+    return labs.select(label, (F.row_number().over(Window.orderBy(label)) - 1).cast("double").alias("__li"))
+
+
+def prepare(df: DataFrame, label: str, features: list[str], index: DataFrame | None = None) -> DataFrame:
+    """Drop null labels, coerce features to numbers, drop rows with any missing feature.
+    ``index`` (from ``label_index``) maps non-numeric labels to class numbers."""
     cols = [to_number(c, df.schema[c].dataType).alias(c) for c in features]
-    out = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), *cols,
-                                                    *[c for c in df.columns if c not in features and c != label])
+    d = df.where(F.col(label).isNotNull())
+    lab = F.col(label).cast("double")
+    if index is not None:
+        d = d.join(index, label)
+        lab = F.col("__li")
+    out = d.select(lab.alias("label"), *cols, *[c for c in df.columns if c not in features and c != label])
     return out.dropna(subset=features)
 
 
@@ -80,9 +95,10 @@ def run(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), fa
     # reference early exits: no shared feature columns, or fewer than 10 usable truth rows
     if not feats or truth.where(F.col(label).isNotNull()).limit(MIN_ROWS).count() < MIN_ROWS:
         return empty, None, feats
-    tr = prepare(working, label, feats)
+    idx = label_index(working, truth, label)
+    tr = prepare(working, label, feats, idx)
     split = stratified_split(truth, label, keys, seed=seed)
-    test = prepare(split.where("is_test").drop("is_test"), label, feats)
+    test = prepare(split.where("is_test").drop("is_test"), label, feats, idx)
     if exclude_holdout_keys and keys:
         hk = split.where("is_test").select(*keys)
         tr = tr.join(hk, list(keys), "left_anti")

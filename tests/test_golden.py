@@ -152,3 +152,15 @@ def test_evaluate_early_exit_on_tiny_truth(spark):
     d = spark.createDataFrame([(i, float(i), i % 2) for i in range(6)], "k long, x double, target int")
     pred, model, feats = EV.run(d, d, "target", ["k"])
     assert pred.count() == 0 and model is None and feats == ["x"]
+
+
+def test_evaluate_with_string_labels(spark, sf):
+    from dataclinic.operators import evaluate as EV
+    from dataclinic.operators import repair as RP
+    from dataclinic.sources import tables as TB
+    d = TB.orders_dirty(spark, sf)
+    pred, model, feats = EV.run(RP.fix_types(RP.fill_missing(d, "o_custkey"), "o_totalprice"),
+                                TB.orders_clean(spark, sf), "o_orderstatus", ["o_orderkey"])
+    acc = EV.accuracy(pred, "rf_pred").first()["accuracy"]
+    assert model is not None and 0.0 <= acc <= 1.0 and pred.count() > 0
+    assert {r[0] for r in pred.select("label").distinct().collect()} <= {0.0, 1.0, 2.0}
