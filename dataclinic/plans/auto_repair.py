@@ -69,7 +69,7 @@ def auto_repair(spark, sf_dir: str, target_accuracy: float = TARGET_ACCURACY) ->
     truth = TB.dq_train(spark, sf_dir)
     n0 = dirty.count()
     init = P.total_missing(dirty).first()["total_missing"]
-    vt = VersionedTable(dirty)
+    vt = VersionedTable(dirty, checkpoint_every=1)  # each stage is measured several times: materialise it once
     stages = []
 
     def measure(stage, validate):
