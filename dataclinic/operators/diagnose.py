@@ -30,7 +30,7 @@ def severities(df: DataFrame, label: str = "target", keys=(), rules=None, curren
                target_accuracy: float = 0.0) -> DataFrame:
     """One row with missing / imbalance / type severities and the accuracy gap."""
     feats = feature_columns(df, label, keys)
-    st = column_stats(df, label, keys, rules=rules).agg(
+    st = column_stats(df, label, keys, rules=rules, with_median=False).agg(
         F.max("n_rows").alias("n_rows"), F.coalesce(F.sum("type_errors"), F.lit(0)).alias("type_errors"))
     tm = total_missing(df)
     c = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -173,7 +173,7 @@ def numeric_stats(df: DataFrame, label: str = "target", keys=(), features=None,
 
 def type_errors(df: DataFrame, label: str = "target", keys=(), features=None, rules=None) -> DataFrame:
     """Non-null values that do not parse as a number, per numeric-typed column."""
-    return (column_stats(df, label, keys, features, rules).where("numeric_expected")
+    return (column_stats(df, label, keys, features, rules, with_median=False).where("numeric_expected")
             .select("col_name", "pos", "n_rows", "type_errors"))
 
 

@@ -17,7 +17,7 @@ from ..operators import profile as P
 
 def make_batch_fn(baseline: DataFrame, out_path: str, label: str, keys):
     def fn(batch: DataFrame, batch_id: int) -> None:
-        st = P.column_stats(batch, label, keys).select("col_name", "n_rows", "n_missing", "type_errors", "mean", "std")
+        st = P.column_stats(batch, label, keys, with_median=False).select("col_name", "n_rows", "n_missing", "type_errors", "mean", "std")
         dr = DR.compute(batch, baseline, label, keys).select("col_name", "drift")
         out = st.join(dr, "col_name").withColumns({"batch_id": F.lit(batch_id).cast("long"),
                                                    "level": F.expr("CASE WHEN drift < 0.2 THEN 'NONE' WHEN drift < 0.5 "
