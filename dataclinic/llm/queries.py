@@ -44,3 +44,15 @@ def op7_curriculum_mix(spark, sf_dir):
 def op5_url_filter(spark, sf_dir):
     from .url_filter import url_filter
     return url_filter(table(spark, sf_dir, "pages"))
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    from .substring_dedup import substring_dedup
+    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import suffix_dedup
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
