@@ -56,3 +56,9 @@ def op8_substring_dedup(spark, sf_dir):
 def op9_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import suffix_dedup
     return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+@query("op2_embedding_neardup")
+def op2_embedding_neardup(spark, sf_dir):
+    from .embedding_neardup import embedding_neardup
+    return embedding_neardup(table(spark, sf_dir, "embeddings"))
