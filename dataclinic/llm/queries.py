@@ -62,3 +62,11 @@ def op9_suffix_dedup(spark, sf_dir):
 def op2_embedding_neardup(spark, sf_dir):
     from .embedding_neardup import embedding_neardup
     return embedding_neardup(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark, sf_dir):
+    import public_tokenizers as P
+
+    from .byte_bpe import RANKS, byte_bpe
+    return byte_bpe(table(spark, sf_dir, "documents"), P.path(RANKS), P.PATTERN, with_ids=False).drop("ids")
