@@ -70,3 +70,9 @@ def op6_byte_bpe(spark, sf_dir):
 
     from .byte_bpe import RANKS, byte_bpe
     return byte_bpe(table(spark, sf_dir, "documents"), P.path(RANKS), P.PATTERN, with_ids=False).drop("ids")
+
+
+@query("op3_language_mixture")
+def op3_language_mixture(spark, sf_dir):
+    from .language_mixture import language_mixture
+    return language_mixture(table(spark, sf_dir, "documents"))
