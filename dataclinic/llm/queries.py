@@ -76,3 +76,9 @@ def op6_byte_bpe(spark, sf_dir):
 def op3_language_mixture(spark, sf_dir):
     from .language_mixture import language_mixture
     return language_mixture(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ngram_jaccard")
+def op4_ngram_jaccard(spark, sf_dir):
+    from .ngram_jaccard import ngram_jaccard
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
