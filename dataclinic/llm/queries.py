@@ -82,3 +82,14 @@ def op3_language_mixture(spark, sf_dir):
 def op4_ngram_jaccard(spark, sf_dir):
     from .ngram_jaccard import ngram_jaccard
     return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
+@query("op1_token_counts", f"""
+WITH c AS (SELECT doc_id, {_SIZE} AS n FROM documents)
+SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, n AS n_tokens,
+       CAST(coalesce(sum(n + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+           AS token_start
+FROM c""")
+def op1_token_counts(spark, sf_dir):
+    from .token_counts import document_token_counts
+    return document_token_counts(table(spark, sf_dir, "documents"))
