@@ -22,6 +22,7 @@ import base64
 import hashlib
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,17 +150,18 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
 
-SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids string"
+SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, tokens binary"
 
 
 def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
              with_ids: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with
-    ``with_ids``, the decimal ids joined by commas.  ``path``: a rank file on every executor."""
+    ``with_ids``, the ids as little-endian binary (16 bits each, 32 beyond 65,536 ranks).  ``path``: a rank file on every executor."""
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         codec = Codec(path, pattern)
+        kind = "<u2" if max(codec.ranks.values()) < 1 << 16 else "<u4"
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -169,9 +171,9 @@ def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                     n.append(s.count(",") + 1 if s else 0)
                     a.append(hashlib.sha256(s.encode()).hexdigest())
                     d.append(hashlib.sha256(codec.decode(s)).hexdigest())
-                    ids.append(s if with_ids else None)
+                    ids.append((np.fromstring(s, "i8", sep=",") if s else np.zeros(0)).astype(kind).tobytes() if with_ids else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string()),
-                     pa.array(ids, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                     pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "tokens"])
 
     return src.mapInArrow(run, SCHEMA)

@@ -89,11 +89,11 @@ def invert_schedule(u: Column, schedules, rank: Column) -> Column:
 def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                    weights=WEIGHTS, schedules=SCHEDULES, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """One row per document, range-sorted by the position of its first use:
-    doc_id, source, size, source_size, target, taken, first_position, last_position
-    (null where nothing is taken)."""
+    doc_id, text_hash, source, size, source_size, target, taken, positions (one for each
+    use, the last of which may be a part of the document; empty where nothing is taken)."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       n_words(F.col(text_col)).alias("size"))
-    base = stored(base.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")))
+                       n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
+    base = stored(base.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_epochs)
     rows = base.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)))
@@ -111,12 +111,35 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     j = j.withColumns({"quota": quota, "start": start}).withColumn("whole", whole.cast("bigint"))
     part = F.least(F.greatest(F.col("quota") - F.col("whole") * size - F.col("start"), F.lit(0)), F.col("size"))
     j = j.withColumn("taken", (F.col("whole") * F.col("size") + part).cast("bigint"))
-    passes = F.when(part > 0, F.col("whole")).otherwise(F.col("whole") - 1)  # index of the last pass that uses it
-
-    def position(pass_no):
-        u = (pass_no * size + F.col("start")) / F.col("quota")
-        return F.when(F.col("taken") > 0, invert_schedule(F.least(u, F.lit(1.0)), schedules, F.col("source_rank")))
-
-    out = j.select("doc_id", "source", "size", "source_size", "target", "taken",
-                   position(F.lit(0)).alias("first_position"), position(passes).alias("last_position"))
-    return out.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
+    last = F.col("whole") + F.when(part > 0, F.lit(0)).otherwise(F.lit(-1))  # number of the last use
+
+    def position(use):
+        u = (use * size + F.col("start")) / F.col("quota")
+        return invert_schedule(F.least(u, F.lit(1.0)), schedules, F.col("source_rank"))
+
+    positions = F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), last), position)).otherwise(
+        F.array().cast("array<double>"))
+    out = j.select("doc_id", "text_hash", "source", "size", "source_size", "target", "taken", positions.alias("positions"))
+    first = F.try_element_at("positions", F.lit(1))
+    return out.repartitionByRange(first, "doc_id").sortWithinPartitions(first, "doc_id")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               **options) -> DataFrame:
+    """The documents of the mix with all their columns, whole, once for each use (the part
+    that ends a source's quota counts from half a document), range-sorted by position.
+    Rows without an id are placed by their text like others; repeated rows share their uses."""
+    plan = curriculum_mix(docs, id_col, text_col, source_col, **options)
+    uses = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    plan = plan.where("taken > 0").select("doc_id", "text_hash", F.slice("positions", 1, uses).alias("positions"))
+    plan = plan.where(F.size("positions") > 0).groupBy("doc_id", "text_hash").agg(
+        F.flatten(F.collect_list("positions")).alias("positions"), F.count(F.lit(1)).alias("rows"))
+    plan = stored(plan)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"),
+                       F.xxhash64(text_col).alias("text_hash"))
+    if not plan.where("rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "text_hash"])
+    p = plan.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "positions")
+    j = rows.join(p, rows["doc_id"].eqNullSafe(p["p_id"]) & (rows["text_hash"] == p["p_hash"]))
+    j = j.select("row", F.explode("positions").alias("position"), "doc_id")
+    return j.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")

@@ -41,6 +41,31 @@ def _narrow(m: DataFrame) -> DataFrame:
                     F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix_hash"), "norm")
 
 
+def _surviving(first: DataFrame) -> DataFrame:
+    """The (length, prefix hash) pairs of more than one row, stored."""
+    by_len = first.groupBy("norm_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("norm_len")
+    by_prefix = (first.groupBy("norm_len", "prefix_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                 .join(by_len, "norm_len", "left_semi").select("norm_len", "prefix_hash"))
+    return stored(by_prefix.withColumn("survives", F.lit(True)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns: exactly one of each group of equal
+    texts, also where rows repeat or have no id.  Only surviving groups are hashed in
+    full and grouped; all other rows pass through."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    m = docs.select(row, F.col(id_col).alias("doc_id"), F.length(raw).alias("n_points"), F.translate(raw, SPACES, "").alias("norm"))
+    m = m.select("row", *_narrow(m).columns[:2], F.length("norm").alias("norm_len"),
+                 F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix_hash"), "norm")
+    keys = _surviving(stored(m.select("norm_len", "prefix_hash")))
+    j = m.join(keys, ["norm_len", "prefix_hash"], "left")
+    order = F.struct(F.col("n_points"), F.col("doc_id").isNotNull(), F.bitwise_not(F.col("doc_id")))
+    one = (j.where("survives").withColumn("digest", F.sha2("norm", 256)).groupBy("norm_len", "digest")
+           .agg(F.max_by("row", order).alias("row")).select("row.*"))
+    return j.where("survives is null").select("row.*").unionByName(one)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 digest_all: bool = False) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
@@ -52,10 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     m = _narrow(_measured(docs, id_col, text_col))
     full = F.sha2("norm", 256)
     first = stored(m.withColumn("text_sha256", full).drop("norm") if digest_all else m.drop("norm"))
-    by_len = first.groupBy("norm_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("norm_len")
-    by_prefix = (first.groupBy("norm_len", "prefix_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-                 .join(by_len, "norm_len", "left_semi").select("norm_len", "prefix_hash"))
-    keys = stored(by_prefix.withColumn("survives", F.lit(True)))
+    keys = _surviving(first)
     rows = first.join(keys, ["norm_len", "prefix_hash"], "left")
     settled = rows.where(F.col("survives").isNull())
     if digest_all:

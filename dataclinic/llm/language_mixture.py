@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import joined
 
@@ -140,20 +141,28 @@ def held_out(id_col: Column) -> Column:
 
 
 def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                     penalty: float = PENALTY) -> DataFrame:
+                     penalty: float = PENALTY, with_row: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (proportion of lang_pred),
-    languages and shares of the chosen set, largest first."""
+    languages and shares of the chosen set, largest first; ``with_row`` adds the whole
+    input row as a struct, so a filter needs no join back."""
     train = docs.where(~held_out(F.col(id_col)))
     langs, probs = learn(train, lang_col, text_col)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
-                      F.col(text_col).cast("string").alias("text"))
+                      F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at_text = docs.columns.index(text_col)
+    schema = SCHEMA
+    if with_row:
+        schema = T.StructType([*T.StructType.fromDDL(SCHEMA).fields, src.schema["row"]])
+    else:
+        src = src.select("doc_id", "held_out", F.struct(F.col(f"row.`{text_col}`").alias("text")).alias("row"))
+        at_text = 0
     step = max(16, 2048 // max(1, len(langs)))
 
     def predict(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                texts = part.column(2)
+                texts = part.column(2).field(at_text)
                 row, g = trigrams(texts)
                 if langs:
                     soft, hard = infer(row, g, part.num_rows, probs, penalty)
@@ -169,9 +178,9 @@ def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     score.append(float(min(1.0, max(0.0, soft[i, top[0]]))))
                     names.append([langs[j] for j in top])
                     shares.append([float(hard[i, j]) for j in top])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                     pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
-                    ["doc_id", "held_out", "lang_pred", "score", "languages", "shares"])
+                cols = [part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+                        pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
+                names = ["doc_id", "held_out", "lang_pred", "score", "languages", "shares"]
+                yield pa.RecordBatch.from_arrays(cols + [part.column(2)] * with_row, names + ["row"] * with_row)
 
-    return src.mapInArrow(predict, SCHEMA)
+    return src.mapInArrow(predict, schema)

@@ -37,7 +37,7 @@ def op10_exact_dedup(spark, sf_dir):
 def op7_curriculum_mix(spark, sf_dir):
     from .curriculum_mix import curriculum_mix
     return curriculum_mix(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
+        "doc_id", "size", "source_size", "target", "taken", "positions")
 
 
 @query("op5_url_filter")
@@ -69,7 +69,7 @@ def op6_byte_bpe(spark, sf_dir):
     import public_tokenizers as P
 
     from .byte_bpe import RANKS, byte_bpe
-    return byte_bpe(table(spark, sf_dir, "documents"), P.path(RANKS), P.PATTERN, with_ids=False).drop("ids")
+    return byte_bpe(table(spark, sf_dir, "documents"), P.path(RANKS), P.PATTERN, with_ids=False).drop("tokens")
 
 
 @query("op3_language_mixture")
@@ -93,3 +93,9 @@ FROM c""")
 def op1_token_counts(spark, sf_dir):
     from .token_counts import document_token_counts
     return document_token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
