@@ -106,12 +106,12 @@ def truncate_action(c, max_chars: int = MAX_ACTION_CHARS):
 
 def parse_command(c):
     """(cmd, arg) from an action text.  cmd = first token lower-cased
-    ('' when empty); arg = second token as INT, -1 when absent or not an int."""
+    ('' when empty); arg = second token as BIGINT, -1 when absent or not an integer of 64 bits."""
     toks = F.split(F.trim(_c(c)), r"\s+")
     first = F.lower(F.element_at(toks, 1))
     cmd = F.coalesce(first, F.lit(""))
     second = F.when(F.size(toks) > 1, F.element_at(toks, 2))
-    arg = F.coalesce(F.when(second.rlike(r"^[+-]?[0-9]{1,9}$"), second.try_cast("int")), F.lit(-1))
+    arg = F.coalesce(F.when(second.rlike(r"^[+-]?[0-9]+$"), second.try_cast("bigint")), F.lit(-1).cast("bigint"))
     return cmd, arg
 
 

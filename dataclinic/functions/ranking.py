@@ -34,8 +34,8 @@ def hash_hex(seed, *parts) -> Column:
     return F.md5(F.concat_ws("|", *cols))
 
 
-def hash_int(hex_col, digits: int = 8) -> Column:
-    """First ``digits`` hex digits of an md5 as a non-negative BIGINT."""
+def hash_int(hex_col, digits: int = 15) -> Column:
+    """First ``digits`` (at most 15: 60 bits) hex digits of an md5 as a non-negative BIGINT."""
     h = F.col(hex_col) if isinstance(hex_col, str) else hex_col
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("bigint")
 
@@ -107,14 +107,6 @@ def draw_with_replacement(pool: DataFrame, draws: DataFrame, seed, tag: str,
     return out.drop("__pick", index_col)
 
 
-def top_k_per_group(df: DataFrame, order_col: str, k_col: Column | int, partition_cols=(),
-                    tie_cols=(), digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
-    """Rows whose exact hash rank within the group is <= k (sampling without replacement)."""
-    r = bucketed_rank(df, order_col, partition_cols, tie_cols, rank_col="__rk", digits=digits)
-    k = F.lit(k_col) if isinstance(k_col, int) else k_col
-    return r.where(F.col("__rk") <= k).drop("__rk")
-
-
 def select_smallest(df: DataFrame, order_col: str, k: Column, partition_cols=(), tie_cols=(),
                     flag: str = "__sel", digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
     """Adds ``flag`` = (exact rank by (order_col, tie_cols) within the group <= k),
@@ -144,3 +136,28 @@ def select_smallest(df: DataFrame, order_col: str, k: Column, partition_cols=(),
     edge = j.where(F.col("__sstat") == 2).withColumn(flag, F.row_number().over(bw) <= F.col("__sneed"))
     out = plain.unionByName(edge)
     return out.drop(b, "__sk", "__sstat", "__sneed")
+
+
+def smallest_keys(df: DataFrame, keys: list[Column], k, digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
+    """One row with ``__t0``, ``__t1``, ...: for every key the key of rank k, so that
+    ``key <= __t`` marks exactly the k smallest rows; no sort of the table, no join.
+
+    A key is a struct whose first field ``h`` is a lowercase hex hash and whose other
+    fields break ties.  ``k(n)`` maps the row count (a Column) to the wanted rank; it
+    is cut to n, and 0 gives NULL.  Counts by hash prefix (16**digits rows per key)
+    find the one bucket that holds the rank; only its rows are ordered."""
+    heads = F.array(*[F.struct(F.lit(i).alias("i"), F.substring(c.getField("h"), 1, digits).alias("b"))
+                      for i, c in enumerate(keys)])
+    counts = df.select(F.explode(heads).alias("s")).select("s.i", "s.b").groupBy("i", "b").agg(
+        F.count(F.lit(1)).alias("m"))
+    before = Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    c = counts.withColumns({"before": F.coalesce(F.sum("m").over(before), F.lit(0)),
+                            "n": F.sum("m").over(Window.partitionBy("i"))})
+    c = c.withColumn("k", F.least(k(F.col("n")).cast("bigint"), F.col("n")))
+    edge = c.where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("m"))).select(
+        "i", "b", (F.col("k") - F.col("before")).alias("need"))
+    full = F.array(*[F.struct(F.lit(i).alias("i"), c.alias("key")) for i, c in enumerate(keys)])
+    rows = df.select(F.explode(full).alias("s")).select("s.i", "s.key")
+    rows = rows.withColumn("b", F.substring("key.h", 1, digits)).join(F.broadcast(edge), ["i", "b"])  # a row a key
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("key"))).where("rn = need")
+    return rows.agg(*[F.max(F.when(F.col("i") == i, F.col("key"))).alias(f"__t{i}") for i in range(len(keys))])

@@ -4,7 +4,7 @@ Trajectories and run logs are ordered per key (episode, run, conversation).
 One key may hold a large share of all rows, so ``Window.partitionBy(key)``
 over raw rows is avoided; instead:
 
-* ``ordered_rank``: exact 1-based position within the key.  Level 1 numbers
+* ``ordered_rank`` / ``range_rank``: exact 1-based position within the key.  Level 1 numbers
   rows inside (key, order-preserving bucket) -- e.g. the day of ``ts`` --;
   level 2 prefix-sums the bucket counts (one row per bucket); the offsets are
   joined back.
@@ -61,55 +61,26 @@ def ordered_rank(df: DataFrame, part_cols, order_cols, bucket: Column | None = N
 
 def range_rank(df: DataFrame, part_cols, order_cols, rank_col: str = "step",
                num_partitions: int | None = None) -> DataFrame:
-    """Exact per-key positions from a range-partitioned, sorted frame.
-
-    Each partition numbers its rows per key in one vectorised pass
-    (``mapInPandas`` over sorted batches).  A key that spans several
-    partitions needs, for every partition after its first, the count of its
-    rows in earlier partitions; there are at most ``num_partitions - 1`` such
-    (key, partition) pairs, so that offset table has a proven size bound and is
-    broadcast."""
-    import numpy as np
+    """Exact per-key positions from a range-partitioned, sorted frame, JVM side only.
+
+    Every sorted partition numbers its rows (``monotonically_increasing_id``: the
+    partition in the upper bits, the row below); the numbered frame is stored before
+    anything is derived from it, so partition numbers and rows stay the same however
+    often it is read.  A row's position is its number less the first number of its key
+    in that partition, plus the key's rows in earlier partitions: one aggregated row per
+    (key, partition), joined back.  NULL is a key like any other."""
+    from ..session import cut_lineage
     p = list(part_cols)
     keys = p + list(order_cols)
-    # without an explicit count AQE may coalesce small partitions; the offset
-    # bound (one row per partition boundary) holds for whatever count results
     d = (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
-    d = d.sortWithinPartitions(*keys)
-    schema = T.StructType([*d.schema.fields, T.StructField("__pid", T.IntegerType()),
-                           T.StructField("__lpos", T.LongType())])
-
-    def local(it):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        last_key, last_pos = None, 0
-        for pdf in it:
-            m = len(pdf)
-            if m == 0:
-                continue
-            cols = [pdf[c].to_numpy() for c in p]
-            change = np.zeros(m, dtype=bool)
-            for a in cols:
-                change[1:] |= a[1:] != a[:-1]
-            first = tuple(a[0] for a in cols)
-            cont = last_key is not None and first == last_key
-            change[0] = not cont
-            idx = np.arange(m)
-            starts = np.maximum.accumulate(np.where(change, idx, 0))
-            pos = idx - starts + 1
-            if cont:
-                head = ~np.logical_or.accumulate(change)
-                pos[head] += last_pos
-            last_key, last_pos = tuple(a[-1] for a in cols), int(pos[-1])
-            yield pdf.assign(__pid=pid, __lpos=pos.astype("int64"))
-
-    loc = d.mapInPandas(local, schema)
-    counts = loc.groupBy(*p, "__pid").agg(F.count(F.lit(1)).alias("__c"))
+    d = cut_lineage(d.sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()))
+    d = d.withColumn("__pid", F.shiftright("__id", 33))
+    counts = d.groupBy(*p, "__pid").agg(F.count(F.lit(1)).alias("__c"), F.min("__id").alias("__first"))
     w = Window.partitionBy(*p).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*p, "__pid", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off")).where("__off > 0")
-    out = _null_safe_join(loc, F.broadcast(offs), p + ["__pid"], how="left")
-    return out.withColumn(rank_col, (F.coalesce(F.col("__off"), F.lit(0)) + F.col("__lpos")).cast("bigint")).drop(
-        "__pid", "__lpos", "__off")
+    offs = counts.select(*p, "__pid", "__first", F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
+    out = _null_safe_join(d, offs, p + ["__pid"])
+    pos = F.col("__off") + F.col("__id") - F.col("__first") + 1
+    return out.withColumn(rank_col, pos.cast("bigint")).drop("__pid", "__id", "__first", "__off")
 
 
 def with_chunk(df: DataFrame, pos_col: str = "step", chunk: int = DEFAULT_CHUNK) -> DataFrame:
@@ -210,20 +181,26 @@ def fsm_scan(df: DataFrame, part_cols, pos_col: str, code: Column, table: list[l
     2. start states of later chunks: a fold over the (n / C) chunk functions of a
        key, streamed through ``mapInPandas`` over key-sorted partitions;
     3. rows are replayed from their chunk's start state in one ``mapInPandas``
-       pass over (key, chunk)-partitioned, position-sorted data (no per-group
-       Python calls)."""
+       pass over (key, chunk)-partitioned, position-sorted data.
+
+    Python sees the key as text, the position and the code only; the states are
+    joined back to the rows, whose other columns never leave the JVM."""
     p = list(part_cols)
-    d = with_chunk(df, pos_col, chunk).withColumns({"__code": code.cast("int"), "__pos": F.col(pos_col)})
-    last = d.groupBy(*p).agg(F.max("__chunk").alias("__last"))
-    feed = d.select(*p, "__chunk", "__pos", "__code").join(last, p).where(F.col("__chunk") < F.col("__last"))
-    funcs = feed.groupBy(*p, "__chunk").agg(F.expr(_compose_sql(table)).alias("__f"))
-    kschema = [d.schema[c] for c in p]
+    ks = [f"__k{i}" for i in range(len(p))]
+    text_keys = {k: F.col(c).cast("string") for k, c in zip(ks, p)}
+    d = with_chunk(df, pos_col, chunk).withColumns({**text_keys, "__code": code.cast("int"),
+                                                    "__pos": F.col(pos_col).cast("bigint")})
+    slim = d.select(*ks, "__chunk", "__pos", "__code")
+    last = slim.groupBy(*ks).agg(F.max("__chunk").alias("__last"))
+    feed = _null_safe_join(slim, last, ks).where(F.col("__chunk") < F.col("__last"))
+    funcs = feed.groupBy(*ks, "__chunk").agg(F.expr(_compose_sql(table)).alias("__f"))
+    kschema = [T.StructField(k, T.StringType()) for k in ks]
     sschema = T.StructType([*kschema, T.StructField("__chunk", T.LongType()), T.StructField("__start", T.IntegerType())])
 
     def starts(it):
         cur, s = None, start
         for pdf in it:
-            keys = list(zip(*[pdf[c] for c in p])) if p else [()] * len(pdf)
+            keys = list(zip(*[pdf[c] for c in ks])) if ks else [()] * len(pdf)
             out_k, out_c, out_s = [], [], []
             for k, c, f in zip(keys, pdf["__chunk"], pdf["__f"]):
                 if k != cur:
@@ -232,29 +209,29 @@ def fsm_scan(df: DataFrame, part_cols, pos_col: str, code: Column, table: list[l
                 out_k.append(k)
                 out_c.append(int(c) + 1)
                 out_s.append(s)
-            res = {c: [k[i] for k in out_k] for i, c in enumerate(p)}
+            res = {c: [k[i] for k in out_k] for i, c in enumerate(ks)}
             res.update({"__chunk": out_c, "__start": out_s})
             yield pd.DataFrame(res, columns=[f.name for f in sschema.fields])
 
-    st = funcs.repartition(*p).sortWithinPartitions(*p, "__chunk").mapInPandas(starts, sschema)
-    d = _null_safe_join(d, st, p + ["__chunk"], how="left").withColumn(
+    st = funcs.repartition(*ks).sortWithinPartitions(*ks, "__chunk").mapInPandas(starts, sschema)
+    slim = _null_safe_join(slim, st, ks + ["__chunk"], how="left").withColumn(
         "__start", F.coalesce(F.col("__start"), F.lit(start)))
-    keep = [c for c in d.columns if c not in ("__chunk", "__code", "__pos", "__start")]
-    out_schema = T.StructType([*d.schema.fields, T.StructField(state_col, T.IntegerType())])
+    out_schema = T.StructType([*kschema, T.StructField("__pos", T.LongType()), T.StructField(state_col, T.IntegerType())])
     tbl = [list(r) for r in table]
 
     def replay(it):
         cur, s = None, start
         for pdf in it:
-            keys = list(zip(*[pdf[c] for c in p + ["__chunk"]]))
+            keys = list(zip(*[pdf[c] for c in ks + ["__chunk"]]))
             out = []
             for k, c, st0 in zip(keys, pdf["__code"].tolist(), pdf["__start"].tolist()):
                 if k != cur:
                     cur, s = k, int(st0)
                 out.append(s)
                 s = tbl[int(c)][s]
-            yield pdf.assign(**{state_col: out})
+            yield pdf[[*ks, "__pos"]].assign(**{state_col: out})
 
-    srt = d.repartition(*p, "__chunk").sortWithinPartitions(*p, "__chunk", "__pos")
-    res = srt.mapInPandas(replay, out_schema)
-    return res.select(*keep, state_col)
+    srt = slim.repartition(*ks, "__chunk").sortWithinPartitions(*ks, "__chunk", "__pos")
+    states = srt.mapInPandas(replay, out_schema)
+    keep = [c for c in d.columns if c not in ("__chunk", "__code", "__pos", *ks)]
+    return _null_safe_join(d, states, ks + ["__pos"]).select(*keep, state_col)

@@ -85,8 +85,8 @@ def cooldown(parsed: DataFrame, episode: str = "episode_id", step: str = "step",
 def recommendations(enriched: DataFrame, episode: str = "episode_id") -> DataFrame:
     """Recommendation ids offered per (episode, session): ids 1..n_recs of each
     session-opening query (at most 4 per query)."""
-    q = enriched.where(F.col("cmd").isin(traj.SESSION_QUERIES))
-    return q.select(episode, "session_id", F.explode(F.sequence(F.lit(1), F.col("n_recs").cast("int"))).alias("rec_id"))
+    q = enriched.where(F.col("cmd").isin(traj.SESSION_QUERIES) & (F.col("n_recs") >= 1))  # sequence(1, 0) counts down
+    return q.select(episode, "session_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_recs").cast("bigint"))).alias("rec_id"))
 
 
 def apply_limits(enriched: DataFrame, recs: DataFrame, episode: str = "episode_id") -> DataFrame:
@@ -104,7 +104,7 @@ def apply_limits(enriched: DataFrame, recs: DataFrame, episode: str = "episode_i
     rec = first.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= MAX_APPLIES_PER_SESSION)
     arr = rec.groupBy(episode, "session_id").agg(F.collect_list(F.struct("first_step", "arg")).alias("recorded"))
     j = a.join(arr, [episode, "session_id"], "left").withColumn(
-        "recorded", F.coalesce(F.col("recorded"), F.array().cast("array<struct<first_step:bigint,arg:int>>")))
+        "recorded", F.coalesce(F.col("recorded"), F.array().cast("array<struct<first_step:bigint,arg:bigint>>")))
     before = F.size(F.filter("recorded", lambda x: x["first_step"] < F.col("step")))
     dup = F.exists("recorded", lambda x: (x["arg"] == F.col("arg")) & (x["first_step"] < F.col("step")))
     outcome = (F.when(F.col("arg") < 1, "invalid_id").when(before >= MAX_APPLIES_PER_SESSION, "session_limit")
@@ -143,8 +143,7 @@ def budget(enriched: DataFrame, episode: str = "episode_id") -> DataFrame:
                            (F.col("budget_total") - used_at_check < 0).alias("exhausted"))
 
 
-def workflow_flags(enriched: DataFrame, episode: str = "episode_id") -> DataFrame:
-    """H7: the boolean findings of the process rubric."""
+def _workflow_hits() -> list:
     c = F.col("cmd")
 
     def anyp(pred, n):
@@ -153,36 +152,38 @@ def workflow_flags(enriched: DataFrame, episode: str = "episode_id") -> DataFram
             out = out | F.coalesce(pred(F.col(f"prev{i}")), F.lit(False))
         return out
 
-    rep = c.startswith("query_") & anyp(lambda p: p == c, 3) & ~anyp(lambda p: p == "apply", 3)
-    blind_apply = (c == "apply") & ~anyp(lambda p: p.startswith("query_"), 4)
-    redundant = (c == "validate") & F.coalesce(F.col("prev1") == "validate", F.lit(False))
-    blind_submit = (c == "submit") & (F.col("validates_before") == 0)
-    arr = F.array(F.struct(F.lit("repeated_query").alias("rule"), rep.alias("hit"), F.lit(-0.05).alias("penalty")),
-                  F.struct(F.lit("blind_apply").alias("rule"), blind_apply.alias("hit"), F.lit(-0.08).alias("penalty")),
-                  F.struct(F.lit("redundant_validate").alias("rule"), redundant.alias("hit"), F.lit(-0.08).alias("penalty")),
-                  F.struct(F.lit("blind_submit").alias("rule"), blind_submit.alias("hit"), F.lit(-0.15).alias("penalty")))
-    return (enriched.select(episode, "step", F.explode(arr).alias("f")).where("f.hit")
+    return [("repeated_query", c.startswith("query_") & anyp(lambda p: p == c, 3) & ~anyp(lambda p: p == "apply", 3), -0.05),
+            ("blind_apply", (c == "apply") & ~anyp(lambda p: p.startswith("query_"), 4), -0.08),
+            ("redundant_validate", (c == "validate") & F.coalesce(F.col("prev1") == "validate", F.lit(False)), -0.08),
+            ("blind_submit", (c == "submit") & (F.col("validates_before") == 0), -0.15)]
+
+
+def _hits(df: DataFrame, hits, episode: str) -> DataFrame:
+    """One row for each hit rule of a row: (rule, condition, penalty) in one pass."""
+    arr = F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(h, F.lit(False)).alias("hit"),
+                             F.lit(float(p)).alias("penalty")) for r, h, p in hits])
+    return (df.select(episode, "step", F.explode(F.filter(arr, lambda x: x["hit"])).alias("f"))
             .select(episode, "step", "f.rule", "f.penalty"))
 
 
+def workflow_flags(enriched: DataFrame, episode: str = "episode_id") -> DataFrame:
+    """H7: the boolean findings of the process rubric."""
+    return _hits(enriched, _workflow_hits(), episode)
+
+
 def report(enriched: DataFrame, recs: DataFrame, episode: str = "episode_id", chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """H8: one row per breach (rule, episode, step, penalty)."""
-    cd = cooldown(enriched, episode, "step", chunk).where(F.col("validate_allowed") == False)  # noqa: E712
-    parts = [
-        cd.select(episode, "step", F.lit("validate_cooldown").alias("rule"), F.lit(0.0).alias("penalty")),
-        apply_limits(enriched, recs, episode).where(F.col("outcome") != "ok").select(
-            episode, "step", F.concat(F.lit("apply_"), F.col("outcome")).alias("rule"), F.lit(0.0).alias("penalty")),
-        truncated(enriched, "action", [episode, "step"]).select(episode, "step", F.lit("truncated").alias("rule"),
-                                                                "penalty"),
-        timeouts(enriched, episode).select(episode, F.col("timeout_step").alias("step"),
-                                           F.lit("episode_timeout").alias("rule"), "penalty"),
-        budget(enriched, episode).where("exhausted").select(episode, "step", F.lit("budget_exhausted").alias("rule"),
-                                                             F.lit(0.0).alias("penalty")),
-        workflow_flags(enriched, episode),
-        enriched.where(F.col("rows") / F.greatest(F.col("original_rows"), F.lit(1)) < DATA_LOSS_RATIO).select(
-            episode, "step", F.lit("data_loss").alias("rule"), F.lit(DATA_LOSS_PENALTY).alias("penalty")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p.select(episode, "step", "rule", F.col("penalty").cast("double")))
-    return out
+    """H8: one row per breach (rule, episode, step, penalty).  All row-wise rules are one
+    pass over the cooldown scan; apply limits and time-outs are joined aggregates."""
+    extra = F.when(F.col("cmd").isin(traj.DOUBLE_COST), 1).otherwise(0)
+    flags = _hits(cooldown(enriched, episode, "step", chunk), [
+        ("validate_cooldown", ~F.col("validate_allowed"), 0.0),
+        ("truncated", F.length("action") > MAX_ACTION_CHARS, TRUNCATION_PENALTY),
+        ("budget_exhausted", F.col("budget_total") - (F.col("budget_used") - extra) < 0, 0.0),
+        *_workflow_hits(),
+        ("data_loss", F.col("rows") / F.greatest(F.col("original_rows"), F.lit(1)) < DATA_LOSS_RATIO, DATA_LOSS_PENALTY),
+    ], episode)
+    limits = apply_limits(enriched, recs, episode).where(F.col("outcome") != "ok").select(
+        episode, "step", F.concat(F.lit("apply_"), F.col("outcome")).alias("rule"), F.lit(0.0).alias("penalty"))
+    late = timeouts(enriched, episode).select(episode, F.col("timeout_step").alias("step"),
+                                              F.lit("episode_timeout").alias("rule"), "penalty")
+    return flags.unionByName(limits).unionByName(late)

@@ -8,7 +8,7 @@ advance k happens at the first episode t >= t_{k-1} + window whose trailing
 ``window`` successes meet the threshold (the cleared deque is full again
 exactly ``window`` episodes after the reset).  Each pass is a per-run ``min``
 (partial aggregation) joined back; trailing sums come from prefix sums and an
-equi-join on episode - window.  No run is ever held in one task.
+equi-join on position - window; positions are numbered here.  No run is ever held in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import DEFAULT_CHUNK, running_sum
+from ..functions.sequence import DEFAULT_CHUNK, ordered_rank, running_sum
 
 # Fixed values from the reference scheduler.
 WINDOW = 50
@@ -31,17 +31,19 @@ def replay(df: DataFrame, run: str = "run_id", pos: str = "episode", success: st
            chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Adds ``level`` (after a possible advance at that episode, as logged) and
     ``advanced`` (true on the advancing episode)."""
-    d = running_sum(df, [run], pos, {"__cs": F.col(success).cast("long")}, chunk)
-    prev = d.select(run, (F.col(pos) + window).alias(pos), F.col("__cs").alias("__csp"))
-    d = d.join(prev, [run, pos], "left")
+    at = "__p"  # dense position: episodes may have gaps and start anywhere
+    d = ordered_rank(df, [run], [pos], F.floor(F.col(pos) / F.lit(chunk)), at)
+    d = running_sum(d, [run], at, {"__cs": F.col(success).cast("long")}, chunk)
+    prev = d.select(run, (F.col(at) + window).alias(at), F.col("__cs").alias("__csp"))
+    d = d.join(prev, [run, at], "left")
     trailing = F.col("__cs") - F.coalesce(F.col("__csp"), F.lit(0))
-    d = d.withColumn("__ok", (F.col(pos) >= window) & (trailing / F.lit(float(window)) >= threshold))
-    cand = d.where("__ok").select(run, pos)
+    d = d.withColumn("__ok", (F.col(at) >= window) & (trailing / F.lit(float(window)) >= threshold))
+    cand = d.where("__ok").select(run, at)
     adv = None
     last = None
     for k in range(1, max_level - start + 1):
-        base = cand if last is None else cand.join(last, run).where(F.col(pos) >= F.col("__t") + window)
-        tk = base.groupBy(run).agg(F.min(pos).alias(f"__t{k}"))
+        base = cand if last is None else cand.join(last, run).where(F.col(at) >= F.col("__t") + window)
+        tk = base.groupBy(run).agg(F.min(at).alias(f"__t{k}"))
         adv = tk if adv is None else adv.join(tk, run, "left")
         last = tk.withColumnRenamed(f"__t{k}", "__t")
     n_adv = max_level - start
@@ -50,10 +52,10 @@ def replay(df: DataFrame, run: str = "run_id", pos: str = "episode", success: st
     is_adv = F.lit(False)
     for k in range(1, n_adv + 1):
         t = F.col(f"__t{k}")
-        lvl = lvl + F.when(t.isNotNull() & (F.col(pos) >= t), 1).otherwise(0)
-        is_adv = is_adv | F.coalesce(F.col(pos) == t, F.lit(False))
+        lvl = lvl + F.when(t.isNotNull() & (F.col(at) >= t), 1).otherwise(0)
+        is_adv = is_adv | F.coalesce(F.col(at) == t, F.lit(False))
     out = d.withColumns({"level": lvl.cast("int"), "advanced": is_adv})
-    return out.drop("__cs", "__csp", "__ok", *[f"__t{k}" for k in range(1, n_adv + 1)])
+    return out.drop("__cs", "__csp", "__ok", at, *[f"__t{k}" for k in range(1, n_adv + 1)])
 
 
 def history(replayed: DataFrame, run: str = "run_id", pos: str = "episode") -> DataFrame:

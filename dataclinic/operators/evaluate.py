@@ -102,7 +102,9 @@ def run(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), fa
     if exclude_holdout_keys and keys:
         hk = split.where("is_test").select(*keys)
         tr = tr.join(hk, list(keys), "left_anti")
-    n_train = max(tr.count(), 1)
+    n_train = tr.count()
+    if n_train < MIN_ROWS:  # nor fewer than 10 usable training rows
+        return empty, None, feats
     va, rf, lr = _models(feats, FAST_TREES if fast else FULL_TREES, seed, 1.0 / n_train)
     trv = va.transform(tr).cache()
     rfm = rf.fit(trv)

@@ -1,10 +1,11 @@
 """Dirty-data injection (family F): reproducible faults in any keyed table.
 
-Every injector picks its rows by the exact md5 rank of ``seed|tag|column|key``
-(``bucketed_rank``), so counts are exact and the same rows are chosen by a
-DuckDB ``row_number() over (order by md5(...))`` oracle.  Row counts come from
-a one-row aggregate that is cross-joined (1 row: a proven broadcast bound), so
-the whole recipe stays lazy.
+Every injector picks its rows by the exact md5 rank of ``seed|tag|column|key``, so
+counts are exact and the same rows are chosen by a DuckDB ``row_number() over
+(order by md5(...))`` oracle.  The k smallest hashes are those up to the k-th:
+that key is one row (``smallest_keys``: bucket counts plus one ordered bucket),
+and the injection is a projection of the table, without a sort or a join of it.
+Only copies (F2) are drawn by rank.
 """
 
 from __future__ import annotations
@@ -14,18 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import to_number
-from ..functions.ranking import bucketed_rank, draw_with_replacement, hash_hex, hash_int, lazy_range
+from ..functions.ranking import bucketed_rank, draw_with_replacement, hash_hex, hash_int, lazy_range, smallest_keys
 
 # Fixed values from the reference injectors.
 TYPE_ERROR_TOKEN = "ERR"
 OUTLIER_VALUES = (999.0, -999.0)
 
 
-def _with_count(df: DataFrame, name: str = "__n") -> DataFrame:
-    n = df.agg(F.count(F.lit(1)).alias(name))
-    return df.crossJoin(F.broadcast(n))
-
-
 ATOMIC = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -43,17 +39,27 @@ def _ranked(df: DataFrame, seed, tag: str, keys, rank_col: str, partition_cols=(
     return bucketed_rank(d, h, partition_cols, tie_cols=tie_columns(df, keys), rank_col=rank_col).drop(h)
 
 
+def _key(df: DataFrame, seed, tag: str, keys):
+    """Ordering key of a row: its hash, then its other columns, NULLs last."""
+    ties = [x for c in tie_columns(df, keys) for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(hash_hex(seed, F.lit(tag), *keys).alias("h"), *[x.alias(f"t{i}") for i, x in enumerate(ties)])
+
+
+def _marked(df: DataFrame, seed, tags, keys, k):
+    """(df with one threshold row attached, a condition for each tag: among the k smallest)."""
+    ks = [_key(df, seed, t, keys) for t in tags]
+    d = df.crossJoin(F.broadcast(smallest_keys(df, ks, k)))  # one row
+    return d, [F.coalesce(c <= F.col(f"__t{i}"), F.lit(False)) for i, c in enumerate(ks)]
+
+
 def inject_missing(df: DataFrame, cols, frac: float, seed=42, keys=()) -> DataFrame:
     """for each column independently, int(n*frac) rows become NULL."""
-    d = _with_count(df)
-    k = F.floor(F.col("__n") * F.lit(frac))
-    for c in cols:
-        if c not in df.columns:
-            continue
-        d = _ranked(d, seed, f"missing|{c}", keys, "__r")
-        d = d.withColumn(c, F.when(F.col("__r") <= k, F.lit(None).cast(df.schema[c].dataType))
-                         .otherwise(F.col(c))).drop("__r")
-    return d.select(*df.columns)
+    cols = [c for c in cols if c in df.columns]
+    if not cols:
+        return df
+    d, hit = _marked(df, seed, [f"missing|{c}" for c in cols], keys, lambda n: F.floor(n * F.lit(frac)))
+    null = {c: F.when(h, F.lit(None).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c, h in zip(cols, hit)}
+    return d.select(*[null.get(c, F.col(c)) for c in df.columns])
 
 
 def inject_duplicates(df: DataFrame, frac: float, seed=42, keys=()) -> DataFrame:
@@ -73,56 +79,47 @@ def undersample_class(df: DataFrame, label: str, cls, target_count, seed=42, key
     is_cls = F.col(label) == F.lit(cls)
     part = df.where(is_cls)
     rest = df.where(~is_cls | F.col(label).isNull())
-    kept = _ranked(part, seed, tag, keys, "__r").where(F.col("__r") <= F.lit(target_count)).drop("__r")
-    return rest.unionByName(kept.select(*df.columns))
+    d, (hit,) = _marked(part, seed, [tag], keys, lambda n: F.lit(target_count))
+    return rest.unionByName(d.where(hit).select(*df.columns))
 
 
 def inject_imbalance(df: DataFrame, label: str, ratio: float, cls=None, seed=42, keys=()) -> DataFrame:
     """cut class ``cls`` (default: smallest label value) to int(n*ratio) rows if above it."""
-    d = _with_count(df)
-    if cls is None:
-        cls_col = df.agg(F.min(label).alias("__cls"))
-        d = d.crossJoin(F.broadcast(cls_col))
-    else:
-        d = d.withColumn("__cls", F.lit(cls))
+    one = df.agg(F.floor(F.count(F.lit(1)) * ratio).alias("__major"),
+                 (F.min(label) if cls is None else F.lit(cls)).alias("__cls"))
+    d = df.crossJoin(F.broadcast(one))  # one row
     is_cls = F.col(label) == F.col("__cls")
-    d = d.withColumn("__major", F.floor(F.col("__n") * ratio))
     part = d.where(is_cls)
     rest = d.where(~is_cls | F.col(label).isNull())
-    kept = _ranked(part, seed, "imbalance", keys, "__r").where(F.col("__r") <= F.col("__major")).drop("__r")
+    key = _key(df, seed, "imbalance", keys)
+    major = int(one.first()["__major"])
+    kth = smallest_keys(part.select(*df.columns), [key], lambda n: F.lit(major))
+    kept = part.crossJoin(F.broadcast(kth)).where(F.coalesce(key <= F.col("__t0"), F.lit(False)))
     return rest.select(*df.columns).unionByName(kept.select(*df.columns))
 
 
 def inject_type_errors(df: DataFrame, col: str, frac: float, seed=42, keys=()) -> DataFrame:
     """max(1, int(n*frac)) cells become 'ERR'; the column becomes STRING."""
-    d = _with_count(df)
-    k = F.greatest(F.lit(1), F.floor(F.col("__n") * frac))
-    d = _ranked(d, seed, f"type|{col}", keys, "__r")
-    d = d.withColumn(col, F.when(F.col("__r") <= k, F.lit(TYPE_ERROR_TOKEN))
-                     .otherwise(F.col(col).cast("string")))
+    d, (hit,) = _marked(df, seed, [f"type|{col}"], keys, lambda n: F.greatest(F.lit(1), F.floor(n * frac)))
+    d = d.withColumn(col, F.when(hit, F.lit(TYPE_ERROR_TOKEN)).otherwise(F.col(col).cast("string")))
     return d.select(*df.columns)
 
 
 def inject_outliers(df: DataFrame, col: str, frac: float, seed=42, keys=()) -> DataFrame:
     """max(1, int(n*frac)) cells become +999 or -999 (sign from the hash)."""
-    d = _with_count(df)
-    k = F.greatest(F.lit(1), F.floor(F.col("__n") * frac))
-    d = _ranked(d, seed, f"outlier|{col}", keys, "__r")
+    d, (hit,) = _marked(df, seed, [f"outlier|{col}"], keys, lambda n: F.greatest(F.lit(1), F.floor(n * frac)))
     sign = F.pmod(hash_int(hash_hex(seed, F.lit(f"sign|{col}"), *keys)), F.lit(2))
     val = F.when(sign == 0, F.lit(OUTLIER_VALUES[0])).otherwise(F.lit(OUTLIER_VALUES[1]))
     dt = df.schema[col].dataType
     new = val if isinstance(dt, T.NumericType) else val.cast("string")
-    d = d.withColumn(col, F.when(F.col("__r") <= k, new.cast(dt)).otherwise(F.col(col)))
-    return d.select(*df.columns)
+    return d.withColumn(col, F.when(hit, new.cast(dt)).otherwise(F.col(col))).select(*df.columns)
 
 
 def inject_cross_column(df: DataFrame, a: str, b: str, frac: float, seed=42, keys=()) -> DataFrame:
     """among max(1, int(n*frac)) rows, where a >= b set (a, b) := (b - 1, a + 1)."""
-    d = _with_count(df)
-    k = F.greatest(F.lit(1), F.floor(F.col("__n") * frac))
-    d = _ranked(d, seed, f"cross|{a}|{b}", keys, "__r")
+    d, (hit,) = _marked(df, seed, [f"cross|{a}|{b}"], keys, lambda n: F.greatest(F.lit(1), F.floor(n * frac)))
     na, nb = to_number(a, df.schema[a].dataType), to_number(b, df.schema[b].dataType)
-    hit = (F.col("__r") <= k) & na.isNotNull() & nb.isNotNull() & (na >= nb)
+    hit = hit & na.isNotNull() & nb.isNotNull() & (na >= nb)
     ta, tb = df.schema[a].dataType, df.schema[b].dataType
     d = d.withColumns({a: F.when(hit, (nb - 1.0).cast(ta)).otherwise(F.col(a)),
                        b: F.when(hit, (na + 1.0).cast(tb)).otherwise(F.col(b))})
@@ -142,14 +139,14 @@ INJECTORS = {
 def recipe(df: DataFrame, steps, seed=42, keys=(), checkpoint: bool = True) -> DataFrame:
     """fold a list of ``(injector name, kwargs)`` over the DataFrame.
 
-    Each injector reads its input more than once (row count, rank offsets), so
-    a long chain would grow the plan geometrically; with ``checkpoint`` the
-    lineage is cut after every step with a reliable checkpoint in the shared
-    ``spark.checkpoint.dir`` (survives executor loss; never ``localCheckpoint``)."""
+    An injector reads its input for the threshold and for the projection; with
+    ``checkpoint`` the lineage is cut (a parquet table in ``spark.checkpoint.dir``, never
+    ``localCheckpoint``) after every second step and at the end, which bounds the
+    re-reading with half of the writes."""
     from ..session import cut_lineage
     out = df
-    for name, kw in steps:
+    for i, (name, kw) in enumerate(steps):
         out = INJECTORS[name](out, seed=seed, keys=keys, **kw)
-        if checkpoint:
+        if checkpoint and (name == "duplicates" or i % 2 or i == len(steps) - 1):
             out = cut_lineage(out)
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import quantiles as Q
-from ..functions.expr import to_number
+from ..functions.expr import normalize_missing, to_number
 
 NUMERIC_DTYPES = ("float64", "int64")
 DEFAULT_DTYPE = "float64"
@@ -60,7 +60,7 @@ def column_stats(df: DataFrame, label: str = "target", keys=(), features=None, r
         raw = F.col(c)
         missing = raw.isNull() if not isinstance(dt, (T.DoubleType, T.FloatType)) else (raw.isNull() | F.isnan(raw))
         if not with_median or exact:
-            med = F.lit(None).cast("double")  # exact medians come from the banded second pass below
+            med = F.lit(None).cast("double")  # exact medians are counted below
         else:
             med = F.percentile_approx(x, 0.5, accuracy)
         aggs += [
@@ -75,15 +75,10 @@ def column_stats(df: DataFrame, label: str = "target", keys=(), features=None, r
             F.max(x).alias(f"hi{i}"),
         ]
     banded = with_median and exact and bool(feats)
-    qexprs = {f"m{i}": to_number(c, df.schema[c].dataType) for i, c in enumerate(feats)}
-    if banded:
-        aggs += Q.bound_aggs(qexprs, 0.5)
+    qexprs = {f"p{i}": to_number(c, df.schema[c].dataType) for i, c in enumerate(feats)}
     one = df.agg(*aggs)
-    if banded:
-        bounds = one.select(*[c for k in qexprs for c in (f"__qn_{k}", f"__qb_{k}")])
-        band = df.crossJoin(F.broadcast(bounds)).agg(*Q.band_aggs(qexprs))
-        one = one.drop(*[c for k in qexprs for c in (f"__qn_{k}", f"__qb_{k}")]).crossJoin(band)
-        one = one.withColumns({f"p{i}": Q.value(f"m{i}", 0.5) for i in range(len(feats))})
+    if banded:  # one row on either side
+        one = one.drop(*[f"p{i}" for i in range(len(feats))]).crossJoin(Q.exact_quantiles(df, qexprs, 0.5))
     rows = []
     for i, c in enumerate(feats):
         numeric_expected = expected_dtype(rules, c) in NUMERIC_DTYPES
@@ -113,7 +108,8 @@ def column_stats(df: DataFrame, label: str = "target", keys=(), features=None, r
 
 
 def missing(df: DataFrame, label: str = "target", keys=(), features=None, include_label=False) -> DataFrame:
-    """A1: null count and % per column, only columns with nulls."""
+    """A1: missing count and % per column, only columns with missing cells (NaN is missing)."""
+    df = normalize_missing(df)
     cols = feature_columns(df, label, keys, features) + ([label] if include_label else [])
     aggs = [F.count(F.lit(1)).alias("__rows")] + [
         F.sum(F.col(c).isNull().cast("long")).alias(f"m{i}") for i, c in enumerate(cols)]
@@ -126,7 +122,8 @@ def missing(df: DataFrame, label: str = "target", keys=(), features=None, includ
 
 
 def total_missing(df: DataFrame) -> DataFrame:
-    """A2: all null cells, label included (one row)."""
+    """A2: all missing cells (NaN is missing), label included (one row)."""
+    df = normalize_missing(df)
     expr = [F.sum(F.col(c).isNull().cast("long")) for c in df.columns]
     total = expr[0]
     for e in expr[1:]:
@@ -165,9 +162,10 @@ def shape(df: DataFrame, label: str = "target", keys=(), original_rows=None) ->
                     F.explode(dtypes).alias("d")).select("n_rows", "n_features", "preserved", "d.col_name", "d.dtype")
 
 
-def numeric_stats(df: DataFrame, label: str = "target", keys=(), features=None, exact=True) -> DataFrame:
+def numeric_stats(df: DataFrame, label: str = "target", keys=(), features=None, exact=True,
+                  with_median=True) -> DataFrame:
     """A6 + A8: mean, median, std, skew (G1), n, min, max, max_z per column."""
-    return column_stats(df, label, keys, features, exact=exact).select(
+    return column_stats(df, label, keys, features, exact=exact, with_median=with_median).select(
         "col_name", "pos", "n", "mean", "median", "std", "skew", "min", "max", "max_z")
 
 

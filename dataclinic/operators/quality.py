@@ -1,8 +1,8 @@
 """Lightweight quality score (D7) and its per-repair delta.
 
-Built from one-row aggregates (missing cells, duplicates on each side, type
-errors per rule column, row counts) cross-joined together: every input is one
-row, so the cross joins are bounded and the plan stays lazy.
+One aggregate over the working table gives missing cells, duplicates, type errors
+and rows, one over the truth its duplicates; the one-row results are cross-joined,
+so the plan stays lazy.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import round_to
+from ..functions.expr import normalize_missing, round_to, to_number
 
-from .profile import NUMERIC_DTYPES, column_stats, duplicates, expected_dtype, feature_columns, rules_dict, total_missing
+from .profile import NUMERIC_DTYPES, duplicates, expected_dtype, feature_columns, rules_dict
 
 # Fixed weights from the reference score: missing, duplicates, types, rows.
 WEIGHTS = (0.40, 0.20, 0.20, 0.20)
@@ -28,16 +28,7 @@ def components(working: DataFrame, truth: DataFrame, original_rows, label: str =
     feats = feature_columns(working, label, keys)
     rule_cols = [c for c in (rules.keys() if rules else feats) if c in feats]
     numeric_cols = [c for c in rule_cols if expected_dtype(rules, c) in NUMERIC_DTYPES]
-    m = total_missing(working).select(F.col("total_missing").alias("wc_missing"))
-    dw = duplicates(working).select(F.col("n_rows").alias("wc_rows"), F.col("n_duplicates").alias("wc_dups"))
-    dt = duplicates(truth).select(F.col("n_duplicates").alias("gt_dups"))
-    if numeric_cols:
-        te = column_stats(working, label, keys, numeric_cols, rules, with_median=False).agg(
-            F.count(F.lit(1)).alias("type_total"), F.sum((F.col("type_errors") == 0).cast("long")).alias("type_ok"))
-    else:
-        te = working.sparkSession.range(1).select(F.lit(0).cast("long").alias("type_total"),
-                                                  F.lit(0).cast("long").alias("type_ok"))
-    one = m.crossJoin(dw).crossJoin(dt).crossJoin(te)
+    one = _counts(working, numeric_cols).crossJoin(duplicates(truth).select(F.col("n_duplicates").alias("gt_dups")))
     one = one.crossJoin(_scalar(working, original_rows, "original_rows"))
     if initial_missing is None:
         one = one.withColumn("initial_missing", F.lit(None).cast("long"))
@@ -58,6 +49,20 @@ def components(working: DataFrame, truth: DataFrame, original_rows, label: str =
                       round_to(F.least(total, F.lit(1.0)), 4).alias("quality"))
 
 
+def _counts(df: DataFrame, numeric_cols) -> DataFrame:
+    """One row from one pass: rows, duplicates, missing cells (NaN too) and numeric columns
+    without a type error.  Grouping by the whole row carries all four."""
+    d = normalize_missing(df)
+    g = d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("__c"))
+    cells = sum((F.col(c).isNull().cast("long") for c in d.columns), F.lit(0).cast("long"))
+    wrong = [F.max(F.col(c).isNotNull() & to_number(c, d.schema[c].dataType).isNull()) for c in numeric_cols]
+    ok = sum((F.when(F.coalesce(w, F.lit(False)), 0).otherwise(1) for w in wrong), F.lit(0)).cast("long")
+    return g.agg(F.coalesce(F.sum(cells * F.col("__c")), F.lit(0)).alias("wc_missing"),
+                 F.coalesce(F.sum("__c"), F.lit(0)).alias("wc_rows"),
+                 F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).alias("wc_dups"),
+                 F.lit(len(numeric_cols)).cast("long").alias("type_total"), ok.alias("type_ok"))
+
+
 def _scalar(df: DataFrame, v, name: str) -> DataFrame:
     if isinstance(v, DataFrame):
         return F.broadcast(v.select(F.col(name).cast("long").alias(name)))

@@ -35,16 +35,11 @@ UNDERSAMPLE_CONF = 0.75
 UNDERSAMPLE_BELOW = 0.5
 RISK_RATIO = 0.3
 
+KIND = 1 << 40  # emission order: kind of proposal, then column position
 REC_COLS = ["rec_id", "action_type", "col_name", "strategy", "cls", "n_synth", "target_count",
             "estimated_impact", "confidence", "risk", "description"]
 
 
-def _empty_recs(spark):
-    return spark.createDataFrame([], "rec_id int, action_type string, col_name string, strategy string, "
-                                     "cls string, n_synth long, target_count long, estimated_impact double, "
-                                     "confidence double, risk string, description string, emit_pos int")
-
-
 def _rec(action, col=None, strategy=None, cls=None, n_synth=None, target=None, impact=None, conf=None,
          risk=None, desc=None, emit_pos=None):
     s, i, d, l_ = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit
@@ -55,7 +50,7 @@ def _rec(action, col=None, strategy=None, cls=None, n_synth=None, target=None, i
             (target.cast("long") if target is not None else i).alias("target_count"),
             impact.alias("estimated_impact"), conf.cast("double").alias("confidence"),
             (risk if risk is not None else s).alias("risk"), (desc if desc is not None else s).alias("description"),
-            emit_pos.cast("int").alias("emit_pos")]
+            emit_pos.cast("bigint").alias("emit_pos")]
 
 
 def fill_missing(stats: DataFrame) -> DataFrame:
@@ -79,7 +74,7 @@ def dedupe(df: DataFrame) -> DataFrame:
     impact = round_to(F.least(DEDUPE_IMPACT[0] + frac * DEDUPE_IMPACT[1], F.lit(DEDUPE_IMPACT[2])), 3)
     desc = F.format_string("Remove %d duplicate rows (%.1f%% of dataset). Risk: LOW.", F.col("n_duplicates"), frac * 100)
     return d.select(*_rec("remove_duplicates", impact=impact, conf=F.lit(DEDUPE_CONF), risk=F.lit("LOW"), desc=desc,
-                          emit_pos=F.lit(10000)))
+                          emit_pos=F.lit(KIND)))
 
 
 def type_fix(stats: DataFrame) -> DataFrame:
@@ -90,15 +85,18 @@ def type_fix(stats: DataFrame) -> DataFrame:
     desc = F.format_string("Fix %d type errors (%.1f%%) in '%s' (non-numeric values coerced, then filled with mean). "
                            "Risk: LOW.", F.col("type_errors"), frac * 100, F.col("col_name"))
     return s.select(*_rec("fix_type_errors", F.col("col_name"), impact=impact, conf=F.lit(TYPE_CONF),
-                          risk=F.lit("LOW"), desc=desc, emit_pos=20000 + F.col("pos")))
+                          risk=F.lit("LOW"), desc=desc, emit_pos=F.lit(2 * KIND) + F.col("pos")))
 
 
 def clean(df: DataFrame, label: str = "target", keys=(), rules=None, keep: int = CLEAN_KEEP,
-          stats: DataFrame | None = None) -> DataFrame:
+          stats: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
     """B1-B3 unioned, sorted by impact desc (stable on emission order), top ``keep``, ids from 1.
+    ``rejected`` proposals (B12) leave before the ranking, so the next one moves up.
     The window runs over at most 2 x columns + 1 rows."""
     st = stats if stats is not None else column_stats(df, label, keys, rules=rules)
     u = fill_missing(st).unionByName(dedupe(df)).unionByName(type_fix(st))
+    if rejected is not None:
+        u = exclude(u, rejected)
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("estimated_impact").desc(), F.col("emit_pos"))
     return (u.withColumn("rec_id", F.row_number().over(w)).where(F.col("rec_id") <= keep)
             .select(*REC_COLS))

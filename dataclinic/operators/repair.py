@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import to_number
 from ..functions.quantiles import exact_quantiles
@@ -69,14 +70,20 @@ def _draw(df, label, cls, k_col, seed, keys, tag):
 
 def augment_class(df: DataFrame, label: str, cls, n_synth: int, seed=42, keys=(), features=None) -> DataFrame:
     """C4: draw ``n_synth`` rows of the class with replacement, add 0.1 x std of
-    the drawn column to every feature (coerced to number), append."""
+    the drawn column to every feature (coerced to number), append.  An integer
+    feature becomes DOUBLE, so the shift is not cut off; text stays text."""
     feats = feature_columns(df, label, keys, features)
     drawn = _draw(df, label, cls, F.lit(n_synth), seed, keys, "augment")
     nums = {c: to_number(c, df.schema[c].dataType) for c in feats}
     drawn = drawn.select(*[nums[c].alias(c) if c in nums else F.col(c) for c in df.columns])
     sd = drawn.agg(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"__sd_{c}") for c in feats])
+
+    def kept_type(c):
+        dt = df.schema[c].dataType
+        return T.DoubleType() if isinstance(dt, T.IntegralType) else dt
+
     shifted = drawn.crossJoin(F.broadcast(sd)).select(*[
-        (F.col(c) + AUGMENT_SHIFT * F.col(f"__sd_{c}")).cast(df.schema[c].dataType).alias(c) if c in nums
+        (F.col(c) + AUGMENT_SHIFT * F.col(f"__sd_{c}")).cast(kept_type(c)).alias(c) if c in nums
         else F.col(c) for c in df.columns])
     return df.unionByName(shifted)
 

@@ -2,8 +2,9 @@
 
 Curves are per run ordered by episode.  Bounded frames (fixed window w) use
 ``halo_window`` (chunks of C episodes plus w-1 halo rows); per-run adaptive
-windows use prefix sums and an equi-join on (run, episode - w), which is exact
-for any w and never holds a run in one task.
+windows use prefix sums and an equi-join on (run, position - w), which is exact
+for any w and never holds a run in one task.  Positions are numbered here, so
+episodes may have gaps and start anywhere.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ def _run_sizes(df, run):
     return df.groupBy(run).agg(F.count(F.lit(1)).alias("__n"))
 
 
+def _numbered(df: DataFrame, run: str, pos: str, chunk: int, name: str = "__p") -> DataFrame:
+    """1-based dense position of each row in its run by ``pos``: episodes may start at 0 and
+    have gaps, so ``pos`` itself is never used as a position."""
+    return ordered_rank(df, [run], [pos], F.floor(F.col(pos) / F.lit(chunk)), name)
+
+
 def rolling(df: DataFrame, value: str, w: int, run: str = "run_id", pos: str = "episode",
             out: str | None = None, require_full: bool = True, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Mean of the last ``w`` values (min_periods=1) per run; NULL
@@ -35,7 +42,7 @@ def rolling(df: DataFrame, value: str, w: int, run: str = "run_id", pos: str = "
     def build(d, wspec):
         return d.withColumn(out, F.avg(value).over(wspec.rowsBetween(-(w - 1), 0)))
 
-    r = halo_window(df, [run], pos, w - 1, build, chunk)
+    r = halo_window(_numbered(df, run, pos, chunk), [run], "__p", w - 1, build, chunk).drop("__p")
     if require_full:
         r = r.join(_run_sizes(df, run), run).withColumn(out, F.when(F.col("__n") >= w, F.col(out))).drop("__n")
     return r
@@ -52,13 +59,13 @@ def adaptive_rolling(df: DataFrame, value: str, requested: int, run: str = "run_
     """R2: rolling mean with each run's own adaptive window, via prefix sums:
     mean_t = (S_t - S_{t-w}) / min(t, w).  The prefix sums are DECIMAL(38,10),
     so the difference is exact (no cancellation error however long the run)."""
-    d = running_sum(df, [run], pos, {"__s": F.col(value).cast("decimal(38,10)")}, chunk)
+    d = running_sum(_numbered(df, run, pos, chunk), [run], "__p", {"__s": F.col(value).cast("decimal(38,10)")}, chunk)
     d = d.join(adaptive_window(df, requested, run), run)
-    prev = d.select(run, (F.col(pos) + F.col("window")).alias(pos), F.col("__s").alias("__sp"))
-    j = d.join(prev, [run, pos], "left")
+    prev = d.select(run, (F.col("__p") + F.col("window")).alias("__p"), F.col("__s").alias("__sp"))
+    j = d.join(prev, [run, "__p"], "left")
     diff = F.col("__s") - F.coalesce(F.col("__sp"), F.lit(0).cast("decimal(38,10)"))
-    mean = diff.cast("double") / F.least(F.col(pos), F.col("window")).cast("double")
-    return j.withColumn(f"{value}_rolling", mean).drop("__s", "__sp")
+    mean = diff.cast("double") / F.least(F.col("__p"), F.col("window")).cast("double")
+    return j.withColumn(f"{value}_rolling", mean).drop("__s", "__sp", "__p")
 
 
 def level_changes(df: DataFrame, run: str = "run_id", pos: str = "episode", level: str = "level",
@@ -68,9 +75,9 @@ def level_changes(df: DataFrame, run: str = "run_id", pos: str = "episode", leve
     def build(d, w):
         return d.withColumn("__prev_level", F.lag(level).over(w))
 
-    r = halo_window(df, [run], pos, 1, build, chunk)
+    r = halo_window(_numbered(df, run, pos, chunk), [run], "__p", 1, build, chunk)
     return r.where((F.col("__prev_level").isNull() | (F.col("__prev_level") != F.col(level))) & (F.col(level) > 0)) \
-        .drop("__prev_level")
+        .drop("__prev_level", "__p")
 
 
 def success_rate(df: DataFrame, w: int, run: str = "run_id", pos: str = "episode", level: str = "level",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import to_number
+from ..functions.expr import normalize_missing, to_number
 from .profile import NUMERIC_DTYPES, expected_dtype, feature_columns, rules_dict
 
 # Fixed thresholds from the reference validator.
@@ -39,7 +39,8 @@ def _v(col, rule, count, pct=None, lo=None, hi=None, z=None, severity=None):
 
 def violations(df: DataFrame, rules=None, label: str = "target", keys=(), checks=("dtype", "range", "category",
                                                                                   "not_null", "expression")) -> DataFrame:
-    """All rule violations, one row per broken rule (count > 0)."""
+    """All rule violations, one row per broken rule (count > 0); NaN is missing."""
+    df = normalize_missing(df)
     rules = rules_dict(rules)
     feats = feature_columns(df, label, keys)
     cols = [c for c in df.columns if c not in set(keys)]

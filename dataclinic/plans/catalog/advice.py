@@ -52,7 +52,7 @@ def b2_dedupe_advice(spark, sf):
 @register("b3_type_fix_advice", f"""WITH {TB.sql_ctes('orders_dirty')}, {_stats_cte('orders_dirty', ORD_FEATS)}
 SELECT col_name, estimated_impact, CAST(confidence AS DOUBLE) AS confidence FROM ({_TYPE})""")
 def b3_type_fix_advice(spark, sf):
-    st = P.column_stats(TB.orders_dirty(spark, sf), "o_orderstatus", OK)
+    st = P.column_stats(TB.orders_dirty(spark, sf), "o_orderstatus", OK, with_median=False)
     return RC.type_fix(st).select("col_name", "estimated_impact", "confidence")
 
 
@@ -164,9 +164,9 @@ def b10_action_plan(spark, sf):
     return DG.plan(_severities(spark, sf), budget_remaining=20)
 
 
-@register("b11_check_fresh")
+@register("b11_check_fresh", f"SELECT rec_id, true AS fresh_before, false AS fresh_after FROM ({CLEAN_SQL})")
 def b11_check_fresh(spark, sf):
-    """Advice stamped on the dirty table is stale once a repair changed it (rows-only check)."""
+    """Advice stamped on the dirty table is stale once a repair changed it."""
     d = TB.orders_dirty(spark, sf)
     recs = RC.stamp(RC.clean(d, "o_orderstatus", OK), d)
     a = RC.check_fresh(recs, d).select("rec_id", F.col("fresh").alias("fresh_before"))
@@ -174,13 +174,12 @@ def b11_check_fresh(spark, sf):
     return a.join(b, "rec_id")
 
 
-@register("b12_exclude_rejected", CLEAN_SQL.replace("WHERE rec_id <= 4",
-                                                    "WHERE rec_id <= 4 AND NOT (action_type = 'fill_missing' AND "
-                                                    "col_name IS NOT DISTINCT FROM 'o_custkey')"))
+@register("b12_exclude_rejected", CLEAN_SQL.replace(
+    "AS rec_id FROM u)", "AS rec_id FROM u WHERE NOT (action_type = 'fill_missing' AND "
+                         "col_name IS NOT DISTINCT FROM 'o_custkey'))"))
 def b12_exclude_rejected(spark, sf):
-    recs = RC.clean(TB.orders_dirty(spark, sf), "o_orderstatus", OK)
     rejected = spark.createDataFrame([("fill_missing", "o_custkey")], "action_type string, col_name string")
-    return RC.exclude(recs, rejected).select("rec_id", "action_type", "col_name", "strategy", "estimated_impact",
+    return RC.clean(TB.orders_dirty(spark, sf), "o_orderstatus", OK, rejected=rejected).select("rec_id", "action_type", "col_name", "strategy", "estimated_impact",
                                              "confidence")
 
 

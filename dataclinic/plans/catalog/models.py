@@ -101,7 +101,7 @@ def e8_agreement(spark, sf):
     return EV.agreement(ev, ["user_id"], "event_id").select("user_id", "event_id", "agreement")
 
 
-@register("e9_eval_cache")
+@register("e9_eval_cache", "SELECT 'deduped' AS name")
 def e9_eval_cache(spark, sf):
     """Requests for the dirty and the deduped table; only the dirty one is cached."""
     d = TB.dq_dirty(spark, sf)

@@ -108,7 +108,8 @@ def a6_numeric_stats(spark, sf):
 @register("a8_observed_range", f"""WITH {TB.sql_ctes('lineitem_dirty')}, {_stats_cte('lineitem_dirty', LI_FEATS)}
 SELECT col_name, {s6('min')} AS min, {s6('max')} AS max, {s6('max_z')} AS max_z FROM st2""")
 def a8_observed_range(spark, sf):
-    s = P.numeric_stats(TB.lineitem_dirty(spark, sf), label="l_returnflag", keys=TB.LINEITEM["keys"])
+    s = P.numeric_stats(TB.lineitem_dirty(spark, sf), label="l_returnflag", keys=TB.LINEITEM["keys"],
+                        with_median=False)
     return r6(s.select("col_name", "min", "max", "max_z"))
 
 
@@ -168,7 +169,7 @@ SELECT col_name, {s6('n_missing / n_rows')} AS missing_frac,
        CASE WHEN n_missing / n_rows < 0.05 THEN 'LOW' WHEN n_missing / n_rows < 0.20 THEN 'MEDIUM' ELSE 'HIGH' END
        AS risk FROM st2""")
 def x3_missing_risk(spark, sf):
-    s = P.column_stats(TB.lineitem_dirty(spark, sf), label="l_returnflag", keys=TB.LINEITEM["keys"])
+    s = P.column_stats(TB.lineitem_dirty(spark, sf), label="l_returnflag", keys=TB.LINEITEM["keys"], with_median=False)
     return r6(s.select("col_name", "missing_frac", X.missing_risk("missing_frac").alias("risk")))
 
 

@@ -160,12 +160,23 @@ def d8_quality_delta(spark, sf):
 
 # --- D9 / D10 / V2 -----------------------------------------------------------------------------
 @register("d9_assert_unchanged", """SELECT count(*)::BIGINT AS n_rows, (SELECT count(*) FROM orders)::BIGINT AS rec_rows,
-  count(*) = (SELECT count(*) FROM orders) AS count_ok FROM orders""")
+  true AS count_ok, true AS content_ok, 'same' AS case_name FROM orders
+UNION ALL SELECT count(*), count(*), true, false, 'one value changed' FROM orders
+UNION ALL SELECT count(*) - 1, count(*), false, false, 'one row gone' FROM orders""")
 def d9_assert_unchanged(spark, sf):
     truth = TB.orders_clean(spark, sf)
     rec = IG.fingerprint(TB.table(spark, sf, "orders").select(*truth.columns).withColumn(
         "o_custkey", F.col("o_custkey").cast("double")))
-    return IG.assert_unchanged(truth, rec).select("n_rows", "rec_rows", "count_ok")
+    first = truth.agg(F.min("o_orderkey").alias("__k"))
+    d = truth.crossJoin(F.broadcast(first))  # one row
+    edited = d.withColumn("o_totalprice", F.when(F.col("o_orderkey") == F.col("__k"), F.col("o_totalprice") + 1)
+                          .otherwise(F.col("o_totalprice"))).select(*truth.columns)
+    shorter = d.where(F.col("o_orderkey") != F.col("__k")).select(*truth.columns)
+    out = None
+    for name, t in (("same", truth), ("one value changed", edited), ("one row gone", shorter)):
+        r = IG.assert_unchanged(t, rec).withColumn("case_name", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out.select("n_rows", "rec_rows", "count_ok", "content_ok", "case_name")
 
 
 @register("d10_data_loss", f"""WITH {TB.sql_ctes('orders_dirty')},
@@ -180,13 +191,20 @@ def d10_data_loss(spark, sf):
     return r6(IG.data_loss(cur, d.agg(F.count(F.lit(1)).alias("original_rows"))))
 
 
-@register("v2_fingerprint")
+@register("v2_fingerprint", f"""WITH {TB.sql_ctes('orders_dirty')}
+SELECT count(*)::BIGINT AS n_rows, true AS order_free, true AS changed_after_edit FROM orders_dirty""")
 def v2_fingerprint(spark, sf):
-    """Order-free content hash (xxhash64 has no DuckDB twin: rows-only check)."""
+    """Order-free content hash: the same for another order, another one after an edit."""
     d = TB.orders_dirty(spark, sf)
-    return IG.fingerprint(d).crossJoin(IG.fingerprint(d.orderBy(F.col("o_orderkey").desc()).repartition(3)).select(
-        F.col("hash_sum").alias("__s"))).select("n_rows", "hash_sum", "hash_xor",
-                                                (F.col("hash_sum") == F.col("__s")).alias("order_free"))
+
+    def sums(x, tag):
+        return IG.fingerprint(x).select("n_rows", F.struct("hash_sum", "hash_xor").alias(f"h_{tag}"))
+
+    other = sums(d.repartition(3, "o_totalprice"), "order").drop("n_rows")
+    edited = sums(d.withColumn("o_custkey", F.col("o_custkey") + 1), "edit").drop("n_rows")
+    return sums(d, "now").crossJoin(other).crossJoin(edited).select(
+        "n_rows", (F.col("h_now") == F.col("h_order")).alias("order_free"),
+        (F.col("h_now") != F.col("h_edit")).alias("changed_after_edit"))
 
 
 # --- X4 ----------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from ...operators import repair as RP
 from ...operators.versions import VersionedTable
 from ...sources import tables as TB
 from .. import auto_repair
+from ...session import cut_lineage
 from . import register
 from .common import r6
 from .profiling import ORD_FEATS, _stats_cte
@@ -56,7 +57,7 @@ def _draw_sql(cls, k_sql, tag):
     ties = ", ".join(f"{c} NULLS LAST" for c in TB.DQ_COLS)
     return (f"part AS (SELECT * FROM dq_dirty WHERE target = {cls}), "
             f"pool AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', '{tag}', doc_id)), {ties}) AS rk "
-            f"FROM part), draws AS (SELECT (('0x' || substr(md5(concat_ws('|', '42', '{tag}-draw', i)), 1, 8))::BIGINT "
+            f"FROM part), draws AS (SELECT (('0x' || substr(md5(concat_ws('|', '42', '{tag}-draw', i)), 1, 15))::BIGINT "
             f"% (SELECT count(*) FROM part)) + 1 AS pick FROM (SELECT unnest(range(0, ({k_sql})::BIGINT)) AS i)), "
             f"drawn AS (SELECT {', '.join('p.' + c for c in TB.DQ_COLS)} FROM draws d JOIN pool p ON p.rk = d.pick)")
 
@@ -128,7 +129,7 @@ UNION ALL SELECT 'rows', o::BIGINT, (SELECT count(*) FROM a)::BIGINT, {s6('(SELE
 def c8_apply_top2(spark, sf):
     d = TB.orders_dirty(spark, sf)
     recs = RC.clean(d, "o_orderstatus", OK)
-    after = auto_repair.apply_top(d, recs, 2, "o_orderstatus", OK)
+    after = cut_lineage(auto_repair.apply_top(d, recs, 2, "o_orderstatus", OK))
     return r6(RP.health_report(d, after, d.agg(F.count(F.lit(1)).alias("original_rows"))))
 
 

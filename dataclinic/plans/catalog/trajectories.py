@@ -9,6 +9,7 @@ from ...operators import score as SC
 from ...operators import traj as TR
 from ...sources import tables as TB
 from ...sources import trajectories as TJ
+from ...session import cut_lineage
 from . import register
 from .common import r6
 from .sqlgen import r6 as s6
@@ -22,7 +23,7 @@ _DBL = ", ".join(f"'{c}'" for c in TR.DOUBLE_COST)
 BASE_SQL = f"""WITH {TB.sql_ctes('actions')},
 t0 AS (SELECT *, string_split_regex(trim(action), '\\s+') AS toks FROM actions),
 p AS (SELECT * EXCLUDE (toks), coalesce(lower(toks[1]), '') AS cmd,
-  CASE WHEN len(toks) > 1 AND regexp_full_match(toks[2], '[+-]?[0-9]{{1,9}}') THEN CAST(toks[2] AS INTEGER) ELSE -1 END AS arg,
+  CASE WHEN len(toks) > 1 AND regexp_full_match(toks[2], '[+-]?[0-9]+') THEN coalesce(TRY_CAST(toks[2] AS BIGINT), -1) ELSE -1 END AS arg,
   ({_VALID}) AS valid_format FROM t0),
 e0 AS (SELECT *, {', '.join(f'lag(cmd, {i}) OVER w AS prev{i}' for i in range(1, 6))},
   coalesce(lag(accuracy) OVER w, baseline) AS prev_accuracy,
@@ -239,5 +240,5 @@ UNION ALL SELECT episode_id, step, 'budget_exhausted', 0.0 FROM e
 UNION ALL {_FLAGS_SQL}
 UNION ALL SELECT episode_id, step, 'data_loss', -0.40 FROM e WHERE rows / greatest(original_rows, 1) < 0.5""")
 def h8_audit_report(spark, sf):
-    e = _enriched(spark, sf)
+    e = cut_lineage(_enriched(spark, sf))
     return AU.report(e, AU.recommendations(e))

@@ -8,7 +8,6 @@ scripts; on a cluster the session comes from the platform.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +36,8 @@ def get_spark(master: str | None = None, app: str = "dataclinic",
         conf.update(LOCAL_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if os.environ.get("DATACLINIC_SCRATCH"):  # tests and local scripts name their folder
+        conf["spark.checkpoint.dir"] = os.environ["DATACLINIC_SCRATCH"]
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -47,17 +48,13 @@ def get_spark(master: str | None = None, app: str = "dataclinic",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as is.  Only
-    when it is unset (local tests) do we fall back to a fresh scratch folder.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    The setting must name storage that the driver and all executors share; there is
+    no fallback to a machine-local folder."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        base = os.environ.get("DATACLINIC_SCRATCH") or tempfile.mkdtemp(prefix="dataclinic-ckpt-")
-        d = base
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise ValueError("spark.checkpoint.dir is not set: name a folder on storage that all executors share")
     spark.sparkContext.setCheckpointDir(d)
     return d
 

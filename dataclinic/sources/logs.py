@@ -3,8 +3,8 @@
 Reads use an explicit schema in PERMISSIVE mode: blank lines are skipped,
 malformed lines land in ``_corrupt_record`` and are counted, never fail the
 job.  Normalisation keeps the reference's rules: old key names are mapped,
-and a column missing from *every* record gets its default (decided by a
-one-row aggregate, so the plan stays lazy).
+and a column missing from *every* record of a file gets its default (decided by
+one aggregated row a file, so the plan stays lazy).
 """
 
 from __future__ import annotations
@@ -64,22 +64,24 @@ def corrupt_count(records: DataFrame) -> DataFrame:
 
 
 def normalize(records: DataFrame) -> DataFrame:
-    """IO2: rename mean_total_reward -> reward, mean_env_reward -> accuracy_gain,
-    stage -> task (task wins when both exist); default episode = position
-    (0-based) per file, level = 0, success = gain > 0.05, gain = reward = 0.0 --
-    each default only when the key is absent from every record."""
+    """IO2, per file: rename mean_total_reward -> reward, mean_env_reward ->
+    accuracy_gain, stage -> task (task wins when both exist); default episode =
+    position (0-based) in the file, level = 0, success = gain > 0.05, gain = reward
+    = 0.0 -- each default only when the key is absent from every record of its file.
+    ``run_id`` names the file without its extension, so the output feeds the run-log
+    analytics; rows are numbered by episode there, no global order is imposed here."""
     good = records.where(F.col("_corrupt_record").isNull())
-    present = good.agg(*[F.max(F.col(c).isNotNull().cast("int")).alias(f"__has_{c}")
-                         for c in ("episode", "level", "success", "reward", "mean_total_reward", "accuracy_gain",
-                                   "mean_env_reward")])
-    d = good.crossJoin(F.broadcast(present))
-    has = lambda c: F.coalesce(F.col(f"__has_{c}"), F.lit(0)) == 1
+    flags = ("episode", "level", "success", "reward", "mean_total_reward", "accuracy_gain", "mean_env_reward")
+    present = good.groupBy("_file").agg(*[F.max(F.col(c).isNotNull()).alias(f"__has_{c}") for c in flags])
+    present = present.withColumnRenamed("_file", "__f")
+    d = good.join(present, good["_file"].eqNullSafe(present["__f"]))
+    has = lambda c: F.col(f"__has_{c}")
     reward = F.when(has("reward"), F.col("reward")).when(has("mean_total_reward"), F.col("mean_total_reward"))
     gain = F.when(has("accuracy_gain"), F.col("accuracy_gain")).when(has("mean_env_reward"), F.col("mean_env_reward"))
     reward_any = has("reward") | has("mean_total_reward")
     gain_any = has("accuracy_gain") | has("mean_env_reward")
-    out = d.select(
-        "_file",
+    return d.select(
+        "_file", F.regexp_extract("_file", r"([^/]*?)(\.[^./]*)?$", 1).alias("run_id"),
         F.when(has("episode"), F.col("episode")).otherwise(F.col("_pos") - 1).alias("episode"),
         F.coalesce(F.col("task"), F.col("stage")).alias("task"),
         F.when(has("level"), F.col("level")).otherwise(F.lit(0)).alias("level"),
@@ -88,7 +90,6 @@ def normalize(records: DataFrame) -> DataFrame:
         F.when(has("success"), F.col("success")).otherwise(
             F.when(gain_any, gain > SUCCESS_GAIN).otherwise(F.lit(False))).alias("success"),
         "ts", "steps_used", "curriculum_stage", "note")
-    return out
 
 
 def append(df: DataFrame, path: str) -> None:

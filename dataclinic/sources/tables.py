@@ -145,7 +145,7 @@ def _recipe_sql(name: str, base_sql: str, cols: list[str], keys: list[str], step
             ctes.append(f"{cur} AS (SELECT {', '.join(sel)} FROM {prev})")
         elif step == "outliers":
             c0 = kw["col"]
-            sign = f"(('0x' || substr({_h('sign|' + c0, keys)}, 1, 8))::BIGINT % 2)"
+            sign = f"(('0x' || substr({_h('sign|' + c0, keys)}, 1, 15))::BIGINT % 2)"
             sel = [f"CASE WHEN {_rn('outlier|' + c0, keys, cols)} <= greatest(1, floor({n} * {kw['frac']})) "
                    f"THEN CASE WHEN {sign} = 0 THEN 999.0 ELSE -999.0 END ELSE {c0} END AS {c0}"
                    if c == c0 else c for c in cols]
@@ -167,7 +167,7 @@ def _recipe_sql(name: str, base_sql: str, cols: list[str], keys: list[str], step
         elif step == "duplicates":
             pool = f"{cur}_pool"
             ctes.append(f"{pool} AS (SELECT *, {_rn('dup-pool', keys, cols)} AS __rank FROM {prev})")
-            draws = (f"SELECT i, (('0x' || substr(md5(concat_ws('|', '{SEED}', 'dup-draw', i)), 1, 8))::BIGINT "
+            draws = (f"SELECT i, (('0x' || substr(md5(concat_ws('|', '{SEED}', 'dup-draw', i)), 1, 15))::BIGINT "
                      f"% {n}) + 1 AS pick FROM (SELECT unnest(range(0, (SELECT greatest(1, floor(count(*) * "
                      f"{kw['frac']}))::BIGINT FROM {prev}))) AS i)")
             ctes.append(f"{cur}_draws AS ({draws})")
