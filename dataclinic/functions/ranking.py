@@ -107,20 +107,24 @@ def draw_with_replacement(pool: DataFrame, draws: DataFrame, seed, tag: str,
     return out.drop("__pick", index_col)
 
 
-def select_smallest(df: DataFrame, order_col: str, k: Column, partition_cols=(), tie_cols=(),
+def select_smallest(df: DataFrame, order_col: str, k, partition_cols=(), tie_cols=(),
                     flag: str = "__sel", digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
     """Adds ``flag`` = (exact rank by (order_col, tie_cols) within the group <= k),
     the same rows as ``row_number() <= k``, without sorting the table.
 
-    ``k`` is a Column that is constant within a group.  Per-bucket counts (one
+    ``k`` is a Column that is constant within a group, or a function of the group's row
+    count (a Column).  Per-bucket counts (one
     aggregate) classify every hash bucket as wholly inside the first k rows,
     wholly outside, or the single boundary bucket of its group; only rows of
     boundary buckets (about n / 16**digits per group) are ranked by a window."""
     pcols = list(partition_cols)
     b = "__sbucket"
-    d0 = df.withColumn(b, F.substring(F.col(order_col), 1, digits)).withColumn("__sk", k)
+    of_count = not isinstance(k, Column)
+    d0 = df.withColumn(b, F.substring(F.col(order_col), 1, digits)).withColumn("__sk", F.lit(None) if of_count else k)
     cnt = d0.groupBy(*pcols, b).agg(F.count(F.lit(1)).alias("__sn"), F.first("__sk").alias("__sk"))
     grp = pcols if pcols else [F.lit(0)]
+    if of_count:
+        cnt = cnt.withColumn("__sk", k(F.sum("__sn").over(Window.partitionBy(*grp))))
     w = Window.partitionBy(*grp).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     cum = cnt.withColumn("__sbefore", F.coalesce(F.sum("__sn").over(w), F.lit(0)))
     status = cum.select(*pcols, b, F.when(F.col("__sbefore") + F.col("__sn") <= F.col("__sk"), F.lit(1))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.expr import round_to
 
 from ..functions.expr import to_number
+from ..functions.sequence import DEFAULT_CHUNK, halo_window, ordered_rank
 from ..functions.ranking import hash_hex, select_smallest
 from .integrity import fingerprint
 from .profile import feature_columns
@@ -39,6 +40,9 @@ AGREEMENT = {
 }
 
 
+MAX_DEPTH = 10  # the reference has no limit; MLlib allows up to 30
+
+
 def label_index(working: DataFrame, truth: DataFrame, label: str) -> DataFrame | None:
     """Non-numeric labels -> 0..k-1 by sorted value (one row per class: a tiny table).
     None when the label is already numeric."""
@@ -65,15 +69,14 @@ def stratified_split(truth: DataFrame, label: str, keys, test_size: float = TEST
     """Exact per-class holdout: rows whose md5 rank within their class is
     <= round(test_size x class count).  Adds ``is_test``."""
     d = truth.withColumn("__h", hash_hex(seed, F.lit("holdout"), *keys))
-    cnt = truth.groupBy(label).agg(F.count(F.lit(1)).alias("__cn"))
-    d = d.join(cnt, label)
-    r = select_smallest(d, "__h", round_to(F.col("__cn") * test_size, 0), [label], list(keys), "is_test")
-    return r.drop("__h", "__cn")
+    d = d.where(F.col(label).isNotNull())
+    r = select_smallest(d, "__h", lambda n: round_to(n * test_size, 0), [label], list(keys), "is_test")
+    return r.drop("__h")
 
 
-def _models(features, n_trees, seed, reg):
+def _models(features, n_trees, seed, reg, max_depth):
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=n_trees, seed=seed, maxDepth=10,
+    rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=n_trees, seed=seed, maxDepth=max_depth,
                                 predictionCol="rf_pred", probabilityCol="rf_prob", rawPredictionCol="rf_raw")
     lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=LR_MAX_ITER, regParam=reg,
                             standardization=False, predictionCol="lr_pred", probabilityCol="lr_prob",
@@ -82,12 +85,12 @@ def _models(features, n_trees, seed, reg):
 
 
 def run(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), fast: bool = True, seed=42,
-        exclude_holdout_keys: bool = True):
+        exclude_holdout_keys: bool = True, max_depth: int = MAX_DEPTH):
     """Returns (predictions DataFrame on the holdout, rf model, feature list).
 
     ``exclude_holdout_keys`` removes holdout rows (by key) from training, which
     the reference does not do (its test rows leak into training); ``False``
-    reproduces the reference."""
+    reproduces the reference.  ``max_depth``: of the forest's trees, at most 30."""
     feats = [c for c in feature_columns(working, label, keys) if c in truth.columns]
     spark = working.sparkSession
     empty = spark.createDataFrame([], "label double, rf_pred double, lr_pred double").select(
@@ -105,7 +108,7 @@ def run(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), fa
     n_train = tr.count()
     if n_train < MIN_ROWS:  # nor fewer than 10 usable training rows
         return empty, None, feats
-    va, rf, lr = _models(feats, FAST_TREES if fast else FULL_TREES, seed, 1.0 / n_train)
+    va, rf, lr = _models(feats, FAST_TREES if fast else FULL_TREES, seed, 1.0 / n_train, max_depth)
     trv = va.transform(tr).cache()
     rfm = rf.fit(trv)
     lrm = lr.fit(trv)
@@ -162,16 +165,18 @@ def importance(rf_model, features: list[str], spark, top_n: int = TOP_FEATURES)
 
 def agreement(evals: DataFrame, partition_cols, order_col: str, rf: str = "rf_acc", lr: str = "lr_acc") -> DataFrame:
     """Compare each evaluation with the previous one (0 before the first) in a
-    +-0.005 dead band; first matching label wins."""
-    w = Window.partitionBy(*partition_cols).orderBy(order_col)
-    prf = F.coalesce(F.lag(rf).over(w), F.lit(0.0))
-    plr = F.coalesce(F.lag(lr).over(w), F.lit(0.0))
+    +-0.005 dead band; first matching label wins.  Bounded (key, chunk) windows with
+    a halo of one row; ``order_col`` is numeric."""
+    d = ordered_rank(evals, partition_cols, [order_col], F.floor(F.col(order_col) / F.lit(DEFAULT_CHUNK)), "__p")
+    d = halo_window(d, partition_cols, "__p", 1, lambda x, w: x.withColumns(
+        {"__prf": F.lag(rf).over(w), "__plr": F.lag(lr).over(w)}))
+    prf, plr = F.coalesce("__prf", F.lit(0.0)), F.coalesce("__plr", F.lit(0.0))
     rf_up, lr_up = F.col(rf) > prf + AGREE_BAND, F.col(lr) > plr + AGREE_BAND
     rf_dn, lr_dn = F.col(rf) < prf - AGREE_BAND, F.col(lr) < plr - AGREE_BAND
     lab = (F.when(rf_up & lr_up, AGREEMENT["both_improve"]).when(rf_up & lr_dn, AGREEMENT["disagree"])
            .when(rf_dn & lr_dn, AGREEMENT["both_declined"]).when(~rf_up & ~rf_dn, AGREEMENT["no_change"])
            .otherwise(AGREEMENT["mixed"]))
-    return evals.withColumn("agreement", lab)
+    return d.withColumn("agreement", lab).drop("__p", "__prf", "__plr")
 
 
 def cache_key(df: DataFrame, params: str) -> DataFrame:

@@ -43,30 +43,6 @@ TASKS = ["task_0_tutorial", "task_1_easy", "task_2_medium", "task_3_hard"]
 LAST_RESULT_CHARS = 400
 SAMPLE_SIZE = 500
 DOMINANT_PCT = 25.0
-# Fixed value from the reference: the system prompt of the chat format.
-SYSTEM_PROMPT = """You are a Data-Centric AI agent. Your job is to improve a \
-Machine learning dataset so a fixed classifier achieves higher accuracy.
-
-STRATEGY — use this order:
-1. query_analyst to get a prioritised action plan (costs 2 budget total, worth it)
-2. inspect_dataset to understand the data
-3. query the recommended specialist (query_cleaner, query_augmenter, query_balancer)
-4. apply the best recommendation by number (e.g. apply 1)
-5. validate to check if accuracy improved
-6. repeat until you hit the target or run low on budget
-7. submit to finalize
-
-IMPORTANT RULES:
-- Start with query_analyst — it tells you the biggest problem to fix first.
-- Always query a specialist before applying. Never apply without querying first.
-- Check the Agreement signal after validate: DISAGREE means possible overfitting.
-- Validate after every 2-3 applies to track progress.
-- Do not spam validate — it costs budget after 3 uses.
-- query_validator costs 2 budget total — use only when suspicious of data quality.
-- submit when accuracy >= target or budget < 5.
-
-Reply with exactly ONE command per message. No explanation. Just the command."""
-
 
 def strategies(spark) -> DataFrame:
     rows = [(i, name, acts) for i, (name, acts) in enumerate(STRATEGIES.items())]
@@ -90,6 +66,7 @@ def prompt(obs: DataFrame, accuracy="accuracy", target="target", quality="qualit
            budget="budget_remaining", validates="validates_left", session="session", response="response") -> DataFrame:
     """The per-step user prompt from observation columns; the last result is cut to 400 chars."""
     gap = F.greatest(F.lit(0.0), F.col(target) - F.col(accuracy))
+    # fixed values: the labels and layout of the prompt format
     text = F.concat(
         F.lit("Current situation:\nAccuracy: "), _pct(F.col(accuracy)), F.lit(" → Target: "), _pct(F.col(target)),
         F.lit("\nStill need: "), _pct(gap), F.lit(" improvement\nQuality score: "),
@@ -115,8 +92,8 @@ def pairs(conv: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
     return asst.join(users, [conv_id, "__u"]).select(conv_id, turn, "prompt_turn", "prompt", "response")
 
 
-def chat(p: DataFrame, system_prompt: str = SYSTEM_PROMPT) -> DataFrame:
-    """System / user / assistant messages per example."""
+def chat(p: DataFrame, system_prompt: str) -> DataFrame:
+    """System / user / assistant messages per example; the system text is the caller's."""
     msg = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content")),
                   F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
                   F.struct(F.lit("assistant").alias("role"), F.col("response").alias("content")))
@@ -128,10 +105,13 @@ def sample(df: DataFrame, keys, n: int = SAMPLE_SIZE, seed=42) -> DataFrame:
     return df.withColumn("__h", hash_hex(seed, *keys)).orderBy("__h", *keys).limit(n).drop("__h")
 
 
-def diversity(df: DataFrame, prompt_col: str = "prompt", response_col: str = "response") -> DataFrame:
-    """S6 summary: total examples, unique responses, unique prompts (one row)."""
-    return df.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(response_col).alias("unique_responses"),
-                  F.count_distinct(prompt_col).alias("unique_prompts"))
+def diversity(df: DataFrame, prompt_col: str = "prompt", response_col: str = "response",
+              relative_error: float | None = None) -> DataFrame:
+    """S6 summary: total examples, unique responses, unique prompts (one row); exact, or
+    with ``relative_error`` by mergeable sketches of fixed size."""
+    unique = F.count_distinct if relative_error is None else lambda c: F.approx_count_distinct(c, relative_error)
+    return df.agg(F.count(F.lit(1)).alias("total"), unique(response_col).alias("unique_responses"),
+                  unique(prompt_col).alias("unique_prompts"))
 
 
 def response_distribution(df: DataFrame, response_col: str = "response") -> DataFrame:

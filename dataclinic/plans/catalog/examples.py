@@ -77,10 +77,13 @@ def s3_pairs(spark, sf):
     return EX.pairs(TB.table(spark, sf, "conversations"))
 
 
-@register("s4_chat", f"""SELECT conv_id, turn, 3 AS n_messages, 'system,user,assistant' AS roles, {len(EX.SYSTEM_PROMPT)}
+CHAT_SYSTEM = "Answer with one command."
+
+
+@register("s4_chat", f"""SELECT conv_id, turn, 3 AS n_messages, 'system,user,assistant' AS roles, {len(CHAT_SYSTEM)}
   AS system_chars, prompt AS user_content, response AS assistant_content FROM ({PAIRS_SQL})""")
 def s4_chat(spark, sf):
-    c = EX.chat(EX.pairs(TB.table(spark, sf, "conversations")))
+    c = EX.chat(EX.pairs(TB.table(spark, sf, "conversations")), CHAT_SYSTEM)
     m = F.col("messages")
     return c.select("conv_id", "turn", F.size(m).alias("n_messages"),
                     F.concat_ws(",", F.transform(m, lambda x: x["role"])).alias("roles"),
@@ -137,21 +140,27 @@ def io1_read_runs(spark, sf):
 
 
 @register("io2_normalize", f"""WITH {TB.sql_ctes('runs')}
-SELECT CAST(row_number() OVER (ORDER BY run_id, episode) - 1 AS BIGINT) AS episode, 'easy' AS task, 0 AS level,
-  reward, accuracy_gain, accuracy_gain > 0.05 AS success FROM runs""")
+SELECT CASE WHEN run_id % 2 = 1 THEN episode ELSE CAST(row_number() OVER (PARTITION BY run_id ORDER BY episode) - 1
+  AS BIGINT) END AS episode, CASE WHEN run_id % 2 = 1 THEN 'new' ELSE 'easy' END AS task, CAST(run_id % 2 AS INTEGER) AS level,
+  reward, accuracy_gain, CASE WHEN run_id % 2 = 1 THEN success ELSE accuracy_gain > 0.05 END AS success FROM runs""")
 def io2_normalize(spark, sf):
+    """A folder of both formats, one file a run: even runs by the old keys, odd by the new."""
     r = TJ.runs(spark, sf)
-    old = r.orderBy("run_id", "episode").coalesce(1).select(F.to_json(F.struct(
-        F.col("episode").alias("step"), F.lit("easy").alias("stage"), F.col("reward").alias("mean_total_reward"),
-        F.col("accuracy_gain").alias("mean_env_reward"))).alias("value"))
+    old = F.to_json(F.struct(F.col("episode").alias("step"), F.lit("easy").alias("stage"),
+                             F.col("reward").alias("mean_total_reward"), F.col("accuracy_gain").alias("mean_env_reward")))
+    new = F.to_json(F.struct("episode", F.lit("new").alias("task"), F.lit(1).alias("level"), "reward", "accuracy_gain",
+                             "success"))
+    lines = r.select("run_id", "episode", F.when(F.col("run_id") % 2 == 1, new).otherwise(old).alias("value"))
     path = _scratch(spark, "steplog")
-    _write_lines(old, path)
+    (lines.repartition("run_id").sortWithinPartitions("run_id", "episode").select("run_id", "value")
+     .write.partitionBy("run_id").text(path))
     return LG.normalize(LG.read_runs(spark, path)).select("episode", "task", "level", "reward", "accuracy_gain",
                                                           "success")
 
 
 @register("io3_append", f"""WITH {TB.sql_ctes('runs')}
-SELECT run_id, (count(*) * 2)::BIGINT AS n_records FROM runs GROUP BY run_id""")
+SELECT run_id, (count(*) * 2)::BIGINT AS n_records, round(2 * sum(round(reward, 4)), 6) AS reward_sum,
+  round(2 * sum(round(accuracy_gain, 4)), 6) AS gain_sum FROM runs GROUP BY run_id""")
 def io3_append(spark, sf):
     r = TJ.runs(spark, sf).select("run_id", "episode", "reward", "accuracy_gain", "success")
     path = _scratch(spark, "append")
@@ -159,7 +168,8 @@ def io3_append(spark, sf):
     LG.append(r, path)
     back = spark.read.schema("run_id bigint, episode bigint, reward double, accuracy_gain double, success boolean") \
         .json(path)
-    return back.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"))
+    return r6(back.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_records"), F.sum("reward").alias("reward_sum"),
+                                         F.sum("accuracy_gain").alias("gain_sum")))
 
 
 @register("io4_examples_roundtrip", f"SELECT prompt, response FROM ({PAIRS_SQL})")
@@ -170,10 +180,11 @@ def io4_examples_roundtrip(spark, sf):
 
 
 @register("io5_metrics_roundtrip", f"""{_EPS_SQL}
-SELECT agent, task, {_MEANS}, count(*)::BIGINT AS n_episodes FROM eps GROUP BY GROUPING SETS ((agent, task), (agent))""")
+SELECT agent, task, {_MEANS}, count(*)::BIGINT AS n_episodes, (SELECT count(*) FROM eps)::BIGINT AS episodes_read
+FROM eps GROUP BY GROUPING SETS ((agent, task), (agent))""")
 def io5_metrics_roundtrip(spark, sf):
     eps = ME.episodes(SC.enrich(TJ.actions(spark, sf)))
     path = _scratch(spark, "metrics")
     LG.write_metrics(eps, ME.summary(eps), path)
-    _, summ = LG.read_metrics(spark, path)
-    return summ
+    back, summ = LG.read_metrics(spark, path)
+    return summ.crossJoin(F.broadcast(back.agg(F.count(F.lit(1)).alias("episodes_read"))))  # one row

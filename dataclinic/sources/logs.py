@@ -37,7 +37,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    found = fs.globStatus(p)  # a path or a pattern
+    return found is not None and len(found) > 0
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

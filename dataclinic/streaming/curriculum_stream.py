@@ -2,7 +2,8 @@
 
 State per run: the current level, the episode count and the last ``window``
 successes (bounded list).  Episodes of a run inside a micro-batch are replayed
-in (ts, event_id) order.
+in (ts, event_id) order.  A run that has been idle for ``idle_ms`` of event time
+leaves the state, which so holds live runs only.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ STATE_SCHEMA = T.StructType([
 ])
 
 
-def make_fn(window: int, threshold: float, start: int, max_level: int):
+def make_fn(window: int, threshold: float, start: int, max_level: int, idle_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -48,6 +49,7 @@ def make_fn(window: int, threshold: float, start: int, max_level: int):
                 dq = []
             rows.append((key[0], n, level, adv))
         state.update((level, n, dq))
+        state.setTimeoutTimestamp(max(int(pdf["ts_us"].max()) // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(rows, columns=[f.name for f in OUT_SCHEMA.fields])
 
     return fn
@@ -55,9 +57,9 @@ def make_fn(window: int, threshold: float, start: int, max_level: int):
 
 def curriculum_stream(episodes: DataFrame, window: int = CU.WINDOW, threshold: float = CU.THRESHOLD,
                       start: int = CU.START_LEVEL, max_level: int = CU.MAX_LEVEL,
-                      watermark: str = "10 minutes") -> DataFrame:
+                      watermark: str = "10 minutes", idle_ms: int = 30 * 24 * 3600 * 1000) -> DataFrame:
     """Streaming levels from a streaming frame (run_id, event_id, ts, success)."""
     d = episodes.withWatermark("ts", watermark).select("run_id", "event_id", F.unix_micros("ts").alias("ts_us"),
                                                        "ts", "success")
-    return d.groupBy("run_id").applyInPandasWithState(make_fn(window, threshold, start, max_level), OUT_SCHEMA,
-                                                      STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return d.groupBy("run_id").applyInPandasWithState(make_fn(window, threshold, start, max_level, idle_ms), OUT_SCHEMA,
+                                                      STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

@@ -11,27 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import drift_label
 from ..operators import drift as DR
 from ..operators import profile as P
+from ..session import cut_lineage
 
 
-def make_batch_fn(baseline: DataFrame, out_path: str, label: str, keys):
+def make_batch_fn(baseline_profile: DataFrame, out_path: str, label: str, keys):
     def fn(batch: DataFrame, batch_id: int) -> None:
-        st = P.column_stats(batch, label, keys, with_median=False).select("col_name", "n_rows", "n_missing", "type_errors", "mean", "std")
-        dr = DR.compute(batch, baseline, label, keys).select("col_name", "drift")
-        out = st.join(dr, "col_name").withColumns({"batch_id": F.lit(batch_id).cast("long"),
-                                                   "level": F.expr("CASE WHEN drift < 0.2 THEN 'NONE' WHEN drift < 0.5 "
-                                                                   "THEN 'LOW' WHEN drift < 1.0 THEN 'MEDIUM' ELSE 'HIGH' END")})
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out_path))
+        st = P.column_stats(batch, label, keys, with_median=False).persist()  # one row a column: one read of the batch
+        try:
+            dr = DR.between(st, baseline_profile).select("col_name", "drift")
+            out = st.select("col_name", "n_rows", "n_missing", "type_errors", "mean", "std").join(dr, "col_name")
+            out = out.withColumns({"batch_id": F.lit(batch_id).cast("long"), "level": drift_label("drift")})
+            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(out_path))
+        finally:
+            st.unpersist()
 
     return fn
 
 
 def quality_monitor(stream: DataFrame, baseline: DataFrame, out_path: str, checkpoint: str, label: str, keys,
                     trigger: dict | None = None):
-    """Start the monitor; returns the StreamingQuery."""
-    w = stream.writeStream.foreachBatch(make_batch_fn(baseline, out_path, label, keys)).option(
+    """Start the monitor; returns the StreamingQuery.  The baseline table is profiled once
+    and its profile stored; micro-batches never read the table."""
+    profile = cut_lineage(DR.profile(baseline, label, keys))
+    w = stream.writeStream.foreachBatch(make_batch_fn(profile, out_path, label, keys)).option(
         "checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()

@@ -30,3 +30,15 @@ def test_old_step_log_keys_are_mapped(spark):
     n = LG.normalize(LG.read_runs(spark, path)).orderBy("episode").collect()
     assert [(r["episode"], r["task"], r["reward"], r["accuracy_gain"], r["success"]) for r in n] == [
         (0, "easy", 0.2, 0.07, True), (1, "easy", 0.3, 0.01, False)]
+
+
+def test_mixed_folder_takes_defaults_per_file(spark):
+    import uuid
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/io-two-{uuid.uuid4().hex[:8]}"
+    for name, lines in (("old", ['{"step": 1, "stage": "a", "mean_total_reward": 0.2, "mean_env_reward": 0.07}'] * 2),
+                        ("new", ['{"episode": 7, "task": "b", "level": 2, "reward": 0.9, "accuracy_gain": 0.0, "success": true}'])):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{base}/{name}")
+    n = LG.normalize(LG.read_runs(spark, f"{base}/*")).select("task", "episode", "level", "reward", "success", "run_id")
+    rows = sorted(tuple(r) for r in n.collect())
+    assert [r[:5] for r in rows] == [("a", 0, 0, 0.2, True), ("a", 1, 0, 0.2, True), ("b", 7, 2, 0.9, True)]
+    assert len({r[5] for r in rows}) == 2 and all(r[5].startswith("part-") for r in rows)

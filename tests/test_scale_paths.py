@@ -161,3 +161,83 @@ def test_quantile_and_profile_on_all_null_column(spark):
     assert exact_quantiles(d, {"v": F.col("x")}, 0.5).first()["v"] is None
     r = P.column_stats(d, label="none", keys=["k"]).first()
     assert (r["n"], r["median"], r["mean"], r["std"], r["n_missing"]) == (0, 0.0, 0.0, 0.0, 5)
+
+
+def test_positions_with_null_keys_large_integers_and_no_exchange_reuse(spark):
+    from dataclinic.functions.sequence import fsm_scan, range_rank
+    rnd = random.Random(6)
+    big = 2 ** 53 + 1
+    rows = [(None if i % 5 == 0 else big + i % 3, rnd.randint(0, 20), i, None if i % 7 == 0 else big) for i in range(2000)]
+    d = spark.createDataFrame(rows, "k long, ts long, id long, v long")
+    want = d.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("ts", "id")))
+    for reuse, aqe in (("true", "true"), ("false", "true"), ("false", "false")):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        try:
+            got = range_rank(d, ["k"], ["ts", "id"], "rn", num_partitions=5)
+            assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+            table = [[0, 1], [1, 0]]
+            f = fsm_scan(got, ["k"], "rn", F.col("id") % 2, table, 0, 64, "s")
+            assert f.count() == 2000 and f.where("v is not null").select("v").distinct().collect()[0][0] == big
+        finally:
+            spark.conf.set("spark.sql.exchange.reuse", "true")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_draws_reach_beyond_32_bits(spark):
+    from dataclinic.functions.ranking import hash_int
+    top = spark.range(200).select(F.max(hash_int(hash_hex(1, "id")))).first()[0]
+    assert 2 ** 56 < top < 2 ** 60
+
+
+def test_quantile_of_few_distinct_values_collects_no_array(spark):
+    from dataclinic.functions.quantiles import exact_quantiles
+    d = spark.range(60_000).select((F.col("id") % 11).cast("double").alias("x"))
+    q = exact_quantiles(d, {"v": F.col("x")}, 0.5, accuracy=100)
+    assert q.first()["v"] == 5.0
+    assert "collect_list" not in q._jdf.queryExecution().toString()
+
+
+def test_smallest_keys_equal_row_number(spark):
+    from dataclinic.functions.ranking import smallest_keys
+    rnd = random.Random(8)
+    d = spark.createDataFrame([(i // 2, rnd.choice([None, 1, 2])) for i in range(500)], "key long, v long")
+    key = F.struct(hash_hex(3, "key").alias("h"), F.col("v").isNull().alias("n"), F.col("v").alias("v"))
+    for k in (0, 1, 37, 499, 500, 9000):
+        t = smallest_keys(d, [key], lambda n: F.lit(k), digits=1)
+        got = d.crossJoin(t).where(F.coalesce(key <= F.col("__t0"), F.lit(False)))
+        # rows equal in hash and value are one key: all of them are at or below it
+        want = d.withColumn("rk", F.rank().over(Window.orderBy(key))).where(F.col("rk") <= k)
+        assert got.count() == want.count(), k
+
+
+def test_run_curves_with_gaps_and_zero_based_episodes(spark):
+    from dataclinic.operators import runlogs as RL
+    eps = [0, 1, 2, 4, 5, 9, 10, 11, 12, 13]
+    d = spark.createDataFrame([(1, e, 1.0 + i, 0) for i, e in enumerate(eps)], "run_id long, episode long, reward double, level int")
+    vals = [1.0 + i for i in range(len(eps))]
+    got = {r["episode"]: r["reward_rolling"] for r in RL.adaptive_rolling(d, "reward", 50).collect()}
+    fixed = {r["episode"]: r["reward_rolling"] for r in RL.rolling(d, "reward", 3, chunk=4).collect()}
+    for i, e in enumerate(eps):
+        last = vals[max(0, i - 2):i + 1]
+        assert abs(got[e] - sum(last) / len(last)) < 1e-9 and abs(fixed[e] - sum(last) / len(last)) < 1e-9
+
+
+def test_missing_nan_wide_ids_and_empty_offers(spark):
+    from dataclinic.functions.expr import parse_command
+    from dataclinic.operators import audit as AU
+    from dataclinic.operators import profile as P
+    from dataclinic.operators import repair as RP
+    from dataclinic.operators import validate as V
+    d = spark.createDataFrame([(1, float("nan"), 0), (2, None, 0), (3, 1.0, 1)], "k long, x double, target int")
+    assert P.total_missing(d).first()[0] == 2
+    assert P.missing(d, keys=["k"]).first()["n_missing"] == 2
+    assert V.dtype_rule(d, keys=["k"]).count() == 0
+    cmd, arg = parse_command("a")
+    got = spark.createDataFrame([("apply 1234567890",), ("apply 99999999999999999999",), ("apply x",)], "a string").select(arg)
+    assert [r[0] for r in got.collect()] == [1234567890, -1, -1]
+    e = spark.createDataFrame([(1, 1, "query_cleaner", 0), (1, 1, "query_balancer", 2)], "episode_id long, session_id long, cmd string, n_recs long")
+    assert sorted(r["rec_id"] for r in AU.recommendations(e).collect()) == [1, 2]
+    ints = spark.createDataFrame([(i, 20 + i, 0) for i in range(10)], "k long, x int, target int")
+    out = RP.augment_class(ints, "target", 0, 5, keys=["k"]).where("x <> floor(x)")
+    assert dict(out.dtypes)["x"] == "double" and out.count() > 0
