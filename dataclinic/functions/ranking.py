@@ -95,7 +95,7 @@ def lazy_range(counts: DataFrame, count_col: str, index_col: str = "i",
 
 def draw_with_replacement(pool: DataFrame, draws: DataFrame, seed, tag: str,
                           group_cols=(), pool_size_col: str = "__n", rank_col: str = "_rank",
-                          index_col: str = "i") -> DataFrame:
+                          index_col: str = "i", keep_index: bool = False) -> DataFrame:
     """Join each draw (group..., i, pool size) to the pool row whose rank equals
     ``pmod(hash(seed, tag, group..., i), n) + 1``.  ``pool`` carries ``rank_col``
     from ``bucketed_rank`` over the same groups."""
@@ -104,7 +104,7 @@ def draw_with_replacement(pool: DataFrame, draws: DataFrame, seed, tag: str,
     picks = draws.withColumn("__pick", F.pmod(h, F.col(pool_size_col)) + 1).drop(pool_size_col)
     p = pool.withColumnRenamed(rank_col, "__pick")
     out = _null_safe_join(picks, p, g + ["__pick"])
-    return out.drop("__pick", index_col)
+    return out.drop("__pick") if keep_index else out.drop("__pick", index_col)
 
 
 def select_smallest(df: DataFrame, order_col: str, k, partition_cols=(), tie_cols=(),

@@ -155,7 +155,9 @@ def accuracy(pred: DataFrame, prediction: str) -> DataFrame:
 
 def importance(rf_model, features: list[str], spark, top_n: int = TOP_FEATURES) -> DataFrame:
     """RF importances rounded to 4, top n.  The vector has one entry per
-    feature (bounded by the column count)."""
+    feature (bounded by the column count); without a model no rows."""
+    if rf_model is None:
+        return spark.createDataFrame([], "col_name string, importance double")
     imp = rf_model.featureImportances.toArray().tolist()
     rows = [(f, i, float(v)) for i, (f, v) in enumerate(zip(features, imp))]
     df = spark.createDataFrame(rows, "col_name string, pos int, importance double")
@@ -188,3 +190,27 @@ def cache_key(df: DataFrame, params: str) -> DataFrame:
 def pending(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Evaluation requests with no cached result (left anti join on the key)."""
     return requests.join(results.select("eval_key"), "eval_key", "left_anti")
+
+
+RESULT_SCHEMA = "eval_key string, params string, rf_accuracy double, lr_accuracy double"
+
+
+def cached_accuracy(working: DataFrame, truth: DataFrame, params: str, path: str, label: str = "target", keys=(),
+                    **options) -> DataFrame:
+    """One result row (``RESULT_SCHEMA``) from the table at ``path``, keyed by the
+    fingerprints of both tables and ``params``; fitted and appended when it is not there."""
+    spark = working.sparkSession
+    key = cache_key(working, params).crossJoin(cache_key(truth, params).withColumnRenamed("eval_key", "t"))
+    key = key.select(F.sha2(F.concat("eval_key", "t"), 256).alias("eval_key")).first()["eval_key"]
+
+    def found():
+        return spark.read.schema(RESULT_SCHEMA).parquet(path).where(F.col("eval_key") == key).limit(1)
+
+    spark.createDataFrame([], RESULT_SCHEMA).write.mode("append").parquet(path)  # the folder exists from here on
+    if found().isEmpty():
+        pred, _, _ = run(working, truth, label, keys, **options)
+        one = pred.agg(F.avg((F.col("label") == F.col("rf_pred")).cast("double")).alias("rf_accuracy"),
+                       F.avg((F.col("label") == F.col("lr_pred")).cast("double")).alias("lr_accuracy"))
+        one.select(F.lit(key).alias("eval_key"), F.lit(params).alias("params"), "rf_accuracy", "lr_accuracy") \
+            .write.mode("append").parquet(path)
+    return found()

@@ -9,14 +9,16 @@ hash buckets, never sorted in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import to_number
 from ..functions.quantiles import exact_quantiles
-from ..functions.ranking import bucketed_rank, draw_with_replacement, hash_hex, lazy_range
-from . import inject
+from ..functions.ranking import bucketed_rank, draw_with_replacement, hash_hex, hash_int, lazy_range
+from . import inject, integrity, recommend
 from .profile import duplicates, feature_columns, total_missing
 
 # Fixed value from the reference augmenter: shift = 0.1 x std of the drawn rows.
@@ -60,36 +62,60 @@ def _class_pool(df: DataFrame, label: str, cls, seed, keys, tag: str):
     return part, pool, n
 
 
-def _draw(df, label, cls, k_col, seed, keys, tag):
+def _draw(df, label, cls, k_col, seed, keys, tag, index=False):
     """``k_col``: Column over (__n) giving the number of draws."""
     part, pool, n = _class_pool(df, label, cls, seed, keys, tag)
     counts = n.select("__n", k_col.cast("bigint").alias("__k")).where(F.col("__n") > 0)
     draws = lazy_range(counts, "__k")
-    return draw_with_replacement(pool, draws, seed, tag + "-draw").select(*df.columns)
+    out = draw_with_replacement(pool, draws.withColumnRenamed("i", "__i"), seed, tag + "-draw", index_col="__i", keep_index=True)
+    return out.select(*df.columns, *["__i"] * index)
 
 
-def augment_class(df: DataFrame, label: str, cls, n_synth: int, seed=42, keys=(), features=None) -> DataFrame:
+def augment_class(df: DataFrame, label: str, cls, n_synth: int, seed=42, keys=(), features=None,
+                  mode: str = "shift") -> DataFrame:
     """C4: draw ``n_synth`` rows of the class with replacement, add 0.1 x std of
     the drawn column to every feature (coerced to number), append.  An integer
-    feature becomes DOUBLE, so the shift is not cut off; text stays text."""
+    feature becomes DOUBLE, so the shift is not cut off; text stays text.  ``mode``
+    "gaussian" multiplies the shift by a standard normal number of (seed, draw, column)
+    (Box-Muller from two 60-bit hashes)."""
+    if mode not in ("shift", "gaussian"):
+        raise ValueError(f"unknown mode {mode!r}")
     feats = feature_columns(df, label, keys, features)
-    drawn = _draw(df, label, cls, F.lit(n_synth), seed, keys, "augment")
+    drawn = _draw(df, label, cls, F.lit(n_synth), seed, keys, "augment", index=True)
     nums = {c: to_number(c, df.schema[c].dataType) for c in feats}
-    drawn = drawn.select(*[nums[c].alias(c) if c in nums else F.col(c) for c in df.columns])
+    drawn = drawn.select(*[nums[c].alias(c) if c in nums else F.col(c) for c in df.columns], "__i")
     sd = drawn.agg(*[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"__sd_{c}") for c in feats])
 
     def kept_type(c):
         dt = df.schema[c].dataType
         return T.DoubleType() if isinstance(dt, T.IntegralType) else dt
 
+    def factor(c):
+        if mode == "shift":
+            return F.lit(1.0)
+        u = [(hash_int(hash_hex(seed, F.lit(f"noise{j}|{c}"), "__i")) + 1) / F.lit(float(1 << 60)) for j in (1, 2)]
+        return F.sqrt(-2.0 * F.log(u[0])) * F.cos(2.0 * math.pi * u[1])
+
     shifted = drawn.crossJoin(F.broadcast(sd)).select(*[
-        (F.col(c) + AUGMENT_SHIFT * F.col(f"__sd_{c}")).cast(kept_type(c)).alias(c) if c in nums
+        (F.col(c) + AUGMENT_SHIFT * factor(c) * F.col(f"__sd_{c}")).cast(kept_type(c)).alias(c) if c in nums
         else F.col(c) for c in df.columns])
     return df.unionByName(shifted)
 
 
-def oversample(df: DataFrame, label: str, cls, target_count, seed=42, keys=()) -> DataFrame:
-    """Append exact copies drawn with replacement until the class has ``target_count`` rows."""
+def oversample(df: DataFrame, label: str, cls, target_count, seed=42, keys=(), mode: str = "draw") -> DataFrame:
+    """Append exact copies drawn with replacement until the class has ``target_count`` rows.
+    ``mode`` "replicate": every row of the class gets as many copies as any other, the
+    remainder going to the smallest hashes."""
+    if mode == "replicate":
+        part = df.where(F.col(label) == F.lit(cls))
+        n = part.count()
+        more = max(0, int(target_count) - n) if n else 0
+        d, (hit,) = inject._marked(part, seed, ["replicate"], keys, lambda _: F.lit(more % n if n else 0))
+        copies = F.lit(more // n if n else 0) + hit.cast("int")
+        extra = d.withColumn("__c", copies).where("__c > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__c"))))
+        return df.unionByName(extra.select(*df.columns))
+    if mode != "draw":
+        raise ValueError(f"unknown mode {mode!r}")
     k = F.greatest(F.lit(0), F.lit(target_count) - F.col("__n"))
     return df.unionByName(_draw(df, label, cls, k, seed, keys, "oversample"))
 
@@ -132,6 +158,19 @@ def apply_action(df: DataFrame, payload: dict, label: str = "target", keys=(), s
     raise ValueError(f"unknown action {a!r}")
 
 
+def apply_checked(df: DataFrame, recs: DataFrame, payload: dict, original_rows: int, label: str = "target", keys=(),
+                  seed=42) -> DataFrame:
+    """C8 with its guards: refuses a proposal set that was stamped on another table
+    and a repair that leaves under half of the original rows (D10)."""
+    stale = recommend.check_fresh(recs, df).where(~F.col("fresh"))
+    if not stale.isEmpty():
+        raise ValueError("stale recommendation set: query again")
+    out = apply_action(df, payload, label, keys, seed)
+    if integrity.data_loss(out, int(original_rows)).first()["catastrophic"]:
+        raise ValueError("the repair would leave under half of the original rows")
+    return out
+
+
 def health_report(before: DataFrame, after: DataFrame, original_rows) -> DataFrame:
     """C8 report: missing cells, duplicate rows and row count before and after,
     one row per metric."""

@@ -138,6 +138,20 @@ def register(name: str, builder) -> None:
     RUBRICS[name] = builder
 
 
+# Adjustments added outside the clamp, by event.
+ADJUSTMENTS = {"reject": 0.01, "undo": -0.03, "empty_undo": -0.05, "analyst": 0.02, "episode_timeout": -0.10,
+               "truth_changed": -1.0, "data_loss": -0.40, "truncated": -0.02}
+
+
+def adjustments(events: DataFrame, event: str = "event", keys=("episode_id", "step")) -> DataFrame:
+    """Sum of the adjustments of each step's events (rows of key and event name);
+    unknown events count 0.  Join on the keys and pass as ``penalty`` to ``total``."""
+    value = F.lit(0.0)
+    for name, v in ADJUSTMENTS.items():
+        value = F.when(F.col(event) == name, F.lit(v)).otherwise(value)
+    return events.groupBy(*keys).agg(F.sum(value).alias("adjustment"))
+
+
 def total(cols=None, penalty: Column | None = None) -> Column:
     """Sum of rubric columns clipped to [-1, 1], rounded to 4; penalties outside the clamp."""
     names = list(cols or RUBRICS)
