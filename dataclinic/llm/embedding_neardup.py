@@ -58,15 +58,15 @@ def _forest(hit: np.ndarray, rows: np.ndarray, right: np.ndarray, part: np.ndarr
     return edges
 
 
-LINKS = "a bigint, b bigint, links bigint"
+LINKS = "class bigint, links bigint, a bigint, b bigint"
 
 
 def _join(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         """One block pair: rows of the home side (side 0) against all rows of side 1,
-        or one block against itself.  Rows out: (class, null, linked vectors) and (a, b, 0) edges."""
+        or one block against itself.  Rows out: (class, linked vectors) and forest edges (a, b) of ids."""
         x = _matrix(t["embedding"])
-        ids, size, home = (t[c].to_numpy() for c in ("class_id", "size", "home"))
+        cls, ids, size, home = (t[c].to_numpy() for c in ("class", "class_id", "size", "home"))
         side, cell, own = t["side"].to_numpy(), t["cell"].to_numpy(), t["own"].to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         diagonal = bool(own[0])
@@ -84,17 +84,18 @@ def _join(threshold: float):
             count[rows] += hit @ size[right]
             count[right] += size[rows] @ hit
             edges += _forest(hit, rows, right, part)
-        a, b = np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64)
-        some = np.flatnonzero(count)
-        out_a = np.concatenate([ids[some], ids[a]])
-        out_b = pa.array([None] * len(some) + ids[b].tolist(), pa.int64())
-        out_n = np.concatenate([count[some], np.zeros(len(a), np.int64)])
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": out_b, "links": pa.array(out_n, pa.int64())})
+        some, k = np.flatnonzero(count), len(edges)
+        none = lambda n: pa.nulls(n, pa.int64())
+        ends = [pa.array(ids[[e[j] for e in edges]] if k else ids[:0], pa.int64()) for j in (0, 1)]
+        return pa.table({"class": pa.concat_arrays([pa.array(cls[some], pa.int64()), none(k)]),
+                         "links": pa.concat_arrays([pa.array(count[some], pa.int64()), none(k)]),
+                         "a": pa.concat_arrays([none(len(some)), ends[0]]),
+                         "b": pa.concat_arrays([none(len(some)), ends[1]])})
     return run
 
 
 def _to_cells(pivots: dict, radius: float):
-    """Adds (home, cell) rows: the home cell, and every lower-numbered cell within reach."""
+    """Adds (home, cell) rows: the home cell, and every higher-numbered cell within reach."""
     def run(batches):
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -142,7 +143,9 @@ def embedding_neardup(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     # copies collapse: a class is one distinct vector of a label
     key = [F.concat_ws(":", F.size("embedding"), F.col("label").cast("string")).alias("part"), "embedding"]
     good = v.where("usable")
-    classes = stored(good.groupBy(*key).agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("size")))
+    # numbered once: the stored number identifies a class also where ids repeat
+    classes = stored(good.groupBy(*key).agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+                     .withColumn("class", F.monotonically_increasing_id()))
     total = classes.count()
     # pivots: about one for per_cell classes, fewer when all labels together would pass the bound
     share = min(1 / per_cell, MAX_PIVOTS / 2 / max(1, total))
@@ -153,22 +156,22 @@ def embedding_neardup(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
         pivots.setdefault(r["part"], []).append(x / np.sqrt((x * x).sum()))
     pivots = {k: np.array(p) for k, p in pivots.items()}
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    cells = classes.select("part", "class_id", "size", "embedding").mapInArrow(
-        _to_cells(pivots, radius), "part string, class_id bigint, size bigint, embedding array<float>, home int, cell int")
+    cells = classes.select("part", "class", "class_id", "size", "embedding").mapInArrow(
+        _to_cells(pivots, radius), "part string, class bigint, class_id bigint, size bigint, embedding array<float>, home int, cell int")
     cells = stored(cells)
     sizes = cells.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "blocks", F.ceil(F.col("n") / block).cast("int")).select("part", "cell", "blocks")
     placed = cells.join(sizes, ["part", "cell"])
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64(F.lit(seed + 1), "class_id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64(F.lit(seed + 1), "class"), F.col("blocks")).cast("int"))
     # each row goes to the pairs (mine, other) for all blocks of its cell
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("part", "cell", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
                          (F.col("mine") > F.col("other")).cast("int").alias("side"),
-                         (F.col("mine") == F.col("other")).alias("own"), "class_id", "size", "home", "embedding")
+                         (F.col("mine") == F.col("other")).alias("own"), "class", "class_id", "size", "home", "embedding")
     links = stored(pairs.groupBy("part", "cell", "p", "q").applyInArrow(_join(threshold), LINKS))
-    counts = links.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
+    counts = links.where("class is not null").groupBy("class").agg(F.sum("links").alias("links"))
     comp = connected_components(links.where("b is not null").select("a", "b"))
-    known = (classes.join(counts, "class_id", "left").join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
+    known = (classes.join(counts, "class", "left").join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
              .select("part", "embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
                      F.coalesce("component", "class_id").alias("component_id")))
     member = good.select("vec_id", key[0], "embedding")

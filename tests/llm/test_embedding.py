@@ -38,6 +38,7 @@ def test_matches_brute_force(spark):
         c = r.choice(centres)
         rows.append((i, [x + r.gauss(0, 0.12) for x in c], r.choice([1, 1, 1, 2, 3])))
     rows += [(400 + k, rows[7][1], 1) for k in range(20)] + [(500, rows[8][1], 1), (500, rows[8][1], 1)]
+    rows += [(700, [9.0, -9.0, 9.0, -9.0, 9.0, -9.0], 8), (700, rows[7][1], 9)]
     rows += [(600, None, 1), (601, [0.0] * 6, 1), (602, [float("nan")] + [1.0] * 5, 1), (603, [None] + [1.0] * 5, 1),
              (604, vec(), None), (None, rows[7][1], 1), (605, [1.0, 2.0], 1), (606, [2.0, 4.0], 1), (607, [], 1),
              (608, [float("inf")] * 6, 1)]
