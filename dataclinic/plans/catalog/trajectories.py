@@ -126,18 +126,19 @@ def g7_breakdown(spark, sf):
 
 # ---------------------------------------------------------------------------- H1 / G9
 def _fsm_sql():
-    tbl = "[" + ", ".join("[" + ", ".join(str(x) for x in row) + "]" for row in AU.COOLDOWN_TABLE) + "]"
-    code = ("CASE WHEN cmd = 'validate' THEN 3 WHEN cmd IN ('apply', 'undo') THEN 1 WHEN cmd = 'inspect_model' "
-            "THEN 2 ELSE 0 END")
+    """The cooldown rule spelled out over (counted validates, steps since the last one, cached)."""
+    counted = "(c.cmd = 'validate' AND (r.cnt = 0 OR r.since >= 2) AND r.cache = 0)"
     return f"""{BASE_SQL},
-c AS (SELECT episode_id, step, cmd, {code} AS code FROM e),
-s AS (SELECT * FROM (WITH RECURSIVE r(episode_id, step, st) AS (
-    SELECT DISTINCT episode_id, CAST(1 AS BIGINT), 0 FROM c
+c AS (SELECT episode_id, step, cmd FROM e),
+s AS (SELECT * FROM (WITH RECURSIVE r(episode_id, step, cnt, since, cache) AS (
+    SELECT DISTINCT episode_id, CAST(1 AS BIGINT), 0, 0, 0 FROM c
     UNION ALL
-    SELECT r.episode_id, r.step + 1, list_element(list_element({tbl}, c.code + 1), r.st + 1)
+    SELECT r.episode_id, r.step + 1, CASE WHEN {counted} THEN r.cnt + 1 ELSE r.cnt END,
+      CASE WHEN {counted} THEN 0 WHEN c.cmd = 'validate' THEN r.since ELSE r.since + 1 END,
+      CASE WHEN c.cmd IN ('apply', 'undo') THEN 0 WHEN c.cmd = 'inspect_model' OR {counted} THEN 1 ELSE r.cache END
     FROM r JOIN c ON c.episode_id = r.episode_id AND c.step = r.step)
   SELECT * FROM r)),
-v AS (SELECT c.episode_id, c.step, c.cmd, s.st // 6 AS cnt, (s.st % 6) // 2 AS since, s.st % 2 AS cache
+v AS (SELECT c.episode_id, c.step, c.cmd, s.cnt, s.since, s.cache
       FROM c JOIN s ON c.episode_id = s.episode_id AND c.step = s.step),
 o AS (SELECT *, cmd = 'validate' AND (cnt = 0 OR since >= 2) AS allowed FROM v)"""
 
