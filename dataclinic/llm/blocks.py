@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 KNOTS = 64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 6 << 20
 
 
@@ -57,25 +57,38 @@ class Layout:
 
 
 def pack(sorted_hashes: np.ndarray, bits: int) -> bytes:
-    """Delta planes of the top ``bits`` bits of sorted distinct hashes: a byte that
-    gives the planes, then the planes from the lowest byte up."""
-    if len(sorted_hashes) == 0:
+    """Deltas of the top ``bits`` bits of sorted distinct hashes as byte planes from the
+    lowest up; the two top planes, which are not uniform, are entropy-coded."""
+    n = len(sorted_hashes)
+    if n == 0:
         return b""
     v = sorted_hashes >> U(64 - bits)
     d = np.diff(v, prepend=U(0))
     first, d[0] = int(d[0]), 0
     k = max(1, (int(d.max()).bit_length() + 7) // 8)
-    planes = d.view(np.uint8).reshape(-1, 8)[:, :k].T
-    return bytes([k]) + first.to_bytes(8, "little") + np.ascontiguousarray(planes).tobytes()
+    planes = np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8)[:, :k].T)
+    codec = pa.Codec("zstd", compression_level=1)
+    out = [bytes([k]), first.to_bytes(8, "little"), n.to_bytes(4, "little")]
+    for j in range(k):
+        raw = planes[j].tobytes()
+        if j >= k - 2:
+            small = codec.compress(raw, asbytes=True)
+            raw = small if len(small) < n else raw
+        out += [len(raw).to_bytes(4, "little"), raw]
+    return b"".join(out)
 
 
 def unpack(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, U)
-    k = blob[0]
-    planes = np.frombuffer(blob, np.uint8, offset=9).reshape(k, -1)
-    d = np.zeros((planes.shape[1], 8), np.uint8)
-    d[:, :k] = planes.T
+    k, n, at = blob[0], int.from_bytes(blob[9:13], "little"), 13
+    d, codec = np.zeros((n, 8), np.uint8), pa.Codec("zstd")
+    for j in range(k):
+        size = int.from_bytes(blob[at:at + 4], "little")
+        raw = blob[at + 4:at + 4 + size]
+        raw = raw if size == n else codec.decompress(raw, decompressed_size=n, asbytes=True)
+        d[:, j] = np.frombuffer(raw, np.uint8)
+        at += 4 + size
     d = d.view(U).ravel()
     d[0] = int.from_bytes(blob[1:9], "little")
     return np.cumsum(d, dtype=U)
@@ -197,7 +210,7 @@ def text_blocks(docs: DataFrame, layout: Layout, id_col: str, text_col: str) ->
                       F.col(text_col).cast("binary").alias("text"))
 
     def to_blocks(batches):
-        opts = pa.ipc.IpcWriteOptions(compression="zstd")
+        opts = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
         for batch in batches:
             if batch.num_rows == 0:
                 continue

@@ -1,33 +1,32 @@
 """Windows that also start in a document of smaller id: the engine of the two substring operators.
 
-Three passes over the blocks of ``blocks.py``; the texts cross the network once.
-
-1. Every block sends the distinct hashes of its *samples* (a set of positions
-   such that two equal windows share an equal sample), cut to ``filter_bits``.
-   The answer says which occur in another block; inside a block two documents
-   are compared directly.  Windows without such a sample occur once.
-2. The remaining candidate windows send 64 bits plus ``check_bytes`` more.  The
-   answer says which occur in an earlier block, which means a smaller id;
-   inside a block the smallest document of each hash is known.
+Passes over the blocks of ``blocks.py``; the texts cross the network once, every
+pass reads the same exchange.
+
+0. Whole copies: every block sends the 128-bit hashes of its distinct texts.  A text
+   that also occurs under a smaller id is settled (all its windows start there) and
+   sends nothing more, so a text that fills a third of the table costs one text's
+   hashes a block, and no join meets its rows.
+1. Samples: the distinct hashes of a set of positions such that two equal windows
+   share an equal sample, cut to ``filter_bits``.  The answer says which occur in another
+   block; inside a block documents are compared directly.  Windows without a recurring
+   sample occur once.
+2. The windows left send 64 bits plus ``check_bytes`` more.  The answer says which occur
+   in an earlier block, which means a smaller id; inside a block the smallest document
+   of each hash is known.
 3. Every block marks its windows and gives its rows.
-
-A text that equals the whole text of a smaller id is settled beforehand by its
-SHA-256 (every window of it starts in that document): such copies send nothing,
-so a text that fills a third of the table costs one copy's hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import stored
 from .words import joined
 
 U = np.uint64
@@ -47,8 +46,8 @@ class Windows:
     def candidates(self, it, live, flagged):
         """Starts of the windows that hold a flagged sample position."""
 
-    def windows(self, it, starts):
-        """Two 64-bit hashes of each window."""
+    def windows(self, it, starts, which):
+        """The first (0) or second (1) 64-bit hash of each window."""
 
     def all_starts(self, it, rows):
         """Starts of all windows of the rows."""
@@ -57,24 +56,17 @@ class Windows:
         """The result rows, given the starts of the windows to remove."""
 
 
-def filter_bits(total_bytes: int) -> int:
-    """Whole bytes that leave about one chance match in 100 hashes or fewer."""
-    return min(64, 8 * math.ceil((math.log2(max(2, total_bytes)) + 5) / 8))
-
+def filter_bits(n: float) -> int:
+    """Whole bytes of a hash such that a value meets one of ``n`` others by chance at most
+    once in 32 times."""
+    return min(64, 8 * math.ceil((math.log2(max(2, n)) + 5) / 8))
 
-def _copies(docs: DataFrame, layout: B.Layout, id_col: str, text_col: str) -> DataFrame:
-    """(block, kind 0, 0, digest + id) of every row whose whole text is that of a smaller id."""
-    d = stored(docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.sha2(text_col, 256)).alias("digest")))
-    first = stored(d.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-                   .where("first < last"))
-    c = d.join(first, "digest").where("doc_id > first").distinct()
-    return c.select(layout.block(F.col("doc_id")).alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
-                    F.concat("digest", F.encode(F.col("doc_id").cast("string"), "utf-8")).alias("bits"))
 
+class _Block:
+    """A block's texts with what the answers so far say about them."""
 
-class _Loaded:
-    def __init__(self, w: Windows, texts: pa.Table, answers: pa.Table):
+    def __init__(self, plan: "_Plan", texts: pa.Table, answers: pa.Table):
+        self.plan, self.answers = plan, answers
         self.block = texts["block"][0].as_py()
         self.table = B.read_block(texts)
         self.buf, self.off = joined(self.table["text"])
@@ -83,77 +75,85 @@ class _Loaded:
         change = np.ones(len(ids), bool)
         change[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])
         self.rank = np.cumsum(change)  # of the id of each row; null ids share the last
-        said = {bytes(b) for k, b in zip(answers["kind"].to_pylist(), answers["bits"].to_pylist()) if k == 0}
-        known = {b[32:] for b in said}
-        self.copy = np.zeros(len(ids), bool)
-        for i, (d, t) in enumerate(zip(self.table["doc_id"].to_pylist(), self.table["text"])):
-            name = str(d).encode()
-            if name in known:
-                self.copy[i] = hashlib.sha256(t.as_buffer()).digest() + name in said
-        self.it = w.items(self.buf, self.off)
-
-
-def _first_ask(w: Windows, bits: int, buckets: int):
-    def run(texts: pa.Table, ans: pa.Table) -> pa.Table:
-        if texts.num_rows == 0:
-            return B.ask_rows(0, np.zeros(0, U), bits, buckets)
-        x = _Loaded(w, texts, ans)
-        _, h = w.sample(x.it, ~x.copy)
-        values, _ = B.distinct(h, bits)
-        return B.ask_rows(x.block, values, bits, buckets)
-    return run
-
-
-def _candidates(w, x, ans, bits, buckets):
-    pos, h = w.sample(x.it, ~x.copy)
-    values, inv = B.distinct(h, bits)
-    flag = B.read_answer(ans, 1, values, bits, buckets)
-    lo, hi = B.first_last(inv, len(values), x.rank[w.row_of(x.it, pos)])
-    return w.candidates(x.it, ~x.copy, pos[(flag | (lo != hi))[inv]])
-
-
-def _hashed(w, x, starts):
-    h, c = w.windows(x.it, starts)
-    c = c & U((1 << 8 * w.check_bytes) - 1) if w.check_bytes < 8 else c
-    return B.distinct_pairs(h, c)
-
-
-def _second_ask(w: Windows, bits: int, buckets: int):
-    def run(texts: pa.Table, ans: pa.Table) -> pa.Table:
-        if texts.num_rows == 0:
-            return B.ask_rows(0, np.zeros(0, U), bits, buckets)
-        x = _Loaded(w, texts, ans)
-        h, c, _ = _hashed(w, x, _candidates(w, x, ans, bits, buckets))
-        return B.ask_rows(x.block, h, 64, buckets, c.view(np.uint8).reshape(-1, 8)[:, :w.check_bytes])
-    return run
-
-
-def _last(w: Windows, bits: int, buckets: int, empty: pa.Table):
-    def run(texts: pa.Table, ans: pa.Table) -> pa.Table:
-        if texts.num_rows == 0:
-            return empty
-        x = _Loaded(w, texts, ans)
-        starts = _candidates(w, x, ans, bits, buckets)
-        h, _, inv = _hashed(w, x, starts)
-        flag = B.read_answer(ans, 2, h, 64, buckets)
-        rank = x.rank[w.row_of(x.it, starts)]
-        lo, _ = B.first_last(inv, len(h), rank)
-        gone = starts[flag[inv] | (rank > lo[inv])]
-        gone = np.sort(np.concatenate([gone, w.all_starts(x.it, x.copy)]))
-        return w.rows(x.it, x.table, gone)
-    return run
+        raw = memoryview(np.ascontiguousarray(self.buf))
+        both = b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(self.off[:-1], self.off[1:]))
+        both = np.frombuffer(both, U).reshape(-1, 2)
+        self.texts = B.distinct_pairs(both[:, 0], both[:, 1])
+
+    def live(self) -> np.ndarray:
+        """Rows whose whole text does not occur under a smaller id."""
+        h, _, inv = self.texts
+        lo, _ = B.first_last(inv, len(h), self.rank)
+        return ~(B.read_answer(self.answers, 0, h, 64, self.plan.buckets)[inv] | (self.rank > lo[inv]))
+
+    def _recurring(self, kind, bits, hashes, rows):
+        """Items that occur in another block, or in two documents of this one."""
+        values, inv = B.distinct(hashes, bits)
+        lo, hi = B.first_last(inv, len(values), self.rank[rows])
+        return (B.read_answer(self.answers, kind, values, bits, self.plan.buckets) | (lo != hi))[inv]
+
+    def samples(self):
+        w = self.plan.windows
+        self.it, self.alive = w.items(self.buf, self.off), self.live()
+        return w.sample(self.it, self.alive)
+
+    def candidates(self):
+        """Starts of the windows with a recurring sample."""
+        w = self.plan.windows
+        pos, h = self.samples()
+        return w.candidates(self.it, self.alive, pos[self._recurring(1, self.plan.bits, h, w.row_of(self.it, pos))])
+
+    def identities(self, starts):
+        w = self.plan.windows
+        c = w.windows(self.it, starts, 1)
+        c = c & U((1 << 8 * w.check_bytes) - 1) if w.check_bytes < 8 else c
+        return B.distinct_pairs(w.windows(self.it, starts, 0), c)
+
+
+class _Plan:
+    """The passes, as functions of (texts, answers) of one block."""
+
+    def __init__(self, windows: Windows, layout: B.Layout, empty: pa.Table):
+        self.windows, self.empty, self.buckets = windows, empty, layout.buckets
+        self.bits = filter_bits(layout.total_bytes)
+
+    def ask(self, stage: str):
+        def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            if texts.num_rows == 0:
+                return B.ask_rows(0, np.zeros(0, U), 64, self.buckets)
+            x = _Block(self, texts, answers)
+            if stage == "texts":
+                h, c, _ = x.texts
+                return B.ask_rows(x.block, h, 64, self.buckets, c.view(np.uint8).reshape(-1, 8))
+            if stage == "samples":
+                return B.ask_rows(x.block, B.distinct(x.samples()[1], self.bits)[0], self.bits, self.buckets)
+            h, c, _ = x.identities(x.candidates())
+            return B.ask_rows(x.block, h, 64, self.buckets, c.view(np.uint8).reshape(-1, 8)[:, :self.windows.check_bytes])
+        return run
+
+    def rows(self):
+        def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            if texts.num_rows == 0:
+                return self.empty
+            w, x = self.windows, _Block(self, texts, answers)
+            starts = x.candidates()
+            h, _, inv = x.identities(starts)
+            rank = x.rank[w.row_of(x.it, starts)]
+            lo, _ = B.first_last(inv, len(h), rank)
+            gone = starts[B.read_answer(answers, 2, h, 64, self.buckets)[inv] | (rank > lo[inv])]
+            return w.rows(x.it, x.table, np.sort(np.concatenate([gone, w.all_starts(x.it, ~x.alive)])))
+        return run
 
 
 def remove_repeated(docs: DataFrame, w: Windows, schema: str, empty: pa.Table, id_col: str, text_col: str) -> DataFrame:
     layout = B.Layout(docs, id_col, text_col)
-    bits, n = filter_bits(layout.total_bytes), layout.buckets
+    plan = _Plan(w, layout, empty)
     texts = B.text_blocks(docs, layout, id_col, text_col)
-    copies = _copies(docs, layout, id_col, text_col)
+    known = docs.sparkSession.createDataFrame([], B.ANSWER)
 
-    def pass_over(answers: DataFrame, run, out: str) -> DataFrame:
-        return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, out)
+    def pass_over(run, out: str) -> DataFrame:
+        return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, out)
 
-    first = B.answers(pass_over(copies, _first_ask(w, bits, n), B.ASK), 1, earlier=False)
-    known = copies.unionByName(first)
-    second = B.answers(pass_over(known, _second_ask(w, bits, n), B.ASK), 2, earlier=True)
-    return pass_over(known.unionByName(second), _last(w, bits, n, empty), schema)
+    for kind, stage in enumerate(("texts", "samples", "windows")):
+        known = known.unionByName(B.answers(pass_over(plan.ask(stage), B.ASK), kind, earlier=stage != "samples"))
+    return pass_over(plan.rows(), schema)

@@ -62,12 +62,12 @@ class WordWindows(Windows):
     def candidates(self, it, live, flagged):
         return flagged
 
-    def windows(self, it, starts):
+    def windows(self, it, starts, which):
         idx, h = it["first"]
-        h2 = word_hashes(it["buf"], it["start"], it["end"], 2)
-        idx2, g = rolling(h2, it["row"], self.width, base=0x9E3779B97F4A7C55)
-        at = np.searchsorted(idx, starts)
-        return h[at], g[at]
+        if which:
+            h2 = word_hashes(it["buf"], it["start"], it["end"], 2)
+            idx, h = rolling(h2, it["row"], self.width, base=0x9E3779B97F4A7C55)
+        return h[np.searchsorted(idx, starts)]
 
     def all_starts(self, it, rows):
         idx, _ = rolling(np.zeros(len(it["row"]), np.uint64), it["row"], self.width)

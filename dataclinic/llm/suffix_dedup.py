@@ -57,13 +57,14 @@ class ByteWindows(Windows):
         """Positions of live rows with ``width`` bytes before the row's end; only those of the cover with ``step``."""
         sizes = np.diff(it["off"])
         n = np.where(live, np.maximum(sizes - width + 1, 0), 0)
-        total = int(n.sum())
-        inside = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        at = inside + np.repeat(it["off"][:-1], n)
+        kind = np.int32 if len(it["buf"]) < 1 << 31 else np.int64  # positions of a block
+        begin = (np.cumsum(n) - n).astype(kind)
+        at = np.arange(int(n.sum()), dtype=kind)
+        at += np.repeat(it["off"][:-1].astype(kind) - begin, n)
         if step:
             cover = np.zeros(PERIOD, bool)
             cover[list(COVER)] = True
-            at = at[cover[inside % PERIOD]]
+            at = at[cover[(at - np.repeat(it["off"][:-1].astype(kind), n)) % PERIOD]]
         return at
 
     def sample(self, it, live):
@@ -77,8 +78,8 @@ class ByteWindows(Windows):
         seen = np.cumsum(seen, dtype=np.int32)
         return at[seen[at + PERIOD] > seen[at]]
 
-    def windows(self, it, starts):
-        return byte_windows(it["buf"], starts, self.length, 3), byte_windows(it["buf"], starts, self.length, 5)
+    def windows(self, it, starts, which):
+        return byte_windows(it["buf"], starts, self.length, 3 + 2 * which)
 
     def all_starts(self, it, rows):
         return self._starts(it, rows, self.length)
