@@ -35,6 +35,4 @@ def stored(df: DataFrame) -> DataFrame:
 
 def n_words(text: Column) -> Column:
     """Number of words of a text, native; null counts 0."""
-    squeezed = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " +", " "))
-    return F.when(squeezed == "", F.lit(0).cast("bigint")).otherwise(
-        (F.length(squeezed) - F.length(F.translate(squeezed, " ", "")) + 1).cast("bigint"))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("bigint")
