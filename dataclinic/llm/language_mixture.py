@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 from .words import joined
 
 BUCKETS = 1 << 16
@@ -64,8 +65,8 @@ def learn(train: DataFrame, lang_col: str, text_col: str) -> tuple[list[str], np
             names = t["lang"].to_pandas().to_numpy(dtype=object)
             for lang in set(names):
                 texts = t["text"].filter(pa.array(names == lang))
-                for at in range(0, len(texts), 1024):
-                    _, g = trigrams(texts.slice(at, 1024))
+                for at in range(0, len(texts), 256):
+                    _, g = trigrams(texts.slice(at, 256))
                     sums[lang] = sums.get(lang, 0) + np.bincount(g, minlength=BUCKETS)
         for lang, c in sums.items():
             at = np.flatnonzero(c)
@@ -145,6 +146,7 @@ def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: doc_id, held_out, lang_pred, score (proportion of lang_pred),
     languages and shares of the chosen set, largest first; ``with_row`` adds the whole
     input row as a struct, so a filter needs no join back."""
+    small_batches(docs)
     train = docs.where(~held_out(F.col(id_col)))
     langs, probs = learn(train, lang_col, text_col)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
@@ -156,7 +158,7 @@ def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     else:
         src = src.select("doc_id", "held_out", F.struct(F.col(f"row.`{text_col}`").alias("text")).alias("row"))
         at_text = 0
-    step = max(16, 2048 // max(1, len(langs)))
+    step = max(16, 1024 // max(1, len(langs)))
 
     def predict(batches):
         for batch in batches:

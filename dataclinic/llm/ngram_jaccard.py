@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import stored
+from .common import small_batches, stored
 from .components import connected_components
 from .repeated import filter_bits
 from .words import LOWER, joined, mix, rolling, word_hashes, word_spans
@@ -44,6 +44,7 @@ from .words import LOWER, joined, mix, rolling, word_hashes, word_spans
 U = np.uint64
 GRAM, PERCENT = 4, 85
 BLOCK = 384
+TEXT_BLOCK_BYTES = 2 << 20  # a block's shingle sets are held at once
 
 
 def shingle_sets(texts, gram: int) -> list[np.ndarray]:
@@ -78,8 +79,8 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, gram: int) -> DataF
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 sets = shingle_sets(part.column(1), gram)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -277,9 +278,10 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
                   percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    small_batches(docs)
     sig = stored(_signatures(docs, id_col, text_col, gram))
     classes = stored(sig.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    layout = B.Layout(docs, id_col, text_col)
+    layout = B.Layout(docs, id_col, text_col, min(B.BLOCK_BYTES, TEXT_BLOCK_BYTES))
     bits, buckets = filter_bits(layout.total_bytes), layout.buckets
     texts = B.text_blocks(docs, layout, id_col, text_col)
     reps = classes.where("rep is not null").select(
