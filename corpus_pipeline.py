@@ -53,7 +53,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     from dataclinic.llm.byte_bpe import RANKS, byte_bpe
-    return byte_bpe(docs, P.path(RANKS), P.PATTERN)
+    # executors also hold what the earlier stages' Python workers took
+    return byte_bpe(docs, P.path(RANKS), P.PATTERN, cache=200_000)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix),

@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A text is cut by the tokenizer's pattern; each match (pre-token) is merged on
-its own.  ``RankQueue`` holds one bucket for each merge rank: the positions (in
-a linked list of parts) where a merge of that rank is possible.  A bitmap of
-three levels, 64 bits a word, marks the ranks whose buckets are not empty, so the
-next rank is three find-first-set steps.  Entries are never removed when a
+its own.  A queue holds one bucket for each merge rank: the positions (in a
+linked list of parts) where a merge of that rank is possible.  A bitmap of two
+levels, 256 bits a word, marks the ranks whose buckets are not empty, so the next
+rank is two find-first-set steps.  Entries are never removed when a
 neighbour changes: an entry whose pair no longer has its rank is stale and is
 skipped.  A pre-token of n bytes costs O(n) queue steps, however long.
 
-Each task keeps the encodings of the pre-tokens that it has seen (bounded by
-``CACHE``); the ranks are read from a file that every executor has.
+Each Python worker keeps the encodings of the pre-tokens that it has seen (bounded
+by ``cache``); the ranks are read from a file that every executor has.
 
 Edge cases: null and empty texts have no tokens; bytes without a rank of their
 own raise an error (byte-level files have all 256); repeated rows are encoded
@@ -27,78 +27,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000
+CACHE = 1_200_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-class RankQueue:
-    """Buckets by rank with a bitmap of three levels; smallest rank, then leftmost position."""
-
-    def __init__(self):
-        self.buckets, self.low, self.mid, self.top = {}, {}, {}, 0
-
-    def put(self, rank: int, pos: int):
-        b = self.buckets.get(rank)
-        if b is None:
-            b = self.buckets[rank] = []
-            i, j = rank >> 6, rank >> 12
-            self.low[i] = self.low.get(i, 0) | 1 << (rank & 63)
-            self.mid[j] = self.mid.get(j, 0) | 1 << (i & 63)
-            self.top |= 1 << j
-        heappush(b, pos)
-
-    def get(self):
-        """(rank, position), or None when empty."""
-        if not self.top:
-            return None
-        j = (self.top & -self.top).bit_length() - 1
-        w = self.mid[j]
-        i = (j << 6) + (w & -w).bit_length() - 1
-        w = self.low[i]
-        rank = (i << 6) + (w & -w).bit_length() - 1
-        b = self.buckets[rank]
-        pos = heappop(b)
-        if not b:
-            del self.buckets[rank]
-            self.low[i] &= ~(1 << (rank & 63))
-            if not self.low[i]:
-                self.mid[j] &= ~(1 << (i & 63))
-                if not self.mid[j]:
-                    self.top &= ~(1 << j)
-        return rank, pos
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
-    whole = ranks.get(piece)
+    """Token ids of one pre-token.  The rank queue is inline: ``bucket`` maps a rank to its
+    positions (a heap, leftmost first), ``low`` a rank's upper part to a word with one
+    bit for each rank in use, ``top`` has one bit for each word in use."""
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     end = list(range(1, n + 1))  # end of the part that starts here; 0: no part starts here
     prev = list(range(-1, n))
-    q = RankQueue()
-
-    def offer(a):
-        b = end[a]
-        if b < n:
-            r = ranks.get(piece[a:end[b]])
-            if r is not None:
-                q.put(r, a)
-
+    now = [None] * n  # rank of the pair whose first part starts here
+    bucket: dict[int, list[int]] = {}
+    low: dict[int, int] = {}
+    top = 0
     for a in range(n - 1):
-        offer(a)
-    while (got := q.get()) is not None:
-        rank, a = got
-        b = end[a]
-        if not b or b >= n or ranks.get(piece[a:end[b]]) != rank:
-            continue  # stale
-        stop = end[b]
-        end[a], end[b] = stop, 0
+        now[a] = r = get(piece[a:a + 2])
+        if r is not None:
+            if r in bucket:
+                bucket[r].append(a)  # ascending positions are a heap
+            else:
+                bucket[r] = [a]
+                i = r >> 8
+                low[i] = low.get(i, 0) | 1 << (r & 255)
+                top |= 1 << i
+    while top:
+        i = (top & -top).bit_length() - 1
+        w = low[i]
+        rank = (i << 8) + (w & -w).bit_length() - 1
+        b = bucket[rank]
+        if len(b) > 1:
+            a = heappop(b)
+        else:
+            a = b[0]
+            del bucket[rank]
+            low[i] = w = w & (w - 1)
+            if not w:
+                top &= top - 1
+        if now[a] != rank:
+            continue  # stale: a neighbour has changed
+        mid = end[a]
+        stop = end[mid]
+        end[a], end[mid], now[mid] = stop, 0, None
         if stop < n:
             prev[stop] = a
-        offer(a)
+            now[a] = r = get(piece[a:end[stop]])
+            if r is not None:
+                if r in bucket:
+                    heappush(bucket[r], a)
+                else:
+                    bucket[r] = [a]
+                    i = r >> 8
+                    low[i] = low.get(i, 0) | 1 << (r & 255)
+                    top |= 1 << i
+        else:
+            now[a] = None
         if a:
-            offer(prev[a])
+            c = prev[a]
+            now[c] = r = get(piece[c:stop])
+            if r is not None:
+                if r in bucket:
+                    heappush(bucket[r], c)
+                else:
+                    bucket[r] = [c]
+                    i = r >> 8
+                    low[i] = low.get(i, 0) | 1 << (r & 255)
+                    top |= 1 << i
     out, a = [], 0
     while a < n:
         out.append(ranks[piece[a:end[a]]])
@@ -118,33 +117,49 @@ def exact_pattern(pattern: str) -> str:
     return inside.replace(r"\S", r"\P{White_Space}").replace(r"\s", white)
 
 
+class Seen(dict):
+    """Pre-token -> decimal ids joined by commas; computed when missing.  Two generations
+    of at most ``cache`` / 2 entries: what was used since the last change of generation stays."""
+
+    def __init__(self, ranks: dict[bytes, int], cache: int):
+        super().__init__()
+        self.ranks, self.old, self.most = ranks, {}, cache // 2
+
+    def __missing__(self, word: str) -> str:
+        got = self.old.get(word)
+        if got is None:
+            got = ",".join(map(str, merge(word.encode(), self.ranks)))
+            if len(word) > 64:  # very long pre-tokens hardly recur
+                return got
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder; a Python worker keeps one for each file and pattern over its tasks."""
+
+    kept: dict = {}
 
-    def __init__(self, path: str, pattern: str):
+    @classmethod
+    def of(cls, *how) -> "Codec":
+        if how not in cls.kept:
+            cls.kept[how] = cls(*how)
+        return cls.kept[how]
+
+    def __init__(self, path: str, pattern: str, cache: int = CACHE):
         import regex
         self.find = regex.compile(exact_pattern(pattern)).findall
         self.ranks = load_ranks(path)
         self.bytes_of = {str(v): k for k, v in self.ranks.items()}
-        self.seen: dict[str, str] = {}
-
-    def ids(self, word: str) -> str:
-        """Decimal ids of a pre-token joined by commas."""
-        got = self.seen.get(word)
-        if got is None:
-            got = ",".join(map(str, merge(word.encode(), self.ranks)))
-            if len(word) <= 64:  # very long pre-tokens hardly recur
-                if len(self.seen) >= CACHE:
-                    self.seen.clear()
-                self.seen[word] = got
-        return got
+        self.seen = Seen(self.ranks, cache)
 
     def encode(self, text: str) -> str:
-        seen, words = self.seen, self.find(text)
-        try:
-            return ",".join([seen[w] for w in words])
-        except KeyError:
-            return ",".join([self.ids(w) for w in words])
+        """Decimal ids joined by commas."""
+        seen = self.seen
+        return ",".join([seen[w] for w in self.find(text)])
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
@@ -154,13 +169,14 @@ SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 stri
 
 
 def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-             with_ids: bool = True) -> DataFrame:
+             with_ids: bool = True, cache: int = CACHE) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with
-    ``with_ids``, the ids as little-endian binary (16 bits each, 32 beyond 65,536 ranks).  ``path``: a rank file on every executor."""
+    ``with_ids``, the ids as little-endian binary (16 bits each, 32 beyond 65,536 ranks).  ``path``: a rank file on every executor; ``cache``: pre-tokens kept
+    by a Python worker (about 220 bytes each)."""
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        codec = Codec(path, pattern)
+        codec = Codec.of(path, pattern, cache)
         kind = "<u2" if max(codec.ranks.values()) < 1 << 16 else "<u4"
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
