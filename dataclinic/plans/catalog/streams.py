@@ -19,11 +19,22 @@ def _scratch(spark, tag):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex[:8]}"
 
 
-def table_stream(spark, sf, name, schema):
-    """One driver table as a file stream: the source is the directory, filtered
-    to that table's file (new files matching it would arrive as new batches)."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf.rstrip("/")))
+def _is_folder(spark, path):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def table_stream(spark, sf, name, schema, files_per_trigger=None):
+    """One driver table as a file stream.  A folder of part files is the source itself; a
+    single file is its directory, filtered to that name.  Without ``files_per_trigger`` all
+    files come in one batch: the files of a stored table are in no order of time, so rows
+    of a later batch could be older than the watermark and be dropped."""
+    path, r = f"{sf.rstrip('/')}/{name}.parquet", spark.readStream.schema(schema)
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    if _is_folder(spark, path):
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf.rstrip("/"))
 
 
 def events_stream(spark, sf):
@@ -64,7 +75,7 @@ def t3_quality_monitor(spark, sf):
     path = f"{sf.rstrip('/')}/lineitem.parquet"
     schema = spark.read.parquet(path).schema
     cols = TB.LINEITEM_COLS
-    stream = table_stream(spark, sf, "lineitem", schema).select(*cols)
+    stream = table_stream(spark, sf, "lineitem", schema, files_per_trigger=1).select(*cols)
     out, ck = _scratch(spark, "monitor"), _scratch(spark, "monitor-ck")
     q = quality_monitor(stream, TB.lineitem_clean(spark, sf), out, ck, "l_returnflag", TB.LINEITEM["keys"])
     q.awaitTermination()

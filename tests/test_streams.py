@@ -1,5 +1,8 @@
 """Streaming forms equal their batch forms on the same table."""
 
+import glob
+import os
+
 from pyspark.sql import functions as F
 
 from dataclinic.operators import audit as AU
@@ -35,3 +38,29 @@ def test_quality_monitor_writes_one_row_per_column(spark, sf):
     m = q["t3_quality_monitor"](spark, sf)
     assert m.select("col_name").distinct().count() == 4
     assert m.where(F.col("drift").isNull()).count() == 0
+
+
+def folder_of_files(spark, sf, name, to, order):
+    """A table as a folder of four files; the stream meets them from the last key to the first."""
+    d = spark.read.parquet(f"{sf}/{name}.parquet")
+    d.repartitionByRange(4, F.col(order).desc()).write.parquet(f"{to}/{name}.parquet")
+    files = sorted(glob.glob(f"{to}/{name}.parquet/part-*.parquet"))
+    assert len(files) == 4
+    for k, f in enumerate(files):
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+
+
+def test_streams_read_every_file_of_a_folder(spark, sf, tmp_path):
+    q, _ = load_all()
+    folder_of_files(spark, sf, "events", tmp_path, "ts")
+    test_audit_stream_equals_batch(spark, str(tmp_path))
+    test_curriculum_stream_equals_batch(spark, str(tmp_path))
+
+
+def test_monitor_reads_every_file_of_a_folder(spark, sf, tmp_path):
+    q, _ = load_all()
+    folder_of_files(spark, sf, "lineitem", tmp_path, "l_orderkey")
+    m = q["t3_quality_monitor"](spark, str(tmp_path)).groupBy("col_name").agg(F.sum("n_rows").alias("n"),
+                                                                             F.countDistinct("batch_id").alias("b"))
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert {(x["n"], x["b"]) for x in m.collect()} == {(n, 4)}
