@@ -31,7 +31,7 @@ from .blocks import Layout
 from .common import shared_folder, stored
 from .words import joined, word_hashes, word_spans
 
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 128 << 10  # a shard is several blocks, so documents cross them
 EOD = 50_256  # fixed value: the id after those of the 50,256 ranks
 SHARD_BYTES = 8 << 20
 

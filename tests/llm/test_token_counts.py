@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from dataclinic.llm.token_counts import document_token_counts, token_counts, token_files
+from dataclinic.llm.token_counts import BLOCK_TOKENS, document_token_counts, token_counts, token_files, write_token_files
 
 
 def test_any_files_and_block_sizes(spark, tmp_path):
@@ -39,3 +39,13 @@ def test_documents_round_trip(as_docs):
     by = sorted(got, key=lambda x: x["ordinal"])
     assert [x["token_start"] for x in by] == [sum(y["n_tokens"] + 1 for y in by[:k]) for k in range(len(by))]
     assert document_token_counts(as_docs([])).count() == 0
+
+
+def test_documents_cross_blocks_of_the_registered_size(spark, as_docs, tmp_path):
+    want = {1: 300_000, 2: 5, 3: 200_001, 4: 0, 5: 131_072}
+    docs = as_docs([(i, "a " * n) for i, n in want.items()])
+    write_token_files(docs, str(tmp_path / "files"))
+    got = token_counts(token_files(spark, str(tmp_path / "files"))).collect()
+    assert sorted(x["n_tokens"] for x in got) == sorted(want.values())
+    assert sum(x["file_start"] // BLOCK_TOKENS != (x["file_start"] + x["n_tokens"]) // BLOCK_TOKENS for x in got) >= 2
+    assert {x["doc_id"]: x["n_tokens"] for x in document_token_counts(docs).collect()} == want
