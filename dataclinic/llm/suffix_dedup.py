@@ -1,4 +1,7 @@
-"""Suffix dedup by a difference-cover blockwise construction.
+"""Byte-level repeats of LENGTH bytes: a hash match behind a difference-cover filter.
+
+This replaces blockwise suffix sorting: suffixes are not ordered, samples have no
+ranks and there is no tie-break.
 
 Every UTF-8 byte position of a document starts a suffix.  Two suffixes that
 agree on ``LENGTH`` bytes are a repeat; matches never cross documents.
@@ -7,15 +10,13 @@ agree on ``LENGTH`` bytes are a repeat; matches never cross documents.
   j some shift s < PERIOD puts both i + s and j + s (counted from their document
   starts) into the cover, so two equal strings of LENGTH bytes hold equal cover
   samples of LENGTH - PERIOD + 1 bytes.  The samples (5 of 21 positions) are
-  ranked first, in Spark, by hashed buckets: a sample is unique or it recurs.
-* Suffixes are then sorted bucket by bucket, one bucket in memory at a time.
-  Only suffixes whose cover samples recur take part; ties beyond the sorted key
-  are settled by the ranks of the samples that the string covers.
-
-Only equality at LENGTH matters here, so buckets cut the suffixes by the order of
-a hash of the string, not by its first letters: no bucket is hot because a
-word is frequent.  Removed are the bytes covered by a string that also starts in
-a document of smaller id (``repeated.py``).
+  looked up first, by hashed buckets: a sample is unique or it recurs.
+* Only strings whose cover samples recur are compared, by 64 + 8 x ``check_bytes``
+  bits of hash, in buckets of the hash: no bucket is hot because a word is
+  frequent.  Strings of equal hash count as equal; the bytes are not compared.
+
+Removed are the bytes covered by a string that also starts in a document of
+smaller id (``repeated.py``).
 
 Edge cases: as in ``substring_dedup``, with bytes for words; the kept bytes may
 cut a UTF-8 character and are binary.
