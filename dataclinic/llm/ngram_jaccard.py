@@ -23,8 +23,8 @@ words the whole sequence is the one shingle).  Two documents link when
    of a forest leave a task; no pairs are emitted.
 
 Edge cases: no words or null text: an empty set, linked with nothing; a null id
-takes the component of its set, null if no row with an id has that set; rows
-that share an id are one document for components; an empty table gives an empty
+is a document of its own (numbered above all ids) whose component is the smallest
+id in it, null if no row of the component has an id; rows that share an id are one document for components; an empty table gives an empty
 result; extra columns are not read.
 """
 
@@ -275,16 +275,30 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     return m.groupBy("group", "p", "q").applyInArrow(_linked(percent), LINKS)
 
 
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, int | None]:
+    """``docs`` where rows without an id have numbers above all ids, and the largest id; (docs,
+    None) where every row has one."""
+    given = F.col(id_col).cast("bigint")
+    top, rows, named = docs.agg(F.max(given), F.count(F.lit(1)), F.count(given)).first()
+    if rows == named:
+        return docs, None
+    top = -1 if top is None else top
+    number = F.lit(top).cast("bigint") + 1 + F.monotonically_increasing_id()
+    lone = stored(docs.where(given.isNull()).withColumn(id_col, number))  # numbered once
+    return docs.where(given.isNotNull()).withColumn(id_col, given).unionByName(lone), top
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
                   percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     small_batches(docs)
+    docs, top = numbered(docs.select(id_col, text_col), id_col)
     sig = stored(_signatures(docs, id_col, text_col, gram))
     classes = stored(sig.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
     layout = B.Layout(docs, id_col, text_col, min(B.BLOCK_BYTES, TEXT_BLOCK_BYTES))
     bits, buckets = filter_bits(layout.total_bytes), layout.buckets
     texts = B.text_blocks(docs, layout, id_col, text_col)
-    reps = classes.where("rep is not null").select(
+    reps = classes.select(
         layout.block(F.col("rep")).alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
         F.concat("key", F.encode(F.col("rep").cast("string"), "utf-8")).alias("bits"))
 
@@ -330,4 +344,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "key", F.coalesce("component", "rep").alias("component_id")))
     full = sig.where("n_shingles > 0").join(known, "key").select("doc_id", "n_shingles", "component_id")
     empty = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    out = full.unionByName(empty)
+    if top is None:
+        return out
+    return out.withColumns({c: F.when(F.col(c) <= top, F.col(c)) for c in ("doc_id", "component_id")})

@@ -79,3 +79,16 @@ def test_trie_finds_all_partners():
             ok = lambda k, g: 100 * g >= 85 * (nx + sizes[k] - g)
             want = {k for k, s in enumerate(sets) if s and ok(k, len(set(s) & set(xs)))}
             assert {k for k, g in tree.partners(xs, nx, 85) if ok(k, g)} == want
+
+
+def test_rows_without_an_id_link(as_docs):
+    w = ["w%d" % i for i in range(100)]
+    a, b, c = w, w[:94] + list("uvwxyz"), w[:90] + list("klmn") + list("uvwxyz")
+    rows = [(1, a), (None, b), (2, c), (None, ["q"] * 9), (None, w[::-1]), (None, w[:0:-1]), (None, [])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    ids = [1, 10, 2, 11, 12, 13, 14]
+    back = lambda i: i if i < 10 else None
+    want = [(back(i), n, back(c)) for i, n, c in brute([(i, t) for i, (_, t) in zip(ids, rows)])]
+    assert (2, 97, 1) in want  # by the row without an id only
+    got = [tuple(x) for x in N.ngram_jaccard(as_docs(rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

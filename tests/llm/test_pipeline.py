@@ -35,3 +35,12 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     out = P.run(spark, sf)
     assert "doc_id" in out.columns and out.count() > 0
+
+
+def test_near_copies_without_an_id_leave(spark, sf):
+    a, b = " ".join(f"w{i}" for i in range(99)), " ".join(f"v{i}" for i in range(99))
+    df = rows(spark, [(3, a, "en", "s", 1), (None, a + " x", "en", "s", 1), (None, b, "en", "s", 1), (None, b + " x", "en", "s", 1)])
+    c = P.near_dedup(spark, df, sf)
+    assert c.columns == df.columns
+    got = [(r["doc_id"], r["text"][0]) for r in c.collect()]
+    assert sorted(got, key=str) == sorted([(3, "w"), (None, "v")], key=str)
