@@ -95,6 +95,53 @@ def op1_token_counts(spark, sf_dir):
     return document_token_counts(table(spark, sf_dir, "documents"))
 
 
+def _op11_sql(k: int = 16, rounds: int = 3, dim: int = 64) -> str:
+    """The rounds written out: every vector against every centroid, in integers."""
+    sql = f"""
+WITH cells AS (SELECT r, vec_id, d, x FROM
+  (SELECT row_number() OVER () AS r, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d
+   FROM embeddings WHERE len(embedding) = {dim})),
+ok AS (SELECT r FROM cells GROUP BY r HAVING count(*) FILTER (x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)) = {dim}),
+v AS MATERIALIZED (SELECT r, vec_id, d, CAST(floor(64.0::DOUBLE * x::DOUBLE) AS BIGINT) AS x FROM cells SEMI JOIN ok USING (r)),
+pick AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM (SELECT DISTINCT r, vec_id FROM v)
+         WHERE vec_id IS NOT NULL QUALIFY cluster < {k}),
+c0 AS MATERIALIZED (SELECT cluster, d, x FROM pick JOIN v USING (r))"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS MATERIALIZED (SELECT r, first(cluster ORDER BY dist, cluster) AS cluster, min(dist) AS dist FROM
+   (SELECT r, cluster, sum((v.x - c{i}.x) * (v.x - c{i}.x)) AS dist FROM v JOIN c{i} USING (d) GROUP BY r, cluster) GROUP BY r)"""
+        if i < rounds:
+            sql += f""",
+s{i} AS (SELECT cluster, d, sum(x) AS s, count(*) AS n FROM v JOIN a{i} USING (r) GROUP BY cluster, d),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.cluster, c{i}.d,
+   CASE WHEN n IS NULL THEN c{i}.x ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS x FROM c{i} LEFT JOIN s{i} USING (cluster, d))"""
+    return sql + f""",
+h AS (SELECT cluster, sha256(string_agg(x, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster),
+ids AS (SELECT DISTINCT r, vec_id FROM v)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance,
+       CAST(sum(dist) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia,
+       centroid_sha256, count(*) OVER (PARTITION BY cluster) AS cluster_size
+FROM a{rounds} JOIN ids USING (r) JOIN h USING (cluster)"""
+
+
+@query("op11_centroid_clustering", _op11_sql())
+def op11_centroid_clustering(spark, sf_dir):
+    from .centroid_clustering import centroid_clustering
+    return centroid_clustering(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_secret_scan")
+def op12_secret_scan(spark, sf_dir):
+    from .secret_scan import secret_scan
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark, sf_dir):
+    from .spelling_variants import spelling_variants
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
