@@ -8,9 +8,8 @@ answers every block with one bit a hash.  The answers travel back by block,
 where the block's texts recompute the hashes in the same order.  The texts
 cross the network once: every pass reads the same exchange.
 
-Blocks are ranges of ids (``block_column``): knots at quantiles of the id, cut
-evenly in between, so ids of any spread give blocks of like size, and the block
-of a row is an expression of its id alone, the same on every evaluation.
+Blocks are ranges of ids that hold about ``BLOCK_BYTES`` each, whatever the spread of the ids and
+wherever the long texts lie (``Layout``).
 """
 
 from __future__ import annotations
@@ -18,42 +17,126 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 U = np.uint64
-KNOTS = 64
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 6 << 20
+ROW_BYTES = 64  # what a row counts beside its text, so empty texts fill a block too
+MAX_CUTS = 1 << 18  # the table of block boundaries that tasks get: 2 MB at most
+_FINE = 4  # cells of the histogram for each block
+
+
+def _histogram(sizes: DataFrame, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight and rows of each cell [starts[i], starts[i + 1]): one row per task and cell."""
+    def count(batches):
+        w, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for b in batches:
+            cell = np.searchsorted(starts, b.column(0).to_numpy(zero_copy_only=False), side="right") - 1
+            w += np.bincount(cell, b.column(1).to_numpy(zero_copy_only=False), len(starts)).astype(np.int64)
+            n += np.bincount(cell, minlength=len(starts))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at]), pa.array(n[at])], ["cell", "w", "n"])
+
+    rows = (sizes.mapInArrow(count, "cell bigint, w bigint, n bigint").groupBy("cell")
+            .agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toPandas())
+    w, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    at = rows["cell"].to_numpy(np.int64)
+    w[at], n[at] = rows["w"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    return w, n
+
+
+def _cuts(sizes: DataFrame, lo: int, hi: int, target: float) -> np.ndarray:
+    """Starts of the blocks: a histogram over the ids whose cells are split until none of several rows and ids is
+    heavier than a quarter of a block; neighbours then join up to ``target``."""
+    starts, w, n, first = [lo], [0], [2], True
+    while True:
+        ends = [*starts[1:], hi + 1]
+        split = []
+        for a, b, x, rows in zip(starts, ends, w, n):
+            parts = 1
+            if first or (x > target / _FINE and rows > 1):
+                parts = min(b - a, 4096 if first else max(16, math.ceil(x / target * _FINE)))
+            split += [a + (b - a) * j // parts for j in range(parts)]
+        if len(split) == len(starts) and not first:
+            break
+        starts, first = split, False
+        w, n = _histogram(sizes, np.array(starts, np.int64))
+        keep = [0] + [i for i in range(1, len(starts)) if n[i] or n[i - 1]]  # empty neighbours need one cell only
+        starts, w, n = [starts[i] for i in keep], w[keep].tolist(), n[keep].tolist()
+    cuts, held = [starts[0]], 0
+    for a, x in zip(starts, w):
+        if held and held + x > target:
+            cuts.append(a)
+            held = 0
+        held += x
+    return np.array(cuts, np.int64)
 
 
 class Layout:
-    """Number of blocks and buckets for a corpus, and the block of an id."""
+    """Cuts a corpus into blocks of about ``block_bytes``: consecutive ids, null ids last.
+
+    The cuts are quantiles of the bytes, so outlying ids, gaps, clustered long texts and many empty texts leave the
+    blocks alike; only the rows of one id are never cut.  A corpus of more than ``MAX_CUTS`` blocks cuts each range
+    evenly further.  Rows without an id are one document for the substring operators; they lie in blocks of their own
+    number, dealt by their text."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None):
-        q = [i / KNOTS for i in range(KNOTS + 1)]
-        row = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count(id_col),
-                       F.percentile_approx(id_col, F.array(*map(F.lit, q)), 20_000)).first()
-        self.total_bytes, self.rows, knots = int(row[0]), int(row[1]), row[2]
-        self.knots = sorted(set(knots)) if knots else [0]
-        self.blocks = max(1, math.ceil(self.total_bytes / (block_bytes or BLOCK_BYTES)))
+        size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
+        all_sizes = stored(docs.select(F.col(id_col).cast("bigint").alias("id"), size.alias("size")))
+        weight = F.col("size") + ROW_BYTES
+        r = all_sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("id"), F.min("id"), F.max("id"),
+                          F.coalesce(F.sum(F.when(F.col("id").isNotNull(), weight)), F.lit(0)),
+                          F.coalesce(F.sum(F.when(F.col("id").isNull(), weight)), F.lit(0))).first()
+        self.total_bytes, self.rows = int(r[0]), int(r[1])
+        self.block_bytes = block_bytes or BLOCK_BYTES
+        target = max(self.block_bytes, r[4] / MAX_CUTS)
+        self.pieces = math.ceil(target / self.block_bytes)
+        self.cuts = np.zeros(1, np.int64)
+        self.top = 0
+        if self.rows:
+            sizes = all_sizes.where("id is not null").select("id", weight.alias("w"))
+            self.cuts, self.top = _cuts(sizes, int(r[2]), int(r[3]), target), int(r[3])
+        self.nulls = len(self.cuts) * self.pieces  # the first block of rows without an id
+        self.null_blocks = max(1, math.ceil(r[5] / self.block_bytes))
+        self.blocks = self.nulls + self.null_blocks
         self.buckets = max(1, math.ceil(self.total_bytes / BUCKET_BYTES))
-        self.pieces = max(1, math.ceil(self.blocks / KNOTS))
+
+    def number(self, ids: np.ndarray) -> np.ndarray:
+        """Block of each (int64) id: non-decreasing."""
+        cell = np.maximum(np.searchsorted(self.cuts, ids, side="right") - 1, 0)
+        if self.pieces == 1:
+            return cell.astype(np.int32)
+        lo = self.cuts[cell].astype(np.float64)
+        hi = np.append(self.cuts[1:], self.top)[cell].astype(np.float64) + 1
+        part = np.floor((ids.astype(np.float64) - lo) / (hi - lo) * self.pieces).astype(np.int64)
+        return (cell * self.pieces + np.clip(part, 0, self.pieces - 1)).astype(np.int32)
+
+    def of(self, ids: pa.Array, texts: pa.Array) -> np.ndarray:
+        """Block of each row; rows without an id are dealt by their text."""
+        out = self.number(ids.fill_null(0).to_numpy(zero_copy_only=False))
+        lost = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
+        if len(lost):
+            import xxhash
+            raw = texts.take(pa.array(lost)).to_pylist()
+            out[lost] = [self.nulls + xxhash.xxh3_64_intdigest(t or b"") % self.null_blocks for t in raw]
+        return out
 
     def block(self, c: Column) -> Column:
-        """Non-decreasing in the id; null ids come last."""
-        ks = self.knots
-        if len(ks) == 1:
-            return F.when(c.isNull(), F.lit(1)).otherwise(F.lit(0)).cast("int")
-        arr = F.array(*[F.lit(k).cast("bigint") for k in ks])
-        cell = F.greatest(F.lit(1), F.least(F.size(F.filter(arr, lambda k: k <= c)), F.lit(len(ks) - 1)))
-        lo, hi = F.element_at(arr, cell).cast("double"), F.element_at(arr, cell + 1).cast("double")
-        part = F.floor((c.cast("double") - lo) / (hi - lo) * self.pieces)
-        part = F.greatest(F.lit(0), F.least(part, F.lit(self.pieces - 1)))
-        n = F.lit((len(ks) - 1) * self.pieces)
-        return F.when(c.isNull(), n).otherwise((cell - 1) * self.pieces + part).cast("int")
+        """Block of an id (a column of integers); null ids come in the first block after all others."""
+        nulls, number = self.nulls, self.number
+
+        @F.pandas_udf("int")
+        def run(ids: pd.Series) -> pd.Series:
+            return pd.Series(number(ids.to_numpy(np.int64)))
+        # no null reaches pandas, so 64-bit integers stay exact
+        return F.when(c.isNull(), F.lit(nulls)).otherwise(run(F.coalesce(c.cast("bigint"), F.lit(0)))).cast("int")
 
 
 def pack(sorted_hashes: np.ndarray, bits: int) -> bytes:
@@ -131,7 +214,7 @@ def ask_rows(block: int, values: np.ndarray, bits: int, buckets: int, check: np.
                      "hashes": pa.array(blobs, pa.binary()), "check": pa.array(checks, pa.binary())})
 
 
-def _answer(table: pa.Table, kind: int, earlier: bool) -> pa.Table:
+def _answer(table: pa.Table, kind: int, earlier: bool, nulls: int | None = None) -> pa.Table:
     block = table["block"].to_numpy()
     order = np.argsort(block, kind="stable")
     hashes, checks = table["hashes"].to_pylist(), table["check"].to_pylist()
@@ -155,19 +238,26 @@ def _answer(table: pa.Table, kind: int, earlier: bool) -> pa.Table:
         s, t = h[by], c[by]
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = (s[1:] == s[:-1]) & (t[1:] == t[:-1])
-    # earlier: not the first of its run; else: any run of two or more
+    # earlier: the run begins in a smaller block, where those of rows without an id count as one; else: any run of
+    # two or more
     flag = np.zeros(len(h), bool)
-    flag[by] = same[:-1] if earlier else same[:-1] | same[1:]
+    if earlier:
+        at = block[order] if nulls is None else np.minimum(block[order], nulls)
+        at = np.repeat(at, sizes)[by]
+        head = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(h))))
+        flag[by] = at > at[head]
+    else:
+        flag[by] = same[:-1] | same[1:]
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     bits = [np.packbits(flag[cuts[i]:cuts[i + 1]]).tobytes() for i in range(len(order))]
     return pa.table({"block": pa.array(block[order], pa.int32()), "kind": pa.array([kind] * len(order), pa.int32()),
                      "bucket": pa.array(table["bucket"].to_numpy()[order], pa.int32()), "bits": pa.array(bits, pa.binary())})
 
 
-def answers(asks: DataFrame, kind: int, earlier: bool) -> DataFrame:
+def answers(asks: DataFrame, kind: int, earlier: bool, nulls: int | None = None) -> DataFrame:
     """One answer for each ask: a bit a hash.  ``earlier``: the hash also occurs in a
-    block of smaller number; else: in any other block."""
-    return asks.groupBy("bucket").applyInArrow(lambda t: _answer(t, kind, earlier), ANSWER)
+    block of smaller number (blocks from ``nulls`` on count as one); else: in any other block."""
+    return asks.groupBy("bucket").applyInArrow(lambda t: _answer(t, kind, earlier, nulls), ANSWER)
 
 
 def read_answer(table: pa.Table, kind: int, values: np.ndarray, bits: int, buckets: int) -> np.ndarray:
@@ -206,8 +296,7 @@ BLOCK = "block int, texts binary"
 def text_blocks(docs: DataFrame, layout: Layout, id_col: str, text_col: str) -> DataFrame:
     """Rows (block, texts): compressed Arrow tables (doc_id, text) of rows of one block.
     A block has a row for each input batch that holds some of it."""
-    src = docs.select(layout.block(F.col(id_col)).alias("block"), F.col(id_col).cast("bigint").alias("doc_id"),
-                      F.col(text_col).cast("binary").alias("text"))
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def to_blocks(batches):
         opts = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
@@ -215,7 +304,7 @@ def text_blocks(docs: DataFrame, layout: Layout, id_col: str, text_col: str) ->
             if batch.num_rows == 0:
                 continue
             t = pa.Table.from_batches([batch])
-            block = t["block"].to_numpy()
+            block = layout.of(batch.column(0), batch.column(1))
             order = np.argsort(block, kind="stable")
             cut = np.flatnonzero(np.diff(block[order], prepend=block[order[0]] - 1))
             ends = np.append(cut[1:], len(order))

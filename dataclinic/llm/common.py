@@ -37,8 +37,3 @@ def n_words(text: Column) -> Column:
     """Number of words of a text, native; null counts 0."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("bigint")
 
-
-def small_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch between Spark and Python in this session: texts may
-    be long, and a task holds a batch on either side."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -87,13 +87,18 @@ def invert_schedule(u: Column, schedules, rank: Column) -> Column:
 
 
 def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                   weights=WEIGHTS, schedules=SCHEDULES, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
+                   weights=WEIGHTS, schedules=SCHEDULES, max_epochs: float = MAX_EPOCHS, seed: int = 7,
+                   row_col: str | None = None) -> DataFrame:
     """One row per document, range-sorted by the position of its first use:
-    doc_id, text_hash, source, size, source_size, target, taken, positions (one for each
-    use, the last of which may be a part of the document; empty where nothing is taken)."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"))
-    base = stored(base.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text_hash")))
+    doc_id, source, size, source_size, target, taken, positions (one for each
+    use, the last of which may be a part of the document; empty where nothing is taken).
+    ``row_col``: a number of the row, kept as ``row`` and read for nothing else."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != row_col]
+    row = [F.col(row_col).alias("row")] if row_col else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
+                       F.xxhash64(F.lit(seed), id_col, F.xxhash64(text_col)).alias("h"),
+                       (F.xxhash64(*others) if row_col else F.lit(0)).alias("tie"), *row)
+    base = stored(base)
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_epochs)
     rows = base.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)))
@@ -101,7 +106,7 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     offsets = stored(offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).drop(targets["source"]))
-    lane = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    lane = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     laid = rows.withColumn("upto", F.sum("size").over(lane))
     o = offsets.withColumnRenamed("source", "o_source").withColumnRenamed("bucket", "o_bucket")
     j = laid.join(o, laid["source"].eqNullSafe(o["o_source"]) & (laid["bucket"] == o["o_bucket"]))
@@ -119,7 +124,8 @@ def curriculum_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     positions = F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), last), position)).otherwise(
         F.array().cast("array<double>"))
-    out = j.select("doc_id", "text_hash", "source", "size", "source_size", "target", "taken", positions.alias("positions"))
+    out = j.select("doc_id", "source", "size", "source_size", "target", "taken", positions.alias("positions"),
+                   *["row"] * len(row))
     first = F.try_element_at("positions", F.lit(1))
     return out.repartitionByRange(first, "doc_id").sortWithinPartitions(first, "doc_id")
 
@@ -128,18 +134,16 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                **options) -> DataFrame:
     """The documents of the mix with all their columns, whole, once for each use (the part
     that ends a source's quota counts from half a document), range-sorted by position.
-    Rows without an id are placed by their text like others; repeated rows share their uses."""
-    plan = curriculum_mix(docs, id_col, text_col, source_col, **options)
+    Every row is placed by itself: rows that share an id or a text keep their own uses."""
+    # numbered once: the stored number identifies a row whatever its id
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+                  .withColumn("n", F.monotonically_increasing_id()))
+    number = "__row"
+    while number in docs.columns:
+        number = "_" + number
+    plan = curriculum_mix(rows.select("row.*", F.col("n").alias(number)), id_col, text_col, source_col, row_col=number, **options)
     uses = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    plan = plan.where("taken > 0").select("doc_id", "text_hash", F.slice("positions", 1, uses).alias("positions"))
-    plan = plan.where(F.size("positions") > 0).groupBy("doc_id", "text_hash").agg(
-        F.flatten(F.collect_list("positions")).alias("positions"), F.count(F.lit(1)).alias("rows"))
-    plan = stored(plan)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"),
-                       F.xxhash64(text_col).alias("text_hash"))
-    if not plan.where("rows > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "text_hash"])
-    p = plan.select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "positions")
-    j = rows.join(p, rows["doc_id"].eqNullSafe(p["p_id"]) & (rows["text_hash"] == p["p_hash"]))
+    plan = plan.where("taken > 0").select(F.col("row").alias("n"), "doc_id", F.slice("positions", 1, uses).alias("positions"))
+    j = rows.join(stored(plan.where(F.size("positions") > 0)), "n")
     j = j.select("row", F.explode("positions").alias("position"), "doc_id")
     return j.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")

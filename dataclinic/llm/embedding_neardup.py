@@ -16,8 +16,12 @@ threshold, which on unit vectors is a Euclidean range r = sqrt(2 - 2 cos).
    pairs; counts are exact.
 4. Components come from the forest edges.
 
+The pivots of all labels together are at most ``MAX_PIVOTS`` (their table goes to every task); beyond
+``PER_CELL * MAX_PIVOTS / 2`` classes cells grow with the data, and their blocks are joined pair by pair: no link
+is lost, but the work then grows with the square of a cell.
+
 Edge cases: null, zero, empty or non-finite vectors and null labels link with
-nothing; vectors of different lengths never link; a null id links with nothing;
+nothing; vectors may be floats, doubles or other numbers; vectors of different lengths never link; a null id links with nothing;
 repeated rows are vectors like any other (rows with one id link through it);
 an empty table gives an empty result; extra columns are not read.
 """
@@ -133,7 +137,8 @@ def embedding_neardup(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
                       threshold: float = THRESHOLD, per_cell: int = PER_CELL, block: int = BLOCK,
                       seed: int = 5) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("embedding"),
+    kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"  # other numbers become doubles
+    v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("embedding"),
                        F.col(label_col).alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -157,7 +162,7 @@ def embedding_neardup(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     pivots = {k: np.array(p) for k, p in pivots.items()}
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     cells = classes.select("part", "class", "class_id", "size", "embedding").mapInArrow(
-        _to_cells(pivots, radius), "part string, class bigint, class_id bigint, size bigint, embedding array<float>, home int, cell int")
+        _to_cells(pivots, radius), f"part string, class bigint, class_id bigint, size bigint, embedding array<{kind}>, home int, cell int")
     cells = stored(cells)
     sizes = cells.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "blocks", F.ceil(F.col("n") / block).cast("int")).select("part", "cell", "blocks")

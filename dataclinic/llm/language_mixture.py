@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
 from .words import joined
 
 BUCKETS = 1 << 16
@@ -146,9 +145,9 @@ def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: doc_id, held_out, lang_pred, score (proportion of lang_pred),
     languages and shares of the chosen set, largest first; ``with_row`` adds the whole
     input row as a struct, so a filter needs no join back."""
-    small_batches(docs)
     train = docs.where(~held_out(F.col(id_col)))
-    langs, probs = learn(train, lang_col, text_col)
+    langs, table = learn(train, lang_col, text_col)
+    model = docs.sparkSession.sparkContext.broadcast(table)  # half a MB for each language
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     at_text = docs.columns.index(text_col)
@@ -161,6 +160,7 @@ def language_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     step = max(16, 1024 // max(1, len(langs)))
 
     def predict(batches):
+        probs = model.value
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)

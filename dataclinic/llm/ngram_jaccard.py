@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import small_batches, stored
+from .common import stored
 from .components import connected_components
 from .repeated import filter_bits
 from .words import LOWER, joined, mix, rolling, word_hashes, word_spans
@@ -288,10 +288,38 @@ def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, int | None]:
     return docs.where(given.isNotNull()).withColumn(id_col, given).unionByName(lone), top
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` of which one of each group of near duplicates stays: the one of smallest id, a row
+    without an id only where no other has one.  Every row is judged by itself, also rows that share an id."""
+    given = F.col(id_col).cast("bigint")
+    shared = stored(docs.select(given.alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).where("i is null or n > 1"))
+    number = "__row"
+    while number in docs.columns:
+        number = "_" + number
+    if shared.isEmpty():
+        groups = ngram_jaccard(docs, id_col, text_col, **options)
+        gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(number)))
+        return docs.join(gone, given == gone[number], "left_anti")
+    top = docs.agg(F.coalesce(F.max(given), F.lit(-1))).first()[0]
+    # rows that an id does not tell apart get numbers above all ids, once
+    mark = F.broadcast(shared) if shared.count() < 10_000 else shared
+    lone = docs.join(mark, given.eqNullSafe(shared["i"]), "left_semi")
+    lone = stored(lone.withColumn(number, F.lit(top).cast("bigint") + 1 + F.monotonically_increasing_id()))
+    rows = docs.join(mark, given.eqNullSafe(shared["i"]), "left_anti").withColumn(number, given).unionByName(lone)
+    groups = stored(ngram_jaccard(rows.select(number, text_col), number, text_col, **options).select(
+        F.col("doc_id").alias("row"), F.col("component_id").alias("group")))
+    linked = groups.join(groups.where("row <> group").select("group").distinct(), "group")
+    ids = lone.select(F.col(number).alias("row"), given.alias("i"), F.lit(True).alias("renumbered"))
+    linked = linked.join(ids, "row", "left").withColumn("i", F.when(F.col("renumbered"), F.col("i")).otherwise(F.col("row")))
+    linked = stored(linked.select("row", "group", F.struct(F.col("i").isNull().alias("none"), "i", "row").alias("order")))
+    first = linked.groupBy("group").agg(F.min("order").alias("first"))
+    gone = stored(linked.join(first, "group").where("order <> first").select(F.col("row").alias(number)))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
                   percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    small_batches(docs)
     docs, top = numbered(docs.select(id_col, text_col), id_col)
     sig = stored(_signatures(docs, id_col, text_col, gram))
     classes = stored(sig.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))

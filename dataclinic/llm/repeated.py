@@ -155,5 +155,5 @@ def remove_repeated(docs: DataFrame, w: Windows, schema: str, empty: pa.Table, i
         return texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, out)
 
     for kind, stage in enumerate(("texts", "samples", "windows")):
-        known = known.unionByName(B.answers(pass_over(plan.ask(stage), B.ASK), kind, earlier=stage != "samples"))
+        known = known.unionByName(B.answers(pass_over(plan.ask(stage), B.ASK), kind, stage != "samples", layout.nulls))
     return pass_over(plan.rows(), schema)

@@ -49,3 +49,9 @@ def test_matches_brute_force(spark):
     got = sorted((tuple(x) for x in embedding_neardup(df, per_cell=20, block=16).collect()), key=str)
     assert got == brute(rows, 0.93)
     assert embedding_neardup(df.limit(0)).count() == 0
+    wide = [(v, None if e is None else [None if x is None else x + 1e-12 for x in e], l) for v, e, l in rows]
+    df = spark.createDataFrame(wide, "vec_id bigint, embedding array<double>, label int")
+    assert sorted((tuple(x) for x in embedding_neardup(df, per_cell=20, block=16).collect()), key=str) == brute(wide, 0.93)
+    whole = [(i, [r.randint(-3, 3) for _ in range(4)], 1) for i in range(120)]
+    df = spark.createDataFrame(whole, "vec_id bigint, embedding array<int>, label int")
+    assert sorted((tuple(x) for x in embedding_neardup(df).collect()), key=str) == brute(whole, 0.93)

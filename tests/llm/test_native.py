@@ -93,6 +93,31 @@ def test_mix(spark, seed):
     assert C.curriculum_mix(df.limit(0)).count() == 0 and C.mixed_rows(df.limit(0)).count() == 0
 
 
+def test_mixed_rows_keeps_rows_that_share_an_id(spark):
+    schema = "doc_id bigint, text string, source string, h int, row string"
+    rows = [(1, "a b c", "s1", 1, "p"), (1, "a b c", "s2", 1, "p"), (1, "a b c", "s1", 2, "p"), (2, "d", "s3", 1, "p"),
+            (None, "e f", "s2", 1, "p"), (None, "e f", "s2", 1, "p")]
+    df = spark.createDataFrame(rows, schema)
+    plan = C.curriculum_mix(df).collect()
+    uses = Counter()
+    for p in plan:
+        uses[p["source"]] += math.floor(p["taken"] / p["size"] + 0.5)
+    out = [tuple(r) for r in C.mixed_rows(df).collect()]
+    assert Counter(r[2] for r in out) == +uses and set(out) <= set(rows)
+    assert C.mixed_rows(df).columns == df.columns
+    again = [tuple(r) for r in C.mixed_rows(df.repartition(3)).collect()]
+    assert sorted(out, key=str) == sorted(again, key=str)
+
+
+def test_long_text_and_url(spark):
+    rows = [(1, "w " * 300_000, "a"), (2, "x" * 500_000, "a"), (3, "y", "b")]
+    got = {r["doc_id"]: r["size"] for r in C.curriculum_mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert got == {1: 300_000, 2: 1, 3: 1}
+    urls = [(1, "http://net/" + "a/" * 100_000 + "?" + "b=1&" * 50_000), (2, "http://com/de/1"), (3, "http://x.org/1")]
+    got = {r["page_id"]: r for r in url_filter(spark.createDataFrame(urls, "page_id bigint, url string")).collect()}
+    assert len(got[1]["path"]) == 200_001 and [got[i]["verdict"] for i in (2, 3)] == ["block", "allow"]
+
+
 def test_schedule_inversion(spark):
     from pyspark.sql import functions as F
     df = spark.range(101).select((F.col("id") / 100).alias("u"))
@@ -106,6 +131,46 @@ def test_schedule_inversion(spark):
             assert math.isclose(done / area, r["u"], abs_tol=1e-9)
 
 
+def test_url_features(spark):
+    from dataclinic.llm import url_filter as U
+    urls = ["http://A.example.org/x-1/y_2/33?b=1&c=2#f", "http://net", "x://h/é/Ü?", "no scheme?x=1", ""]
+    df = U.lexical(spark.createDataFrame([(u,) for u in urls], "url string").withColumns(
+        {"host": U.host_of(U.F.col("url")), "path": U.path_of(U.F.col("url"))}))
+    for r in df.collect():
+        u = r["url"].lower()
+        n = max(len(u), 1)
+        query = u.split("?", 1)[1].split("#", 1)[0] if "?" in u else ""
+        classes = Counter(c if c in U.ALPHABET else "other" for c in u)
+        entropy = -sum(k / n * math.log2(k / n) for k in classes.values())
+        want = dict(url_len=len(u), host_len=len(r["host"]), path_len=len(r["path"]), query_len=len(query),
+                    depth=r["path"].count("/"), host_labels=r["host"].count(".") + 1,
+                    digit_ratio=sum(c.isdigit() for c in u) / n, dash_ratio=sum(c in "-_" for c in u) / n, entropy=entropy,
+                    n_params=query.count("&") + 1 if query else 0, has_fragment="#" in u)
+        for k, v in want.items():
+            assert math.isclose(r[k], float(v), abs_tol=1e-9), (r["url"], k)
+        assert r["suffix"] == ".".join(r["host"].split(".")[-2:])
+
+
+def test_url_model_on_urls_kept_out_of_the_fit(spark):
+    """Verdicts of the trees on hosts that no rule names, whose URLs look like those of the rules."""
+    r = random.Random(6)
+    spam = lambda: "/" + "".join(r.choice("0123456789") for _ in range(r.randint(9, 16))) + "?" + "&".join(
+        f"p{k}={r.randint(100, 999)}" for k in range(r.randint(3, 6)))
+    good = lambda: "/" + "/".join(r.choice(["about", "news", "library", "science", "garden"]) for _ in range(r.randint(1, 3)))
+    rules = (("bad.com", "/", "block"), ("good.com", "/", "allow"))
+    rows, truth = [], {}
+    for i in range(1200):
+        block = r.random() < 0.4
+        host = (["bad.com", "a.bad.com"] if block else ["good.com", "b.good.com"])[i % 2]
+        if i % 4 == 0:
+            host, truth[i] = f"site{i % 17}.net", "block" if block else "allow"
+        rows.append((i, f"http://{host}{spam() if block else good()}"))
+    out = url_filter(spark.createDataFrame(rows, "page_id bigint, url string"), rules=rules).collect()
+    got = {x["page_id"]: x for x in out}
+    assert sum(got[i]["verdict"] == v for i, v in truth.items()) / len(truth) >= 0.95
+    assert all(0 <= got[i]["block_score"] <= 1 and got[i]["rule"] is None for i in truth)
+
+
 def test_url_filter(spark, sf):
     schema = "page_id bigint, url string, host string, path string, label int"
     urls = [None, "", "no scheme", "http://EXAMPLE.org/es/1?x", "http://example.org/en/12", "http://a.example.org/es/",
