@@ -7,7 +7,8 @@ is written as Parquet before the next one reads it.
                    and those whose best language has under half of the text
 2. exact_dedup     one row of each group of equal texts stays
 3. near_dedup      one document of each group linked by n-gram Jaccard stays: the
-                   smallest id, a row without an id only where no other has one
+                   smallest id, a row without an id only where no other has one;
+                   rows that share an id are judged one by one
 4. mix             documents repeat or leave by the sources' targets, in the order
                    of the curriculum
 5. tokenize        byte-level BPE ids of every row
@@ -38,12 +39,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from dataclinic.llm.ngram_jaccard import ngram_jaccard, numbered
-    docs, top = numbered(docs, "doc_id")
-    groups = ngram_jaccard(docs, gram=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
-    gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept if top is None else kept.withColumn("doc_id", F.when(F.col("doc_id") <= top, F.col("doc_id")))
+    from dataclinic.llm.ngram_jaccard import one_of_each
+    return one_of_each(docs, gram=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
