@@ -14,19 +14,18 @@ over raw rows is avoided; instead:
   (key, chunk) window of at most C + lookback rows.
 * ``running_sum``: cumulative sums as local sums inside (key, chunk) plus the
   prefix sum of earlier chunk totals.
+* ``next_marked``: the next marked position at or after each row, by a window inside chunks
+  and one row per chunk beyond.
 * ``fsm_scan``: a left fold of a small finite-state machine (e.g. the
-  validate cooldown).  Each chunk's transition function is composed in SQL
-  (``aggregate`` over at most C codes); chunk start states are folded per key
-  over the (n / C) chunk functions; rows are then replayed inside each chunk
-  from its start state with ``applyInPandas`` (one bounded group per chunk).
+  validate cooldown).  Transition functions of chunks, and of runs of chunks, are composed
+  in SQL; start states come down the same two levels; each chunk's rows are scanned as one
+  array that carries their columns, so nothing is joined back and nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ranking import _null_safe_join
 
@@ -164,74 +163,84 @@ def sequence_features(df: DataFrame, part_cols, pos_col: str, lags: dict, sums:
     return out.drop(*drop)
 
 
-def _compose_sql(table: list[list[int]]) -> str:
-    lit = "array(" + ", ".join("array(" + ", ".join(str(x) for x in row) + ")" for row in table) + ")"
-    n = len(table[0])
-    return (f"aggregate(array_sort(collect_list(struct(__pos, __code))), sequence(0, {n - 1}), "
-            f"(acc, x) -> transform(acc, s -> element_at(element_at({lit}, x.__code + 1), s + 1)))")
+def next_marked(df: DataFrame, part_cols, pos_col: str, mark: str, out_col: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Adds ``out_col``: the smallest position >= the row's own whose row has ``mark``, in the same key.
+    Inside a chunk by a window, beyond it by the first marked position of later chunks (one row a chunk)."""
+    p = list(part_cols)
+    d = with_chunk(df, pos_col, chunk)
+    hit = F.when(F.col(mark), F.col(pos_col))
+    rest = Window.partitionBy(*p, "__chunk").orderBy(pos_col).rowsBetween(0, Window.unboundedFollowing)
+    d = d.withColumn("__here", F.min(hit).over(rest))
+    firsts = d.groupBy(*p, "__chunk").agg(F.min(hit).alias("__first"))
+    later = Window.partitionBy(*p).orderBy("__chunk").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select(*p, "__chunk", F.min("__first").over(later).alias("__later"))
+    out = _null_safe_join(d, firsts, p + ["__chunk"])
+    return out.withColumn(out_col, F.coalesce("__here", "__later")).drop("__chunk", "__here", "__later")
+
+
+#: Rows of a chunk, and chunks of a run of chunks, in a state scan.
+SCAN = 1024
+
+
+def _table_sql(table: list[list[int]]) -> str:
+    return "array(" + ", ".join("array(" + ", ".join(str(x) for x in row) + ")" for row in table) + ")"
+
+
+def _states_sql(items: str, step: str, start: str) -> str:
+    """SQL of the state before each item: a scan of ``items`` from ``start``; ``step``: the next state from acc.s and x."""
+    return (f"aggregate({items}, named_struct('s', {start}, 'out', cast(array() as array<int>)), "
+            f"(acc, x) -> named_struct('s', {step}, 'out', array_append(acc.out, acc.s)), acc -> acc.out)")
 
 
 def fsm_scan(df: DataFrame, part_cols, pos_col: str, code: Column, table: list[list[int]], start: int = 0,
-             chunk: int = DEFAULT_CHUNK, state_col: str = "state_before") -> DataFrame:
+             chunk: int = SCAN, state_col: str = "state_before") -> DataFrame:
     """Adds ``state_col`` = FSM state before each row, folding ``table[code][state]``
-    in ``pos_col`` order per key.
+    in ``pos_col`` order per key (positions are dense and start at 1).  All in the JVM:
 
-    1. transition functions (arrays of len(states)) are composed in SQL only for
-       chunks that have a successor chunk (keys shorter than one chunk skip it);
-    2. start states of later chunks: a fold over the (n / C) chunk functions of a
-       key, streamed through ``mapInPandas`` over key-sorted partitions;
-    3. rows are replayed from their chunk's start state in one ``mapInPandas``
-       pass over (key, chunk)-partitioned, position-sorted data.
+    1. up: the transition function (one state per start state) of every full chunk of ``chunk`` rows is composed, and
+       those of every full run of ``chunk`` chunks;
+    2. down: start states of the runs of a key, from them of its chunks, by scans of these functions;
+    3. the rows of a chunk are one array, which is scanned from the chunk's start state and unfolded again: rows
+       carry their columns through, so no state is joined back to a row.
 
-    Python sees the key as text, the position and the code only; the states are
-    joined back to the rows, whose other columns never leave the JVM."""
+    A key no longer than one chunk takes step 3 only.  A task holds ``chunk`` rows at a time."""
     p = list(part_cols)
-    ks = [f"__k{i}" for i in range(len(p))]
-    text_keys = {k: F.col(c).cast("string") for k, c in zip(ks, p)}
-    d = with_chunk(df, pos_col, chunk).withColumns({**text_keys, "__code": code.cast("int"),
-                                                    "__pos": F.col(pos_col).cast("bigint")})
-    slim = d.select(*ks, "__chunk", "__pos", "__code")
-    last = slim.groupBy(*ks).agg(F.max("__chunk").alias("__last"))
-    feed = _null_safe_join(slim, last, ks).where(F.col("__chunk") < F.col("__last"))
-    funcs = feed.groupBy(*ks, "__chunk").agg(F.expr(_compose_sql(table)).alias("__f"))
-    kschema = [T.StructField(k, T.StringType()) for k in ks]
-    sschema = T.StructType([*kschema, T.StructField("__chunk", T.LongType()), T.StructField("__start", T.IntegerType())])
-
-    def starts(it):
-        cur, s = None, start
-        for pdf in it:
-            keys = list(zip(*[pdf[c] for c in ks])) if ks else [()] * len(pdf)
-            out_k, out_c, out_s = [], [], []
-            for k, c, f in zip(keys, pdf["__chunk"], pdf["__f"]):
-                if k != cur:
-                    cur, s = k, start
-                s = int(f[s])
-                out_k.append(k)
-                out_c.append(int(c) + 1)
-                out_s.append(s)
-            res = {c: [k[i] for k in out_k] for i, c in enumerate(ks)}
-            res.update({"__chunk": out_c, "__start": out_s})
-            yield pd.DataFrame(res, columns=[f.name for f in sschema.fields])
-
-    st = funcs.repartition(*ks).sortWithinPartitions(*ks, "__chunk").mapInPandas(starts, sschema)
-    slim = _null_safe_join(slim, st, ks + ["__chunk"], how="left").withColumn(
-        "__start", F.coalesce(F.col("__start"), F.lit(start)))
-    out_schema = T.StructType([*kschema, T.StructField("__pos", T.LongType()), T.StructField(state_col, T.IntegerType())])
-    tbl = [list(r) for r in table]
-
-    def replay(it):
-        cur, s = None, start
-        for pdf in it:
-            keys = list(zip(*[pdf[c] for c in ks + ["__chunk"]]))
-            out = []
-            for k, c, st0 in zip(keys, pdf["__code"].tolist(), pdf["__start"].tolist()):
-                if k != cur:
-                    cur, s = k, int(st0)
-                out.append(s)
-                s = tbl[int(c)][s]
-            yield pdf[[*ks, "__pos"]].assign(**{state_col: out})
-
-    srt = slim.repartition(*ks, "__chunk").sortWithinPartitions(*ks, "__chunk", "__pos")
-    states = srt.mapInPandas(replay, out_schema)
-    keep = [c for c in d.columns if c not in ("__chunk", "__code", "__pos", *ks)]
-    return _null_safe_join(d, states, ks + ["__pos"]).select(*keep, state_col)
+    n = len(table[0])
+    lit = _table_sql(table)
+    by_code = f"element_at(element_at({lit}, x.__code + 1), acc.s + 1)"
+    identity = f"sequence(0, {n - 1})"
+    d = with_chunk(df, pos_col, chunk).withColumns({"__code": code.cast("int"), "__pos": F.col(pos_col).cast("bigint")})
+
+    slim = d.groupBy(*p, "__chunk").agg(F.expr("array_sort(collect_list(struct(__pos, __code)))").alias("__a"))
+    compose = f"transform(acc, s -> element_at(element_at({lit}, x.__code + 1), s + 1))"
+    funcs = slim.where(F.size("__a") == chunk).select(*p, "__chunk", F.expr(f"aggregate(__a, {identity}, (acc, x) -> {compose})").alias("__f"))
+    runs = funcs.withColumn("__run", F.floor(F.col("__chunk") / chunk).cast("bigint")).groupBy(*p, "__run").agg(
+        F.expr("array_sort(collect_list(struct(__chunk, __f)))").alias("__a"))
+    whole = runs.where(F.size("__a") == chunk).select(*p, "__run", F.expr(
+        f"aggregate(__a, {identity}, (acc, x) -> transform(acc, s -> element_at(x.__f, s + 1)))").alias("__f"))
+    # one row a key: its runs of chunk ** 2 rows
+    tops = whole.groupBy(*p).agg(F.expr("array_sort(collect_list(struct(__run, __f)))").alias("__a"))
+
+    def scan(items, number, first):
+        """Rows (number of the next item, its start state) of a scan of functions."""
+        step = "element_at(x.__f, acc.s + 1)"
+        states = (f"aggregate({items}, named_struct('s', {first}, 'out', cast(array() as array<int>)), (acc, x) -> "
+                  f"named_struct('s', {step}, 'out', array_append(acc.out, {step})), acc -> acc.out)")
+        return F.expr(f"inline(transform({states}, (s, i) -> named_struct('__n', {items}[i].{number} + 1, '__start', s)))")
+
+    run_start = tops.select(*p, scan("__a", "__run", f"{start}")).withColumnRenamed("__n", "__run")
+    runs = _null_safe_join(runs, run_start, p + ["__run"], how="left").withColumn("__s0", F.coalesce("__start", F.lit(start)))
+    in_runs = runs.select(*p, scan("__a", "__chunk", "__s0")).withColumnRenamed("__n", "__chunk")
+    # the first chunk of a run starts where the run does
+    heads = run_start.select(*p, (F.col("__run") * chunk).alias("__chunk"), "__start")
+    starts = in_runs.where(F.col("__chunk") % chunk != 0).unionByName(heads)
+
+    keep = [c for c in d.columns if c not in ("__chunk", "__code", "__pos")]
+    rows = d.groupBy(*p, "__chunk").agg(F.array_sort(F.collect_list(F.struct(
+        "__pos", "__code", F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"))),
+        lambda a, b: F.signum(a["__pos"] - b["__pos"]).cast("int")).alias("__a"))  # rows may hold maps, which have no order
+    rows = _null_safe_join(rows, starts, p + ["__chunk"], how="left")
+    states = _states_sql("__a", by_code, f"coalesce(__start, {start})")
+    out = rows.select(F.col("__a.__row").alias("__rows"), F.expr(states).alias("__states"))
+    out = out.select(F.explode(F.arrays_zip("__rows", "__states")).alias("__z"))
+    return out.select(*[F.col(f"__z.__rows.`{c}`").alias(c) for c in keep], F.col("__z.__states").alias(state_col))

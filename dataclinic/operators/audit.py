@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import MAX_ACTION_CHARS, TRUNCATION_PENALTY
-from ..functions.sequence import DEFAULT_CHUNK, fsm_scan
+from ..functions.sequence import SCAN, fsm_scan
 from . import traj
 
 # Fixed values from the reference anti-exploit rules.
@@ -66,7 +66,7 @@ def _table():
 COOLDOWN_TABLE = _table()
 
 
-def cooldown(parsed: DataFrame, episode: str = "episode_id", step: str = "step", chunk: int = DEFAULT_CHUNK) -> DataFrame:
+def cooldown(parsed: DataFrame, episode: str = "episode_id", step: str = "step", chunk: int = SCAN) -> DataFrame:
     """H1 + G9: for every validate: allowed (cooldown), counted (allowed and not
     cached) and its bonus (+0.02 for the first three counted, then -0.01)."""
     c = F.col("cmd")
@@ -134,6 +134,16 @@ def timeouts(df: DataFrame, episode: str = "episode_id", step: str = "step", ts:
         "penalty", F.lit(TIMEOUT_PENALTY))
 
 
+def forced_submits(df: DataFrame, episode: str = "episode_id", ts: str = "ts", cmd: str = "cmd") -> DataFrame:
+    """H5: one row per episode that has not submitted by 300 s after its start, at that time: (episode, ts_us,
+    penalty).  One partial aggregate per episode, so an idle episode gives its row too."""
+    us = F.unix_micros(F.col(ts))
+    per = df.groupBy(episode).agg(F.min(us).alias("__t0"), F.min(F.when(F.col(cmd) == "submit", us)).alias("__done"))
+    due = F.col("__t0") + EPISODE_TIMEOUT_SECS * 1_000_000
+    return per.where(F.col("__done").isNull() | (F.col("__done") > due)).select(
+        episode, due.alias("ts_us"), F.lit(TIMEOUT_PENALTY).alias("penalty"))
+
+
 def budget(enriched: DataFrame, episode: str = "episode_id") -> DataFrame:
     """H6: ledger (analyst and validator cost 2); ``exhausted`` marks the step
     whose own base cost takes the budget below zero (forced submit)."""
@@ -171,7 +181,7 @@ def workflow_flags(enriched: DataFrame, episode: str = "episode_id") -> DataFram
     return _hits(enriched, _workflow_hits(), episode)
 
 
-def report(enriched: DataFrame, recs: DataFrame, episode: str = "episode_id", chunk: int = DEFAULT_CHUNK) -> DataFrame:
+def report(enriched: DataFrame, recs: DataFrame, episode: str = "episode_id", chunk: int = SCAN) -> DataFrame:
     """H8: one row per breach (rule, episode, step, penalty).  All row-wise rules are one
     pass over the cooldown scan; apply limits and time-outs are joined aggregates."""
     extra = F.when(F.col("cmd").isin(traj.DOUBLE_COST), 1).otherwise(0)

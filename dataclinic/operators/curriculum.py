@@ -1,22 +1,29 @@
-"""Curriculum replay (R10) as bounded aggregation passes.
+"""Curriculum replay (R10) by pointer doubling.
 
 The scheduler starts at level 1, keeps the last ``window`` successes, and
 advances (clearing the window) when the window is full and its mean is >=
-``threshold``, up to level 3.  Because the level only rises and at most
-``max_level - start`` advances exist, the fold is exact as that many passes:
-advance k happens at the first episode t >= t_{k-1} + window whose trailing
-``window`` successes meet the threshold (the cleared deque is full again
-exactly ``window`` episodes after the reset).  Each pass is a per-run ``min``
-(partial aggregation) joined back; trailing sums come from prefix sums and an
-equi-join on position - window; positions are numbered here.  No run is ever held in one task.
+``threshold``, up to ``max_level``.  The cleared deque is full again exactly
+``window`` episodes after the reset, so the first advance is the first episode
+whose trailing ``window`` successes meet the threshold (a *candidate*), and the
+one after an advance at p is the first candidate at or after p + window.
+
+Every candidate so has one successor.  The advances of a run are the chain of
+successors from its first candidate; they are marked in rounds that double the
+length of a jump, so their number grows with the logarithm of the advances and
+neither plan nor rounds with the levels.  Trailing sums come from prefix sums and
+an equi-join on position - window, successors from a chunked look-ahead and one
+equi-join; no run is ever held in one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import DEFAULT_CHUNK, ordered_rank, running_sum
+from ..functions.sequence import DEFAULT_CHUNK, next_marked, ordered_rank, running_sum
+from ..session import cut_lineage
 
 # Fixed values from the reference scheduler.
 WINDOW = 50
@@ -26,6 +33,24 @@ MAX_LEVEL = 3
 LEVEL_TASKS = ["task_0_tutorial", "task_1_easy", "task_2_medium", "task_3_hard"]
 
 
+def _chain(cand: DataFrame, run: str, at: str, longest: int) -> DataFrame:
+    """(run, at, rank) of the candidates on the chain of successors (``next``) from each run's first, ranks from 0;
+    ``longest``: no chain that matters has more."""
+    first = cand.groupBy(run).agg(F.min(at).alias(at)).withColumn("rank", F.lit(0).cast("long"))
+    marked, jump, length = first, cand, 1
+    while length < longest:
+        hop = jump.where("next is not null").select(F.col(run).alias("r"), F.col(at).alias("a"), "next")
+        more = marked.join(hop, (marked[run] == hop["r"]) & (marked[at] == hop["a"])).select(
+            run, F.col("next").alias(at), (F.col("rank") + length).alias("rank"))
+        marked = cut_lineage(marked.unionByName(more))
+        length *= 2
+        if length < longest:  # jumps of twice the length
+            on = hop.select(F.col("r").alias("r2"), F.col("a").alias("a2"), F.col("next").alias("far"))
+            jump = cut_lineage(hop.join(on, (hop["r"] == on["r2"]) & (hop["next"] == on["a2"])).select(
+                F.col("r").alias(run), F.col("a").alias(at), F.col("far").alias("next")))
+    return marked
+
+
 def replay(df: DataFrame, run: str = "run_id", pos: str = "episode", success: str = "success",
            window: int = WINDOW, threshold: float = THRESHOLD, start: int = START_LEVEL, max_level: int = MAX_LEVEL,
            chunk: int = DEFAULT_CHUNK) -> DataFrame:
@@ -37,25 +62,23 @@ def replay(df: DataFrame, run: str = "run_id", pos: str = "episode", success: st
     prev = d.select(run, (F.col(at) + window).alias(at), F.col("__cs").alias("__csp"))
     d = d.join(prev, [run, at], "left")
     trailing = F.col("__cs") - F.coalesce(F.col("__csp"), F.lit(0))
-    d = d.withColumn("__ok", (F.col(at) >= window) & (trailing / F.lit(float(window)) >= threshold))
-    cand = d.where("__ok").select(run, at)
-    adv = None
-    last = None
-    for k in range(1, max_level - start + 1):
-        base = cand if last is None else cand.join(last, run).where(F.col(at) >= F.col("__t") + window)
-        tk = base.groupBy(run).agg(F.min(at).alias(f"__t{k}"))
-        adv = tk if adv is None else adv.join(tk, run, "left")
-        last = tk.withColumnRenamed(f"__t{k}", "__t")
-    n_adv = max_level - start
-    d = d.join(adv, run, "left") if adv is not None else d
-    lvl = F.lit(start)
-    is_adv = F.lit(False)
-    for k in range(1, n_adv + 1):
-        t = F.col(f"__t{k}")
-        lvl = lvl + F.when(t.isNotNull() & (F.col(at) >= t), 1).otherwise(0)
-        is_adv = is_adv | F.coalesce(F.col(at) == t, F.lit(False))
-    out = d.withColumns({"level": lvl.cast("int"), "advanced": is_adv})
-    return out.drop("__cs", "__csp", "__ok", at, *[f"__t{k}" for k in range(1, n_adv + 1)])
+    d = d.withColumn("__ok", (F.col(at) >= window) & (trailing / F.lit(float(window)) >= threshold)).drop("__cs", "__csp")
+    d = cut_lineage(d)
+    levels = max(0, max_level - start)
+    spare = d.agg(F.max(at)).first()[0] or 0
+    longest = min(levels, math.ceil(spare / window))
+    if longest == 0:
+        return d.drop(at, "__ok").withColumns({"level": F.lit(start).cast("int"), "advanced": F.lit(False)})
+    ahead = next_marked(d.select(run, at, "__ok"), [run], at, "__ok", "next", chunk)
+    after = ahead.select(F.col(run).alias("__r"), (F.col(at) - window).alias("__a"), "next")
+    cand = ahead.where("__ok").select(run, at)
+    cand = cut_lineage(cand.join(after, (cand[run] == after["__r"]) & (cand[at] == after["__a"]), "left").select(run, at, "next"))
+    steps = _chain(cand, run, at, longest).where(F.col("rank") < levels)
+    steps = steps.select(F.col(run).alias("__r"), F.col(at).alias("__a"), F.lit(True).alias("advanced"))
+    d = d.join(steps, (d[run] == steps["__r"]) & (d[at] == steps["__a"]), "left").drop("__r", "__a", "__ok")
+    d = d.withColumn("advanced", F.coalesce("advanced", F.lit(False)))
+    d = running_sum(d, [run], at, {"__up": F.col("advanced").cast("long")}, chunk)
+    return d.withColumn("level", (F.lit(start) + F.col("__up")).cast("int")).select(*df.columns, "level", "advanced")
 
 
 def history(replayed: DataFrame, run: str = "run_id", pos: str = "episode") -> DataFrame:

@@ -9,6 +9,11 @@ L-BFGS training.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import json
+from dataclasses import dataclass
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -84,9 +89,21 @@ def _models(features, n_trees, seed, reg, max_depth):
     return va, rf, lr
 
 
-def run(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), fast: bool = True, seed=42,
-        exclude_holdout_keys: bool = True, max_depth: int = MAX_DEPTH):
-    """Returns (predictions DataFrame on the holdout, rf model, feature list).
+@dataclass
+class Fit:
+    """What an evaluation fitted: predictions on the holdout, the prepared training and test rows, both models."""
+    pred: DataFrame
+    features: list
+    train: DataFrame | None = None
+    test: DataFrame | None = None
+    rf: object = None
+    lr: object = None
+    reg: float = 0.0
+
+
+def fit(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), fast: bool = True, seed=42,
+        exclude_holdout_keys: bool = True, max_depth: int = MAX_DEPTH) -> Fit:
+    """Trains on the repaired table, predicts the holdout of the truth table.
 
     ``exclude_holdout_keys`` removes holdout rows (by key) from training, which
     the reference does not do (its test rows leak into training); ``False``
@@ -97,7 +114,7 @@ def run(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), fa
         "label", "rf_pred", "lr_pred", *[F.lit(None).alias(k) for k in keys])
     # reference early exits: no shared feature columns, or fewer than 10 usable truth rows
     if not feats or truth.where(F.col(label).isNotNull()).limit(MIN_ROWS).count() < MIN_ROWS:
-        return empty, None, feats
+        return Fit(empty, feats)
     idx = label_index(working, truth, label)
     tr = prepare(working, label, feats, idx)
     split = stratified_split(truth, label, keys, seed=seed)
@@ -107,14 +124,40 @@ def run(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), fa
         tr = tr.join(hk, list(keys), "left_anti")
     n_train = tr.count()
     if n_train < MIN_ROWS:  # nor fewer than 10 usable training rows
-        return empty, None, feats
+        return Fit(empty, feats)
     va, rf, lr = _models(feats, FAST_TREES if fast else FULL_TREES, seed, 1.0 / n_train, max_depth)
     trv = va.transform(tr).cache()
     rfm = rf.fit(trv)
     lrm = lr.fit(trv)
     pred = lrm.transform(rfm.transform(va.transform(test)))
     trv.unpersist()
-    return pred.select("label", "rf_pred", "lr_pred", *[k for k in keys]), rfm, feats
+    return Fit(pred.select("label", "rf_pred", "lr_pred", *[k for k in keys]), feats, va.transform(tr), test, rfm, lrm, 1.0 / n_train)
+
+
+def run(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), **options):
+    """(predictions DataFrame on the holdout, rf model, feature list) of ``fit``."""
+    f = fit(working, truth, label, keys, **options)
+    return f.pred, f.rf, f.features
+
+
+def loss_gradient(f: Fit) -> DataFrame:
+    """E5: how far the fitted weights are from the optimum: per class and feature the derivative of the penalised mean
+    log-loss, divided by the feature's standard deviation (a step in units of the feature), one aggregate over the
+    training rows.  Rows (cls, feature, gradient); feature ``(intercept)`` has no penalty."""
+    from pyspark.ml.functions import vector_to_array
+    w, n_cls = f.lr.coefficientMatrix.toArray(), f.lr.coefficientMatrix.numRows
+    d = f.lr.transform(f.train).withColumn("__p", vector_to_array("lr_prob"))
+    cells = []
+    for k in range(n_cls):
+        cls = 1 if n_cls == 1 else k
+        err = F.element_at("__p", cls + 1) - (F.col("label") == float(cls)).cast("double")
+        for j, c in enumerate(f.features):
+            sd = F.when(F.stddev_samp(c) > 0, F.stddev_samp(c)).otherwise(F.lit(1.0))
+            cells.append((cls, c, (F.avg(err * F.col(c)) + F.lit(f.reg * float(w[k][j]))) / sd))
+        cells.append((cls, "(intercept)", F.avg(err)))
+    one = d.agg(*[v.alias(f"__g{i}") for i, (_, _, v) in enumerate(cells)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("cls"), F.lit(c).alias("feature"), F.col(f"__g{i}").alias("gradient"))
+                                          for i, (k, c, _) in enumerate(cells)])).alias("g")).select("g.*")
 
 
 def report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -195,22 +238,34 @@ def pending(requests: DataFrame, results: DataFrame) -> DataFrame:
 RESULT_SCHEMA = "eval_key string, params string, rf_accuracy double, lr_accuracy double"
 
 
-def cached_accuracy(working: DataFrame, truth: DataFrame, params: str, path: str, label: str = "target", keys=(),
-                    **options) -> DataFrame:
-    """One result row (``RESULT_SCHEMA``) from the table at ``path``, keyed by the
-    fingerprints of both tables and ``params``; fitted and appended when it is not there."""
-    spark = working.sparkSession
-    key = cache_key(working, params).crossJoin(cache_key(truth, params).withColumnRenamed("eval_key", "t"))
-    key = key.select(F.sha2(F.concat("eval_key", "t"), 256).alias("eval_key")).first()["eval_key"]
+def request_key(working: DataFrame, truth: DataFrame, label: str = "target", keys=(), params: str = "", **options) -> str:
+    """Key of an evaluation: both tables' fingerprints and columns, the label, the keys and every option of ``fit``."""
+    known = {n: p.default for n, p in inspect.signature(fit).parameters.items() if p.default is not inspect.Parameter.empty}
+    unknown = set(options) - set(known)
+    if unknown:
+        raise TypeError(f"unknown options {sorted(unknown)}")
+    how = {**known, **options, "label": label, "keys": list(keys), "params": params,
+           "columns": [working.dtypes, truth.dtypes]}
+    prints = [[str(v) for v in fingerprint(d).first()] for d in (working, truth)]
+    return hashlib.sha256(json.dumps([prints, how], sort_keys=True, default=str).encode()).hexdigest()
 
-    def found():
-        return spark.read.schema(RESULT_SCHEMA).parquet(path).where(F.col("eval_key") == key).limit(1)
 
+def stored_accuracy(spark, path: str, key: str) -> DataFrame:
+    """The result row (``RESULT_SCHEMA``) of a request in the table at ``path``, or none."""
     spark.createDataFrame([], RESULT_SCHEMA).write.mode("append").parquet(path)  # the folder exists from here on
-    if found().isEmpty():
-        pred, _, _ = run(working, truth, label, keys, **options)
+    return spark.read.schema(RESULT_SCHEMA).parquet(path).where(F.col("eval_key") == key).limit(1)
+
+
+def cached_accuracy(working: DataFrame, truth: DataFrame, params: str, path: str, label: str = "target", keys=(),
+                    **options) -> DataFrame:
+    """One result row (``RESULT_SCHEMA``) from the table at ``path``, found by ``request_key``; fitted and
+    appended when it is not there."""
+    spark = working.sparkSession
+    key = request_key(working, truth, label, keys, params, **options)
+    if stored_accuracy(spark, path, key).isEmpty():
+        pred = fit(working, truth, label, keys, **options).pred
         one = pred.agg(F.avg((F.col("label") == F.col("rf_pred")).cast("double")).alias("rf_accuracy"),
                        F.avg((F.col("label") == F.col("lr_pred")).cast("double")).alias("lr_accuracy"))
         one.select(F.lit(key).alias("eval_key"), F.lit(params).alias("params"), "rf_accuracy", "lr_accuracy") \
             .write.mode("append").parquet(path)
-    return found()
+    return stored_accuracy(spark, path, key)

@@ -1,12 +1,16 @@
-"""Family E (fixed-model evaluation) queries.  Fits have no SQL twin (rows-only);
-preparation, the stratified split, the report and the agreement labels do."""
+"""Family E (fixed-model evaluation) queries.  The fits' accuracies have no SQL twin (rows-only); their rows, the
+forest's and the importances' invariants, the slope of the loss, preparation, the stratified split, the report and the
+agreement labels do."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ...operators import evaluate as EV
 from ...operators import repair as RP
+from ...session import cut_lineage, ensure_checkpoint_dir
 from ...sources import tables as TB
 from . import register
 from .common import r6
@@ -109,3 +113,97 @@ def e9_eval_cache(spark, sf):
         EV.cache_key(RP.dedupe(d), "rf20").withColumn("name", F.lit("deduped")))
     done = EV.cache_key(d, "rf20")
     return EV.pending(req, done).select("name")
+
+
+@register("e9_result_store", """SELECT * FROM (VALUES ('before', 0, NULL), ('fitted', 1, true), ('again', 1, true),
+  ('another seed', 0, NULL), ('other keys', 0, NULL), ('a value moved across a NULL', 0, NULL)) t(request, n_found, same_result)""")
+def e9_result_store(spark, sf):
+    """One fit, stored and found again; requests that differ in an option or by one moved NULL are not found."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    work, truth = cut_lineage(RP.dedupe(TB.dq_dirty(spark, sf))), TB.dq_train(spark, sf)
+    one = F.col("n_words").isNull() != F.col("n_lines").isNull()
+    moved = work.select(*[F.when(one, F.col({"n_words": "n_lines", "n_lines": "n_words"}.get(c, c))).otherwise(F.col(c)).alias(c)
+                          for c in work.columns])
+
+    def found(w, keys=("doc_id",), **options):
+        return EV.stored_accuracy(spark, path, EV.request_key(w, truth, "target", keys, "rf20", **options)).collect()
+
+    before = found(work)
+    first = EV.cached_accuracy(work, truth, "rf20", path, "target", ["doc_id"]).first()
+    rows = [("before", len(before), None), ("fitted", 1, 0.0 <= first["rf_accuracy"] <= 1.0)]
+    again = found(work)
+    rows += [("again", len(again), bool(again) and again[0] == first), ("another seed", len(found(work, seed=43)), None),
+             ("other keys", len(found(work, keys=())), None), ("a value moved across a NULL", len(found(moved)), None)]
+    return spark.createDataFrame(rows, "request string, n_found int, same_result boolean")
+
+
+# ---------------------------------------------------------------------------- invariants of the fits
+_SETS_SQL = f"""WITH {TB.sql_ctes('dq_train', 'dq_dirty')},
+r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5(concat_ws('|', '42', 'holdout', doc_id)), doc_id) AS rk,
+  count(*) OVER (PARTITION BY target) AS cn FROM dq_train WHERE target IS NOT NULL),
+held AS (SELECT * FROM r WHERE rk <= round(cn * 0.25)),
+test AS (SELECT * FROM held WHERE n_chars IS NOT NULL AND n_words IS NOT NULL AND n_lines IS NOT NULL),
+train AS (SELECT * FROM (SELECT DISTINCT * FROM dq_dirty) WHERE target IS NOT NULL AND ({_NC}) IS NOT NULL
+  AND n_words IS NOT NULL AND n_lines IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM held)),
+big AS (SELECT max(c) / sum(c) AS share FROM (SELECT count(*) AS c FROM train GROUP BY target))"""
+
+
+def _fitted(spark, sf) -> EV.Fit:
+    return EV.fit(cut_lineage(RP.dedupe(TB.dq_dirty(spark, sf))), TB.dq_train(spark, sf), "target", ["doc_id"])
+
+
+def _right(pred):
+    return F.avg((F.col("label") == F.col(pred)).cast("double"))
+
+
+@register("e1_fit_sets", f"""{_SETS_SQL}
+SELECT (SELECT count(*) FROM test)::BIGINT AS n_test, (SELECT count(*) FROM train)::BIGINT AS n_train, 0::BIGINT AS key_overlap,
+  (SELECT count(*) FROM test)::BIGINT AS n_predicted""")
+def e1_fit_sets(spark, sf):
+    """Rows that the evaluation trains and tests on: exact counts, no key in both."""
+    f = _fitted(spark, sf)
+    both = f.train.select("doc_id").distinct().join(f.test.select("doc_id"), "doc_id")
+    n = [x.agg(F.count(F.lit(1)).alias(c)) for x, c in ((f.test, "n_test"), (f.train, "n_train"), (both, "key_overlap"),
+                                                       (f.pred, "n_predicted"))]
+    return n[0].crossJoin(n[1]).crossJoin(n[2]).crossJoin(n[3])
+
+
+@register("e4_forest_invariants", f"""{_SETS_SQL}
+SELECT 20 AS n_trees, true AS depth_in_bound, (SELECT count(*) FROM train)::BIGINT AS n_train, true AS classes_known,
+  {s6('share')} AS largest_class, true AS beats_largest_class FROM big""")
+def e4_forest_invariants(spark, sf):
+    """On its own training rows the forest is at least as good as naming the largest class; it names only known ones."""
+    f = _fitted(spark, sf)
+    d = f.rf.transform(f.train)
+    share = f.train.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(
+        (F.max("c") / F.sum("c")).alias("largest_class"), F.collect_set("label").alias("__known"))
+    one = d.agg(F.count(F.lit(1)).alias("n_train"), _right("rf_pred").alias("__acc"), F.collect_set("rf_pred").alias("__named"))
+    return r6(one.crossJoin(share).select(
+        F.lit(f.rf.getNumTrees).alias("n_trees"), F.lit(max(t.depth for t in f.rf.trees) <= EV.MAX_DEPTH).alias("depth_in_bound"),
+        "n_train", (F.size(F.array_except("__named", "__known")) == 0).alias("classes_known"), "largest_class",
+        (F.col("__acc") >= F.col("largest_class") - 1e-9).alias("beats_largest_class")))
+
+
+#: Bound of a derivative of the mean log-loss per standard deviation of a feature.
+GRADIENT = 1e-5
+
+
+@register("e5_gradient", f"""{_SETS_SQL}
+SELECT f.feature, (SELECT count(*) FROM train)::BIGINT AS n_train, true AS at_optimum
+FROM (VALUES ('n_chars'), ('n_words'), ('n_lines'), ('(intercept)')) f(feature)""")
+def e5_gradient(spark, sf):
+    """The penalised loss has no slope at the fitted weights, feature by feature."""
+    f = _fitted(spark, sf)
+    n = f.train.agg(F.count(F.lit(1)).alias("n_train"))
+    return EV.loss_gradient(f).crossJoin(n).select("feature", "n_train", (F.abs("gradient") < GRADIENT).alias("at_optimum"))
+
+
+@register("e7_importance_invariants", """SELECT 3::BIGINT AS n_features, 1.0::DOUBLE AS total, true AS none_negative,
+  true AS in_order""")
+def e7_importance_invariants(spark, sf):
+    f = _fitted(spark, sf)
+    raw = [float(v) for v in f.rf.featureImportances.toArray()]
+    top = EV.importance(f.rf, f.features, spark)
+    w = top.agg(F.count(F.lit(1)).alias("n_features"), F.collect_list("importance").alias("__v"))
+    return w.select("n_features", F.lit(round(sum(raw), 6)).alias("total"), F.lit(min(raw) >= 0).alias("none_negative"),
+                    (F.col("__v") == F.reverse(F.array_sort("__v"))).alias("in_order"))

@@ -191,6 +191,17 @@ def d10_data_loss(spark, sf):
     return r6(IG.data_loss(cur, d.agg(F.count(F.lit(1)).alias("original_rows"))))
 
 
+@register("d9_changed_buckets", """SELECT substr(md5(concat_ws('|', 'bucket', o_orderkey)), 1, 4) AS bucket,
+  count(*) FILTER (WHERE o_orderkey % 1499 <> 7)::BIGINT AS now_rows, count(*)::BIGINT AS then_rows FROM orders GROUP BY 1
+HAVING bool_or(o_orderkey % 1499 = 7 OR o_orderkey % 997 = 5)""")
+def d9_changed_buckets(spark, sf):
+    """Where a truth table was edited: the leaves of the content tree that differ from the recorded ones."""
+    truth = TB.orders_clean(spark, sf)
+    edited = truth.where(F.col("o_orderkey") % 1499 != 7).withColumn("o_totalprice", F.when(
+        F.col("o_orderkey") % 997 == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return IG.changed_buckets(IG.content_tree(edited, ["o_orderkey"]), IG.content_tree(truth, ["o_orderkey"]))
+
+
 @register("v2_fingerprint", f"""WITH {TB.sql_ctes('orders_dirty')}
 SELECT count(*)::BIGINT AS n_rows, true AS order_free, true AS changed_after_edit FROM orders_dirty""")
 def v2_fingerprint(spark, sf):
@@ -207,6 +218,37 @@ def v2_fingerprint(spark, sf):
         (F.col("h_now") != F.col("h_edit")).alias("changed_after_edit"))
 
 
+@register("v2_null_moves", f"""WITH {TB.sql_ctes('lineitem_dirty')}
+SELECT count(*) FILTER (WHERE (l_quantity IS NULL) <> (l_tax IS NULL))::BIGINT AS n_moved,
+  count(*) FILTER (WHERE (l_quantity IS NULL) <> (l_tax IS NULL)) > 0 AS seen FROM lineitem_dirty""")
+def v2_null_moves(spark, sf):
+    """Values that change places with a NULL in their row change the fingerprint."""
+    d = TB.lineitem_dirty(spark, sf)
+    one = F.col("l_quantity").isNull() != F.col("l_tax").isNull()
+    moved = d.select(*[F.when(one, F.col({"l_quantity": "l_tax", "l_tax": "l_quantity"}.get(c, c))).otherwise(F.col(c)).alias(c)
+                       for c in d.columns])
+    a = IG.fingerprint(d).select(F.struct("hash_sum", "hash_xor").alias("a"))
+    b = IG.fingerprint(moved).select(F.struct("hash_sum", "hash_xor").alias("b"))
+    n = d.agg(F.count(F.when(one, 1)).alias("n_moved"))
+    return n.crossJoin(a).crossJoin(b).select("n_moved", (F.col("a") != F.col("b")).alias("seen"))
+
+
+@register("v2_tree_update", f"""WITH {TB.sql_ctes('orders_dirty')}
+SELECT count(*)::BIGINT AS n_rows, 0::BIGINT AS n_unlike, true AS root_is_fingerprint FROM orders_dirty""")
+def v2_tree_update(spark, sf):
+    """The content tree updated by the changed rows only equals a recount, and its root is the fingerprint."""
+    d = TB.orders_dirty(spark, sf)
+    hit = F.col("o_orderkey") % 97 == 3
+    old = d.where(hit)
+    new = old.withColumn("o_custkey", F.when(F.col("o_custkey").isNull(), F.lit(0.0)))
+    edited = d.where(~hit).unionByName(new)
+    tree = IG.update_tree(IG.content_tree(d, ["o_orderkey"]), old, new, ["o_orderkey"])
+    unlike = IG.changed_buckets(tree, IG.content_tree(edited, ["o_orderkey"])).agg(F.count(F.lit(1)).alias("n_unlike"))
+    root = IG.tree_root(tree).select(F.struct("n_rows", "hash_sum", "hash_xor").alias("r"))
+    whole = IG.fingerprint(edited).select("n_rows", F.struct("n_rows", "hash_sum", "hash_xor").alias("w"))
+    return whole.crossJoin(root).crossJoin(unlike).select("n_rows", "n_unlike", (F.col("r") == F.col("w")).alias("root_is_fingerprint"))
+
+
 # --- X4 ----------------------------------------------------------------------------------------
 @register("x4_drift_label", f"""WITH {TB.sql_ctes('lineitem_dirty', 'lineitem_clean')}, {_drift_cte()}
 SELECT col_name, drift, CASE WHEN drift < 0.2 THEN 'NONE' WHEN drift < 0.5 THEN 'LOW' WHEN drift < 1.0 THEN 'MEDIUM'

@@ -1,9 +1,11 @@
-"""Family T: Structured Streaming forms (rows-only checks; tests compare them with batch)."""
+"""Family T: Structured Streaming forms.  Their oracles are the batch rules in SQL."""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ...session import ensure_checkpoint_dir
@@ -12,7 +14,10 @@ from ...sources import trajectories as TJ
 from ...streaming.audit_stream import audit_stream
 from ...streaming.curriculum_stream import curriculum_stream
 from ...streaming.monitor import quality_monitor
+from ...streaming.ordered import rocksdb_state
 from . import register
+from .runlogs import curriculum_sql
+from .trajectories import _DBL, _LIMITS_SQL, _fsm_sql
 
 
 def _scratch(spark, tag):
@@ -26,9 +31,7 @@ def _is_folder(spark, path):
 
 def table_stream(spark, sf, name, schema, files_per_trigger=None):
     """One driver table as a file stream.  A folder of part files is the source itself; a
-    single file is its directory, filtered to that name.  Without ``files_per_trigger`` all
-    files come in one batch: the files of a stored table are in no order of time, so rows
-    of a later batch could be older than the watermark and be dropped."""
+    single file is its directory, filtered to that name."""
     path, r = f"{sf.rstrip('/')}/{name}.parquet", spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
@@ -37,37 +40,94 @@ def table_stream(spark, sf, name, schema, files_per_trigger=None):
     return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf.rstrip("/"))
 
 
-def events_stream(spark, sf):
-    """The events table as a file stream (schema from the batch reader)."""
-    path = f"{sf.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return table_stream(spark, sf, "events", schema)
-
-
-def stream_actions(spark, sf):
-    e = events_stream(spark, sf)
-    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").select(
-        "event_id", "ts", *[F.expr(TJ._EXPRS[k]).alias(k) for k in ("episode_id", "action", "n_recs")])
-
-
-def _run_to_parquet(sdf, spark, tag):
-    out, ck = _scratch(spark, tag), _scratch(spark, tag + "-ck")
-    q = sdf.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
-        .outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out)
-
-
-@register("t1_audit_stream")
+#: Event time of the marker that ends a replay: it takes the watermark past every row and timer.
+END = dt.datetime(9000, 1, 1)
+#: No episode or run of a stored table is given up as idle.
+NEVER_US = 100 * 365 * 24 * 3600 * 1_000_000
+
+
+def disorder(table, ts="ts"):
+    """Seconds by which rows of a file are older than the newest row of earlier files (in the stream's order: by
+    time of change): the least watermark delay that loses none when a batch is a file.  One row a file."""
+    f = table.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at")).agg(
+        F.min(ts).cast("timestamp").alias("lo"), F.max(ts).cast("timestamp").alias("hi"))
+    # a file may be met in any batch of its millisecond, so all files of an equal time count as earlier
+    w = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back = F.max("hi").over(w).cast("double") - F.col("lo").cast("double")
+    return float(f.select(back.alias("b")).agg(F.max("b")).first()[0] or 0.0)
+
+
+class Replay:
+    """A stored events table as a stream of many batches, ended by a marker.
+
+    The files come one a batch, in no order of time; the watermark's delay covers their disorder.  A second, small
+    source holds the marker rows: it is empty in the first run; the second run, from the same checkpoint, reads the
+    markers, which release what still waits and fire the timers that are left."""
+
+    def __init__(self, spark, sf, files_per_trigger=1):
+        self.spark, self.markers = spark, _scratch(spark, "markers")
+        path = f"{sf.rstrip('/')}/events.parquet"
+        table = spark.read.parquet(path)
+        several = _is_folder(spark, path)
+        self.watermark = f"{max(600, int(disorder(table)) + 1) if several else 600} seconds"
+        self.empty = table.limit(0)
+        self.empty.write.parquet(self.markers)
+        marks = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(self.markers)
+        self.rows = table_stream(spark, sf, "events", table.schema, files_per_trigger).unionByName(marks)
+
+    def run(self, build, tag):
+        out, ck = _scratch(self.spark, tag), _scratch(self.spark, tag + "-ck")
+        parts = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.spark.sparkContext.defaultParallelism)
+        with rocksdb_state(self.spark, parts):
+            for last in (False, True):
+                if last:
+                    for k in range(2):  # the first moves the watermark, the second is the batch that sees it
+                        mark = self.spark.range(1).select(*[
+                            F.lit(END + dt.timedelta(days=k)).cast(f.dataType).alias(f.name) if f.name == "ts" else
+                            F.lit(None).cast(f.dataType).alias(f.name) for f in self.empty.schema.fields])
+                        mark.coalesce(1).write.mode("append").parquet(self.markers)
+                q = build().writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
+                    .outputMode("append").trigger(availableNow=True).start()
+                q.awaitTermination()
+        return self.spark.read.parquet(out)
+
+
+_T1_SQL = f"""{_fsm_sql()},
+{_LIMITS_SQL.split("AS budget_remaining FROM e0),", 1)[-1].lstrip()}
+, fs AS (SELECT episode_id, min(epoch_us(ts)) + 300000000 AS due, min(epoch_us(ts)) FILTER (WHERE cmd = 'submit') AS done
+  FROM e GROUP BY episode_id)
+SELECT e.episode_id, e.step, e.event_id, epoch_us(e.ts) AS ts_us, e.cmd, false AS forced,
+  CASE WHEN e.cmd = 'validate' THEN o.allowed END AS validate_allowed,
+  CASE WHEN e.cmd = 'validate' THEN o.allowed AND o.cache = 0 END AS validate_counted,
+  CASE WHEN o.allowed AND o.cache = 0 THEN CASE WHEN o.cnt < 3 THEN 0.02 ELSE -0.01 END ELSE 0.0 END::DOUBLE AS validate_bonus,
+  e.budget_used::BIGINT AS budget_used,
+  e.budget_total - (e.budget_used - CASE WHEN e.cmd IN ({_DBL}) THEN 1 ELSE 0 END) < 0 AS exhausted,
+  epoch_us(e.ts) > fs.due AS timed_out,
+  CASE WHEN e.cmd <> 'apply' THEN NULL WHEN j.arg < 1 THEN 'invalid_id' WHEN j.applies_before >= 3 THEN 'session_limit'
+    WHEN j.dup THEN 'duplicate' WHEN NOT j.offered THEN 'stale' ELSE 'ok' END AS apply_outcome, 0.0::DOUBLE AS penalty
+FROM e JOIN o ON o.episode_id = e.episode_id AND o.step = e.step JOIN fs ON fs.episode_id = e.episode_id
+  LEFT JOIN j ON j.episode_id = e.episode_id AND j.step = e.step
+UNION ALL
+SELECT fs.episode_id, NULL, NULL, fs.due, 'submit', true, NULL, NULL, 0.0,
+  (SELECT coalesce(max(e.budget_used), 0) FROM e WHERE e.episode_id = fs.episode_id AND epoch_us(e.ts) <= fs.due)::BIGINT,
+  false, true, NULL, -0.10 FROM fs WHERE done IS NULL OR done > due"""
+
+
+@register("t1_audit_stream", _T1_SQL)
 def t1_audit_stream(spark, sf):
-    return _run_to_parquet(audit_stream(stream_actions(spark, sf), TJ.BUDGET), spark, "audit")
+    r = Replay(spark, sf)
+    e = r.rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    a = e.select("event_id", "ts", *[F.expr(TJ._EXPRS[k]).alias(k) for k in ("episode_id", "action", "n_recs")])
+    return r.run(lambda: audit_stream(a, TJ.BUDGET, r.watermark, NEVER_US, END), "audit")
 
 
-@register("t2_curriculum_stream")
+@register("t2_curriculum_stream", f"""WITH {TB.sql_ctes('runs')}, {curriculum_sql(5, 0.6)}
+SELECT run_id, episode, CAST(level AS INTEGER) AS level, advanced FROM rl""")
 def t2_curriculum_stream(spark, sf):
-    e = events_stream(spark, sf).select(F.col("user_id").alias("run_id"), "event_id",
-                                        F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 50).alias("success"))
-    return _run_to_parquet(curriculum_stream(e, window=5, threshold=0.6), spark, "curriculum")
+    r = Replay(spark, sf)
+    e = r.rows.select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+                      (F.col("value") > 50).alias("success"))
+    return r.run(lambda: curriculum_stream(e, 5, 0.6, watermark=r.watermark, idle_us=NEVER_US, end=END), "curriculum")
 
 
 @register("t3_quality_monitor")

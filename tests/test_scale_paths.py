@@ -116,6 +116,38 @@ def test_curriculum_passes_equal_deque_fold(spark):
         assert [got[(run, e + 1)] for e in range(120)] == exp
 
 
+def test_curriculum_of_many_levels(spark):
+    rnd = random.Random(5)
+    rows = [(run, e + 1, rnd.random() < 0.75) for run in range(3) for e in range(900 if run else 2600)]
+    rows += [(7, 1, True), (8, 1, False)]
+    d = spark.createDataFrame(rows, "run_id long, episode long, success boolean")
+    for levels in (1, 2, 4, 201):
+        out = CU.replay(d, window=4, threshold=0.7, max_level=levels, chunk=64)
+        got = {(r["run_id"], r["episode"]): (r["level"], r["advanced"]) for r in out.collect()}
+        for run in {r for r, _, _ in rows}:
+            exp = _deque_replay([int(s) for r, _, s in rows if r == run], 4, 0.7, 1, levels)
+            assert [got[(run, e + 1)] for e in range(len(exp))] == exp
+        assert max(x for x, _ in got.values()) > min(levels - 1, 100)
+        assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 40_000  # whatever the number of levels
+
+
+def test_state_scan_stays_in_the_jvm_and_keeps_columns(spark):
+    rnd = random.Random(9)
+    rows = [(k, p, rnd.randint(0, 3), {"a": str(p)}) for k, n in ((None, 300), (1, 64), (2, 1), (3, 17)) for p in range(1, n + 1)]
+    d = spark.createDataFrame(rows, "k long, pos long, code int, m map<string,string>")
+    for chunk in (2, 4, 16, 1024):  # runs of chunks, full and not
+        a = fsm_scan(d, ["k"], "pos", F.col("code"), AU.COOLDOWN_TABLE, 0, chunk=chunk, state_col="st")
+        plan = a._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+        got = {(r["k"], r["pos"]): (r["st"], r["m"]["a"]) for r in a.collect()}
+        assert len(got) == len(rows)
+        for k in (None, 1, 2, 3):
+            s = 0
+            for _, p, c, _ in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+                assert got[k, p] == (s, str(p)), (chunk, k, p)
+                s = AU.COOLDOWN_TABLE[c][s]
+
+
 def test_banded_exact_quantile_equals_percentile(spark):
     from dataclinic.functions.quantiles import exact_quantiles
     rnd = random.Random(11)

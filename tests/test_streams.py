@@ -10,20 +10,88 @@ from dataclinic.operators import curriculum as CU
 from dataclinic.operators import score as SC
 from dataclinic.plans.catalog import load_all
 from dataclinic.sources import trajectories as TJ
+from dataclinic.streaming.audit_stream import audit_stream
+from dataclinic.streaming.curriculum_stream import curriculum_stream
+from dataclinic.streaming.ordered import rocksdb_state
 
 
 def test_audit_stream_equals_batch(spark, sf):
     q, _ = load_all()
-    s = q["t1_audit_stream"](spark, sf).select("episode_id", "step", "validate_allowed", "validate_counted",
+    every = q["t1_audit_stream"](spark, sf)
+    s = every.where("not forced").select("episode_id", "step", "validate_allowed", "validate_counted",
                                                 "budget_used", "exhausted")
     e = SC.enrich(TJ.actions(spark, sf))
     b = AU.cooldown(e).select("episode_id", "step", "validate_allowed", "validate_counted", "budget_used")
     b = b.join(AU.budget(e).select("episode_id", "step", "exhausted"), ["episode_id", "step"])
     assert s.count() == b.count()
     assert s.exceptAll(b).count() == 0
-    sa = q["t1_audit_stream"](spark, sf).where("cmd = 'apply'").select("episode_id", "step", "apply_outcome")
+    sa = every.where("cmd = 'apply'").select("episode_id", "step", "apply_outcome")
     ba = AU.apply_limits(e, AU.recommendations(e)).select("episode_id", "step", F.col("outcome").alias("apply_outcome"))
     assert sa.exceptAll(ba).count() == 0 and ba.exceptAll(sa).count() == 0
+    sf_, bf = every.where("forced").select("episode_id", "ts_us", "penalty"), AU.forced_submits(e)
+    assert bf.count() > 0 and sf_.exceptAll(bf).count() == 0 and bf.exceptAll(sf_).count() == 0
+
+
+def _start(spark, d, src, build):
+    """One run over what the source folder holds, from the same checkpoint each time."""
+    with rocksdb_state(spark, 2):
+        q = build(src).writeStream.format("parquet").option("path", f"{d}/out").option("checkpointLocation", f"{d}/ck") \
+            .outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(build(src).schema).parquet(f"{d}/out")
+
+
+def _put(spark, d, rows, schema):
+    spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(f"{d}/in")
+
+
+def test_idle_episode_is_submitted_by_a_timer(spark, tmp_path):
+    schema = "episode_id bigint, event_id bigint, ts bigint, action string, n_recs int"
+    t0 = 1_700_000_000
+
+    def build(_):
+        s = spark.readStream.schema(schema.replace("ts bigint", "ts timestamp")).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return audit_stream(s, 25, "60 seconds")
+
+    _put(spark, tmp_path, [(1, 1, t0, "validate", 0), (2, 2, t0 + 5, "validate", 0), (3, 3, t0 + 9, "submit", 0)], schema)
+    _start(spark, tmp_path, None, build)
+    # the second batch knows only episode 2; it takes the watermark past the deadlines
+    _put(spark, tmp_path, [(2, 4, t0 + 100, "inspect_dataset", 0), (2, 5, t0 + 5000, "validate", 0)], schema)
+    _put(spark, tmp_path, [(2, 6, t0 + 5001, "apply 1", 0)], schema)
+    got = _start(spark, tmp_path, None, build)
+    forced = sorted((r["episode_id"], r["ts_us"] - t0 * 1_000_000, r["penalty"]) for r in got.where("forced").collect())
+    assert forced == [(1, 300_000_000, -0.1), (2, 305_000_000, -0.1)]
+    order = [(r["event_id"], r["step"]) for r in got.where("not forced").orderBy("episode_id", "step").collect()]
+    assert order == [(1, 1), (2, 1), (4, 2), (3, 1)]  # events 5 and 6 wait for the watermark
+
+
+def test_rows_out_of_order_over_many_batches(spark, tmp_path):
+    """Four files, each with rows of all times within the watermark, folded in the order of time."""
+    import random
+    schema, r = "run_id bigint, event_id bigint, ts bigint, success boolean", random.Random(4)
+    rows = [(i % 3, i, 1_700_000_000 + 7 * i, r.random() < 0.7) for i in range(240)]
+    late = rows[:]
+    r.shuffle(late)
+
+    def build(_):
+        s = spark.readStream.schema(schema.replace("ts bigint", "ts timestamp")).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return curriculum_stream(s, 5, 0.6, watermark="1800 seconds")
+
+    for k in range(4):
+        _put(spark, tmp_path, late[k * 60:k * 60 + 60], schema)
+        _start(spark, tmp_path, None, build)
+    for k in range(2):  # rows of a far day end the stream
+        _put(spark, tmp_path, [(9, 1000 + k, 1_800_000_000 + 9000 * k, True)], schema)
+        got = _start(spark, tmp_path, None, build)
+    out = {(x["run_id"], x["episode"]): (x["level"], x["advanced"]) for x in got.where("run_id < 9").collect()}
+    for run in range(3):
+        level, last = 1, []
+        for n, (_, _, _, s) in enumerate([x for x in rows if x[0] == run], 1):
+            last = (last + [int(s)])[-5:]
+            adv = len(last) >= 5 and sum(last) / 5 >= 0.6 and level < 3
+            level, last = (level + 1, []) if adv else (level, last)
+            assert out[run, n] == (level, adv)
+    assert len(out) == 240
 
 
 def test_curriculum_stream_equals_batch(spark, sf):
