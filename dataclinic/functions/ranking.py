@@ -147,9 +147,10 @@ def smallest_keys(df: DataFrame, keys: list[Column], k, digits: int = DEFAULT_BU
     ``key <= __t`` marks exactly the k smallest rows; no sort of the table, no join.
 
     A key is a struct whose first field ``h`` is a lowercase hex hash and whose other
-    fields break ties.  ``k(n)`` maps the row count (a Column) to the wanted rank; it
-    is cut to n, and 0 gives NULL.  Counts by hash prefix (16**digits rows per key)
-    find the one bucket that holds the rank; only its rows are ordered."""
+    fields break ties.  ``k(n)`` maps the row count (a Column) to the wanted rank, for all keys or as a list for each;
+    it is cut to n, and 0 gives NULL.  Counts by hash prefix (16**digits rows per key)
+    find the one bucket that holds the rank; only rows of these buckets leave the scan and are ordered."""
+    ks = list(k) if isinstance(k, (list, tuple)) else [k] * len(keys)
     heads = F.array(*[F.struct(F.lit(i).alias("i"), F.substring(c.getField("h"), 1, digits).alias("b"))
                       for i, c in enumerate(keys)])
     counts = df.select(F.explode(heads).alias("s")).select("s.i", "s.b").groupBy("i", "b").agg(
@@ -157,11 +158,16 @@ def smallest_keys(df: DataFrame, keys: list[Column], k, digits: int = DEFAULT_BU
     before = Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     c = counts.withColumns({"before": F.coalesce(F.sum("m").over(before), F.lit(0)),
                             "n": F.sum("m").over(Window.partitionBy("i"))})
-    c = c.withColumn("k", F.least(k(F.col("n")).cast("bigint"), F.col("n")))
+    wanted = F.lit(None).cast("bigint")
+    for i, f in enumerate(ks):
+        wanted = F.when(F.col("i") == i, f(F.col("n")).cast("bigint")).otherwise(wanted)
+    c = c.withColumn("k", F.least(wanted, F.col("n")))
     edge = c.where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("m"))).select(
         "i", "b", (F.col("k") - F.col("before")).alias("need"))
-    full = F.array(*[F.struct(F.lit(i).alias("i"), c.alias("key")) for i, c in enumerate(keys)])
-    rows = df.select(F.explode(full).alias("s")).select("s.i", "s.key")
-    rows = rows.withColumn("b", F.substring("key.h", 1, digits)).join(F.broadcast(edge), ["i", "b"])  # a row a key
+    row = edge.agg(*[F.max(F.when(F.col("i") == i, F.struct("b", "need"))).alias(f"__e{i}") for i in range(len(keys))])
+    d = df.crossJoin(F.broadcast(row))  # one row
+    near = F.array(*[F.when(F.substring(c.getField("h"), 1, digits) == F.col(f"__e{i}.b"), F.struct(
+        F.lit(i).alias("i"), F.col(f"__e{i}.need").alias("need"), c.alias("key"))) for i, c in enumerate(keys)])
+    rows = d.select(F.explode(F.filter(near, lambda x: x.isNotNull())).alias("s")).select("s.*")
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("key"))).where("rn = need")
     return rows.agg(*[F.max(F.when(F.col("i") == i, F.col("key"))).alias(f"__t{i}") for i in range(len(keys))])

@@ -121,3 +121,30 @@ def response_distribution(df: DataFrame, response_col: str = "response") -> Data
     pct = F.col("count") * 100.0 / F.col("__t")
     return c.crossJoin(F.broadcast(tot)).select(response_col, "count", pct.alias("pct"),
                                                 (pct > DOMINANT_PCT).alias("dominant"))
+
+
+#: Counters of one row of the frequency sketch, and its rows.
+SKETCH_WIDTH, SKETCH_ROWS = 1024, 3
+
+
+def dominant_responses(df: DataFrame, response_col: str = "response", min_pct: float = DOMINANT_PCT) -> DataFrame:
+    """Exactly the responses above ``min_pct`` of all, with count and %, without a shuffle of all texts.
+
+    A mergeable sketch (``SKETCH_ROWS`` rows of counters by hash) gives every response a count that is never too small;
+    only rows whose counters all reach the share are counted by text.  A frequent response always passes; a rare one
+    passes by chance only, and then its exact count drops it."""
+    cell = lambda i: F.pmod(F.xxhash64(F.lit(i), F.col(response_col)), F.lit(SKETCH_WIDTH)).cast("int")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), cell(i).alias("c")) for i in range(SKETCH_ROWS)])
+    given = df.where(F.col(response_col).isNotNull())
+    tot = df.agg(F.count(F.lit(1)).alias("__t"))
+    sketch = given.select(F.explode(cells).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    heavy = sketch.crossJoin(F.broadcast(tot)).where(F.col("n") * 100.0 > F.col("__t") * min_pct)
+    # fewer than 100 / min_pct counters of a row can be heavy
+    keep = heavy.agg(F.collect_set("x").alias("__heavy"))
+    seen = F.lit(True)
+    for i in range(SKETCH_ROWS):
+        seen = seen & F.array_contains("__heavy", F.struct(F.lit(i).alias("i"), cell(i).alias("c")))
+    cand = given.crossJoin(F.broadcast(keep)).where(seen)  # one row
+    c = cand.groupBy(response_col).agg(F.count(F.lit(1)).alias("count"))
+    pct = F.col("count") * 100.0 / F.col("__t")
+    return c.crossJoin(F.broadcast(tot)).where(pct > min_pct).select(response_col, "count", pct.alias("pct"))

@@ -52,14 +52,71 @@ def _marked(df: DataFrame, seed, tags, keys, k):
     return d, [F.coalesce(c <= F.col(f"__t{i}"), F.lit(False)) for i, c in enumerate(ks)]
 
 
+class _Step:
+    """An injection that keeps all rows: the tags by which rows are picked, how many, and the change of a picked row."""
+
+    def __init__(self, tags, k, change):
+        self.tags, self.k, self.change = tags, k, change
+
+
+def _inject(df: DataFrame, steps: list, seed, keys) -> DataFrame:
+    """Several such steps in order, with one threshold pass: rows are picked by hashes of their keys, which no step
+    changes (rows that share their keys are ordered by their values before the first step)."""
+    steps = [s for s in steps if s.tags]
+    if not steps:
+        return df
+    tags = [t for s in steps for t in s.tags]
+    ks = [_key(df, seed, t, keys) for t in tags]
+    d = df.crossJoin(F.broadcast(smallest_keys(df, ks, [s.k for s in steps for _ in s.tags])))  # one row
+    d = d.select(*df.columns, *[F.coalesce(c <= F.col(f"__t{i}"), F.lit(False)).alias(f"__hit{i}") for i, c in enumerate(ks)])
+    at = 0
+    for s in steps:
+        d = s.change(d, [F.col(f"__hit{i}") for i in range(at, at + len(s.tags))])
+        at += len(s.tags)
+    return d.select(*df.columns)
+
+
+def _at_least_one(frac):
+    return lambda n: F.greatest(F.lit(1), F.floor(n * frac))
+
+
+def _missing(columns, seed, keys, cols, frac):
+    cols = [c for c in cols if c in columns]
+
+    def change(d, hits):
+        return d.withColumns({c: F.when(h, F.lit(None).cast(d.schema[c].dataType)).otherwise(F.col(c)) for c, h in zip(cols, hits)})
+    return _Step([f"missing|{c}" for c in cols], lambda n: F.floor(n * F.lit(frac)), change)
+
+
+def _type_errors(columns, seed, keys, col, frac):
+    return _Step([f"type|{col}"], _at_least_one(frac), lambda d, hits: d.withColumn(
+        col, F.when(hits[0], F.lit(TYPE_ERROR_TOKEN)).otherwise(F.col(col).cast("string"))))
+
+
+def _outliers(columns, seed, keys, col, frac):
+    sign = F.pmod(hash_int(hash_hex(seed, F.lit(f"sign|{col}"), *keys)), F.lit(2))
+    val = F.when(sign == 0, F.lit(OUTLIER_VALUES[0])).otherwise(F.lit(OUTLIER_VALUES[1]))
+
+    def change(d, hits):
+        dt = d.schema[col].dataType
+        new = val if isinstance(dt, T.NumericType) else val.cast("string")
+        return d.withColumn(col, F.when(hits[0], new.cast(dt)).otherwise(F.col(col)))
+    return _Step([f"outlier|{col}"], _at_least_one(frac), change)
+
+
+def _cross_column(columns, seed, keys, a, b, frac):
+    def change(d, hits):
+        ta, tb = d.schema[a].dataType, d.schema[b].dataType
+        na, nb = to_number(a, ta), to_number(b, tb)
+        hit = hits[0] & na.isNotNull() & nb.isNotNull() & (na >= nb)
+        return d.withColumns({a: F.when(hit, (nb - 1.0).cast(ta)).otherwise(F.col(a)),
+                              b: F.when(hit, (na + 1.0).cast(tb)).otherwise(F.col(b))})
+    return _Step([f"cross|{a}|{b}"], _at_least_one(frac), change)
+
+
 def inject_missing(df: DataFrame, cols, frac: float, seed=42, keys=()) -> DataFrame:
     """for each column independently, int(n*frac) rows become NULL."""
-    cols = [c for c in cols if c in df.columns]
-    if not cols:
-        return df
-    d, hit = _marked(df, seed, [f"missing|{c}" for c in cols], keys, lambda n: F.floor(n * F.lit(frac)))
-    null = {c: F.when(h, F.lit(None).cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c, h in zip(cols, hit)}
-    return d.select(*[null.get(c, F.col(c)) for c in df.columns])
+    return _inject(df, [_missing(df.columns, seed, keys, cols, frac)], seed, keys)
 
 
 def inject_duplicates(df: DataFrame, frac: float, seed=42, keys=()) -> DataFrame:
@@ -100,30 +157,17 @@ def inject_imbalance(df: DataFrame, label: str, ratio: float, cls=None, seed=42,
 
 def inject_type_errors(df: DataFrame, col: str, frac: float, seed=42, keys=()) -> DataFrame:
     """max(1, int(n*frac)) cells become 'ERR'; the column becomes STRING."""
-    d, (hit,) = _marked(df, seed, [f"type|{col}"], keys, lambda n: F.greatest(F.lit(1), F.floor(n * frac)))
-    d = d.withColumn(col, F.when(hit, F.lit(TYPE_ERROR_TOKEN)).otherwise(F.col(col).cast("string")))
-    return d.select(*df.columns)
+    return _inject(df, [_type_errors(df.columns, seed, keys, col, frac)], seed, keys)
 
 
 def inject_outliers(df: DataFrame, col: str, frac: float, seed=42, keys=()) -> DataFrame:
     """max(1, int(n*frac)) cells become +999 or -999 (sign from the hash)."""
-    d, (hit,) = _marked(df, seed, [f"outlier|{col}"], keys, lambda n: F.greatest(F.lit(1), F.floor(n * frac)))
-    sign = F.pmod(hash_int(hash_hex(seed, F.lit(f"sign|{col}"), *keys)), F.lit(2))
-    val = F.when(sign == 0, F.lit(OUTLIER_VALUES[0])).otherwise(F.lit(OUTLIER_VALUES[1]))
-    dt = df.schema[col].dataType
-    new = val if isinstance(dt, T.NumericType) else val.cast("string")
-    return d.withColumn(col, F.when(hit, new.cast(dt)).otherwise(F.col(col))).select(*df.columns)
+    return _inject(df, [_outliers(df.columns, seed, keys, col, frac)], seed, keys)
 
 
 def inject_cross_column(df: DataFrame, a: str, b: str, frac: float, seed=42, keys=()) -> DataFrame:
     """among max(1, int(n*frac)) rows, where a >= b set (a, b) := (b - 1, a + 1)."""
-    d, (hit,) = _marked(df, seed, [f"cross|{a}|{b}"], keys, lambda n: F.greatest(F.lit(1), F.floor(n * frac)))
-    na, nb = to_number(a, df.schema[a].dataType), to_number(b, df.schema[b].dataType)
-    hit = hit & na.isNotNull() & nb.isNotNull() & (na >= nb)
-    ta, tb = df.schema[a].dataType, df.schema[b].dataType
-    d = d.withColumns({a: F.when(hit, (nb - 1.0).cast(ta)).otherwise(F.col(a)),
-                       b: F.when(hit, (na + 1.0).cast(tb)).otherwise(F.col(b))})
-    return d.select(*df.columns)
+    return _inject(df, [_cross_column(df.columns, seed, keys, a, b, frac)], seed, keys)
 
 
 INJECTORS = {
@@ -136,17 +180,33 @@ INJECTORS = {
 }
 
 
+#: Steps that keep all rows: neighbours share one threshold pass and one projection.
+_VALUE_STEPS = {"missing": _missing, "type_errors": _type_errors, "outliers": _outliers, "cross_column": _cross_column}
+
+
 def recipe(df: DataFrame, steps, seed=42, keys=(), checkpoint: bool = True) -> DataFrame:
     """fold a list of ``(injector name, kwargs)`` over the DataFrame.
 
-    An injector reads its input for the threshold and for the projection; with
-    ``checkpoint`` the lineage is cut (a parquet table in ``spark.checkpoint.dir``, never
-    ``localCheckpoint``) after every second step and at the end, which bounds the
-    re-reading with half of the writes."""
+    Neighbouring steps that keep all rows are one pass for their thresholds and one projection.  An injector
+    reads its input twice; with ``checkpoint`` the lineage is cut (a parquet table in
+    ``spark.checkpoint.dir``, never ``localCheckpoint``) after each such run and after a step that adds or takes rows."""
     from ..session import cut_lineage
-    out = df
-    for i, (name, kw) in enumerate(steps):
+    out, run = df, []
+
+    def flush(out):
+        return _inject(out, [_VALUE_STEPS[n](out.columns, seed, keys, **kw) for n, kw in run], seed, keys)
+
+    for name, kw in steps:
+        if name in _VALUE_STEPS:
+            run.append((name, kw))
+            continue
+        if run:
+            out = flush(out)
+            out = cut_lineage(out) if checkpoint else out
+            run = []
         out = INJECTORS[name](out, seed=seed, keys=keys, **kw)
-        if checkpoint and (name == "duplicates" or i % 2 or i == len(steps) - 1):
-            out = cut_lineage(out)
+        out = cut_lineage(out) if checkpoint else out
+    if run:
+        out = flush(out)
+        out = cut_lineage(out) if checkpoint else out
     return out

@@ -34,6 +34,11 @@ def components(working: DataFrame, truth: DataFrame, original_rows, label: str =
         one = one.withColumn("initial_missing", F.lit(None).cast("long"))
     else:
         one = one.crossJoin(_scalar(working, initial_missing, "initial_missing"))
+    return _scored(one)
+
+
+def _scored(one: DataFrame) -> DataFrame:
+    """Sub-scores and total from one row of counts."""
     denom = F.when(F.col("initial_missing").isNotNull() & (F.col("initial_missing") > 0), F.col("initial_missing")) \
         .otherwise(F.greatest(F.col("wc_missing"), F.lit(1)))
     missing_score = F.greatest(F.lit(0.0), 1.0 - F.col("wc_missing") / denom)
@@ -63,6 +68,45 @@ def _counts(df: DataFrame, numeric_cols) -> DataFrame:
                  F.lit(len(numeric_cols)).cast("long").alias("type_total"), ok.alias("type_ok"))
 
 
+# ---- counts kept under repairs ---------------------------------------------------------------
+
+def kept_counts(df: DataFrame, numeric_cols) -> DataFrame:
+    """One row that D7 and the C8 report need of a table, in a form that changes can update: rows, missing cells,
+    duplicates and for each numeric column its type errors."""
+    d = normalize_missing(df)
+    one = d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("__after")).withColumn("__before", F.lit(0).cast("long"))
+    return _difference(one, d.columns, numeric_cols)
+
+
+def _difference(changes: DataFrame, cols, numeric_cols) -> DataFrame:
+    """What rows whose copies went from ``__before`` to ``__after`` add to the counts."""
+    by = F.col("__after") - F.col("__before")
+    cells = sum((F.col(f"`{c}`").isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    spare = F.greatest(F.col("__after") - 1, F.lit(0)) - F.greatest(F.col("__before") - 1, F.lit(0))
+    wrong = {c: F.col(c).isNotNull() & to_number(c, changes.schema[c].dataType).isNull() for c in numeric_cols}
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return changes.agg(total(by).alias("n_rows"), total(by * cells).alias("n_missing"), total(spare).alias("n_duplicates"),
+                       *[total(F.when(w, by).otherwise(0)).alias(f"errors_{c}") for c, w in wrong.items()])
+
+
+def updated_counts(counts: DataFrame, changes: DataFrame, numeric_cols) -> DataFrame:
+    """``kept_counts`` after a repair, from the rows that it changed (``ChangeLog.changes``): the table is not read."""
+    cols = [c for c in changes.columns if not c.startswith("__")]
+    names = counts.columns
+    return counts.unionByName(_difference(changes, cols, numeric_cols)).agg(*[F.sum(c).cast("long").alias(c) for c in names])
+
+
+def score_counts(counts: DataFrame, numeric_cols, gt_dups, original_rows, initial_missing) -> DataFrame:
+    """D7 from kept counts: the row of ``components``."""
+    ok = sum((F.when(F.col(f"errors_{c}") == 0, 1).otherwise(0) for c in numeric_cols), F.lit(0)).cast("long")
+    one = counts.select(F.col("n_missing").alias("wc_missing"), F.col("n_rows").alias("wc_rows"),
+                        F.col("n_duplicates").alias("wc_dups"), F.lit(len(numeric_cols)).cast("long").alias("type_total"),
+                        ok.alias("type_ok"), F.lit(gt_dups).cast("long").alias("gt_dups"),
+                        F.lit(original_rows).cast("long").alias("original_rows"),
+                        F.lit(initial_missing).cast("long").alias("initial_missing"))
+    return _scored(one)
+
+
 def _scalar(df: DataFrame, v, name: str) -> DataFrame:
     if isinstance(v, DataFrame):
         return F.broadcast(v.select(F.col(name).cast("long").alias(name)))

@@ -111,6 +111,15 @@ def s6_response_distribution(spark, sf):
     return r6(EX.response_distribution(e))
 
 
+@register("s6_dominant_responses", f"""WITH {_strategies_sql()}, c AS (SELECT action AS response, count(*) AS n FROM ex GROUP BY action)
+SELECT response, n::BIGINT AS count, round(n * 100.0 / (SELECT count(*) FROM ex), 6) AS pct FROM c
+WHERE n * 100.0 / (SELECT count(*) FROM ex) > 5.0""")
+def s6_dominant_responses(spark, sf):
+    """Responses above 5 % of all examples, found by a sketch and counted exactly."""
+    e = EX.expand(spark, _seeds(spark, sf)).withColumnRenamed("action", "response")
+    return r6(EX.dominant_responses(e, min_pct=5.0))
+
+
 # ---------------------------------------------------------------------------- IO1-IO5
 def _scratch(spark, tag):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/io-{tag}-{uuid.uuid4().hex[:8]}"

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ...functions.expr import to_number as tn
+from ...operators import profile as P
+from ...operators import quality as Q
 from ...operators import recommend as RC
 from ...operators import repair as RP
-from ...operators.versions import VersionedTable
+from ...operators.versions import ChangeLog, VersionedTable
 from ...sources import tables as TB
 from .. import auto_repair
-from ...session import cut_lineage
+from ...session import cut_lineage, ensure_checkpoint_dir
 from . import register
 from .common import r6
 from .profiling import ORD_FEATS, _stats_cte
+from .quality import _quality_sql
 from .sqlgen import r6 as s6, to_number
 
 LK = TB.LINEITEM["keys"]
@@ -143,6 +148,79 @@ def c9_undo(spark, sf):
     return vt.current
 
 
+def _log(spark, sf):
+    """A change log of the dirty orders with two applies: dedupe, then a fill."""
+    log = ChangeLog.create(TB.orders_dirty(spark, sf), f"{ensure_checkpoint_dir(spark).rstrip('/')}/versions-{uuid.uuid4().hex}")
+    yield log
+    log.apply(RP.dedupe)
+    yield log
+    log.apply(RP.fill_missing, "o_custkey", "mean")
+    yield log
+
+
+@register("c9_undo_log", DEDUPED_SQL)
+def c9_undo_log(spark, sf):
+    """The change log opened anew after two applies and undone once: the dedupe result."""
+    *_, log = _log(spark, sf)
+    again = ChangeLog.open(spark, log.path)
+    assert again.undo() and ChangeLog.open(spark, log.path).snapshots == 1
+    return ChangeLog.open(spark, log.path).read()
+
+
+@register("c9_change_rows", f"""WITH {TB.sql_ctes('orders_dirty')},
+d AS (SELECT {', '.join(TB.ORDERS_COLS)}, count(*) AS c FROM orders_dirty GROUP BY ALL)
+SELECT 1 AS version, count(*) FILTER (WHERE c > 1)::BIGINT AS n_stored, count(*)::BIGINT AS n_rows FROM d
+UNION ALL SELECT 2, 2 * count(*) FILTER (WHERE o_custkey IS NULL), count(*) FROM d""")
+def c9_change_rows(spark, sf):
+    """Rows that a version stores: those that its repair changed, before and after."""
+    out = None
+    for v, log in enumerate(_log(spark, sf)):
+        if v:
+            one = log.changes().agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n_stored")).crossJoin(
+                log.read().agg(F.count(F.lit(1)).alias("n_rows")))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+_KEPT = ["o_custkey", "o_totalprice"]
+
+
+@register("d8_kept_counts", f"""WITH {TB.sql_ctes('orders_dirty', 'orders_clean')}, deduped AS (SELECT DISTINCT * FROM orders_dirty),
+filled AS (SELECT o_orderkey, coalesce(o_custkey, (SELECT avg(o_custkey) FROM deduped)) AS o_custkey, o_totalprice, o_orderstatus
+  FROM deduped), {_quality_sql('orders_dirty', 'a')}, {_quality_sql('deduped', 'b')}, {_quality_sql('filled', 'c')}
+SELECT 0 AS version, wr::BIGINT AS n_rows, wm::BIGINT AS n_missing, wd::BIGINT AS n_duplicates, {s6('quality')} AS quality FROM qa
+UNION ALL SELECT 1, wr, wm, wd, {s6('quality')} FROM qb UNION ALL SELECT 2, wr, wm, wd, {s6('quality')} FROM qc""")
+def d8_kept_counts(spark, sf):
+    """Counts and quality after each repair, kept from the changed rows only."""
+    out = counts = None
+    gt = P.duplicates(TB.orders_clean(spark, sf)).first()["n_duplicates"]
+    for v, log in enumerate(_log(spark, sf)):
+        if v == 0:
+            counts = cut_lineage(Q.kept_counts(log.read(), _KEPT))
+            first = counts.first()
+        else:
+            counts = cut_lineage(Q.updated_counts(counts, log.changes(), _KEPT))
+        q = Q.score_counts(counts, _KEPT, gt, first["n_rows"], first["n_missing"])
+        one = q.select(F.lit(v).alias("version"), F.col("wc_rows").alias("n_rows"), F.col("wc_missing").alias("n_missing"),
+                       F.col("wc_dups").alias("n_duplicates"), "quality")
+        out = one if out is None else out.unionByName(one)
+    return r6(out)
+
+
+@register("c10_repair_path", f"""WITH {TB.sql_ctes('dq_dirty')}
+SELECT count(*)::BIGINT AS n_start, true AS starts_with_inspect, true AS two_repairs_first, true AS ends_validated,
+  true AS cleaning_never_lowers_quality, true AS accuracies_in_range FROM dq_dirty""")
+def c10_repair_path(spark, sf):
+    """The stages of the automatic repair and what must hold of them."""
+    s = cut_lineage(auto_repair.auto_repair(spark, sf)).orderBy("step").collect()  # a row a stage
+    q = [r["quality"] for r in s if r["stage"] in ("inspect",) or r["stage"].startswith("apply ")][:3]
+    acc = [r[c] for r in s if r["stage"] == "validate" for c in ("rf_accuracy", "lr_accuracy")]
+    row = (s[0]["n_rows"], s[0]["stage"] == "inspect", all(r["stage"].startswith("apply ") for r in s[1:3]),
+           s[-1]["stage"] == "validate", q == sorted(q), bool(acc) and all(0.0 <= a <= 1.0 for a in acc))
+    return spark.createDataFrame([row], "n_start bigint, starts_with_inspect boolean, two_repairs_first boolean, "
+                                        "ends_validated boolean, cleaning_never_lowers_quality boolean, accuracies_in_range boolean")
+
+
 @register("c10_auto_repair")
 def c10_auto_repair(spark, sf):
     """Heuristic plan inspect -> clean -> apply 1, 2 -> validate -> balance -> apply 1 -> validate

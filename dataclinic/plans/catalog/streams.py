@@ -8,15 +8,18 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ...session import ensure_checkpoint_dir
+from ...session import cut_lineage, ensure_checkpoint_dir
 from ...sources import tables as TB
 from ...sources import trajectories as TJ
 from ...streaming.audit_stream import audit_stream
 from ...streaming.curriculum_stream import curriculum_stream
-from ...streaming.monitor import quality_monitor
+from ...streaming.monitor import RANK_ERROR, merged_profile, quality_monitor
 from ...streaming.ordered import rocksdb_state
 from . import register
+from .common import r6
+from .profiling import LI_FEATS, stats_sql
 from .runlogs import curriculum_sql
+from .sqlgen import r6 as s6
 from .trajectories import _DBL, _LIMITS_SQL, _fsm_sql
 
 
@@ -44,6 +47,8 @@ def table_stream(spark, sf, name, schema, files_per_trigger=None):
 END = dt.datetime(9000, 1, 1)
 #: No episode or run of a stored table is given up as idle.
 NEVER_US = 100 * 365 * 24 * 3600 * 1_000_000
+#: Rows of a stored table wait in buckets of a day.
+DAY_US = 24 * 3600 * 1_000_000
 
 
 def disorder(table, ts="ts"):
@@ -118,7 +123,7 @@ def t1_audit_stream(spark, sf):
     r = Replay(spark, sf)
     e = r.rows.withColumn("ts", F.col("ts").cast("timestamp"))
     a = e.select("event_id", "ts", *[F.expr(TJ._EXPRS[k]).alias(k) for k in ("episode_id", "action", "n_recs")])
-    return r.run(lambda: audit_stream(a, TJ.BUDGET, r.watermark, NEVER_US, END), "audit")
+    return r.run(lambda: audit_stream(a, TJ.BUDGET, r.watermark, NEVER_US, END, DAY_US), "audit")
 
 
 @register("t2_curriculum_stream", f"""WITH {TB.sql_ctes('runs')}, {curriculum_sql(5, 0.6)}
@@ -127,16 +132,44 @@ def t2_curriculum_stream(spark, sf):
     r = Replay(spark, sf)
     e = r.rows.select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
                       (F.col("value") > 50).alias("success"))
-    return r.run(lambda: curriculum_stream(e, 5, 0.6, watermark=r.watermark, idle_us=NEVER_US, end=END), "curriculum")
+    return r.run(lambda: curriculum_stream(e, 5, 0.6, watermark=r.watermark, idle_us=NEVER_US, end=END, bucket_us=DAY_US),
+                 "curriculum")
 
 
-@register("t3_quality_monitor")
-def t3_quality_monitor(spark, sf):
+def _monitored(spark, sf, sketches=False):
     path = f"{sf.rstrip('/')}/lineitem.parquet"
     schema = spark.read.parquet(path).schema
     cols = TB.LINEITEM_COLS
     stream = table_stream(spark, sf, "lineitem", schema, files_per_trigger=1).select(*cols)
-    out, ck = _scratch(spark, "monitor"), _scratch(spark, "monitor-ck")
-    q = quality_monitor(stream, TB.lineitem_clean(spark, sf), out, ck, "l_returnflag", TB.LINEITEM["keys"])
+    out, ck, sk = _scratch(spark, "monitor"), _scratch(spark, "monitor-ck"), _scratch(spark, "monitor-sketch")
+    q = quality_monitor(stream, TB.lineitem_clean(spark, sf), out, ck, "l_returnflag", TB.LINEITEM["keys"],
+                        sketch_path=sk if sketches else None)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(sk if sketches else out)
+
+
+@register("t3_quality_monitor", f"""WITH {TB.sql_ctes('lineitem_clean')}, w AS ({stats_sql('lineitem_clean', LI_FEATS)})
+SELECT col_name, (SELECT count(*) FROM lineitem_clean)::BIGINT AS n_rows, (SELECT count(*) FROM lineitem_clean)::BIGINT - n::BIGINT
+  AS n_missing, 0::BIGINT AS type_errors, round(mean, 3) AS mean, round(std, 3) AS std, 0.0::DOUBLE AS drift, 'NONE' AS level,
+  0::BIGINT AS batch_id FROM w""")
+def t3_quality_monitor(spark, sf):
+    return _monitored(spark, sf).withColumns({c: F.round(c, 3) for c in ("mean", "std")})
+
+
+@register("t3_merged_sketches", " UNION ALL ".join(
+    f"SELECT '{c}' AS col_name, count({c})::BIGINT AS n, {s6(f'avg({c})')} AS mean, {s6(f'stddev_samp({c})')} AS std, "
+    f"true AS median_in_bound FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+def t3_merged_sketches(spark, sf):
+    """All batches' sketches merged: exact moments, and a median whose rank in the table is within the stated error."""
+    sk = _monitored(spark, sf, sketches=True)
+    prof = cut_lineage(merged_profile(sk, ["col_name"]))
+    t = TB.lineitem_clean(spark, sf)
+    cols = [r["col_name"] for r in prof.select("col_name").collect()]  # the profiled columns
+    med = prof.groupBy().pivot("col_name", cols).agg(F.first("median"))
+    med = med.select(*[F.col(f"`{c}`").alias(f"__m_{c}") for c in cols])
+    ranks = t.crossJoin(F.broadcast(med)).agg(*[x for c in cols for x in (  # one row
+        F.avg((F.col(c) < F.col(f"__m_{c}")).cast("double")).alias(f"lo_{c}"),
+        F.avg((F.col(c) <= F.col(f"__m_{c}")).cast("double")).alias(f"hi_{c}"))])
+    ok = ranks.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), (
+        (F.col(f"lo_{c}") <= 0.5 + RANK_ERROR) & (F.col(f"hi_{c}") >= 0.5 - RANK_ERROR)).alias("median_in_bound")) for c in cols])).alias("r")).select("r.*")
+    return r6(prof.join(ok, "col_name").select("col_name", "n", "mean", "std", "median_in_bound"))

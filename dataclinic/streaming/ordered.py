@@ -1,8 +1,8 @@
 """A keyed fold over a stream in event-time order, with event-time timers (``transformWithState``).
 
 Rows of a key may arrive out of order and over any number of batches.  They wait in map state, in buckets of event
-time; a timer at a bucket's end releases it once the watermark has passed, so no earlier row can still come, and its rows
-are folded in the order of (time, id).  A task holds one bucket of one key, the state store what lies within the
+time; a timer at the end of the first one releases the buckets that the watermark has passed, to which no row can still
+come, one after the other, and their rows are folded in the order of (time, id).  A task holds one bucket of one key, the state store what lies within the
 watermark's span.  A deadline, set by the fold, fires by a timer of its own without any input.  A key that has been idle
 for ``idle`` of event time leaves the state; its next row begins a new fold.
 
@@ -65,6 +65,7 @@ class OrderedProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         s = self._load()
         pending = set(s["pending"])
+        first = min(pending, default=None)
         for pdf in rows:  # a chunk of the key's rows at a time
             cols = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in self.fold.fields]
             parts: dict = {}
@@ -75,14 +76,15 @@ class OrderedProcessor(StatefulProcessor):
                     part = json.loads(self.waiting.getValue((b,))[0]) + part
                 else:
                     pending.add(b)
-                    self._timer(b * self.bucket)
                 self.waiting.updateValue((b,), (json.dumps(part),))
         s["pending"] = sorted(pending)
+        if s["pending"] and s["pending"][0] != first:
+            self._timer(s["pending"][0] * self.bucket)
         self.state.update((json.dumps(s),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         s = self._load()
         fold, out = self.fold, []
         while s["pending"] and (s["pending"][0] + 1) * self.bucket <= now:
@@ -107,7 +109,9 @@ class OrderedProcessor(StatefulProcessor):
             due = fold.deadline(s["fold"])
             if due is not None and (due // self.bucket + 1) * self.bucket <= now:
                 out += fold.on_deadline(key, s["fold"])
-            if not s["pending"]:
+            if s["pending"]:
+                self._timer(s["pending"][0] * self.bucket)
+            else:
                 if s["last"] + self.idle <= now:
                     s = {"pending": [], "last": None, "fold": None}
                 else:

@@ -132,3 +132,30 @@ def test_monitor_reads_every_file_of_a_folder(spark, sf, tmp_path):
                                                                              F.countDistinct("batch_id").alias("b"))
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert {(x["n"], x["b"]) for x in m.collect()} == {(n, 4)}
+
+
+def test_sketches_merge_over_spans(spark):
+    import random
+    import statistics
+    from dataclinic.streaming import monitor as M
+    r = random.Random(1)
+    data = [[r.gauss(10 + b, 3) if i % 9 else None for i in range(900)] for b in range(5)]
+    sk = None
+    for b, xs in enumerate(data):
+        d = spark.createDataFrame([(x, x if x is None else -x * x) for x in xs], "x double, y double")
+        one = M.batch_sketch(d, {"x": 10.0, "y": 0.0}).withColumn("batch_id", F.lit(b).cast("long"))
+        sk = one if sk is None else sk.unionByName(one)
+    sk = sk.unionByName(M.batch_sketch(spark.createDataFrame([], "x double, y double"), {"x": 10.0, "y": 0.0}).withColumn("batch_id", F.lit(9).cast("long")))
+    for first, last in ((0, 4), (1, 3), (2, 2)):
+        xs = [x for b in data[first:last + 1] for x in b if x is not None]
+        p = {x["col_name"]: x for x in M.span_profile(sk, first, last).collect()}
+        g = spark.createDataFrame([(x,) for x in xs], "x double").agg(F.skewness("x")).first()[0]
+        n = len(xs)
+        assert p["x"]["n"] == n and abs(p["x"]["mean"] - statistics.mean(xs)) < 1e-9 and abs(p["x"]["std"] - statistics.stdev(xs)) < 1e-9
+        assert abs(p["x"]["skew"] - g * (n * (n - 1)) ** 0.5 / (n - 2)) < 1e-9
+        for c, vs in (("x", xs), ("y", [-x * x for x in xs])):
+            rank = sum(v <= p[c]["median"] for v in vs) / n
+            assert abs(rank - 0.5) <= M.RANK_ERROR
+    t = {(x["batch_id"], x["col_name"]): x for x in M.trailing_drift(sk, 2).collect()}
+    assert (0, "x") not in t and t[1, "x"]["n_span"] == 800 and t[4, "x"]["n_span"] == 1600 and (9, "x") not in t
+    assert all(0.2 < t[b, "x"]["median_shift"] < 0.7 for b in range(1, 5))
