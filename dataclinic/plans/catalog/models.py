@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ...operators import deep_forest as DEEP
 from ...operators import evaluate as EV
 from ...operators import repair as RP
 from ...session import cut_lineage, ensure_checkpoint_dir
@@ -207,3 +208,40 @@ def e7_importance_invariants(spark, sf):
     w = top.agg(F.count(F.lit(1)).alias("n_features"), F.collect_list("importance").alias("__v"))
     return w.select("n_features", F.lit(round(sum(raw), 6)).alias("total"), F.lit(min(raw) >= 0).alias("none_negative"),
                     (F.col("__v") == F.reverse(F.array_sort("__v"))).alias("in_order"))
+
+
+_BEST_SQL = f"""{_SETS_SQL},
+x AS (SELECT ({_NC}) AS a, n_words, n_lines, target, count(*) AS c FROM train GROUP BY ALL),
+g AS (SELECT a, n_words, n_lines, max(c) AS m FROM x GROUP BY ALL)"""
+
+
+@register("e4_unlimited_tree", f"""{_BEST_SQL}
+SELECT (SELECT count(*) FROM train)::BIGINT AS n_train, (SELECT sum(m) FROM g)::BIGINT AS n_right""")
+def e4_unlimited_tree(spark, sf):
+    """One tree without a depth limit on all training rows: right wherever equal rows do not contradict each other."""
+    train = _fitted_rows(spark, sf)
+    tree = DEEP.fit(train, FEATS, n_trees=1, bootstrap=False, max_features=len(FEATS))
+    return tree.predict(train).agg(F.count(F.lit(1)).alias("n_train"),
+                                   F.sum((F.col("label") == F.col("prediction")).cast("long")).alias("n_right"))
+
+
+@register("e4_unlimited_forest", f"""{_SETS_SQL}
+SELECT 20 AS n_trees, (SELECT count(*) FROM test)::BIGINT AS n_test, (SELECT count(*) FROM train)::BIGINT AS n_train,
+  true AS beats_largest_class FROM big""")
+def e4_unlimited_forest(spark, sf):
+    """Twenty trees on drawn samples, grown to purity as the reference's are."""
+    train = _fitted_rows(spark, sf)
+    held = EV.stratified_split(TB.dq_train(spark, sf), "target", ["doc_id"]).where("is_test").drop("is_test")
+    test = EV.prepare(held, "target", FEATS)
+    forest = DEEP.fit(train, FEATS, n_trees=EV.FAST_TREES)
+    share = train.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg((F.max("c") / F.sum("c")).alias("share"))
+    fit = forest.predict(train).agg(F.count(F.lit(1)).alias("n_train"), _right("prediction").alias("acc"))
+    n = forest.predict(test).agg(F.count("prediction").alias("n_test"))
+    return fit.crossJoin(share).crossJoin(n).select(F.lit(forest.trees).alias("n_trees"), "n_test", "n_train",
+                                                    (F.col("acc") >= F.col("share")).alias("beats_largest_class"))
+
+
+def _fitted_rows(spark, sf):
+    """The rows that the evaluation trains on."""
+    held = EV.stratified_split(TB.dq_train(spark, sf), "target", ["doc_id"]).where("is_test").select("doc_id")
+    return cut_lineage(EV.prepare(RP.dedupe(TB.dq_dirty(spark, sf)), "target", FEATS).join(held, "doc_id", "left_anti"))
