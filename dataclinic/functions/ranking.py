@@ -14,12 +14,16 @@
   draw index into ``[1, n]`` and equi-joining on the rank.  A tiny pool with many
   draws is a hot join key; AQE skew-join splitting / runtime broadcast of the
   (then small) pool side handles it, so no draw is dropped.
+* ``draw_counts``: the same draws as a count per pool row, by splitting them down a
+  tree of hash digits; no join on a drawn rank.
 """
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +111,54 @@ def draw_with_replacement(pool: DataFrame, draws: DataFrame, seed, tag: str,
     return out.drop("__pick") if keep_index else out.drop("__pick", index_col)
 
 
+def _split(parent: bytes, k: int, sizes) -> list[int]:
+    """``k`` draws over children of these sizes: one seeded multinomial (a chain of binomials)."""
+    import numpy as np
+    total = float(sum(sizes))
+    return np.random.default_rng(zlib.crc32(parent)).multinomial(int(k), [n / total for n in sizes]).tolist()
+
+
+def draw_counts(pool: DataFrame, k: int, seed, keys, tag: str = "draws", digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
+    """``k`` draws with replacement as a count per row: ``pool`` with a column ``__draws`` (rows never drawn left out).
+
+    Rows lie in a tree by the digits of their hash.  The draws are split from the root down, at each node over its
+    children by their numbers of rows with a generator seeded by the node's name, and in a leaf over its rows in the
+    order of their hashes.  The counts add up to exactly ``k``; nothing is joined on a drawn rank, so a pool of three
+    rows has no hot key.  A level is one aggregation and one small task per node."""
+    d = pool.withColumn("__h", hash_hex(seed, F.lit(tag), *keys))
+    leaves = d.groupBy(F.substring("__h", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    nodes = pool.sparkSession.createDataFrame([("", int(k))], "b string, k bigint")
+    for level in range(1, digits + 1):
+        sizes = leaves.groupBy(F.substring("b", 1, level).alias("b")).agg(F.sum("n").alias("n"))
+        pairs = sizes.withColumn("up", F.substring("b", 1, level - 1)).join(nodes.select(F.col("b").alias("up"), "k"), "up")
+
+        def share(t: pd.DataFrame) -> pd.DataFrame:
+            t = t.sort_values("b")
+            got = _split(f"{seed}|{tag}|{t['up'].iloc[0]}".encode(), t["k"].iloc[0], t["n"].tolist())
+            return pd.DataFrame({"b": t["b"].to_numpy(), "k": got})
+        nodes = pairs.groupBy("up").applyInPandas(share, "b string, k bigint").where("k > 0")
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in pool.columns])
+    d = d.withColumns({"__b": F.substring("__h", 1, digits), "__o": order})
+    lane = Window.partitionBy("__b").orderBy("__h", "__o")
+    d = d.withColumn("__i", F.row_number().over(lane))  # a leaf is a 16 ** digits-th of the pool
+
+    def leaf(t: pd.DataFrame) -> pd.DataFrame:
+        b, n, k = t["b"].iloc[0], int(t["n"].iloc[0]), int(t["k"].iloc[0])
+        got = _split(f"{seed}|{tag}|leaf|{b}".encode(), k, [1] * n)
+        return pd.DataFrame([(b, i + 1, g) for i, g in enumerate(got) if g], columns=["__b", "__i", "__draws"])
+
+    rows = leaves.join(nodes, "b").groupBy("b").applyInPandas(leaf, "__b string, __i int, __draws bigint")
+    return d.join(rows, ["__b", "__i"]).drop("__h", "__b", "__o", "__i")
+
+
+def unfold(df: DataFrame, count_col: str, block: int = 1 << 16) -> DataFrame:
+    """Each row ``count_col`` times, in pieces of at most ``block`` copies."""
+    left = F.col(count_col) - F.col("__piece") * block
+    return (df.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(count_col) - 1) / block))))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.least(left, F.lit(block)).cast("int"))))
+            .drop(count_col, "__piece", "__copy"))
+
+
 def select_smallest(df: DataFrame, order_col: str, k, partition_cols=(), tie_cols=(),
                     flag: str = "__sel", digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
     """Adds ``flag`` = (exact rank by (order_col, tie_cols) within the group <= k),
@@ -142,6 +194,13 @@ def select_smallest(df: DataFrame, order_col: str, k, partition_cols=(), tie_col
     return out.drop(b, "__sk", "__sstat", "__sneed")
 
 
+def up_to(key: Column, threshold: Column) -> Column:
+    """``key <= threshold`` of keys as in ``smallest_keys`` (false where there is no threshold): the hashes decide, the
+    other fields are only built where they are equal."""
+    a, b = key.getField("h"), threshold.getField("h")
+    return F.when(a < b, True).when(a == b, key <= threshold).otherwise(False)
+
+
 def smallest_keys(df: DataFrame, keys: list[Column], k, digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
     """One row with ``__t0``, ``__t1``, ...: for every key the key of rank k, so that
     ``key <= __t`` marks exactly the k smallest rows; no sort of the table, no join.
@@ -165,8 +224,11 @@ def smallest_keys(df: DataFrame, keys: list[Column], k, digits: int = DEFAULT_BU
     edge = c.where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("m"))).select(
         "i", "b", (F.col("k") - F.col("before")).alias("need"))
     row = edge.agg(*[F.max(F.when(F.col("i") == i, F.struct("b", "need"))).alias(f"__e{i}") for i in range(len(keys))])
-    d = df.crossJoin(F.broadcast(row))  # one row
-    near = F.array(*[F.when(F.substring(c.getField("h"), 1, digits) == F.col(f"__e{i}.b"), F.struct(
+    found = row.select(F.struct(*row.columns).alias("e")).scalar()  # a subquery of one row: a constant for the scan
+    d = df.where(reduce(lambda a, b: a | b, [F.coalesce(c.getField("h").startswith(found.getField(f"__e{i}").getField("b")),
+                                                        F.lit(False)) for i, c in enumerate(keys)]))
+    d = d.crossJoin(F.broadcast(row))  # few rows got past the filter; one row
+    near = F.array(*[F.when(c.getField("h").startswith(F.col(f"__e{i}.b")), F.struct(
         F.lit(i).alias("i"), F.col(f"__e{i}.need").alias("need"), c.alias("key"))) for i, c in enumerate(keys)])
     rows = d.select(F.explode(F.filter(near, lambda x: x.isNotNull())).alias("s")).select("s.*")
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy("key"))).where("rn = need")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import to_number
-from ..functions.ranking import bucketed_rank, draw_with_replacement, hash_hex, hash_int, lazy_range, smallest_keys
+from ..functions.ranking import bucketed_rank, draw_with_replacement, hash_hex, hash_int, lazy_range, smallest_keys, up_to
 
 # Fixed values from the reference injectors.
 TYPE_ERROR_TOKEN = "ERR"
@@ -49,7 +49,7 @@ def _marked(df: DataFrame, seed, tags, keys, k):
     """(df with one threshold row attached, a condition for each tag: among the k smallest)."""
     ks = [_key(df, seed, t, keys) for t in tags]
     d = df.crossJoin(F.broadcast(smallest_keys(df, ks, k)))  # one row
-    return d, [F.coalesce(c <= F.col(f"__t{i}"), F.lit(False)) for i, c in enumerate(ks)]
+    return d, [up_to(c, F.col(f"__t{i}")) for i, c in enumerate(ks)]
 
 
 class _Step:
@@ -68,7 +68,7 @@ def _inject(df: DataFrame, steps: list, seed, keys) -> DataFrame:
     tags = [t for s in steps for t in s.tags]
     ks = [_key(df, seed, t, keys) for t in tags]
     d = df.crossJoin(F.broadcast(smallest_keys(df, ks, [s.k for s in steps for _ in s.tags])))  # one row
-    d = d.select(*df.columns, *[F.coalesce(c <= F.col(f"__t{i}"), F.lit(False)).alias(f"__hit{i}") for i, c in enumerate(ks)])
+    d = d.select(*df.columns, *[up_to(c, F.col(f"__t{i}")).alias(f"__hit{i}") for i, c in enumerate(ks)])
     at = 0
     for s in steps:
         d = s.change(d, [F.col(f"__hit{i}") for i in range(at, at + len(s.tags))])
@@ -151,7 +151,7 @@ def inject_imbalance(df: DataFrame, label: str, ratio: float, cls=None, seed=42,
     key = _key(df, seed, "imbalance", keys)
     major = int(one.first()["__major"])
     kth = smallest_keys(part.select(*df.columns), [key], lambda n: F.lit(major))
-    kept = part.crossJoin(F.broadcast(kth)).where(F.coalesce(key <= F.col("__t0"), F.lit(False)))
+    kept = part.crossJoin(F.broadcast(kth)).where(up_to(key, F.col("__t0")))
     return rest.select(*df.columns).unionByName(kept.select(*df.columns))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.expr import to_number
 from ..functions.quantiles import exact_quantiles
-from ..functions.ranking import bucketed_rank, draw_with_replacement, hash_hex, hash_int, lazy_range
+from ..functions.ranking import bucketed_rank, draw_counts, draw_with_replacement, hash_hex, hash_int, lazy_range, unfold
 from . import inject, integrity, recommend
 from .profile import duplicates, feature_columns, total_missing
 
@@ -105,7 +105,8 @@ def augment_class(df: DataFrame, label: str, cls, n_synth: int, seed=42, keys=()
 def oversample(df: DataFrame, label: str, cls, target_count, seed=42, keys=(), mode: str = "draw") -> DataFrame:
     """Append exact copies drawn with replacement until the class has ``target_count`` rows.
     ``mode`` "replicate": every row of the class gets as many copies as any other, the
-    remainder going to the smallest hashes."""
+    remainder going to the smallest hashes.  ``mode`` "split": drawn with replacement too, as a count per row
+    by splitting the draws down a tree of hash digits (``ranking.draw_counts``): no join on a drawn rank."""
     if mode == "replicate":
         part = df.where(F.col(label) == F.lit(cls))
         n = part.count()
@@ -114,6 +115,11 @@ def oversample(df: DataFrame, label: str, cls, target_count, seed=42, keys=(), m
         copies = F.lit(more // n if n else 0) + hit.cast("int")
         extra = d.withColumn("__c", copies).where("__c > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__c"))))
         return df.unionByName(extra.select(*df.columns))
+    if mode == "split":
+        part = df.where(F.col(label) == F.lit(cls))
+        n = part.count()
+        more = max(0, int(target_count) - n) if n else 0
+        return df.unionByName(unfold(draw_counts(part, more, seed, keys), "__draws").select(*df.columns)) if more else df
     if mode != "draw":
         raise ValueError(f"unknown mode {mode!r}")
     k = F.greatest(F.lit(0), F.lit(target_count) - F.col("__n"))

@@ -96,6 +96,19 @@ def c5_oversample(spark, sf):
     return _num_out(RP.oversample(d, "target", 0, _count(d, "target", 1), 42, ["doc_id"]))
 
 
+@register("c5_oversample_split", f"""WITH {TB.sql_ctes('dq_dirty')}
+SELECT greatest((SELECT count(*) FROM dq_dirty WHERE target = 0), (SELECT count(*) FROM dq_dirty WHERE target = 1))::BIGINT AS n_class,
+  (SELECT count(*) FROM dq_dirty WHERE target IS NULL OR target <> 0)::BIGINT AS n_other, 0::BIGINT AS n_unknown""")
+def c5_oversample_split(spark, sf):
+    """Draws as counts per row: the class reaches the majority's size exactly, with copies of its own rows only."""
+    d = TB.dq_dirty(spark, sf)
+    out = cut_lineage(RP.oversample(d, "target", 0, _count(d, "target", 1), 42, ["doc_id"], mode="split"))
+    new = out.exceptAll(d).join(d, [out[c].eqNullSafe(d[c]) for c in d.columns], "left_anti")
+    mine = F.coalesce(F.col("target") == 0, F.lit(False))
+    return out.agg(F.count(F.when(mine, 1)).alias("n_class"), F.count(F.when(~mine, 1)).alias("n_other")).crossJoin(
+        new.agg(F.count(F.lit(1)).alias("n_unknown")))
+
+
 @register("c6_undersample", f"""WITH {TB.sql_ctes('dq_dirty')},
 r AS (SELECT *, row_number() OVER (PARTITION BY target = 1 ORDER BY md5(concat_ws('|', '42', 'undersample', doc_id)),
   {', '.join(c + ' NULLS LAST' for c in TB.DQ_COLS)}) AS rk FROM dq_dirty)

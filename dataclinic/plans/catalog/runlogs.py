@@ -95,7 +95,8 @@ def r4_success_rate(spark, sf):
 
 
 @register("r7_run_summary", f"""{_with()}
-SELECT run_id, count(*)::BIGINT AS n_episodes, {s6('avg(reward)')} AS avg_reward, {s6('min(reward)')} AS min_reward,
+SELECT run_id, count(*)::BIGINT AS n_episodes,
+  {s6('CAST(sum(CAST(reward AS DECIMAL(38,10))) AS DOUBLE) / count(reward)')} AS avg_reward, {s6('min(reward)')} AS min_reward,
   {s6('max(reward)')} AS max_reward, {s6('avg(CAST(success AS DOUBLE))')} AS success_rate, max(level) AS max_level
 FROM rl GROUP BY run_id""")
 def r7_run_summary(spark, sf):

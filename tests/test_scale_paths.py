@@ -273,3 +273,26 @@ def test_missing_nan_wide_ids_and_empty_offers(spark):
     ints = spark.createDataFrame([(i, 20 + i, 0) for i in range(10)], "k long, x int, target int")
     out = RP.augment_class(ints, "target", 0, 5, keys=["k"]).where("x <> floor(x)")
     assert dict(out.dtypes)["x"] == "double" and out.count() > 0
+
+
+def test_draws_as_counts(spark):
+    from dataclinic.functions.ranking import draw_counts, unfold
+    from dataclinic.operators import repair as RP
+    three = spark.createDataFrame([(i, "x") for i in range(3)], "id int, v string")
+    got = {r["id"]: r["__draws"] for r in draw_counts(three, 300_000, 42, ["id"]).collect()}
+    assert sum(got.values()) == 300_000 and all(abs(n - 100_000) < 1500 for n in got.values())
+    assert unfold(draw_counts(three, 1000, 1, ["id"]), "__draws", block=7).count() == 1000
+    many = spark.range(5000).select("id", (F.col("id") % 10).alias("g"))
+    for k in (0, 1, 4999, 20_000):
+        out = draw_counts(many, k, 7, ["id"], digits=2)
+        assert (out.agg(F.sum("__draws")).first()[0] or 0) == k
+    per = [r["n"] for r in draw_counts(many, 20_000, 7, ["id"], digits=2).groupBy("g").agg(F.sum("__draws").alias("n")).collect()]
+    assert len(per) == 10 and sum((n - 2000) ** 2 / 2000 for n in per) < 28  # chi-square, 9 degrees, p = 0.001
+    var = many.join(draw_counts(many, 20_000, 7, ["id"]), "id", "left").agg(F.var_samp(F.coalesce("__draws", F.lit(0)))).first()[0]
+    assert 3.6 < var < 4.4  # Poisson-like with mean 4
+    again = draw_counts(many.repartition(7), 20_000, 7, ["id"], digits=2)
+    a, b = draw_counts(many, 20_000, 7, ["id"], digits=2).select("id", "__draws"), again.select("id", "__draws")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    copies = spark.createDataFrame([(1, 2.0, 0)] * 5 + [(2, 3.0, 1)] * 9 + [(None, None, 0)], "k int, x double, target int")
+    out = RP.oversample(copies, "target", 0, 40, keys=["k"], mode="split")
+    assert out.where("target = 0").count() == 40 and out.where("target = 1").count() == 9
