@@ -8,13 +8,26 @@ from dataclinic.operators import repair as RP
 from dataclinic.sources import tables as TB
 
 
+PYTHON = ("EvalPython", "InPandas", "InArrow", "PythonUDF")
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_profile_is_one_jvm_pass(spark, sf):
     p = _plan(P.column_stats(TB.lineitem_clean(spark, sf), "l_returnflag", TB.LINEITEM["keys"]))
-    assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+    assert not any(n in p for n in PYTHON)
+
+
+def test_audits_and_curriculum_stay_in_the_jvm(spark, sf):
+    from dataclinic.operators import audit as AU
+    from dataclinic.operators import curriculum as CU
+    from dataclinic.operators import score as SC
+    from dataclinic.sources import trajectories as TJ
+    e = SC.enrich(TJ.actions(spark, sf))
+    for d in (AU.cooldown(e), AU.report(e, AU.recommendations(e)), CU.replay(TJ.runs(spark, sf), window=5, threshold=0.6)):
+        assert not any(n in _plan(d) for n in PYTHON)
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark, sf):
