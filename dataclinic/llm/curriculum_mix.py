@@ -20,8 +20,9 @@ the target; the schedule says when the source's words are used.
    documents are range-sorted by the position.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is one
-source, last in order; null ids and repeated rows are rows like others; an
-empty table gives an empty result; extra columns are not read.
+source, last in order; null ids and repeated rows are rows like others; a
+text of any length counts whole; an empty table gives an empty result; extra columns
+are not read.
 """
 
 from __future__ import annotations

@@ -24,8 +24,8 @@ words the whole sequence is the one shingle).  Two documents link when
 
 Edge cases: no words or null text: an empty set, linked with nothing; a null id
 is a document of its own (numbered above all ids) whose component is the smallest
-id in it, null if no row of the component has an id; rows that share an id are one document for components; an empty table gives an empty
-result; extra columns are not read.
+id in it, null if no row of the component has an id; rows that share an id are one document for components (``one_of_each`` judges them one by one); a text of
+any length gives all its shingles; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations

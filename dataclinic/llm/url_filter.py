@@ -13,8 +13,8 @@ Edge cases: a URL that is null or has no ``://`` has empty host and path and
 goes to the model like any other; rule ties cannot occur between distinct rules
 of equal length on one URL unless host and path are equal (the first wins);
 with no labelled URL the verdict is ``allow``, with one class it is that class;
-an empty table gives an empty result; repeated rows are judged alike; extra
-columns are not read.
+an empty table gives an empty result; repeated rows are judged alike; a URL of
+any length is read whole; extra columns are not read.
 """
 
 from __future__ import annotations

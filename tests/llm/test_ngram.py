@@ -92,3 +92,12 @@ def test_rows_without_an_id_link(as_docs):
     assert (2, 97, 1) in want  # by the row without an id only
     got = [tuple(x) for x in N.ngram_jaccard(as_docs(rows)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_very_long_texts_link(as_docs):
+    w = [f"w{i * 7919 % 100_003}" for i in range(60_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:30_000] + ["x"] + w[30_000:])), (3, " ".join(w[:20_000])), (4, "a b c")]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in N.ngram_jaccard(as_docs(rows)).collect()}
+    assert got == {1: (59_997, 1), 2: (59_998, 1), 3: (19_997, 3), 4: (1, 4)}
+    kept = N.one_of_each(as_docs(rows))
+    assert {x["doc_id"] for x in kept.collect()} == {1, 3, 4}
