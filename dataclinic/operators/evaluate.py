@@ -252,7 +252,9 @@ def request_key(working: DataFrame, truth: DataFrame, label: str = "target", key
 
 def stored_accuracy(spark, path: str, key: str) -> DataFrame:
     """The result row (``RESULT_SCHEMA``) of a request in the table at ``path``, or none."""
-    spark.createDataFrame([], RESULT_SCHEMA).write.mode("append").parquet(path)  # the folder exists from here on
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):  # nothing stored yet
+        return spark.createDataFrame([], RESULT_SCHEMA)
     return spark.read.schema(RESULT_SCHEMA).parquet(path).where(F.col("eval_key") == key).limit(1)
 
 
