@@ -40,11 +40,12 @@ def ordered_rank(df: DataFrame, part_cols, order_cols, bucket: Column | None = N
                  num_partitions: int | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by part order by order_cols)``.
 
-    With ``bucket`` (non-decreasing in the order and of bounded size, e.g.
+    With ``bucket`` (an integer, non-decreasing in the order and of bounded size, e.g.
     ``floor(turn / C)``) rows are numbered inside (key, bucket) and the bucket
-    offsets are joined back.  Without it the frame is range-partitioned on
-    (key, order) -- sampled boundaries split a hot key over many partitions --
-    and see ``range_rank``."""
+    offsets are joined back (``_offsets``: also where order values are so wide that nearly
+    every row is its own bucket, no window holds a whole key).  Without it the frame is
+    range-partitioned on (key, order) -- sampled boundaries split a hot key over many
+    partitions -- and see ``range_rank``."""
     if bucket is None:
         return range_rank(df, part_cols, order_cols, rank_col, num_partitions)
     p = list(part_cols)
@@ -52,12 +53,28 @@ def ordered_rank(df: DataFrame, part_cols, order_cols, bucket: Column | None = N
     d0 = df.withColumn(b, bucket)
     d = d0.withColumn("__olocal", F.row_number().over(Window.partitionBy(*p, b).orderBy(*_cols(order_cols))))
     counts = d0.groupBy(*p, b).agg(F.count(F.lit(1)).alias("__on"))
-    ow = Window.partitionBy(*p).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*p, b, F.coalesce(F.sum("__on").over(ow), F.lit(0)).alias("__ooff"))
-    out = _null_safe_join(d, offs, p + [b])
+    out = _null_safe_join(d, _offsets(counts, p, b), p + [b])
     return out.withColumn(rank_col, (F.col("__ooff") + F.col("__olocal")).cast("bigint")).drop(b, "__olocal", "__ooff")
 
 
+def _offsets(counts: DataFrame, p: list[str], b: str, levels: int = 2) -> DataFrame:
+    """Rows of the key before each bucket: (part, bucket, __ooff) of ``counts`` (part, bucket, __on).
+
+    Prefix sums inside runs of 2^16 buckets, plus the rows before a run, found alike over runs: three levels
+    cover buckets of 48 bits (64-bit values over 2^16) with windows of at most 2^16 rows."""
+    before = lambda *by: Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    inside = lambda *by: F.coalesce(F.sum("__on").over(before(*by)), F.lit(0))
+    if levels == 0:
+        return counts.select(*p, b, inside(*p).alias("__ooff"))
+    run = f"{b}{levels}"
+    d = counts.withColumn(run, F.shiftright(F.col(b).cast("bigint"), 16))
+    runs = d.groupBy(*p, run).agg(F.sum("__on").alias("__on")).withColumnRenamed(run, b)
+    above = _offsets(runs, p, b, levels - 1).withColumnRenamed(b, run).withColumnRenamed("__ooff", "__oabove")
+    local = d.select(*p, b, run, inside(*p, run).alias("__oin"))
+    return (_null_safe_join(local, above, p + [run])
+            .select(*p, b, (F.col("__oabove") + F.col("__oin")).alias("__ooff")))
+
+
 def range_rank(df: DataFrame, part_cols, order_cols, rank_col: str = "step",
                num_partitions: int | None = None) -> DataFrame:
     """Exact per-key positions from a range-partitioned, sorted frame, JVM side only.

@@ -35,6 +35,29 @@ def test_ordered_rank_equals_row_number(spark):
     assert a.where(F.col("pos") != F.col("t") + 1).count() == 0
 
 
+def test_ordered_rank_of_wide_order_values(spark):
+    # nearly every row its own bucket, over the whole range of 64-bit values, with null, negative and equal ones
+    rnd = random.Random(8)
+    rows = [(rnd.choice([0, 0, None]), rnd.randrange(-2 ** 63, 2 ** 63) >> rnd.choice([0, 12, 30, 46, 60]), i) for i in range(600)]
+    rows += [(0, None, 600 + i) for i in range(5)] + [(1, -5, 700), (1, -5, 701)]
+    d = spark.createDataFrame(rows, "k long, t long, i long")
+    a = ordered_rank(d, ["k"], ["t", "i"], F.floor(F.col("t") / F.lit(65536)), "pos")
+    got = {r["i"]: r["pos"] for r in a.collect()}
+    plain = d.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("t", "i")))
+    assert got == {r["i"]: r["pos"] for r in plain.collect()} and len(got) == len(rows)
+
+
+def test_bucket_offsets_in_levels(spark):
+    from dataclinic.functions.sequence import _offsets
+    rows = [("a", b, b % 3 + 1) for b in (-2 ** 47, -70000, -1, 0, 1, 65535, 65536, 2 ** 32, 2 ** 32 + 1, 2 ** 47 - 1)]
+    rows += [("b", 7, 4), (None, 9, 2), (None, None, 1)]
+    got = {(r[0], r[1]): r[2] for r in _offsets(spark.createDataFrame(rows, "k string, b long, __on long"), ["k"], "b").collect()}
+    want = {}
+    for k, b, _ in rows:
+        want[k, b] = sum(n for q, c, n in rows if q == k and (-2 ** 60 if c is None else c) < (-2 ** 60 if b is None else b))
+    assert got == want
+
+
 def test_halo_lags_equal_plain(spark):
     d = _seq(spark).withColumn("pos", F.col("t") + 1)
 
