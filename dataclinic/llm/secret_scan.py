@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def scan(raw: bytes) -> list[tuple[int, int, int, bytes]]:
         top = max(top, s[1])
         reach.append(top)
     for m in TOKEN.finditer(raw):
-        k = np.searchsorted(base, m.end())  # base spans that begin before the candidate ends
+        k = bisect_left(base, m.end())  # base spans that begin before the candidate ends
         if (k == 0 or reach[k - 1] <= m.start()) and generated(m.group()):
             found.append((m.start(), m.end(), 3, m.group()))
     return sorted(found, key=lambda s: s[:3])
