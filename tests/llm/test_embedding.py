@@ -3,6 +3,7 @@
 import math
 import random
 
+import dataclinic.llm.embedding_neardup as module
 from dataclinic.llm.embedding_neardup import embedding_neardup
 
 
@@ -55,3 +56,27 @@ def test_matches_brute_force(spark):
     whole = [(i, [r.randint(-3, 3) for _ in range(4)], 1) for i in range(120)]
     df = spark.createDataFrame(whole, "vec_id bigint, embedding array<int>, label int")
     assert sorted((tuple(x) for x in embedding_neardup(df).collect()), key=str) == brute(whole, 0.93)
+
+
+def test_cells_are_split_level_by_level(spark, monkeypatch):
+    r = random.Random(4)
+    vec = lambda: [r.gauss(0, 1) for _ in range(5)]
+    rows = []
+    for _ in range(60):
+        c = vec()
+        rows += [[x + r.gauss(0, 0.04) for x in c] for _ in range(8)]
+    rows += [[x + r.gauss(0, 0.01) for x in rows[0]] for _ in range(60)]  # no pivot separates these
+    rows = [(i, e, 1 if i % 9 else 2) for i, e in enumerate(rows)]
+    levels, sizes = [], []
+
+    def spied(*a, **k):
+        out = module_refined(*a, **k)
+        levels.append(out[1])
+        sizes.extend(x["count"] for x in out[0].groupBy("cell").count().collect())
+        return out
+    module_refined = module.refined
+    monkeypatch.setattr(module, "refined", spied)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = embedding_neardup(df, threshold=0.995, per_cell=4, block=5, max_pivots=4, split=3, fanout=12, chunk=50)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == brute(rows, 0.995)
+    assert levels[0] >= 2 and max(sizes) < len(rows) / 3 and len(sizes) > 12, (levels, max(sizes), len(sizes))
