@@ -11,11 +11,11 @@ threshold, which on unit vectors is a Euclidean range r = sqrt(2 - 2 cos).
    distance of x to the plane halfway between two pivots gives a closer bound.
    A pair is joined in the cell of its member whose cell has the larger number.
 3. These first pivots, of all labels together about ``MAX_PIVOTS / 2``, are the only ones that go to every task.
-   A cell of more than ``SPLIT`` blocks is split again in the same way by some ``FANOUT / 2`` pivots of its own, level
-   by level, so cells stay small however many vectors there are.  Its rows are dealt over chunks, each of which gets
-   the cell's pivots.  A first pass only counts what a split would copy: a cell is split where that leaves at most
-   half of its comparisons.  A bit per level marks a copy that is away from home; a pair counts where no level has
-   both members away, which is in exactly one cell.
+   A cell of more than ``SPLIT`` blocks (a label of more starts as one cell) is split by some ``FANOUT / 2`` pivots of
+   its own, level by level, so cells stay small however many vectors there are.  Its rows are dealt over chunks, each
+   of which gets the cell's pivots.  A first pass only counts what a split would copy: a cell is split where that
+   leaves at most half of its comparisons.  A bit per level marks a copy that is away from home; a pair counts where
+   no level has both members away, which is in exactly one cell.
 4. Cells join independently, cut into blocks of at most ``BLOCK`` classes (four times as many in a cell that no pivots
    split, which quarters the copies of its rows); a hot cell is many block pairs in many tasks.  A block pair sends
    back how many vectors each class links with, and the edges of a spanning forest, never all pairs; counts are exact.
@@ -225,10 +225,13 @@ def embedding_neardup(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     # numbered once: the stored number identifies a class also where ids repeat
     classes = stored(good.groupBy(*key).agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
                      .withColumn("class", F.monotonically_increasing_id()))
-    total = classes.count()
-    # first pivots: about one for per_cell classes, fewer when all labels together would pass the bound
+    # first pivots: about one for per_cell classes, fewer when all labels together would pass the bound; a label of
+    # more than split blocks starts as one cell, whose splits are counted before they are made
+    labels = stored(classes.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= split * block))
+    total = labels.agg(F.sum("n")).first()[0] or 0
     share = min(1 / per_cell, max_pivots / 2 / max(1, total))
     chosen = classes.where(F.pmod(F.xxhash64(F.lit(seed), "class_id"), F.lit(1 << 32)) < int(share * 2 ** 32))
+    chosen = chosen.join(labels, "part", "left_semi")
     pivots: dict = {}
     for r in chosen.select("part", "class_id", "embedding").orderBy("part", "class_id").collect():
         x = np.array(r["embedding"], np.float64)
