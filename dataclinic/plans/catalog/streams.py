@@ -49,6 +49,8 @@ END = dt.datetime(9000, 1, 1)
 NEVER_US = 100 * 365 * 24 * 3600 * 1_000_000
 #: Rows of a stored table wait in buckets of a day.
 DAY_US = 24 * 3600 * 1_000_000
+#: A shard of a stored table has about so many rows; its files come in so many batches at most.
+SHARD_ROWS, BATCHES = 20_000, 8
 
 
 def disorder(table, ts="ts"):
@@ -65,25 +67,27 @@ def disorder(table, ts="ts"):
 class Replay:
     """A stored events table as a stream of many batches, ended by a marker.
 
-    The files come one a batch, in no order of time; the watermark's delay covers their disorder.  A second, small
+    The files come in ``BATCHES`` batches at most, in no order of time; the watermark's delay covers their disorder.  A second, small
     source holds the marker rows: it is empty in the first run; the second run, from the same checkpoint, reads the
     markers, which release what still waits and fire the timers that are left."""
 
-    def __init__(self, spark, sf, files_per_trigger=1):
+    def __init__(self, spark, sf):
         self.spark, self.markers = spark, _scratch(spark, "markers")
         path = f"{sf.rstrip('/')}/events.parquet"
         table = spark.read.parquet(path)
         several = _is_folder(spark, path)
         self.watermark = f"{max(600, int(disorder(table)) + 1) if several else 600} seconds"
+        files = len(table.inputFiles()) if several else 1
+        self.parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        self.shards = max(4 * self.parts, -(-table.count() // SHARD_ROWS))
         self.empty = table.limit(0)
         self.empty.write.parquet(self.markers)
         marks = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(self.markers)
-        self.rows = table_stream(spark, sf, "events", table.schema, files_per_trigger).unionByName(marks)
+        self.rows = table_stream(spark, sf, "events", table.schema, -(-files // BATCHES)).unionByName(marks)
 
     def run(self, build, tag):
         out, ck = _scratch(self.spark, tag), _scratch(self.spark, tag + "-ck")
-        parts = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.spark.sparkContext.defaultParallelism)
-        with rocksdb_state(self.spark, parts):
+        with rocksdb_state(self.spark, self.parts):
             for last in (False, True):
                 if last:
                     for k in range(2):  # the first moves the watermark, the second is the batch that sees it
@@ -123,7 +127,7 @@ def t1_audit_stream(spark, sf):
     r = Replay(spark, sf)
     e = r.rows.withColumn("ts", F.col("ts").cast("timestamp"))
     a = e.select("event_id", "ts", *[F.expr(TJ._EXPRS[k]).alias(k) for k in ("episode_id", "action", "n_recs")])
-    return r.run(lambda: audit_stream(a, TJ.BUDGET, r.watermark, NEVER_US, END, DAY_US), "audit")
+    return r.run(lambda: audit_stream(a, TJ.BUDGET, r.watermark, NEVER_US, END, DAY_US, r.shards), "audit")
 
 
 @register("t2_curriculum_stream", f"""WITH {TB.sql_ctes('runs')}, {curriculum_sql(5, 0.6)}
@@ -132,7 +136,8 @@ def t2_curriculum_stream(spark, sf):
     r = Replay(spark, sf)
     e = r.rows.select(F.col("user_id").alias("run_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
                       (F.col("value") > 50).alias("success"))
-    return r.run(lambda: curriculum_stream(e, 5, 0.6, watermark=r.watermark, idle_us=NEVER_US, end=END, bucket_us=DAY_US),
+    return r.run(lambda: curriculum_stream(e, 5, 0.6, watermark=r.watermark, idle_us=NEVER_US, end=END, bucket_us=DAY_US,
+                                          shards=r.shards),
                  "curriculum")
 
 

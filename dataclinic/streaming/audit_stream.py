@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.expr import parse_command
 from ..operators import audit as AU
 from ..operators import traj as TR
-from .ordered import BUCKET_US, Fold, ordered_fold, watermarked
+from .ordered import BUCKET_US, SHARDS, Fold, ordered_fold, watermarked
 
 OUT_SCHEMA = T.StructType([
     T.StructField("episode_id", T.LongType()), T.StructField("step", T.LongType()),
@@ -92,7 +92,8 @@ class AuditFold(Fold):
 
 
 def audit_stream(actions: DataFrame, budget_total: int = 25, watermark: str = "10 minutes",
-                 idle_us: int = 24 * 3600 * 1_000_000, end=None, bucket_us: int = BUCKET_US) -> DataFrame:
+                 idle_us: int = 24 * 3600 * 1_000_000, end=None, bucket_us: int = BUCKET_US,
+                 shards: int = SHARDS) -> DataFrame:
     """Streaming DataFrame of audit rows (one per action, one per forced submit) from a streaming ``actions``
     frame with columns episode_id, event_id, ts (TIMESTAMP), action and n_recs
     (ids offered by a session-opening query).  Rows from the time ``end`` on only move the watermark.  Start it
@@ -101,4 +102,4 @@ def audit_stream(actions: DataFrame, budget_total: int = 25, watermark: str = "1
     d = watermarked(actions, "ts", watermark, end).select(
         "episode_id", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), cmd.alias("cmd"), arg.alias("arg"),
         F.col("n_recs").cast("int").alias("n_recs"))
-    return ordered_fold(d, "episode_id", AuditFold(budget_total), OUT_SCHEMA, idle_us, bucket_us)
+    return ordered_fold(d, "episode_id", AuditFold(budget_total), OUT_SCHEMA, idle_us, bucket_us, shards)

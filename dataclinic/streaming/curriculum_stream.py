@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import curriculum as CU
-from .ordered import BUCKET_US, Fold, ordered_fold, watermarked
+from .ordered import BUCKET_US, SHARDS, Fold, ordered_fold, watermarked
 
 OUT_SCHEMA = T.StructType([
     T.StructField("run_id", T.LongType()), T.StructField("episode", T.LongType()),
@@ -43,9 +43,10 @@ class CurriculumFold(Fold):
 
 def curriculum_stream(episodes: DataFrame, window: int = CU.WINDOW, threshold: float = CU.THRESHOLD,
                       start: int = CU.START_LEVEL, max_level: int = CU.MAX_LEVEL,
-                      watermark: str = "10 minutes", idle_us: int = 30 * 24 * 3600 * 1_000_000, end=None, bucket_us: int = BUCKET_US) -> DataFrame:
+                      watermark: str = "10 minutes", idle_us: int = 30 * 24 * 3600 * 1_000_000, end=None, bucket_us: int = BUCKET_US,
+                      shards: int = SHARDS) -> DataFrame:
     """Streaming levels from a streaming frame (run_id, event_id, ts, success).  Rows from the time ``end`` on only
     move the watermark.  Start it inside ``ordered.rocksdb_state``."""
     d = watermarked(episodes, "ts", watermark, end).select("run_id", "event_id", F.unix_micros("ts").alias("ts_us"),
                                                            "ts", "success")
-    return ordered_fold(d, "run_id", CurriculumFold(window, threshold, start, max_level), OUT_SCHEMA, idle_us, bucket_us)
+    return ordered_fold(d, "run_id", CurriculumFold(window, threshold, start, max_level), OUT_SCHEMA, idle_us, bucket_us, shards)

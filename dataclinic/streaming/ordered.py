@@ -1,10 +1,12 @@
 """A keyed fold over a stream in event-time order, with event-time timers (``transformWithState``).
 
-Rows of a key may arrive out of order and over any number of batches.  They wait in map state, in buckets of event
+Rows of a key may arrive out of order and over any number of batches.  Keys are dealt by hash into shards, and a shard
+is what the state store knows, so a call to the store serves many keys.  Rows wait in map state, in buckets of event
 time; a timer at the end of the first one releases the buckets that the watermark has passed, to which no row can still
-come, one after the other, and their rows are folded in the order of (time, id).  A task holds one bucket of one key, the state store what lies within the
-watermark's span.  A deadline, set by the fold, fires by a timer of its own without any input.  A key that has been idle
-for ``idle`` of event time leaves the state; its next row begins a new fold.
+come, one after the other, and their rows are folded, each with the state of its key, in the order of (time, id).  A
+task holds one bucket of one shard, the state store what lies within the watermark's span.  A deadline, set by the fold
+for a key, fires by a timer without any input.  A key that has been idle for ``idle`` of event time leaves the state;
+its next row begins a new fold.
 
 The state store must be RocksDB (``rocksdb_state``).
 """
@@ -22,6 +24,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BUCKET_US = 60_000_000  # a minute of event time
+SHARDS = 4096
+HELD = 50_000  # rows of a shard that are held before they are added to their buckets
 
 
 class Fold:
@@ -54,72 +58,96 @@ class OrderedProcessor(StatefulProcessor):
         self.state = handle.getValueState("fold", "state string")
 
     def _load(self) -> dict:
-        """{"pending": buckets that wait, in order, "last": time of the last folded row, "fold": its state}."""
+        """{"pending": buckets that wait, in order, "timer": end of the bucket for which a timer is set, "keys": for each
+        key {"upto": last bucket with a row of it, "last": time of its last folded row, "fold": its state}}."""
         s = self.state.get()
-        return json.loads(s[0]) if s else {"pending": [], "last": None, "fold": None}
+        s = json.loads(s[0]) if s else {"pending": [], "timer": None, "keys": []}
+        s["keys"] = dict(s["keys"])
+        return s
 
-    def _timer(self, us: int) -> None:
-        """A timer that fires when every row up to ``us`` has been released."""
-        self.handle.registerTimer(-(-(us // self.bucket + 1) * self.bucket // 1000))
+    def _save(self, s: dict) -> None:
+        if s["keys"] or s["pending"]:
+            self.state.update((json.dumps(dict(s, keys=list(s["keys"].items()))),))
+        else:
+            self.state.clear()
+
+    def _end(self, us: int) -> int:
+        """End of the bucket of a time: when it has passed, every row up to the time has been released."""
+        return (us // self.bucket + 1) * self.bucket
+
+    def _set_timer(self, s: dict, us: int | None) -> None:
+        """One timer of the shard, at the earliest bucket end at which there is something to do."""
+        if us is not None and (s["timer"] is None or us < s["timer"]):
+            self.handle.registerTimer(-(-us // 1000))
+            s["timer"] = us
+
+    def _wait(self, pending: set, parts: dict) -> None:
+        for b, part in parts.items():
+            if b in pending:
+                part = [self.waiting.getValue((b,))[0], *part]
+            pending.add(b)
+            self.waiting.updateValue((b,), ("\n".join(part),))
 
     def handleInputRows(self, key, rows, timerValues):
         s = self._load()
-        pending = set(s["pending"])
-        first = min(pending, default=None)
-        for pdf in rows:  # a chunk of the key's rows at a time
-            cols = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in self.fold.fields]
-            parts: dict = {}
-            for row in zip(*cols):
-                parts.setdefault(row[0] // self.bucket, []).append(row)
-            for b, part in parts.items():
-                if b in pending:
-                    part = json.loads(self.waiting.getValue((b,))[0]) + part
-                else:
-                    pending.add(b)
-                self.waiting.updateValue((b,), (json.dumps(part),))
+        pending, parts, held = set(s["pending"]), {}, 0
+        for pdf in rows:  # a chunk of the shard's rows at a time
+            for b, row in zip(pdf["bucket"].tolist(), pdf["row"].tolist()):
+                parts.setdefault(b, []).append(row)
+                k = next(iter(json.loads(row).values()))
+                e = s["keys"].setdefault(k, {"upto": b, "last": None, "fold": None})
+                e["upto"] = max(e["upto"], b)
+            held += len(pdf)
+            if held >= HELD:
+                self._wait(pending, parts)
+                parts, held = {}, 0
+        self._wait(pending, parts)
         s["pending"] = sorted(pending)
-        if s["pending"] and s["pending"][0] != first:
-            self._timer(s["pending"][0] * self.bucket)
-        self.state.update((json.dumps(s),))
+        if s["pending"]:
+            self._set_timer(s, (s["pending"][0] + 1) * self.bucket)
+        self._save(s)
         return iter(())
 
+    def _release(self, s: dict, b: int) -> list[tuple]:
+        """Folds the rows of a bucket, in order."""
+        fold, out = self.fold, []
+        rows = [tuple(json.loads(r).values()) for r in self.waiting.getValue((b,))[0].split("\n")]
+        self.waiting.removeKey((b,))
+        for k, *row in sorted(rows, key=lambda r: (r[1], r[2])):
+            e = s["keys"][k]
+            if e["fold"] is None:
+                e["fold"] = fold.start((k,), row)
+            due = fold.deadline(e["fold"])
+            if due is not None and row[0] > due:
+                out += fold.on_deadline((k,), e["fold"])
+            out += fold.step((k,), e["fold"], row)
+            e["last"] = row[0]
+        return out
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         s = self._load()
-        fold, out = self.fold, []
         while s["pending"] and (s["pending"][0] + 1) * self.bucket <= now:
-            b = s["pending"].pop(0)
-            rows = json.loads(self.waiting.getValue((b,))[0])
-            self.waiting.removeKey((b,))
-            for row in sorted(rows, key=lambda r: (r[0], r[1])):
-                if s["fold"] is None:
-                    s["fold"] = fold.start(key, row)
-                    due = fold.deadline(s["fold"])
-                    if due is not None:
-                        self._timer(due)
-                due = fold.deadline(s["fold"])
-                if due is not None and row[0] > due:
-                    out += fold.on_deadline(key, s["fold"])
-                out += fold.step(key, s["fold"], row)
-                s["last"] = row[0]
+            out = self._release(s, s["pending"].pop(0))
             if out:
                 yield self._frame(out)
-                out = []
-        if s["fold"] is not None:
-            due = fold.deadline(s["fold"])
-            if due is not None and (due // self.bucket + 1) * self.bucket <= now:
-                out += fold.on_deadline(key, s["fold"])
-            if s["pending"]:
-                self._timer(s["pending"][0] * self.bucket)
-            else:
-                if s["last"] + self.idle <= now:
-                    s = {"pending": [], "last": None, "fold": None}
+        out, times = [], [(b + 1) * self.bucket for b in s["pending"][:1]]
+        for k, e in list(s["keys"].items()):
+            if e["fold"] is None:
+                continue  # its rows wait
+            due = self.fold.deadline(e["fold"])
+            if due is not None and self._end(due) <= now:
+                out += self.fold.on_deadline((k,), e["fold"])
+            elif due is not None:
+                times.append(self._end(due))
+            if (e["upto"] + 1) * self.bucket <= now:
+                if self._end(e["last"] + self.idle) <= now:
+                    del s["keys"][k]
                 else:
-                    self._timer(s["last"] + self.idle)
-        if s["fold"] is None and not s["pending"]:
-            self.state.clear()
-        else:
-            self.state.update((json.dumps(s),))
+                    times.append(self._end(e["last"] + self.idle))
+        s["timer"] = None if s["timer"] is None or s["timer"] <= now else s["timer"]
+        self._set_timer(s, min(times, default=None))
+        self._save(s)
         if out:
             yield self._frame(out)
 
@@ -137,10 +165,15 @@ def watermarked(stream: DataFrame, ts: str, delay: str, end=None) -> DataFrame:
     return d if end is None else d.where(F.col(ts) < F.lit(end))
 
 
-def ordered_fold(stream: DataFrame, key: str, fold: Fold, schema, idle_us: int, bucket_us: int = BUCKET_US) -> DataFrame:
-    """``stream``: watermarked on a timestamp column, with ``key`` and the fold's fields (``ts_us`` its event time)."""
-    return stream.groupBy(key).transformWithStateInPandas(OrderedProcessor(fold, idle_us, bucket_us), schema, "Append",
-                                                          "EventTime")
+def ordered_fold(stream: DataFrame, key: str, fold: Fold, schema, idle_us: int, bucket_us: int = BUCKET_US,
+                 shards: int = SHARDS) -> DataFrame:
+    """``stream``: watermarked on a timestamp column, with ``key`` and the fold's fields (``ts_us`` its event time).
+    The number of ``shards`` belongs to the checkpoint: it stays as it is for the life of the query."""
+    row = F.to_json(F.struct(F.col(key).alias("__key"), *fold.fields), {"ignoreNullFields": "false"})  # one line
+    d = stream.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"),
+                      F.floor(F.col(fold.fields[0]) / F.lit(bucket_us)).alias("bucket"), row.alias("row"))
+    return d.groupBy("shard").transformWithStateInPandas(OrderedProcessor(fold, idle_us, bucket_us), schema, "Append",
+                                                         "EventTime")
 
 
 @contextmanager

@@ -159,3 +159,56 @@ def test_sketches_merge_over_spans(spark):
     t = {(x["batch_id"], x["col_name"]): x for x in M.trailing_drift(sk, 2).collect()}
     assert (0, "x") not in t and t[1, "x"]["n_span"] == 800 and t[4, "x"]["n_span"] == 1600 and (9, "x") not in t
     assert all(0.2 < t[b, "x"]["median_shift"] < 0.7 for b in range(1, 5))
+
+
+def test_state_calls_grow_with_shards_not_keys():
+    """Keys of a shard share its calls to the state store; each key keeps a fold of its own."""
+    import json
+
+    import pandas as pd
+
+    from dataclinic.streaming.curriculum_stream import CurriculumFold
+    from dataclinic.streaming.ordered import OrderedProcessor
+
+    calls = []
+
+    class Store:
+        def __init__(self, *_):
+            self.held = {}
+
+        def getValue(self, k=()):
+            calls.append("get")
+            return self.held.get(k)
+
+        def updateValue(self, k, v):
+            calls.append("update")
+            self.held[k] = v
+
+        def removeKey(self, k=()):
+            calls.append("remove")
+            self.held.pop(k, None)
+
+        def update(self, v):
+            self.updateValue((), v)
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+        get, clear, getMapState, getValueState = getValue, removeKey, lambda self, *a: Store(), lambda self, *a: Store()
+
+    class Now:
+        def getExpiryTimeInMs(self):
+            return 10 ** 10
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs
+
+    bucket = 86_400_000_000
+    p = OrderedProcessor(CurriculumFold(5, 0.6, 1, 3), 10 ** 18, bucket)
+    p.init(Store())
+    rows = [(k, n * bucket, 3 * k + n, True) for k in range(300) for n in (2, 0, 1)]
+    pdf = pd.DataFrame({"bucket": [r[1] // bucket for r in rows], "row": [
+        json.dumps(dict(zip(("__key", "ts_us", "event_id", "success"), r))) for r in rows]})
+    assert list(p.handleInputRows((0,), iter([pdf[:450], pdf[450:]]), Now())) == []
+    got = pd.concat(list(p.handleExpiredTimer((0,), Now(), Now())))
+    assert sorted(zip(got["run_id"], got["episode"])) == [(k, n) for k in range(300) for n in (1, 2, 3)]
+    assert len(calls) < 30  # not several for each of 300 keys
