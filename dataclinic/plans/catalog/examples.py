@@ -161,8 +161,7 @@ def io2_normalize(spark, sf):
                              "success"))
     lines = r.select("run_id", "episode", F.when(F.col("run_id") % 2 == 1, new).otherwise(old).alias("value"))
     path = _scratch(spark, "steplog")
-    (lines.repartition("run_id").sortWithinPartitions("run_id", "episode").select("run_id", "value")
-     .write.partitionBy("run_id").text(path))
+    LG.write_runs(lines, path)
     return LG.normalize(LG.read_runs(spark, path)).select("episode", "task", "level", "reward", "accuracy_gain",
                                                           "success")
 

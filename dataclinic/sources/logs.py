@@ -9,12 +9,17 @@ one aggregated row a file, so the plan stays lazy).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import uuid
+from urllib.parse import unquote, urlparse
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import round_to
-from ..functions.sequence import ordered_rank
 from ..session import cut_lineage
 
 LOG_SCHEMA = T.StructType([
@@ -31,16 +36,65 @@ LOG_SCHEMA = T.StructType([
 ])
 SUCCESS_GAIN = 0.05
 EXAMPLE_SCHEMA = "prompt string, response string"
+FILES_A_FOLDER = 1000
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = _hadoop(spark, path)
     found = fs.globStatus(p)  # a path or a pattern
     return found is not None and len(found) > 0
 
 
+def write_runs(lines: DataFrame, path: str, run: str = "run_id", order: str = "episode", value: str = "value",
+               files_a_folder: int = FILES_A_FOLDER) -> None:
+    """One file a run (an integer, or null: a run like any other), lines in ``order``; ``path`` is new.
+
+    On a shared ``file:`` folder the tasks write the files themselves: there Hadoop starts four processes a file to
+    set modes, and a folder a run makes the listing one Spark task a run.  Any other store gets Spark's own writer."""
+    rows = lines.repartition(run).sortWithinPartitions(run, order).select(run, value)
+    fs, p = _hadoop(lines.sparkSession, path)
+    if fs.getUri().getScheme() != "file":
+        rows.write.partitionBy(run).text(path)
+        return
+    root = unquote(urlparse(fs.makeQualified(p).toUri().toString()).path)
+    os.makedirs(root)
+    # a task's folders are its own until it has ended, and only those of ended tasks are moved into place
+    folders = rows.mapInArrow(_run_files(f"{root}/_temporary", files_a_folder), "folder string").collect()
+    for i, (folder,) in enumerate(folders):
+        os.rename(folder, f"{root}/folder={i}")
+
+
+def _run_files(root: str, most: int):
+    """mapInArrow function: writes (run, line) rows, sorted by run, to one file a run in new folders under ``root``
+    of at most ``most`` files, and returns the folders."""
+    def write(batches):
+        folders, files, now, out = [], 0, None, None
+        for batch in batches:
+            runs, values = batch.columns
+            ids, null = runs.fill_null(0).to_numpy(), runs.is_null().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero((np.diff(ids) != 0) | (null[1:] != null[:-1])) + 1
+            bounds = [0, *starts.tolist(), len(batch)] if len(batch) else [0]
+            for a, b in zip(bounds, bounds[1:]):
+                name = "null" if null[a] else str(ids[a])
+                if name != now:
+                    if out:
+                        out.close()
+                    if files % most == 0:
+                        folders.append(f"{root}/{uuid.uuid4().hex}")
+                        os.makedirs(folders[-1])
+                    now, out, files = name, open(f"{folders[-1]}/{name}.jsonl", "wb"), files + 1
+                out.writelines(f"{x or ''}\n".encode() for x in values.slice(a, b - a).to_pylist())
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(folders, pa.string())], ["folder"])
+    return write
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """IO1: all records plus ``_file`` and ``_pos`` (order inside the file);
     an empty frame when the path does not exist.  Malformed lines keep
@@ -50,12 +104,19 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
             {"_file": F.lit(None).cast("string"), "_pos": F.lit(None).cast("long")})
     raw = (spark.read.schema(LOG_SCHEMA).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "__mid": F.monotonically_increasing_id()})
+    raw = raw.withColumns({"_file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"),
+                           "__mid": F.monotonically_increasing_id()})
     # parse once into a parquet table (shared folder): later stages never re-parse JSON,
-    # and the ids taken from the scan (file order) are frozen
+    # and the ids taken from the scan (consecutive inside a split of a file) are frozen
     raw = cut_lineage(raw)
-    # position inside each file: ids grow with the file offset; the bucket is the partition
-    return ordered_rank(raw, ["_file"], ["__mid"], F.shiftright(F.col("__mid"), 33), "_pos").drop("__mid")
+    # position inside each file: the id less the split's first, plus the rows of the file's earlier splits
+    blocks = raw.groupBy("_file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    earlier = Window.partitionBy("_file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    blocks = blocks.select("_file", "__block", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1)
+                           .alias("__shift"))
+    d = raw.join(blocks, ["_file", "__block"], "left")  # left: dropped where no position is asked for
+    return d.select(*[c for c in raw.columns if c not in ("__block", "__mid")],
+                    (F.col("__mid") + F.col("__shift")).cast("bigint").alias("_pos"))
 
 
 def corrupt_count(records: DataFrame) -> DataFrame:
