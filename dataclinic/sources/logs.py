@@ -54,8 +54,8 @@ def write_runs(lines: DataFrame, path: str, run: str = "run_id", order: str = "e
                files_a_folder: int = FILES_A_FOLDER) -> None:
     """One file a run (an integer, or null: a run like any other), lines in ``order``; ``path`` is new.
 
-    On a shared ``file:`` folder the tasks write the files themselves: there Hadoop starts four processes a file to
-    set modes, and a folder a run makes the listing one Spark task a run.  Any other store gets Spark's own writer."""
+    On a shared ``file:`` folder the tasks write the files themselves: there Hadoop starts processes for each file
+    to set modes, and a folder a run makes the listing one Spark task a run.  Any other store gets Spark's own writer."""
     rows = lines.repartition(run).sortWithinPartitions(run, order).select(run, value)
     fs, p = _hadoop(lines.sparkSession, path)
     if fs.getUri().getScheme() != "file":
